@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import binary, fingerprint, fmindex, langid, tokens, toxicity
+from . import binary, fingerprint, fmindex, jaccard, langid, tokens, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -32,6 +32,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(read_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,6 @@ def op10_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprint, op2_token_counts, op4_decontamination, op6_language, op8_toxicity, op10_binary)
+    f.__name__: f for f in (op1_fingerprint, op2_token_counts, op4_decontamination, op6_language, op7_jaccard_join, op8_toxicity, op10_binary)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -1,7 +1,8 @@
 """Operator 8, toxicity: FTRL-proximal logistic regression over hashed word features.
 
-Features are the presence of words, of neighbouring pairs and of pairs with one
-word between (skip-grams), hashed into 2^20 places. Training keeps a learning rate
+Features are words, their stems (leading bytes, as insults inflect), neighbouring
+pairs and pairs with one word between (skip-grams), hashed into 2^20 places; a
+feature has a weight for its first, second and third occurrence in a text. Training keeps a learning rate
 for each coordinate and an L1 term that leaves most weights exactly 0, so the model
 is a short list of (place, weight) that any task can hold.
 """
@@ -23,14 +24,19 @@ BITS = 20
 #: Labelled documents that a fit sees at most, chosen by a hash of their ids.
 TRAIN_ROWS = 20_000
 EPOCHS = 3
+#: Leading bytes of a word that make a stem.
+STEMS = (6, 7)
+#: Occurrences in a text that count, each with a weight of its own.
+LEVELS = 3
 
 
 @dataclass(frozen=True)
 class Ftrl:
-    alpha: float = 0.1
+    alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 8.0
     l2: float = 1.0
+    positive: float = 3.0  # weight of an example with label 1, of which there are few
     epochs: int = EPOCHS
 
 
@@ -41,6 +47,10 @@ def features(texts: tx.Texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     w, doc = tx.span_hashes(low.data, at.starts, at.ends), at.text_of
     shift = np.uint64(64 - bits)
     places, owner = [w >> shift], [doc]
+    for size in STEMS:
+        long = at.ends - at.starts > size
+        places.append(tx.combine(tx.span_hashes(low.data, at.starts[long], at.starts[long] + size), seed=23) >> shift)
+        owner.append(doc[long])
     for gap, seed in ((1, 21), (2, 22)):
         if len(w) > gap:
             same = doc[gap:] == doc[:-gap]
@@ -49,9 +59,17 @@ def features(texts: tx.Texts, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(places).astype(np.int64), np.concatenate(owner)
 
 
+def occurrences(at: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (place, text), with an entry for the first, second, ... occurrence: place + occurrence * 2^bits."""
+    pair, count = np.unique(doc << bits | at, return_counts=True)
+    level = np.minimum(count, LEVELS)
+    pair, level = np.repeat(pair, level), tx.ragged(np.zeros(len(pair), np.int64), level)
+    return (pair & ((1 << bits) - 1)) | level << bits, pair >> bits
+
+
 def fit_rows(examples: Iterator[tuple[np.ndarray, int]] | list, params: Ftrl, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over (distinct feature places, label 0 or 1): places and values of the non-zero weights, and the bias."""
-    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
+    z, n = np.zeros(LEVELS << bits), np.zeros(LEVELS << bits)
     bias_z = bias_n = 0.0
     rows = list(examples)
 
@@ -64,7 +82,7 @@ def fit_rows(examples: Iterator[tuple[np.ndarray, int]] | list, params: Ftrl, bi
             w = weights(zi, ni)
             bias = -bias_z / ((params.beta + bias_n**0.5) / params.alpha)
             p = 1.0 / (1.0 + np.exp(-min(max(w.sum() + bias, -35.0), 35.0)))
-            g = p - label
+            g = (p - label) * (params.positive if label else 1.0)
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / params.alpha
             z[at], n[at] = zi + g - sigma * w, ni + g * g
             bias_z += g - ((bias_n + g * g) ** 0.5 - bias_n**0.5) / params.alpha * bias
@@ -82,12 +100,12 @@ class Model:
     bits: int = BITS
 
     def scores(self, texts: tx.Texts) -> np.ndarray:
-        table = np.zeros(1 << self.bits)
+        table = np.zeros(LEVELS << self.bits)
         table[self.places] = self.weights
         at, doc = features(texts, self.bits)
-        live = np.flatnonzero(table[at])
-        pair = np.unique(doc[live] * (1 << self.bits) + at[live])
-        total = np.bincount(pair >> self.bits, weights=table[pair & ((1 << self.bits) - 1)], minlength=len(texts)) if len(pair) else np.zeros(len(texts))
+        live = np.flatnonzero((table != 0).reshape(LEVELS, -1).any(axis=0)[at])
+        at, doc = occurrences(at[live], doc[live], self.bits)
+        total = np.bincount(doc, weights=table[at], minlength=len(texts)) if len(at) else np.zeros(len(texts))
         return 1.0 / (1.0 + np.exp(-np.clip(total + self.bias, -35.0, 35.0)))
 
 
@@ -113,11 +131,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
         examples = []
         for batch in batches:
             for part, block in tx.blocks(batch, "_t"):
-                at, doc = features(block, bits)
-                pair = np.unique(doc * (1 << bits) + at)
-                cut = np.searchsorted(pair, np.arange(len(block) + 1) << bits)
-                pair = (pair & ((1 << bits) - 1)).astype(np.int32)
-                examples += [(pair[a:b].copy(), y) for a, b, y in zip(cut[:-1].tolist(), cut[1:].tolist(), part.column(2).to_pylist(), strict=True)]
+                at, doc = occurrences(*features(block, bits), bits)
+                cut = np.searchsorted(doc, np.arange(len(block) + 1))
+                at = at.astype(np.int32)
+                examples += [(at[a:b].copy(), y) for a, b, y in zip(cut[:-1].tolist(), cut[1:].tolist(), part.column(2).to_pylist(), strict=True)]
         places, values, bias = fit_rows(examples, params, bits)
         yield pa.RecordBatch.from_pydict({"place": pa.array(np.append(places, -1), pa.int64()), "weight": pa.array(np.append(values, bias))})
 
