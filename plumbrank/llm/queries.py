@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import binary, fingerprint, fmindex, jaccard, langid, tokens, toxicity
+from . import binary, fingerprint, fmindex, jaccard, langid, licences, mixing, secrets, tokens, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -24,10 +24,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_query(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_query(read_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.decontamination_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences_query(read_table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(read_table(spark, sf_dir, "documents"))
 
@@ -40,11 +48,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_query(read_table(spark, sf_dir, "documents"))
+
+
 def op10_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.binary_query(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprint, op2_token_counts, op4_decontamination, op6_language, op7_jaccard_join, op8_toxicity, op10_binary)
+    f.__name__: f for f in (op1_fingerprint, op2_token_counts, op3_secrets, op4_decontamination, op5_licences, op6_language, op7_jaccard_join, op8_toxicity, op9_mixing, op10_binary)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.oracle_sql(), "op5_licences": licences.oracle_sql(), "op9_mixing": mixing.oracle_sql()}
