@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path, shuffle_partitions
 from . import text as tx
-from .tokens import cut_before_space, encoder
+from .tokens import cut_tiles, encoder
 
 MAGIC = b"PLMBIDX1"
 #: Slots for each key on a level of the hash: sparser levels end sooner.
@@ -177,7 +177,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, key: s
     files = f"{out_dir}/shards"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard = encoder(tokenizer_path, cut_before_space, False), TaskContext.get().partitionId()
+        enc, shard = encoder(tokenizer_path, cut_tiles, False), TaskContext.get().partitionId()
         width = enc.width if end_id is None or end_id < 1 << 8 * enc.width.itemsize else np.dtype("<u4")
         out, name = None, f"{shard:06d}-{uuid.uuid4().hex}.ids"
         for batch in batches:

@@ -9,6 +9,7 @@ bounded memory keeps what a worker has encoded before.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,34 +20,60 @@ from pyspark.sql import types as T
 
 from . import text as tx
 
-#: Pieces that a worker remembers before it starts afresh: a bound on its memory.
-REMEMBERED = 600_000
+#: Pieces in a generation of a worker's memory, of which there are two: a bound on it.
+REMEMBERED = 400_000
 #: Bytes of text in one call of the library.
 CALL_BYTES = 256 << 10
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[0x30:0x3A] = _ALNUM[0x41:0x5B] = _ALNUM[0x61:0x7B] = True
+_MARK = ~_ALNUM
+_MARK[:0x21] = _MARK[0x7F:] = False
 
-def cut_words(texts: tx.Texts) -> tx.Spans:
-    """Pieces without white space, for tokenizers that drop it."""
-    return tx.spans(texts, tx.NOT_SPACE)
 
+def marks(special: list[str]) -> np.ndarray:
+    """ASCII punctuation before which a word may be cut off: all but what follows a letter or digit within a special token."""
+    table = _MARK.copy()
+    for x in special:
+        raw = np.frombuffer(x.encode(), np.uint8)
+        table[raw[1:][_ALNUM[raw[:-1]]]] = False
+    return table
 
-def cut_before_space(texts: tx.Texts) -> tx.Spans:
-    """Pieces that tile the text, cut before each space that follows a non-space.
 
-    Byte-level tokenizers let a token hold at most leading white space, so none
-    reaches over such a cut, and no look-around of theirs looks back over it.
+def _before_marks(data: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(_ALNUM[data[:-1]] & mark[data[1:]]) + 1
+
+
+def cut_words(texts: tx.Texts, mark: np.ndarray) -> tx.Spans:
+    """Pieces without white space, for tokenizers that drop it and keep punctuation apart from words."""
+    at = tx.spans(texts, tx.NOT_SPACE)
+    inner = np.setdiff1d(_before_marks(texts.data, mark), texts.offsets)
+    starts, ends = np.union1d(at.starts, inner), np.union1d(at.ends, inner)
+    return tx.Spans(starts, ends, np.searchsorted(starts, texts.offsets))
+
+
+def cut_tiles(texts: tx.Texts, mark: np.ndarray) -> tx.Spans:
+    """Pieces that tile the text, for byte-level tokenizers that keep words, figures, punctuation and space apart.
+
+    Cut before white space that follows something else, after a single line break,
+    and before punctuation behind a letter or figure. A token holds at most
+    leading white space, and no look-around of theirs looks back over such a cut.
     """
     data, space = texts.data, ~tx.NOT_SPACE[texts.data]
-    cut = data == 0x20
+    cut = space.copy()
     cut[1:] &= ~space[:-1]
     # Not after Unicode white space either: U+0085, U+00A0, or one of three bytes.
     cut[2:] &= ~((data[:-2] == 0xC2) & np.isin(data[1:-1], (0x85, 0xA0)))
     cut[3:] &= ~(np.isin(data[:-3], (0xE1, 0xE2, 0xE3)) & (data[1:-2] >= 0x80) & (data[2:-1] >= 0x80))
     cut[:1] = False
-    inner = texts.offsets[:-1][np.diff(texts.offsets) > 0]
-    cut[inner] = True
+    lines = np.flatnonzero(cut & (data == 0x0A))
+    lines = lines[(lines + 1 < len(data)) & ~np.isin(lines, texts.offsets)]
+    lines = lines[(data[lines + 1] < 0x80) & ~space[lines + 1]]
+    cut[lines + 1] = True
+    cut[_before_marks(data, mark)] = True
+    cut[texts.offsets[:-1][np.diff(texts.offsets) > 0]] = True
     starts = np.flatnonzero(cut)
-    ends = np.append(starts[1:], len(texts.data)) if len(starts) else starts
+    ends = np.append(starts[1:], len(data)) if len(starts) else starts
     return tx.Spans(starts, ends, np.searchsorted(starts, texts.offsets))
 
 
@@ -60,36 +87,37 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut, self.lengths_only, self.known = cut, lengths_only, {}
+        self.cut, self.lengths_only, self.known, self.older = cut, lengths_only, {}, {}
+        self.mark = marks([x.content for x in self.tokenizer.get_added_tokens_decoder().values()])
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
-    def _learn(self, texts: tx.Texts, hashes: list[int], starts: np.ndarray, ends: np.ndarray) -> None:
-        """Encode pieces in calls of about equally many bytes."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        raw = texts.data.tobytes()
-        call = (np.cumsum(ends - starts) // CALL_BYTES).tolist()
-        begin, at = 0, list(zip(hashes, starts.tolist(), ends.tolist(), strict=True))
-        for i in range(1, len(at) + 1):
-            if i < len(at) and call[i] == call[begin]:
-                continue
-            part = at[begin:i]
-            found = self.tokenizer.encode_batch_fast([raw[s:e].decode("utf-8") for _, s, e in part], add_special_tokens=False)
-            for (h, _, _), x in zip(part, found, strict=True):
-                self.known[h] = len(x) if self.lengths_only else np.array(x.ids, self.width).tobytes()
-            begin = i
+    def _learn(self, texts: tx.Texts, starts: np.ndarray, ends: np.ndarray) -> Iterator[int | bytes]:
+        """What the library makes of new pieces, in calls of about equally many bytes."""
+        raw, code = texts.data.tobytes(), "H" if self.width.itemsize == 2 else "I"
+        call = np.cumsum(ends - starts) // CALL_BYTES
+        for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(call)) + 1):
+            pieces = [raw[s:e].decode("utf-8") for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+            found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+            yield from map(len, found) if self.lengths_only else (array(code, x.ids).tobytes() for x in found)
 
     def pieces(self, texts: tx.Texts) -> tuple[tx.Spans, list, np.ndarray]:
         """The pieces, what is known of each distinct one, and which one each piece is."""
-        at = self.cut(texts)
+        at = self.cut(texts, self.mark)
         hashes, one, which = np.unique(tx.span_hashes(texts.data, at.starts, at.ends), return_index=True, return_inverse=True)
         keys = hashes.tolist()
-        new = np.array([i for i, h in enumerate(keys) if h not in self.known], np.int64)
-        if len(self.known) + len(new) > REMEMBERED:
-            new = np.arange(len(keys))
-        if len(new):
-            self._learn(texts, [keys[i] for i in new.tolist()], at.starts[one[new]], at.ends[one[new]])
-        return at, [self.known[h] for h in keys], which
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        values, new = list(map(self.known.get, keys)), []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            values[i] = self.older.get(keys[i])
+            if values[i] is None:
+                new.append(i)
+            else:
+                self.known[keys[i]] = values[i]
+        fresh = one[np.array(new, np.int64)]
+        for i, v in zip(new, self._learn(texts, at.starts[fresh], at.ends[fresh]), strict=True):
+            values[i] = self.known[keys[i]] = v
+        return at, values, which
 
     def counts(self, texts: tx.Texts) -> np.ndarray:
         at, known, which = self.pieces(texts)
