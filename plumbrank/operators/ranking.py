@@ -34,7 +34,7 @@ def rank_scores(run: DataFrame) -> DataFrame:
     return run.withColumn("rank_score", (n - F.col("rank") + 1).cast("double"))
 
 
-def relevant(grade: Column = F.col("relevance")) -> Column:
+def relevant(grade: str = "relevance") -> Column:
     """Unjudged counts as not relevant."""
     return F.coalesce(grade, F.lit(0)) > 0
 
