@@ -8,11 +8,12 @@ least a threshold. The join is exact and never lists the pairs of a group:
    share at least l. Only those first shingles are exchanged, packed into blobs by
    hash range, to learn which occur in another set; a set with too few of them has
    no link and is done. Most documents end here.
-3. The remaining classes that share a shingle of their prefixes, directly or over
-   others, form a bundle: no link leads out of one.
+3. Of the remaining classes, those that share a shingle of their prefixes (in the
+   global order, rare shingles first), directly or over others, form a bundle: no
+   link leads out of one.
 4. A task holds a bundle (a large one goes over tasks in pairs of blocks) as a
    radix tree of its globally ordered sets, frequent shingles first. Each set walks
-   down the tree: what sets have in common is compared once, subtrees whose
+   down to the sets that share a rare shingle with it: what sets have in common is compared once, subtrees whose
    remaining lengths cannot reach the threshold are cut, and so are those that are
    already in the set's own component.
 """
@@ -34,6 +35,8 @@ from .components import connected_components
 
 #: Sets in one task at most; a larger bundle is dealt out in pairs of blocks.
 BLOCK_SETS = 4000
+#: Sets whose shingles are sorted and sent together.
+BATCH_SETS = 2000
 
 
 def needed(n: np.ndarray | int, percent: int):
@@ -154,6 +157,73 @@ def _supported(rows: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("block").applyInArrow(add_up, "key binary").distinct()
 
 
+_SHARE = "part int, block long, tokens binary, counts binary, keys binary, sizes binary"
+
+
+def _prefixes(whole: DataFrame, percent: int) -> DataFrame:
+    """(key, token): the prefix of each set in the global order, rare shingles first, equal ones by hash.
+
+    Sets that link share a shingle of these prefixes. Frequencies are counted as in
+    `_supported`: a block sends each of its shingles once, with its count, to the
+    shingle's hash range, and gets the sums back in the same order.
+    """
+    bits = max(4, (2 * shuffle_partitions(whole.sparkSession) - 1).bit_length())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_SETS):
+                part = batch.slice(at, BATCH_SETS)
+                flat = b"".join(part.column(1).to_pylist())
+                token, count = np.unique(np.frombuffer(flat, "<u8"), return_counts=True)
+                cut = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+                low, count = (token >> np.uint64(32 - bits)).astype("<u4"), count.astype("<u4")
+                sizes = np.array([len(x) // 8 for x in part.column(1).to_pylist()], "<i4")
+                none = [None] * (1 << bits)
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array([*range(1 << bits), (block + 7) % (1 << bits) | 1 << bits], pa.int32()),
+                    "block": pa.array([block] * ((1 << bits) + 1), pa.int64()),
+                    "tokens": pa.array([*(low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)), flat], pa.binary()),
+                    "counts": pa.array([*(count[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)), None], pa.binary()),
+                    "keys": pa.array([*none, b"".join(part.column(0).to_pylist())], pa.binary()),
+                    "sizes": pa.array([*none, sizes.tobytes()], pa.binary()),
+                })
+                block += 1
+
+    def meet(table: pa.Table) -> pa.Table:
+        """In a hash range: each block's shingles with their sums over all blocks, in the block's order."""
+        heads = table.filter(pc.is_valid(table["keys"]))
+        table = table.filter(pc.is_null(table["keys"]))
+        tokens = [np.frombuffer(x, "<u4") for x in table["tokens"].to_pylist()]
+        if not tokens:
+            return heads
+        _, which = np.unique(np.concatenate(tokens), return_inverse=True)
+        total = np.bincount(which, weights=np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])).astype("<u4")[which]
+        ends = np.cumsum([len(x) for x in tokens])
+        sums = pa.array([x.tobytes() for x in np.split(total, ends[:-1])], pa.binary())
+        nothing = pa.nulls(len(tokens), pa.binary())
+        found = pa.Table.from_arrays([table["part"], table["block"], nothing, sums, nothing, nothing], names=table.schema.names)
+        return pa.concat_tables([heads, found.cast(heads.schema)])
+
+    def order(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("part").to_pylist()
+        head = next(r for r in rows if r["keys"] is not None)
+        flat, sizes = np.frombuffer(head["tokens"], "<u8"), np.frombuffer(head["sizes"], "<i4")
+        frequency = np.frombuffer(b"".join(r["counts"] for r in rows if r["keys"] is None), "<u4")
+        _, which = np.unique(flat, return_inverse=True)
+        keys, tokens, at = [], [], 0
+        for i, n in enumerate(sizes.tolist()):
+            x, f = flat[at : at + n], frequency[which[at : at + n]]
+            first = x[np.lexsort((x, f))[: n - needed(n, percent) + 1]]
+            keys += [head["keys"][16 * i : 16 * i + 16]] * len(first)
+            tokens.append(first)
+            at += n
+        return pa.table({"key": pa.array(keys, pa.binary()), "token": pa.array(np.concatenate(tokens).view("<i8"))})
+
+    met = whole.select("key", "tokens").mapInArrow(pack, _SHARE).groupBy("part").applyInArrow(meet, _SHARE)
+    return met.groupBy("block").applyInArrow(order, "key binary, token long")
+
+
 class PrefixTree:
     """A radix tree over ascending token sequences; node arrays, children as lists."""
 
@@ -186,6 +256,11 @@ class PrefixTree:
                 self.ends[leaf] = i
                 path.append(leaf)
             last = x
+        self.node_of = {i: node for node, i in enumerate(self.ends) if i >= 0}
+        self.above = [-1] * len(self.depth)
+        for node, below in enumerate(self.children):
+            for c in below:
+                self.above[c] = node
         self.label = list(self.ends)  # a set of the node's component where all below are in one, else -1
         for node in self.bottom_up():
             sizes = [self.least[c] for c in self.children[node]] + [self.most[c] for c in self.children[node]]
@@ -235,16 +310,45 @@ def links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
             i = parent[i]
         return i
 
+    # Sets that link share one of their rarest shingles: only these are walked to.
+    rare = [x[needed(len(x), percent) - 1 :].tolist() for x in ordered]
+    holders: dict[int, list[int]] = {}
+    for i, x in enumerate(rare):
+        for t in x:
+            holders.setdefault(t, []).append(i)
+    whole = {}  # a set of the component that all holders of a shingle are in
+
+    def partners(i: int) -> set[int]:
+        """Sets of other components that share a rare shingle with set i."""
+        own, out = find(i), set()
+        for t in rare[i]:
+            if t in whole and find(whole[t]) == own:
+                continue
+            roots = {j: find(j) for j in holders[t]}
+            if len(set(roots.values())) == 1:
+                whole[t] = i
+            out.update(j for j, r in roots.items() if r != own)
+        return out
+
     mine, out = np.zeros(len(count), bool), []
     walkers = range(len(sets)) if side is None else np.flatnonzero(side == 0).tolist()
     for i in walkers:
+        near = partners(i)
+        if not near:
+            continue
+        paths = set()
+        for j in near:
+            node = tree.node_of[j]
+            while node >= 0 and node not in paths:
+                paths.add(node)
+                node = tree.above[node]
         x, n = ordered[i], len(ordered[i])
         mine[x] = True
         stack, visited = [(0, 0)], []
         while stack:
             node, overlap = stack.pop()
             label = tree.label[node]
-            if label >= 0 and find(label) == find(i):
+            if node not in paths or (label >= 0 and find(label) == find(i)):
                 continue
             tokens = tree.tokens[node]
             if len(tokens):
@@ -308,13 +412,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, limit
     whole = _sets(texts, words, percent, whole=True).join(reps, "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "tokens")
     whole = materialise(whole, "whole-sets")
 
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            heads = [np.frombuffer(t, "<u8")[: n - needed(n, percent) + 1].view("<i8") for n, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            if heads:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0).to_pylist(), object), [len(x) for x in heads]), pa.binary()), pa.array(np.concatenate(heads))], names=["key", "token"])
-
-    postings = materialise(whole.mapInArrow(prefix, "key binary, token long"), "postings")
+    postings = materialise(_prefixes(whole, percent), "postings")
     least = postings.groupBy("token").agg(F.min("key").alias("m"), F.max("key").alias("x")).filter("m <> x").select("token", "m")
     near = connected_components(postings.join(least, "token").select(F.col("key").alias("a"), F.col("m").alias("b")).distinct())
     bundle = near.select(F.col("node").alias("key"), F.col("component").alias("bundle"))
