@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from . import text as tx
 
 WINDOW = 13
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SAMPLE = 4
 #: Benchmark text in one broadcast. A larger benchmark goes over the documents in as many passes.
 BENCHMARK_BYTES = 32 << 20

@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes hashed at once: there are several numbers of eight bytes for each.
+HASH_BYTES = 512 << 10
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -101,6 +103,7 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         lo, hi = texts.offsets[at], texts.offsets[to]
         yield batch.slice(at, to - at), Texts(texts.data[lo:hi], texts.offsets[at : to + 1] - lo)
         at = to
+    pa.default_memory_pool().release_unused()  # a reused worker keeps no more than it needs
 
 
 @dataclass
@@ -135,6 +138,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each of the disjoint, ascending, non-empty spans, by content."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if ends[-1] - starts[0] > HASH_BYTES and len(starts) > 1:
+        cuts = np.unique(np.searchsorted(starts, np.arange(starts[0], ends[-1], HASH_BYTES)))
+        parts = zip(cuts, [*cuts[1:], len(starts)], strict=True)
+        return np.concatenate([_span_hashes(data[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]) for a, b in parts if a < b])
+    return _span_hashes(data[starts[0] : ends[-1]], starts - starts[0], ends - starts[0])
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     length = ends - starts
     place = _places(int(length.max()))
     mark = np.zeros(len(data), np.int32)

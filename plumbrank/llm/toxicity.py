@@ -22,7 +22,7 @@ from . import text as tx
 
 BITS = 20
 #: Labelled documents that a fit sees at most, chosen by a hash of their ids.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 12_000
 EPOCHS = 3
 #: Leading bytes of a word that make a stem.
 STEMS = (6, 7)
@@ -133,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
             for part, block in tx.blocks(batch, "_t"):
                 at, doc = occurrences(*features(block, bits), bits)
                 cut = np.searchsorted(doc, np.arange(len(block) + 1))
-                at = at.astype(np.int32)
-                examples += [(at[a:b].copy(), y) for a, b, y in zip(cut[:-1].tolist(), cut[1:].tolist(), part.column(2).to_pylist(), strict=True)]
+                at = at.astype(np.int32)  # one array for a block, of which examples are views: memory that goes back as a whole
+                examples += [(at[a:b], y) for a, b, y in zip(cut[:-1].tolist(), cut[1:].tolist(), part.column(2).to_pylist(), strict=True)]
         places, values, bias = fit_rows(examples, params, bits)
         yield pa.RecordBatch.from_pydict({"place": pa.array(np.append(places, -1), pa.int64()), "weight": pa.array(np.append(values, bias))})
 
