@@ -54,7 +54,7 @@ def rake(cells: DataFrame, margins: list[str], rounds: int = ROUNDS) -> DataFram
     fitted = cells.withColumn("weight", F.col("tokens") / total)
     for i in range(rounds):
         for m in margins:
-            fitted = fitted.withColumn("weight", F.col("weight") * F.col(f"target_{m}") / F.sum("weight").over(Window.partitionBy(m)))
+            fitted = fitted.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"target_{m}"), F.sum("weight").over(Window.partitionBy(m))), F.lit(0.0)))
         if i % 4 == 3 and i + 1 < rounds:
             fitted = materialise(fitted, "raked")
     return fitted
