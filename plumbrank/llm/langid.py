@@ -24,7 +24,8 @@ from .toxicity import held_out
 DOCS_A_LANGUAGE = 256
 DICTIONARY_BYTES = 112 << 10
 LANGUAGES = 512
-LEVEL = 3
+#: Compression levels for texts of up to SHORT bytes, and for longer ones: short texts need short matches found.
+LEVELS, SHORT = (12, 7), 1024
 #: Bytes of text compressed at once. Longer texts are taken in parts, so that a text does not become its own dictionary.
 PART_BYTES = 2048
 #: A winner that saves less than this share of bytes against the second is rejected.
@@ -41,7 +42,7 @@ def normal(text: str) -> bytes:
 
 
 def fit_dictionaries(docs: DataFrame, lang: str = "lang", per_language: int = DOCS_A_LANGUAGE, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A raw-content dictionary for each language: texts of a bounded sample, at most `size` bytes in turn.
+    """A raw-content dictionary for each language, the most frequent first: texts of a bounded sample, at most `size` bytes.
 
     The sample is the `per_language` documents of each language with the least hash
     of their id that aren't held out and have letters. Ids are ranked with a limit
@@ -59,23 +60,28 @@ def fit_dictionaries(docs: DataFrame, lang: str = "lang", per_language: int = DO
         found.setdefault(row["_l"], []).append(normal(row["_t"])[:part])
         if len(found) > LANGUAGES:
             raise ValueError(f"more than {LANGUAGES} languages")
-    return {k: b" ".join(v)[-size:] for k, v in found.items() if any(v)}
+    often = {r["_l"]: r["n"] for r in rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {k: b" ".join(found[k])[-size:] for k in sorted(found, key=lambda k: (-often[k], k)) if any(found[k])}
 
 
 class Classifier:
+    """Languages in the order of the dictionaries, which is what decides between equal sizes."""
+
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.languages = sorted(dictionaries)
-        self.compressors = []
-        for name in self.languages:
-            d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.languages = list(dictionaries)
+        self.compressors = [[self._compressor(dictionaries[x], level) for x in self.languages] for level in LEVELS]
+
+    @staticmethod
+    def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(dict_data=d, level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, text: str) -> np.ndarray:
         """Compressed bytes of the whole text under each language."""
         data = normal(text)
         parts = [data[i : i + PART_BYTES] for i in range(0, len(data), PART_BYTES)]
-        return np.array([sum(len(c.compress(x)) for x in parts) for c in self.compressors], float)
+        return np.array([sum(len(c.compress(x)) for x in parts) for c in self.compressors[len(data) > SHORT]], float)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, rejected."""
@@ -92,7 +98,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """Append lang_pred, score and rejected to the columns `keep` (default: all).
 
     `und` with score 0 where the text is null or has no letters, or nothing was
-    learned. Equal sizes go to the first name. Repeated rows stay; columns named as
+    learned. Equal sizes go to the more frequent language. Repeated rows stay; columns named as
     the appended ones are replaced. The dictionaries are broadcast: at most
     `LANGUAGES` x `DICTIONARY_BYTES`.
     """
