@@ -266,3 +266,14 @@ SELECT query_id, q.text AS query, symptom, gold_rank, gold_id, md5(substr(c.text
     "duplicate_ids": "SELECT conv_id::VARCHAR AS query_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1",
     "flagship_known_item": _with(*LEFT_STEPS) + "SELECT query_id, gold_rank, CASE WHEN gold_rank IS NULL THEN 'miss' WHEN gold_rank = 1 THEN 'ok' ELSE 'rank' END AS symptom, coalesce(round(1e0 / gold_rank, 6), 0) AS rr FROM lrun_best",
 }
+
+_SELECT = "SELECT measure, n, delta, round(lo, 9)"
+_HASHED = ORACLE_SQL["significance_hashed"]
+_VERDICTS = _HASHED.replace(_SELECT, f", verdicts AS ({_SELECT}") + ")\n"
+ORACLE_SQL |= {
+    "real_differences": _VERDICTS + "SELECT measure, delta FROM verdicts WHERE is_real",
+    "verdict_counts": _VERDICTS + "SELECT count(*) FILTER (is_real) AS n_real, count(*) FILTER (NOT is_real) AS n_not_real, count(*) FILTER (delta > 0) AS n_up, count(*) FILTER (delta < 0) AS n_down FROM verdicts",
+    "demo_opener": _with(*COMPARED) + "SELECT query_id, direction, left_rank IS DISTINCT FROM 1 AND right_rank IS NOT DISTINCT FROM 1 AS became_success FROM delta WHERE direction <> 'unchanged' ORDER BY CASE WHEN direction = 'improved' AND left_rank IS DISTINCT FROM 1 AND right_rank IS NOT DISTINCT FROM 1 THEN 0 WHEN direction = 'improved' THEN 1 ELSE 2 END, query_id LIMIT 1",
+    "dataset_summary": _with(KNOWN) + "SELECT (SELECT count(*) FROM corpus) AS n_docs, count(DISTINCT query_id) AS n_judged FROM qrels",
+    "run_health": _with(*DIAGNOSED, measures("lm", "lrun", MEASURES)) + "SELECT measure, round(avg(value), 6) AS value, (SELECT count(*) FROM lev WHERE symptom <> 'ok') AS n_failing, (SELECT count(*) FROM lev) AS n_judged FROM lm GROUP BY measure",
+}

@@ -335,6 +335,36 @@ def significance_hashed(spark, sf):
     return significance.hashed_significance(*(tasks.metrics(spark, sf, x, ("nDCG@10", "RR")) for x in ("left", "right")))
 
 
+@query
+def real_differences(spark, sf):
+    return significance.real_differences(significance_hashed(spark, sf)).select("measure", "delta")
+
+
+@query
+def verdict_counts(spark, sf):
+    return significance.verdict_counts(significance_hashed(spark, sf))
+
+
+@query
+def demo_opener(spark, sf):
+    return diff.demo_opener(_deltas(spark, sf)).select("query_id", "direction", "became_success")
+
+
+@query
+def dataset_summary(spark, sf):
+    """Documents and judged queries of the known-item task."""
+    task = tasks.known_item(spark, sf)
+    return task.corpus.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(ranking.judged(task.qrels).agg(F.count(F.lit(1)).alias("n_judged")))
+
+
+@query
+def run_health(spark, sf):
+    """What `show` prints of a run: mean measures beside failing and all judged queries."""
+    evidence = tasks.diagnosis(spark, sf, "left").evidence
+    health = evidence.agg(F.count_if(F.col("symptom") != "ok").alias("n_failing"), F.count(F.lit(1)).alias("n_judged"))
+    return metrics_aggregate(spark, sf).crossJoin(health)
+
+
 # Labelling
 
 
