@@ -422,6 +422,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, limit
     # From classes to the least doc_id of a component, then out to all rows.
     least_id = member.join(reps, "key").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_class = classes.join(member.join(least_id, "component").select("key", "component_id"), "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
+    # A table of its own, so that the join's two sides are plain exchanges and a very large class of copies can be split.
+    of_class = materialise(of_class, "components")
     return rows.select("doc_id", "n", "key").join(of_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
