@@ -11,7 +11,6 @@ through the samples, and their spans merged.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -295,7 +294,3 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     clash = {f"_own_{x}": x for x in docs.columns if x in _COLUMNS}
     renamed = docs.withColumnsRenamed({v: k for k, v in clash.items()})
     return find_contamination(renamed, benchmark).filter(~F.expr(CONTAMINATED)).drop(*_COLUMNS).withColumnsRenamed(clash).select(*docs.columns)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
