@@ -3,8 +3,11 @@
 Documents fall into cells (source, language, topic). The tokens of the cells are
 raked: scaled to the target share of each source, then of each language, then of
 each topic, again and again. What a cell's tokens end with, against what they were,
-is how strongly its documents are drawn: probabilities are these ratios, scaled so
-that the expected tokens are the wanted part of the corpus as far as 1 allows.
+is how strongly its documents are drawn. No probability exceeds 1, so the fit is made
+under that bound: cells that reach it are held and the others take up what they lack,
+until the expected tokens are the wanted part of the corpus and each margin is met, or
+comes as near as its values have tokens. The SQL of `op9_mixing` cuts ratios at 1
+instead, once, after raking; that query alone does the same (`bounded=False`).
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 ROUNDS = 8
+#: Rounds of the bounded fit at most, and the part of the corpus that no cell may still move by at its end.
+BOUNDED_ROUNDS, SETTLED = 128, 1e-8
 #: Targets flatten the corpus: a margin's share is its tokens to this power, of the sum.
 FLATTEN = {"source": 0.7, "lang": 0.7, "topic": 0.5}
 #: Expected part of the tokens that is drawn.
@@ -60,17 +65,63 @@ def rake(cells: DataFrame, margins: list[str], rounds: int = ROUNDS) -> DataFram
     return fitted
 
 
+def scaled_under(df: DataFrame, weight: str, bound: str, amount: Column, by: list, ties: list[str]) -> DataFrame:
+    """Multiply `weight` by one number for each group of `by`, so that the sum of min(bound, weight) is the amount, or all are at their bound.
+
+    Rows reach their bounds in order of bound against weight. Were a row and all behind it
+    free and those before it held, a number would follow; the largest of these is the one sought.
+    """
+    group = Window.partitionBy(*by)
+    behind = group.orderBy(F.try_divide(F.col(bound), F.col(weight)).desc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    scale = F.try_divide(amount - F.sum(bound).over(group) + F.sum(bound).over(behind), F.sum(weight).over(behind))
+    return df.withColumn("_scale", scale).withColumn(weight, F.col(weight) * F.greatest(F.lit(0.0), F.coalesce(F.max("_scale").over(group), F.lit(0.0)))).drop("_scale")
+
+
+def rake_bounded(cells: DataFrame, margins: list[str], keep: float, rounds: int = BOUNDED_ROUNDS) -> DataFrame:
+    """Append `drawn`: the expected tokens of each cell, at most its tokens, fitted to the columns `target_<margin>`.
+
+    Together they are `keep` of all tokens, or as many as cells without a target of 0 have.
+    Values of a margin that have fewer tokens than their share asks are drawn whole, and
+    the others keep their proportions. Ends when a block of rounds moves no cell.
+    """
+    one = Window.partitionBy(F.lit(0))
+    free = F.lit(True)
+    for m in margins:
+        free = free & (F.col(f"target_{m}") > 0)
+    fit = cells.withColumn("_bound", F.when(free, F.col("tokens")).otherwise(0).cast("double")).withColumn("weight", F.col("_bound"))
+    fit = fit.withColumn("_all", F.sum("tokens").over(one).cast("double")).withColumn("_amount", F.least(F.lit(keep) * F.col("_all"), F.sum("_bound").over(one)))
+    for m in margins:
+        values = fit.groupBy(m).agg(F.sum("_bound").alias("_has"), F.max(f"target_{m}").alias("_share"), F.max("_amount").alias("_amount"))
+        values = scaled_under(values, "_share", "_has", F.col("_amount"), [F.lit(0)], [m])
+        fit = fit.join(values.select(m, F.least("_has", "_share").alias(f"_amount_{m}")), m)
+    drawn = F.least("_bound", "weight")
+    fit = materialise(fit, "bounds")
+    done = 0
+    while done < rounds:
+        fit = fit.withColumn("_before", drawn)
+        for _ in range(4):
+            for m in margins:
+                fit = scaled_under(fit, "weight", "_bound", F.col(f"_amount_{m}"), [m], [x for x in margins if x != m])
+        fit = materialise(fit, "raked")
+        done += 4
+        moved = fit.agg(F.max(F.abs(drawn - F.col("_before")) / F.col("_all"))).first()[0]
+        if moved is None or moved <= SETTLED:
+            break
+    return fit.withColumn("drawn", drawn).select(*cells.columns, "drawn")
+
+
 def uniform(key: Column, seed: str) -> Column:
     """A number from 0 to 1 that hangs on the key and the seed alone."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, seed: str = SEED, rounds: int = ROUNDS, columns: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, seed: str = SEED, rounds: int = ROUNDS, columns: list[str] | None = None, bounded: bool = True) -> DataFrame:
     """Append _source, _lang, _topic, tokens, probability and sampled to `columns` (default: all of docs).
 
     targets: for `source`, `lang` and `topic` a table (margin, target) of shares; one
     that is missing is flattened from the corpus; a value that a given table lacks has
-    target 0 and is never drawn. Sums over documents fold per cell before the shuffle,
+    target 0 and is never drawn. bounded: fit under the bound that no probability exceeds
+    1, until nothing moves; otherwise rake for `rounds` and cut at 1. Sums over documents fold per cell before the shuffle,
     so a hot source is a few partial rows; raking works on the cells. Few cells are
     broadcast after they have been counted; many are joined by shuffle, where a
     hot cell can be split. Null sources and languages are a value of their own, `?`; null
@@ -87,9 +138,14 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
         share = (targets or {}).get(m)
         share = flattened_targets(cell, m, FLATTEN[m]) if share is None else share.select(m, F.col("target").cast("double"))
         wide = wide.join(share.withColumnRenamed("target", f"target_{m}"), m, "left").withColumn(f"target_{m}", F.coalesce(f"target_{m}", F.lit(0.0)))
-    fitted = rake(materialise(wide, "targets"), margins, rounds)
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    chance = F.round(F.least(F.lit(1.0), F.lit(keep) * F.col("weight") * total / F.col("tokens")), 9)
+    wide = materialise(wide, "targets")
+    if bounded:
+        fitted = rake_bounded(wide, margins, keep)
+        chance = F.round(F.least(F.lit(1.0), F.col("drawn") / F.col("tokens")), 9)
+    else:
+        fitted = rake(wide, margins, rounds)
+        total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+        chance = F.round(F.least(F.lit(1.0), F.lit(keep) * F.col("weight") * total / F.col("tokens")), 9)
     chances = materialise(fitted.select(*[F.col(m).alias(f"_{m}") for m in margins], chance.alias("probability")), "chances")
     if chances.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         chances = F.broadcast(chances)
@@ -98,8 +154,8 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
     return drawn.select(*keep_columns, "_source", "_lang", "_topic", F.col("_tokens").alias("_n"), F.col("probability").alias("_probability"), F.col("sampled").alias("_sampled"))
 
 
-def mixing_query(docs: DataFrame) -> DataFrame:
-    found = mix(docs, columns=["doc_id"])
+def mixing_query(docs: DataFrame, bounded: bool = False) -> DataFrame:
+    found = mix(docs, columns=["doc_id"], bounded=bounded)
     return found.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
 
 

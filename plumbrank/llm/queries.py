@@ -52,11 +52,16 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_query(read_table(spark, sf_dir, "documents"))
 
 
+def op9_mixing_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit that the pipeline draws by; `op9_mixing` has the rows of its SQL, which cuts at 1."""
+    return mixing.mixing_query(read_table(spark, sf_dir, "documents"), bounded=True)
+
+
 def op10_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.binary_query(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprint, op2_token_counts, op3_secrets, op4_decontamination, op5_licences, op6_language, op7_jaccard_join, op8_toxicity, op9_mixing, op10_binary)
+    f.__name__: f for f in (op1_fingerprint, op2_token_counts, op3_secrets, op4_decontamination, op5_licences, op6_language, op7_jaccard_join, op8_toxicity, op9_mixing, op9_mixing_bounded, op10_binary)
 }
 ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.oracle_sql(), "op5_licences": licences.oracle_sql(), "op9_mixing": mixing.oracle_sql()}

@@ -125,6 +125,33 @@ def test_given_targets_and_empty(spark, odd):
         assert f(odd.limit(0)).count() == 0
 
 
+def drawn_shares(found, margin):
+    got = found.groupBy(margin).agg(F.sum(F.col("_n") * F.col("_probability")).alias("x"), F.sum("_n").alias("n"), F.sum(F.when(F.col("_sampled"), F.col("_n")).otherwise(0)).alias("s"), F.sum(F.col("_n") * F.col("_n") * F.col("_probability") * (1 - F.col("_probability"))).alias("var")).collect()
+    return {r[0]: (r.x, r.n, r.s, r.var**0.5) for r in got}
+
+
+@pytest.mark.parametrize("keep", [0.5, 0.05])
+def test_drawn_rows_meet_margins_under_the_bound(spark, keep):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = mixing.mix(docs, keep=keep).cache()
+    assert found.filter("_probability > 1").count() == 0
+    for m, power in mixing.FLATTEN.items():
+        got = drawn_shares(found, f"_{m}")
+        total = sum(n for _, n, _, _ in got.values())
+        want = {v: n**power for v, (_, n, _, _) in got.items()}
+        # Values that cannot give their share are drawn whole, the others share the rest in proportion.
+        left, short = keep * total, set()
+        while more := {v for v in want.keys() - short if want[v] * left / sum(want[x] for x in want.keys() - short) > got[v][1]}:
+            short |= more
+            left = keep * total - sum(got[v][1] for v in short)
+        for v, (x, n, s, deviation) in got.items():
+            fair = n if v in short else want[v] * left / sum(want[y] for y in want.keys() - short)
+            assert x == pytest.approx(fair, abs=total * 1e-6)
+            assert abs(s - x) <= 4 * deviation + 1
+        assert bool(short) == (keep == 0.5 and m == "topic")
+    assert sum(x for x, _, _, _ in drawn_shares(found, "_lang").values()) == pytest.approx(keep * total, rel=1e-6)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns = docs.columns
