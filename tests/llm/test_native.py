@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -107,6 +108,62 @@ def test_licences(spark, odd):
     assert [r.licences for r in found] == [["BSD-2-Clause"], [], []] and found[2].sentences == ["bsd-source"] and found[0].duties == ["permissive"]
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+NAME = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+GPL = """This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."""
+#: A text for each rule, as its licence has it.
+HEADERS = [
+    ("MIT", MIT),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("BSD-3-Clause", BSD.format(NAME)),
+    ("BSD-2-Clause", BSD.format("")),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("GPL-3.0", GPL.format(":", ",", 3)),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", GPL.format(";", ";", 2)),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
+
+
+def licences_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.sentences, r.licences) for r in licences.scan_licences(df).orderBy("doc_id").collect()]
+
+
+@pytest.mark.parametrize("width", [None, 78])
+def test_each_rule_fires_on_its_licence(spark, width):
+    wrapped = lambda t: t if width is None else "\n\n".join(textwrap.fill(p, width) for p in t.split("\n\n"))
+    assert [name for name, _ in HEADERS] == [name for name, _, _ in licences.RULES]
+    found = licences_of(spark, [wrapped(t) for _, t in HEADERS])
+    assert [x for _, x in found] == [[name] for name, _ in HEADERS]
+    for (sentences, _), (_, _, rule) in zip(found, licences.RULES):
+        assert ",".join(rule) in ",".join(sentences)
+    assert licences_of(spark, [GPL.split("\n\n")[1].split("  ")[0]]) == [(["gpl-hope"], [])]
+
+
 def test_raking_meets_margins(spark):
     cells = [(s, lang, t, 10 * (i + 1)) for i, (s, lang, t) in enumerate((s, g, t) for s in "ab" for g in "xy" for t in "pq")]
     df = spark.createDataFrame([(*c, {"a": 0.3, "b": 0.7}[c[0]], {"x": 0.5, "y": 0.5}[c[1]], {"p": 0.9, "q": 0.1}[c[2]]) for c in cells], "source string, lang string, topic string, tokens long, target_source double, target_lang double, target_topic double")
