@@ -70,7 +70,7 @@ RULES: list[tuple[str, str, tuple[str, ...]]] = [
 
 #: A sentence ends at punctuation before white space, or at the end of a line.
 END = r"[.!?;:]+[\s]+|[.!?;:]+$|[\r\n]+"
-#: The same for texts whose lines are wrapped: a line's end is white space.
+#: The SQL's second reading, for texts whose lines are wrapped: a line's end is white space.
 WRAPPED_END = r"[.!?;:]+[\s]+|[.!?;:]+$"
 OTHER = r"[^\p{L}\p{N}]+"
 #: The SQL's prefilter of sentences; it misses `gpl-hope`.
@@ -79,15 +79,15 @@ HINT = "licen|permission|redistribut|software|rights|copyright"
 MARK = "Z"
 #: A text with a known sentence has one of these words, the longest of each; others are not read at all.
 WORDS = "|".join(sorted({max(s.split(), key=len) for s in SENTENCES.values()}))
-#: Ends of sentences that may stand within a known one ("v. 2.0", "free software: you").
+#: Ends that may stand within a known sentence: those of its wrapped lines, and its own ("v. 2.0", "free software: you").
 WITHIN = f"(?:{MARK} )*+"
 
 
-def _known(text: Column, end: str, within: str) -> Column:
+def _known(text: Column) -> Column:
     """Identifiers of the known sentences that stand from one end to another, in order, longer ones first."""
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable((s, k) for k, s in SENTENCES.items())])
-    sentences = "|".join(s.replace(" ", f" {within}") for s in sorted(SENTENCES.values(), key=len, reverse=True))
-    marked = F.regexp_replace(F.concat(F.lit(f"{MARK} "), F.regexp_replace(F.lower(text), end, f" {MARK} "), F.lit(f" {MARK}")), OTHER, " ")
+    sentences = "|".join(s.replace(" ", f" {WITHIN}") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    marked = F.regexp_replace(F.concat(F.lit(f"{MARK} "), F.regexp_replace(F.lower(text), END, f" {MARK} "), F.lit(f" {MARK}")), OTHER, " ")
     found = F.regexp_extract_all(marked, F.lit(f"(?<={MARK} )(?:{sentences})(?= {MARK})"), F.lit(0))
     return F.transform(found, lambda s: F.element_at(table, F.regexp_replace(s, f" (?:{MARK} )+", " ")))
 
@@ -95,9 +95,10 @@ def _known(text: Column, end: str, within: str) -> Column:
 def scan_licences(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append `sentences` (known identifiers in order), `licences` and `duties` to the columns `keep` (default: all).
 
-    Lines are sentences of their own, and wrapped lines are joined as well: what only
-    the joined reading knows is appended in its order. There a known sentence may hold
-    the ends that its licence's text has, which the SQL cuts at. A rule holds where its
+    Lines are sentences of their own, and a known sentence may go on over line ends and
+    hold the ends that its licence's text has, so one reading finds all in the order of
+    the text, at any width of lines. The SQL cuts at ends, and appends what only lines
+    joined together give behind what single lines give. A rule holds where its
     sentences stand side by side in that sequence; licences come in order of the rules,
     once each. There is no shuffle and no Python on the executors. Null and empty texts
     have empty arrays; repeated rows stay; columns named as the appended ones are replaced.
@@ -106,8 +107,7 @@ def scan_licences(docs: DataFrame, text: str = "text", keep: list[str] | None =
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
     likely = F.lower(t).rlike(WORDS)
-    rows = docs.select(*kept, F.when(likely, _known(t, END, "")).otherwise(none).alias("_lines"), F.when(likely, _known(t, WRAPPED_END, WITHIN)).otherwise(none).alias("_joined"))
-    rows = rows.withColumn("sentences", F.concat("_lines", F.filter("_joined", lambda x: ~F.array_contains("_lines", x))))
+    rows = docs.select(*kept, F.when(likely, _known(t)).otherwise(none).alias("sentences"))
     chain_ = F.concat(F.lit(","), F.array_join("sentences", ","), F.lit(","))
     matched = lambda what: F.array_distinct(F.filter(F.array(*[F.when(chain_.contains("," + ",".join(rule) + ","), F.lit(what(name, duty))) for name, duty, rule in RULES]), lambda x: x.isNotNull()))
     return rows.select(*kept, "sentences", matched(lambda name, _: name).alias("licences"), matched(lambda _, duty: duty).alias("duties"))

@@ -164,6 +164,14 @@ def test_each_rule_fires_on_its_licence(spark, width):
     assert licences_of(spark, [GPL.split("\n\n")[1].split("  ")[0]]) == [(["gpl-hope"], [])]
 
 
+def test_licences_at_any_width(spark):
+    long = [(name, t) for name, t in HEADERS if len(t) > 130]
+    texts = ["Copyright (c) 2020 A B\n\n" + "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n")) for w in (20, 40, 60, 72, 78, 100, 130, 160, 200, 400) for _, t in long]
+    found = licences_of(spark, texts)
+    assert [x for _, x in found] == [[name] for name, _ in long] * 10
+    assert all(s == found[i % len(long)][0] for i, (s, _) in enumerate(found))
+
+
 def test_raking_meets_margins(spark):
     cells = [(s, lang, t, 10 * (i + 1)) for i, (s, lang, t) in enumerate((s, g, t) for s in "ab" for g in "xy" for t in "pq")]
     df = spark.createDataFrame([(*c, {"a": 0.3, "b": 0.7}[c[0]], {"x": 0.5, "y": 0.5}[c[1]], {"p": 0.9, "q": 0.1}[c[2]]) for c in cells], "source string, lang string, topic string, tokens long, target_source double, target_lang double, target_topic double")
