@@ -48,9 +48,9 @@ def passage(spark: SparkSession, sf_dir: str) -> Task:
     docs = corpus(spark, sf_dir)
     items = read_table(spark, sf_dir, "benchmark").filter("length(text) > 0").select(F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("query_id"), "text")
     # A document holds an item's text only if it has the item's second run of letters as a whole word
-    # (the first may be cut by what stands before): an equi-join, then the exact test.
+    # (the first may be cut by what stands before, the last by what stands behind): an equi-join, then the exact test.
     letters = lambda t: F.regexp_extract_all(t, F.lit(r"[\p{L}]+"), F.lit(0))
-    by_word = items.select("query_id", F.col("text").alias("_item"), F.get(letters(F.col("text")), F.lit(1)).alias("_w"))
+    by_word = items.select("query_id", F.col("text").alias("_item"), F.when(F.size(letters(F.col("text"))) > 2, F.get(letters(F.col("text")), F.lit(1))).alias("_w"))
     found = docs.select("doc_id", F.explode(F.array_distinct(letters(F.col("text")))).alias("_w")).join(by_word.select("_w", "query_id", "_item").filter("_w is not null"), "_w")
     hits = found.join(docs, "doc_id").filter(F.col("text").contains(F.col("_item")))
     short = by_word.filter("_w is null")  # too few words for that: tested against all documents, in one broadcast block

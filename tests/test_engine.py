@@ -12,7 +12,7 @@ from plumbrank import cli
 from plumbrank.functions import scoring, text
 from plumbrank.functions.stemmer import stem
 from plumbrank.operators import chunk, diagnose, diff, evaluate, index, labelling, ranking, rerank, retrieve, significance
-from plumbrank.plans import compare, config, manifest, pipeline, trust
+from plumbrank.plans import compare, config, manifest, pipeline, tasks, trust
 from plumbrank.sources import dataset, fingerprint, run_io, store, workspace
 
 CORPUS = [("gold", "rotate the production token every week"), ("near", "rotate logs every night and every week"), ("far", "the kitchen has a new oven")]
@@ -459,3 +459,12 @@ def test_index_statistics(spark, corpus):
     ix = index.TermIndex.build(corpus, "doc_id", None, None, True, text.TERM, keep=False)
     assert {r.term: r.df for r in ix.frequency.collect()}["rotate"] == 2
     assert index.smoothed_idf(corpus).filter("term = 'oven'").first().idf == pytest.approx(math.log(4 / 2) + 1)
+
+
+def test_passage_labels_of_short_items(spark, tmp_path):
+    texts = {1: "a foo bar here", 2: "foo ba", 3: "xfoo ba-r", 4: "one two threefold", 5: "one twofold three", 6: "nothing"}
+    items = {1: "foo ba", 2: "one two three", 3: "foo", 4: "ba"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.query_id, r.doc_id) for r in tasks.passage(spark, str(tmp_path)).qrels.collect()}
+    assert got == {(f"b-{i}", str(d)) for i, item in items.items() for d, t in texts.items() if item in t}
