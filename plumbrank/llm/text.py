@@ -2,8 +2,9 @@
 
 An Arrow string column already is one buffer of UTF-8 bytes plus offsets. The
 operators of this subpackage work on that buffer with numpy, in blocks of a few
-megabytes: no Python object is made for a word, and peak memory follows the
-block size, not the table.
+megabytes that are sliced off a batch before anything is made of them: no Python
+object is made for a word, and peak memory follows the block size, or the longest
+text where that is larger, a few bytes for each of its own.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
 #: Bytes hashed at once: there are several numbers of eight bytes for each.
 HASH_BYTES = 512 << 10
+#: A longer span is hashed in pieces of this size, whose hashes are folded.
+LONG_SPAN = 64 << 10
 
 _GOLDEN = 0x9E3779B97F4A7C15
 
@@ -89,19 +94,21 @@ class Texts:
 
     def code_points(self) -> np.ndarray:
         """Code points of each text."""
-        lead = np.zeros(len(self.data) + 1, np.int64)
-        np.cumsum((self.data & 0xC0) != 0x80, out=lead[1:])
-        return lead[self.offsets[1:]] - lead[self.offsets[:-1]]
+        out, some = np.zeros(len(self), np.int64), np.flatnonzero(np.diff(self.offsets))
+        if len(some):
+            out[some] = np.add.reduceat((self.data & 0xC0) != 0x80, self.offsets[some], dtype=np.int64)
+        return out
 
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """The batch in slices of about `limit` bytes of text; a longer text makes its own slice."""
-    texts = Texts.of(batch.column(batch.schema.get_field_index(column)))
+    texts = batch.column(batch.schema.get_field_index(column))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at, n = 0, len(texts)
     while at < n:
-        to = max(at + 1, int(np.searchsorted(texts.offsets, texts.offsets[at] + limit, side="right")) - 1)
-        lo, hi = texts.offsets[at], texts.offsets[to]
-        yield batch.slice(at, to - at), Texts(texts.data[lo:hi], texts.offsets[at : to + 1] - lo)
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, to - at), Texts.of(texts.slice(at, to - at))
         at = to
     pa.default_memory_pool().release_unused()  # a reused worker keeps no more than it needs
 
@@ -138,6 +145,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each of the disjoint, ascending, non-empty spans, by content."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    long = np.flatnonzero(ends - starts > LONG_SPAN)
+    if len(long):
+        out, rest = np.empty(len(starts), np.uint64), np.delete(np.arange(len(starts)), long)
+        out[rest] = span_hashes(data, starts[rest], ends[rest])
+        for i in long.tolist():
+            cuts = np.append(np.arange(starts[i], ends[i], LONG_SPAN), ends[i])
+            folded = np.zeros(1, np.uint64)
+            for piece in span_hashes(data, cuts[:-1], cuts[1:]):
+                folded = mix64(folded * np.uint64(_GOLDEN) + piece)
+            out[i] = folded[0]
+        return out
     if ends[-1] - starts[0] > HASH_BYTES and len(starts) > 1:
         cuts = np.unique(np.searchsorted(starts, np.arange(starts[0], ends[-1], HASH_BYTES)))
         parts = zip(cuts, [*cuts[1:], len(starts)], strict=True)
@@ -202,6 +220,11 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1])
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """`text`, the named columns, and all of the table's own in one, `own`: none of a plan's columns clashes with them."""
+    return docs.select("text", *names, F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("own"))
+
+
 def with_columns(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
     """The batch with columns added, or replaced where a name is taken."""
     names = [x for x in batch.schema.names if x not in columns]
