@@ -5,17 +5,19 @@ least a threshold. The join is exact and never lists the pairs of a group:
 
 1. Each text becomes its sorted shingle hashes. Equal sets are one class.
 2. Support filter. In hash order, the first (1 - t) n + l shingles of linked sets
-   share at least l. Only those first shingles are exchanged, packed into blobs by
-   hash range, to learn which occur in another set; a set with too few of them has
-   no link and is done. Most documents end here.
-3. Of the remaining classes, those that share a shingle of their prefixes (in the
-   global order, rare shingles first), directly or over others, form a bundle: no
-   link leads out of one.
-4. A task holds a bundle (a large one goes over tasks in pairs of blocks) as a
-   radix tree of its globally ordered sets, frequent shingles first. Each set walks
-   down to the sets that share a rare shingle with it: what sets have in common is compared once, subtrees whose
-   remaining lengths cannot reach the threshold are cut, and so are those that are
-   already in the set's own component.
+   share at least l. Only those first shingles are exchanged, as rows, and read in
+   their sorted order as a stream, to learn which occur in another set; a set with
+   too few of them has no link and is done. Most documents end here.
+3. The remaining sets count their shingles, by partial aggregation. Of those that occur
+   in another set, each set has a prefix in the global order, rare shingles first; linked
+   sets share a shingle of their prefixes. Sets that share one, directly or over others,
+   form a bundle, and no link leads out of one. A bundle that is too large for a task is
+   dealt in pairs of blocks, or by shingle where that sends fewer sets.
+4. A task holds a bundle (or a pair of blocks) as a radix tree of its globally ordered
+   sets, frequent shingles first. Each set walks down to the sets that share a rare shingle
+   with it: what sets have in common is compared once, subtrees whose remaining lengths
+   cannot reach the threshold are cut, and so are those that are already in the set's own
+   component.
 """
 
 from __future__ import annotations
@@ -24,19 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise, shuffle_partitions
+from ..session import discard, materialise, shuffle_partitions
 from . import text as tx
 from .components import connected_components
 
-#: Sets in one task at most; a larger bundle is dealt out in pairs of blocks.
-BLOCK_SETS = 4000
-#: Sets whose shingles are sorted and sent together.
-BATCH_SETS = 2000
+#: Sets in a block at most, and bytes of their shingles on average; a larger bundle is dealt out.
+BLOCK_SETS, BLOCK_BYTES = 4000, 8 << 20
+#: Blocks of a bundle only to spread it more evenly, at most: each of them is a copy of the bundle.
+EVEN_BLOCKS = 4
+#: Candidates whose ids are broadcast to fetch their texts, at most; more of them meet the texts in a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def needed(n: np.ndarray | int, percent: int):
@@ -65,163 +68,114 @@ def shingle_sets(texts: tx.Texts, words: int) -> list[np.ndarray]:
     return tx.distinct_by_text(*tx.shingles(tx.span_hashes(texts.data, at.starts, at.ends), at.first, words))
 
 
-def _sets(docs: DataFrame, words: int, percent: int, whole: bool) -> DataFrame:
-    """(doc_id, n, key, tokens): tokens are the exchanged prefix, or the whole set."""
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+
+
+def _rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, n, key, short, tokens) of each document: the set's size, name, 63 bits of the name, and exchanged prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in tx.blocks(batch, "text"):
                 found = shingle_sets(texts, words)
-                tokens = [(x if whole else x[: support(len(x), percent)[0]]).astype("<u8").tobytes() for x in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([class_key(x) for x in found], pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "n", "key", "tokens"])
+                keys = [class_key(x) for x in found]
+                short = [int.from_bytes(k[:8], "little") >> 1 for k in keys]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(keys, pa.binary()), pa.array(short, pa.int64()), _lists([x[: support(len(x), percent)[0]] for x in found])], names=["doc_id", "n", "key", "short", "tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, short long, tokens array<long>")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, tokens binary")
+def _keys(texts: DataFrame, words: int, whole: bool) -> DataFrame:
+    """The rows with the name of their text's set in place of the text; with `whole`, only those of a class that `key` names, with the set."""
+    names = [x for x in texts.columns if x not in ("text", "key")]
+    schema = ", ".join([f"`{x}` {texts.schema[x].dataType.simpleString()}" for x in names] + ["tokens array<long>" if whole else "text string, key binary"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, block in tx.blocks(batch, "text"):
+                found = shingle_sets(block, words)
+                keys = [class_key(x) for x in found]
+                if not whole:
+                    yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), part.column("text"), pa.array(keys, pa.binary())], names=[*names, "text", "key"])
+                    continue
+                own = [i for i, (k, want) in enumerate(zip(keys, part.column("key").to_pylist(), strict=True)) if k == want]
+                kept = part.take(pa.array(own, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(kept.column(x) for x in names), _lists([found[i] for i in own])], names=[*names, "tokens"])
 
-_BLOB = "part int, block long, tokens binary, owners binary, keys binary, need binary, count binary"
+    return texts.select(*names, "text", *(["key"] if whole else [])).mapInArrow(run, schema)
 
 
 def _supported(rows: DataFrame, percent: int) -> DataFrame:
-    """Keys of the sets that may have a link: enough shingles of their prefix occur in another set.
-
-    The prefixes of a batch are sorted together and cut by hash range. A shingle
-    goes out once for a batch, whatever the number of sets that have it, so a very
-    frequent one is as many entries as there are batches. 32 bits below the range's
-    own speak for a shingle; a clash of them keeps a set too many, never one too few.
+    """(short) of classes that may have a link: enough shingles of their prefix occur in another class.
+
+    A shingle goes out once for a batch of sets, whatever the number of them that have
+    it (then for no class by name), so a very frequent one is as many rows as there are
+    batches. What a batch knows of its classes by itself goes along as a row of its own.
+    Shingles arrive sorted and pass by as a stream: a task's memory hangs neither on the
+    number of partitions nor on any shingle. A class in several batches may count a shingle
+    twice, and two whose 63 bits clash count as one: that keeps a set too many. Only if such
+    two shared shingles would they not be told apart: with 10^10 classes a chance of 1 in 10^9.
     """
-    bits = max(4, (2 * shuffle_partitions(rows.sparkSession) - 1).bit_length())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            by_key = dict(zip(batch.column(1).to_pylist(), zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True))
-            by_key.pop(b"", None)
-            if not by_key:
-                continue
-            heads = [np.frombuffer(t, "<u8") for _, t in by_key.values()]
-            need = support(np.array([n for n, _ in by_key.values()], np.int64), percent)[1]
-            token, owner = np.concatenate(heads), np.repeat(np.arange(len(heads)), [len(x) for x in heads])
+            once = {k: i for i, k in reversed(list(enumerate(batch.column("key").to_pylist())))}  # of equal sets the first speaks
+            batch = batch.take(pa.array(sorted(once.values()), pa.int64()))
+            name, n = batch.column("short").to_numpy(), batch.column("n").to_numpy()
+            tokens = batch.column("tokens")
+            token, owner = tokens.flatten().to_numpy(), np.repeat(np.arange(len(name)), tokens.value_lengths().to_numpy())
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
             fresh = np.append(True, token[1:] != token[:-1])
             first = np.flatnonzero(fresh)
             many = np.diff(np.append(first, len(token))) > 1
-            inside = many[np.cumsum(fresh) - 1]
-            count = np.bincount(owner[inside], minlength=len(heads))
-            token, owner = token[first], np.where(many, -1, owner[first]).astype("<i4")
-            none = [None] * (1 << bits)
-            cut = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-            low = (token >> np.uint64(32 - bits)).astype("<u4")
+            count = np.bincount(owner[many[np.cumsum(fresh) - 1]], minlength=len(name))
             yield pa.RecordBatch.from_pydict({
-                "part": pa.array([*range(1 << bits), (block + 7) % (1 << bits) | 1 << bits], pa.int32()),
-                "block": pa.array([block] * ((1 << bits) + 1), pa.int64()),
-                "tokens": pa.array([*(low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)), None], pa.binary()),
-                "owners": pa.array([*(owner[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)), None], pa.binary()),
-                "keys": pa.array([*none, b"".join(by_key)], pa.binary()),
-                "need": pa.array([*none, need.astype("<i4").tobytes()], pa.binary()),
-                "count": pa.array([*none, count.astype("<i4").tobytes()], pa.binary()),
+                "token": pa.array(np.concatenate([token[first], tx.mix64(name.view(np.uint64)).view(np.int64)])),
+                "short": pa.array(np.concatenate([np.where(many, -1, name[owner[first]]), name])),
+                "own": pa.array(np.concatenate([np.zeros(len(first), np.int64), count << 32 | support(n, percent)[1]])),
             })
-            block += 1
-
-    def meet(table: pa.Table) -> pa.Table:
-        """In a hash range: of each block, the sets whose shingles another block has too."""
-        heads = table.filter(pc.is_valid(table["keys"])).select(["block", "keys", "need", "count"])
-        table = table.filter(pc.is_null(table["keys"]))
-        parts = [(b, np.frombuffer(t, "<u4"), np.frombuffer(o, "<i4")) for b, t, o in zip(table["block"].to_pylist(), table["tokens"].to_pylist(), table["owners"].to_pylist(), strict=True) if t]
-        out = []
-        if parts:
-            token, owner = np.concatenate([t for _, t, _ in parts]), np.concatenate([o for _, _, o in parts])
-            order = np.argsort(token, kind="stable")
-            same = token[order][1:] == token[order][:-1]
-            shared = np.zeros(len(token), bool)
-            shared[order[1:][same]] = shared[order[:-1][same]] = True
-            at = 0
-            for block, tokens, owners in parts:
-                hit = owners[shared[at : at + len(tokens)] & (owners >= 0)]
-                at += len(tokens)
-                if len(hit):
-                    out.append((block, hit.astype("<i4").tobytes()))
-        found = pa.table({"block": pa.array([b for b, _ in out], pa.int64()), "keys": pa.nulls(len(out), pa.binary()), "need": pa.nulls(len(out), pa.binary()), "count": pa.array([x for _, x in out], pa.binary())})
-        return pa.concat_tables([heads.cast(found.schema), found])
-
-    def add_up(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["keys"] is not None)
-        count, need = np.frombuffer(head["count"], "<i4").astype(np.int64), np.frombuffer(head["need"], "<i4")
-        for r in rows:
-            if r["keys"] is None:
-                count += np.bincount(np.frombuffer(r["count"], "<i4"), minlength=len(count))
-        return pa.table({"key": pa.array([head["keys"][16 * i : 16 * i + 16] for i in np.flatnonzero(count >= need).tolist()], pa.binary())})
-
-    met = rows.select("n", "key", "tokens").mapInArrow(pack, _BLOB).groupBy("part").applyInArrow(meet, "block long, keys binary, need binary, count binary")
-    return met.groupBy("block").applyInArrow(add_up, "key binary").distinct()
-
-
-_SHARE = "part int, block long, tokens binary, counts binary, keys binary, sizes binary"
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # of the last shingle: itself, the last class that has it, whether it is shared, whether that class was not told so
+        for batch in batches:
+            token, name, own = (batch.column(i).to_numpy() for i in range(3))
+            head = own > 0
+            names, counts, needs = [name[head]], [own[head] >> 32], [own[head] & 0xFFFFFFFF]
+            token, name = token[~head], name[~head]
+            if len(token):
+                if last is not None:
+                    token, name = np.append(last[0], token), np.append(last[1], name)
+                start = np.append(True, token[1:] != token[:-1])
+                first = np.flatnonzero(start)
+                shared = (name[first] != name[np.append(first[1:], len(token)) - 1]) | (name[first] < 0)
+                shared[0] |= last is not None and last[2]
+                told = (start | np.append(True, name[1:] != name[:-1])) & shared[np.cumsum(start) - 1] & (name >= 0)
+                told[0] &= last is None or last[3]
+                last = token[-1], name[-1], bool(shared[-1]), not shared[-1]
+                names.append(name[told])
+                counts.append(np.ones(len(names[1]), np.int64))
+                needs.append(np.zeros(len(names[1]), np.int64))
+            yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v)) for k, v in (("short", names), ("count", counts), ("need", needs))})
+
+    sent = rows.select("short", "n", "key", "tokens").mapInArrow(pack, "token long, short long, own long")
+    met = sent.repartition(shuffle_partitions(rows.sparkSession), "token").sortWithinPartitions("token", "short").mapInArrow(meet, "short long, count long, need long")
+    return met.groupBy("short").agg(F.sum("count").alias("count"), F.max("need").alias("need")).filter("count >= need").select("short")
 
 
 def _prefixes(whole: DataFrame, percent: int) -> DataFrame:
-    """(key, token): the prefix of each set in the global order, rare shingles first, equal ones by hash.
+    """(set, token): the prefix of each set in the global order, rare shingles first, equal ones by hash.
 
-    Sets that link share a shingle of these prefixes. Frequencies are counted as in
-    `_supported`: a block sends each of its shingles once, with its count, to the
-    shingle's hash range, and gets the sums back in the same order.
+    Sets that link share a shingle of these prefixes. Only shingles of two sets or more
+    are ordered: a set that has too few of them for a link is left out.
     """
-    bits = max(4, (2 * shuffle_partitions(whole.sparkSession) - 1).bit_length())
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_SETS):
-                part = batch.slice(at, BATCH_SETS)
-                flat = b"".join(part.column(1).to_pylist())
-                token, count = np.unique(np.frombuffer(flat, "<u8"), return_counts=True)
-                cut = np.searchsorted(token >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-                low, count = (token >> np.uint64(32 - bits)).astype("<u4"), count.astype("<u4")
-                sizes = np.array([len(x) // 8 for x in part.column(1).to_pylist()], "<i4")
-                none = [None] * (1 << bits)
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([*range(1 << bits), (block + 7) % (1 << bits) | 1 << bits], pa.int32()),
-                    "block": pa.array([block] * ((1 << bits) + 1), pa.int64()),
-                    "tokens": pa.array([*(low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)), flat], pa.binary()),
-                    "counts": pa.array([*(count[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)), None], pa.binary()),
-                    "keys": pa.array([*none, b"".join(part.column(0).to_pylist())], pa.binary()),
-                    "sizes": pa.array([*none, sizes.tobytes()], pa.binary()),
-                })
-                block += 1
-
-    def meet(table: pa.Table) -> pa.Table:
-        """In a hash range: each block's shingles with their sums over all blocks, in the block's order."""
-        heads = table.filter(pc.is_valid(table["keys"]))
-        table = table.filter(pc.is_null(table["keys"]))
-        tokens = [np.frombuffer(x, "<u4") for x in table["tokens"].to_pylist()]
-        if not tokens:
-            return heads
-        _, which = np.unique(np.concatenate(tokens), return_inverse=True)
-        total = np.bincount(which, weights=np.concatenate([np.frombuffer(x, "<u4") for x in table["counts"].to_pylist()])).astype("<u4")[which]
-        ends = np.cumsum([len(x) for x in tokens])
-        sums = pa.array([x.tobytes() for x in np.split(total, ends[:-1])], pa.binary())
-        nothing = pa.nulls(len(tokens), pa.binary())
-        found = pa.Table.from_arrays([table["part"], table["block"], nothing, sums, nothing, nothing], names=table.schema.names)
-        return pa.concat_tables([heads, found.cast(heads.schema)])
-
-    def order(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("part").to_pylist()
-        head = next(r for r in rows if r["keys"] is not None)
-        flat, sizes = np.frombuffer(head["tokens"], "<u8"), np.frombuffer(head["sizes"], "<i4")
-        frequency = np.frombuffer(b"".join(r["counts"] for r in rows if r["keys"] is None), "<u4")
-        _, which = np.unique(flat, return_inverse=True)
-        keys, tokens, at = [], [], 0
-        for i, n in enumerate(sizes.tolist()):
-            x, f = flat[at : at + n], frequency[which[at : at + n]]
-            first = x[np.lexsort((x, f))[: n - needed(n, percent) + 1]]
-            keys += [head["keys"][16 * i : 16 * i + 16]] * len(first)
-            tokens.append(first)
-            at += n
-        return pa.table({"key": pa.array(keys, pa.binary()), "token": pa.array(np.concatenate(tokens).view("<i8"))})
-
-    met = whole.select("key", "tokens").mapInArrow(pack, _SHARE).groupBy("part").applyInArrow(meet, _SHARE)
-    return met.groupBy("block").applyInArrow(order, "key binary, token long")
+    every = whole.select("set", "n", F.explode("tokens").alias("token"))
+    often = materialise(every.groupBy("token").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "frequencies")
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    ordered = every.join(often, "token").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("o"))
+    return ordered.filter(F.size("o") >= least).select("set", F.explode(F.slice("o", F.lit(1), F.size("o") - least + 1)["token"]).alias("token"))
 
 
 class PrefixTree:
@@ -377,21 +331,97 @@ def links(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
     return out
 
 
-def _joined(bundles: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Edges (a, b) between keys: a spanning forest of each bundle's links. bundles: key, tokens, bundle, members."""
-    blocks = F.ceil(F.col("members") / F.lit(limit)).cast("int")
-    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+def _blocks(sets: Column, size: Column, total: int, tasks: int, limit: int) -> Column:
+    """Blocks of a bundle: no block passes the bounds, and up to `EVEN_BLOCKS` its pairs are as many as its share of all tasks."""
+    share = F.sqrt(2.0 * tasks * size / F.lit(float(max(total, 1))))
+    return F.ceil(F.greatest(sets / limit, size / BLOCK_BYTES, F.least(share, F.lit(float(EVEN_BLOCKS))))).cast("int")
+
+
+def _bundles(postings: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """(set, kind, bundle, blocks): each pair of sets that share a shingle of their prefixes meets in a bundle.
+
+    Bundles are closed under sharing. One that has more blocks than its sets have
+    prefix shingles to be dealt by (of shingles that the same sets hold, one) goes by shingle.
+    """
+    tasks = shuffle_partitions(postings.sparkSession)
+    least = materialise(postings.groupBy("token").agg(F.min("set").alias("m"), F.max("set").alias("x")).filter("m <> x").select("token", "m"), "least")
+    near = connected_components(postings.join(least, "token").select(F.col("set").alias("a"), F.col("m").alias("b")).distinct())
+    member = materialise(near.select(F.col("node").alias("set"), F.col("component").alias("bundle")).join(sizes, "set"), "members")
+    size = member.groupBy("bundle").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("size"))
+    total = size.agg(F.sum("size")).first()[0] or 0
+    size = materialise(size.withColumn("blocks", _blocks(F.col("sets"), F.col("size"), total, tasks, limit)), "bundles")
+    closed = size
+    by_shingle = None
+    if size.filter("blocks > 1").limit(1).count():
+        wide = postings.join(member.join(size.filter("blocks > 1").select("bundle"), "bundle"), "set")
+        held = wide.groupBy("bundle", "token").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("set")).alias("x"), F.bit_xor(F.xxhash64("set", F.lit(1))).alias("y"))
+        chosen = held.filter("sets > 1").groupBy("bundle", "sets", "size", "x", "y").agg(F.min("token").alias("token"))
+        chosen = materialise(chosen.withColumn("blocks", _blocks(F.col("sets"), F.col("size"), total, tasks, limit)).select("bundle", "token", "sets", "blocks"), "shingles")
+        cost = chosen.groupBy("bundle").agg(F.sum(F.col("sets") * F.col("blocks")).alias("cost"))
+        dealt = materialise(size.join(cost, "bundle").filter("cost < sets * blocks").select("bundle"), "dealt")
+        closed = size.join(dealt, "bundle", "left_anti")
+        by_shingle = postings.join(chosen.join(dealt, "bundle").select("token", "blocks"), "token").select("set", F.lit(1).alias("kind"), F.col("token").alias("bundle"), "blocks")
+    whole = member.select("set", "bundle").join(closed.select("bundle", "blocks"), "bundle").select("set", F.lit(0).alias("kind"), "bundle", "blocks")
+    return whole if by_shingle is None else whole.unionByName(by_shingle)
+
+
+def _joined(bundles: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between sets: a spanning forest of each bundle's links. bundles: set, tokens, kind, bundle, blocks."""
+    blocks, own = F.col("blocks"), F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     seats = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), own.alias("own")))
-    dealt = bundles.select("bundle", "key", "tokens", F.explode(seats).alias("seat")).select("bundle", "key", "tokens", "seat.*")
+    dealt = bundles.select("kind", "bundle", "set", "tokens", F.explode(seats).alias("seat")).select("kind", "bundle", "set", "tokens", "seat.*")
 
     def join(table: pa.Table) -> pa.Table:
-        keys, own = table["key"].to_pylist(), np.array(table["own"].to_pylist(), np.int64)
-        sets = [np.frombuffer(x, "<u8") for x in table["tokens"].to_pylist()]
+        names, own = table["set"].to_numpy(), table["own"].to_numpy()
+        tokens = table["tokens"].combine_chunks()
+        ends = np.cumsum(tokens.value_lengths().to_numpy())
+        sets = np.split(tokens.flatten().to_numpy(), ends[:-1])
         two = table["i"][0].as_py() != table["j"][0].as_py()
-        found = links(sets, percent, (own != own[0]).astype(int) if two else None)
-        return pa.table({"a": pa.array([keys[i] for i, _ in found], pa.binary()), "b": pa.array([keys[j] for _, j in found], pa.binary())})
+        found = np.array(links(sets, percent, (own != own[0]).astype(int) if two else None), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(names[found[:, 0]]), "b": pa.array(names[found[:, 1]])})
+
+    return dealt.groupBy("kind", "bundle", "i", "j").applyInArrow(join, "a long, b long")
+
+
+def _components(docs: DataFrame, words: int, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, key), and classes (key, rep, copies, component_id, component_key) of named, non-empty sets.
+
+    A component's id is its least doc_id, its key that of the class with it, the least of
+    several. Both are tables in the shared folder.
+    """
+    rows = materialise(_rows(docs, words, percent), "sets")
+    named = rows.filter("doc_id is not null and n > 0")
+    classes = materialise(named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("short").alias("short")), "classes")
+    reps = materialise(classes.join(_supported(named, percent), "short").select(F.monotonically_increasing_id().alias("set"), "key", "rep"), "candidates")
+
+    few = reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(reps) if few else reps, "rep").select("set", "key", "text")
+    whole = _keys(texts, words, whole=True).dropDuplicates(["set"])
+    whole = materialise(whole.select("set", F.size("tokens").cast("long").alias("n"), "tokens"), "whole-sets")
+    postings = materialise(_prefixes(whole, percent), "postings")
+    bundles = _bundles(postings, whole.select("set", (F.col("n") * 8).alias("size")), limit)
+    linked = connected_components(_joined(whole.join(bundles, "set"), percent))
 
-    return dealt.groupBy("bundle", "i", "j").applyInArrow(join, "a binary, b binary")
+    member = linked.select(F.col("node").alias("set"), "component").join(reps, "set")
+    least = member.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("of"))
+    found = member.join(least, "component").select("key", F.col("of.rep").alias("component_id"), F.col("of.key").alias("component_key"))
+    return rows.select("doc_id", "n", "key"), materialise(classes.join(found, "key", "left").withColumns({"component_id": F.coalesce("component_id", "rep"), "component_key": F.coalesce("component_key", "key")}), "components")
+
+
+def _with_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The columns of rows, component_id and component_key; rows without a class are their own component.
+
+    A class with more rows than a quarter of a task's fair share may be a hot key. There are at
+    most four times as many of them as partitions, so they are broadcast.
+    """
+    fair = (classes.agg(F.sum("copies")).first()[0] or 0) // (4 * shuffle_partitions(rows.sparkSession))
+    found = classes.select("key", "copies", "component_id", "component_key")
+    large = F.broadcast(found.filter(F.col("copies") > fair).drop("copies"))
+    named = rows.filter("doc_id is not null and n > 0")
+    alone = rows.filter("doc_id is null or n = 0").withColumns({"component_id": F.col("doc_id"), "component_key": F.col("key")})
+    hot = named.join(large, "key").select(*rows.columns, "component_id", "component_key")
+    rest = named.join(large.select("key"), "key", "left_anti").join(found.filter(F.col("copies") <= fair).drop("copies"), "key").select(*rows.columns, "component_id", "component_key")
+    return rest.unionByName(hot).unionByName(alone)
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, limit: int = BLOCK_SETS) -> DataFrame:
@@ -401,35 +431,27 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, limit
     lower-cased word shingles; component_id is the least doc_id that links reach. Null
     and empty texts have no shingles and are their own component; a text of fewer
     than `words` words has one shingle; repeated rows stay; a null doc_id reaches
-    nobody and has a null component. Other columns are not read.
+    nobody and has a null component. Other columns are not read. limit: sets in a block at most.
     """
-    rows = materialise(_sets(docs, words, percent, whole=False), "sets")
-    named = rows.filter("doc_id is not null and n > 0").select("doc_id", "n", "key", "tokens")
-    keep = materialise(_supported(named, percent), "supported")
-    classes = named.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(classes.join(keep, "key"), "classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    whole = _sets(texts, words, percent, whole=True).join(reps, "key", "left_semi").dropDuplicates(["key"]).select("key", "n", "tokens")
-    whole = materialise(whole, "whole-sets")
-
-    postings = materialise(_prefixes(whole, percent), "postings")
-    least = postings.groupBy("token").agg(F.min("key").alias("m"), F.max("key").alias("x")).filter("m <> x").select("token", "m")
-    near = connected_components(postings.join(least, "token").select(F.col("key").alias("a"), F.col("m").alias("b")).distinct())
-    bundle = near.select(F.col("node").alias("key"), F.col("component").alias("bundle"))
-    sizes = bundle.groupBy("bundle").agg(F.count(F.lit(1)).alias("members"))
-    linked = connected_components(_joined(whole.join(bundle.join(sizes, "bundle"), "key"), percent, limit))
-    member = linked.select(F.col("node").alias("key"), "component")
-    # From classes to the least doc_id of a component, then out to all rows.
-    least_id = member.join(reps, "key").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = classes.join(member.join(least_id, "component").select("key", "component_id"), "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    # A table of its own, so that the join's two sides are plain exchanges and a very large class of copies can be split.
-    of_class = materialise(of_class, "components")
-    return rows.select("doc_id", "n", "key").join(of_class, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    rows, classes = _components(docs, words, percent, limit)
+    return _with_components(rows, classes).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """One document of each component: that with its least doc_id. Of rows with the same id the least text stays; rows with a null id all stay."""
-    kept = jaccard_components(docs, words, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return named.withColumn("_first", first).filter("_first = 1").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each component, with the columns of docs: that with the least doc_id, of several the least set's least text.
+
+    Rows are told apart by id and set, so a text that shares its id with a removed one stays.
+    Null ids come last; null and empty texts link with nothing and all stay, repeated ones too.
+    """
+    last = F.lit((1 << 63) - 1)
+    own = F.coalesce(F.col("doc_id").cast("long"), last)
+    rows, classes = _components(docs.select(own.alias("doc_id"), "text"), words, percent, BLOCK_SETS)
+    stay = rows.filter("n = 0").select("doc_id", "key").unionByName(classes.filter("rep = component_id and key = component_key").select(F.col("rep").alias("doc_id"), "key"))
+    often = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_often"))
+    stay = materialise(stay.groupBy("doc_id").agg(F.collect_set("key").alias("_keys")).join(often, "doc_id").select(F.col("doc_id").alias("_id"), "_keys", "_often"), "staying")
+    # The caller's columns travel in one, so that none can clash with those of this plan.
+    kept = docs.select(own.alias("_id"), F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_own")).join(stay, "_id")
+    once = kept.filter("_often = 1").select("_own.*")
+    several = _keys(kept.filter("_often > 1").select("_id", "_keys", "_own", F.col("_own.text").alias("text")), words, whole=False).filter(F.array_contains("_keys", F.col("key")))
+    first = F.row_number().over(Window.partitionBy("_id", "key").orderBy("text"))
+    return once.unionByName(several.withColumn("_first", first).filter("_first = 1 or key = X''").select("_own.*"))
