@@ -6,20 +6,23 @@ each topic, again and again. What a cell's tokens end with, against what they we
 is how strongly its documents are drawn. No probability exceeds 1, so the fit is made
 under that bound: cells that reach it are held and the others take up what they lack,
 until the expected tokens are the wanted part of the corpus and each margin is met, or
-comes as near as its values have tokens. The SQL of `op9_mixing` cuts ratios at 1
-instead, once, after raking; that query alone does the same (`bounded=False`).
+comes as near as its values have tokens.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import discard, materialise
 
-ROUNDS = 8
-#: Rounds of the bounded fit at most, and the part of the corpus that no cell may still move by at its end.
-BOUNDED_ROUNDS, SETTLED = 128, 1e-8
+#: The fit ends when a round moves no cell by more than this part of the corpus, or after so
+#: many rounds, with a warning that names what still moves: margins may contradict each other.
+SETTLED, ROUNDS = 1e-8, 128
+#: Rounds between two tables.
+BLOCK = 4
 #: Targets flatten the corpus: a margin's share is its tokens to this power, of the sum.
 FLATTEN = {"source": 0.7, "lang": 0.7, "topic": 0.5}
 #: Expected part of the tokens that is drawn.
@@ -29,10 +32,16 @@ SEED = "mix-1"
 BROADCAST_CELLS = 100_000
 
 
-def topic(text: Column) -> Column:
-    """A coarse topic of a text's form: tabular, shouting, symbols, short, or prose."""
+def form(text: Column) -> Column:
+    """The form of a text, for tables that have no column of topics: tabular, shouting, symbols, short, or prose."""
     n = F.length(text)
-    share = lambda chars: n - F.length(F.translate(text, chars, ""))
+
+    def share(chars: str) -> Column:
+        left = text
+        for c in chars:
+            left = F.replace(left, F.lit(c), F.lit(""))
+        return F.octet_length(text) - F.octet_length(left)  # of ASCII characters
+
     return (
         F.when(n < 400, "short")
         .when(share("|") * 40 >= n, "tabular")
@@ -43,26 +52,14 @@ def topic(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Token weight: a token for each four code points, one at least."""
+    """Token weight of a text that has not been counted: a token for each four code points, one at least."""
     return F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4)).cast("long")
 
 
 def flattened_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """Share of each value of a margin: its tokens to a power, of the sum of these."""
     own = cells.groupBy(margin).agg(F.sum("tokens").alias("_t"))
-    return own.select(F.col(margin), F.pow(F.col("_t").cast("double"), F.lit(power)).alias("_p")).withColumn("target", F.col("_p") / F.sum("_p").over(Window.partitionBy(F.lit(0)))).drop("_p")
-
-
-def rake(cells: DataFrame, margins: list[str], rounds: int = ROUNDS) -> DataFrame:
-    """Append `weight`: the cells' tokens as shares, fitted in turn to the columns `target_<margin>`, `rounds` times."""
-    total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-    fitted = cells.withColumn("weight", F.col("tokens") / total)
-    for i in range(rounds):
-        for m in margins:
-            fitted = fitted.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"target_{m}"), F.sum("weight").over(Window.partitionBy(m))), F.lit(0.0)))
-        if i % 4 == 3 and i + 1 < rounds:
-            fitted = materialise(fitted, "raked")
-    return fitted
+    return own.select(F.col(margin), F.pow(F.col("_t").cast("double"), F.lit(power)).alias("_p")).withColumn("target", F.coalesce(F.try_divide("_p", F.sum("_p").over(Window.partitionBy(F.lit(0)))), F.lit(0.0))).drop("_p")
 
 
 def scaled_under(df: DataFrame, weight: str, bound: str, amount: Column, by: list, ties: list[str]) -> DataFrame:
@@ -77,12 +74,12 @@ def scaled_under(df: DataFrame, weight: str, bound: str, amount: Column, by: lis
     return df.withColumn("_scale", scale).withColumn(weight, F.col(weight) * F.greatest(F.lit(0.0), F.coalesce(F.max("_scale").over(group), F.lit(0.0)))).drop("_scale")
 
 
-def rake_bounded(cells: DataFrame, margins: list[str], keep: float, rounds: int = BOUNDED_ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, margins: list[str], keep: float, rounds: int = ROUNDS) -> DataFrame:
     """Append `drawn`: the expected tokens of each cell, at most its tokens, fitted to the columns `target_<margin>`.
 
     Together they are `keep` of all tokens, or as many as cells without a target of 0 have.
     Values of a margin that have fewer tokens than their share asks are drawn whole, and
-    the others keep their proportions. Ends when a block of rounds moves no cell.
+    the others keep their proportions. Cells of no tokens are drawn by nothing.
     """
     one = Window.partitionBy(F.lit(0))
     free = F.lit(True)
@@ -96,17 +93,19 @@ def rake_bounded(cells: DataFrame, margins: list[str], keep: float, rounds: int
         fit = fit.join(values.select(m, F.least("_has", "_share").alias(f"_amount_{m}")), m)
     drawn = F.least("_bound", "weight")
     fit = materialise(fit, "bounds")
-    done = 0
-    while done < rounds:
-        fit = fit.withColumn("_before", drawn)
-        for _ in range(4):
+    for _ in range(0, rounds, BLOCK):
+        last = fit
+        for i in range(BLOCK):
+            fit = fit.withColumn("_before", drawn) if i == BLOCK - 1 else fit
             for m in margins:
                 fit = scaled_under(fit, "weight", "_bound", F.col(f"_amount_{m}"), [m], [x for x in margins if x != m])
         fit = materialise(fit, "raked")
-        done += 4
-        moved = fit.agg(F.max(F.abs(drawn - F.col("_before")) / F.col("_all"))).first()[0]
+        discard(last)
+        moved = fit.agg(F.max(F.try_divide(F.abs(drawn - F.col("_before")), F.col("_all")))).first()[0]
         if moved is None or moved <= SETTLED:
             break
+    else:
+        warnings.warn(f"after {rounds} rounds of raking a cell still moves by {moved:.1e} of all tokens", stacklevel=2)
     return fit.withColumn("drawn", drawn).select(*cells.columns, "drawn")
 
 
@@ -115,73 +114,88 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, seed: str = SEED, rounds: int = ROUNDS, columns: list[str] | None = None, bounded: bool = True) -> DataFrame:
-    """Append _source, _lang, _topic, tokens, probability and sampled to `columns` (default: all of docs).
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, seed: str = SEED, topic: Column | None = None, weight: Column | None = None, columns: list[str] | None = None) -> DataFrame:
+    """The documents' columns `columns` (default: all) as the struct `own`, with source, lang, topic, tokens, probability and sampled.
 
-    targets: for `source`, `lang` and `topic` a table (margin, target) of shares; one
+    topic: a column of topics, such as a classifier's labels; without one, the text's form.
+    weight: a column of token counts, such as operator 2's; without one, a quarter of the code
+    points. targets: for `source`, `lang` and `topic` a table (margin, target) of shares; one
     that is missing is flattened from the corpus; a value that a given table lacks has
-    target 0 and is never drawn. bounded: fit under the bound that no probability exceeds
-    1, until nothing moves; otherwise rake for `rounds` and cut at 1. Sums over documents fold per cell before the shuffle,
+    target 0 and is never drawn. Sums over documents fold per cell before the shuffle,
     so a hot source is a few partial rows; raking works on the cells. Few cells are
     broadcast after they have been counted; many are joined by shuffle, where a
-    hot cell can be split. Null sources and languages are a value of their own, `?`; null
-    and empty texts weigh one token; repeated rows share their fate; an empty table stays empty.
+    hot cell can be split. Null sources, languages and topics are a value of their own, `?`;
+    null and empty texts weigh one token; repeated rows share their fate; an empty table
+    stays empty; columns of any name come back as they were.
     """
-    keep_columns = docs.columns if columns is None else columns
-    t = F.coalesce(F.col("text"), F.lit(""))
-    added = {"_source": F.coalesce(F.col("source"), F.lit("?")), "_lang": F.coalesce(F.col("lang"), F.lit("?")), "_topic": topic(t), "_tokens": tokens(t)}
-    cell = docs.select(*[v.alias(k[1:]) for k, v in added.items()]).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
-    cell = materialise(cell, "cells")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    topic, weight = form(text) if topic is None else topic.cast("string"), tokens(text) if weight is None else weight.cast("long")
     margins = ["source", "lang", "topic"]
+    own = F.struct(*[F.col(f"`{x}`") for x in (docs.columns if columns is None else columns)])
+    rows = docs.select(own.alias("own"), F.col("doc_id").alias("key"), *[F.coalesce(x, F.lit("?")).alias(m) for m, x in zip(margins, (F.col("source"), F.col("lang"), topic), strict=True)], F.greatest(F.lit(0), F.coalesce(weight, F.lit(0))).alias("tokens"))
+    cell = materialise(rows.groupBy(*margins).agg(F.sum("tokens").alias("tokens")), "cells")
     wide = cell
     for m in margins:
         share = (targets or {}).get(m)
         share = flattened_targets(cell, m, FLATTEN[m]) if share is None else share.select(m, F.col("target").cast("double"))
         wide = wide.join(share.withColumnRenamed("target", f"target_{m}"), m, "left").withColumn(f"target_{m}", F.coalesce(f"target_{m}", F.lit(0.0)))
-    wide = materialise(wide, "targets")
-    if bounded:
-        fitted = rake_bounded(wide, margins, keep)
-        chance = F.round(F.least(F.lit(1.0), F.col("drawn") / F.col("tokens")), 9)
-    else:
-        fitted = rake(wide, margins, rounds)
-        total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
-        chance = F.round(F.least(F.lit(1.0), F.lit(keep) * F.col("weight") * total / F.col("tokens")), 9)
-    chances = materialise(fitted.select(*[F.col(m).alias(f"_{m}") for m in margins], chance.alias("probability")), "chances")
+    fitted = rake(materialise(wide, "targets"), margins, keep)
+    chances = materialise(fitted.select(*margins, F.round(F.least(F.lit(1.0), F.coalesce(F.try_divide("drawn", "tokens"), F.lit(0.0))), 9).alias("probability")), "chances")
     if chances.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         chances = F.broadcast(chances)
-    rows = docs.select(*keep_columns, *[v.alias(k) for k, v in added.items()], F.col("doc_id").alias("_key"))
-    drawn = rows.join(chances, ["_source", "_lang", "_topic"]).withColumn("sampled", uniform(F.col("_key"), seed) < F.col("probability"))
-    return drawn.select(*keep_columns, "_source", "_lang", "_topic", F.col("_tokens").alias("_n"), F.col("probability").alias("_probability"), F.col("sampled").alias("_sampled"))
+    drawn = rows.join(chances, margins).withColumn("sampled", uniform(F.col("key"), seed) < F.col("probability"))
+    return drawn.select("own", *margins, "tokens", "probability", "sampled")
 
 
-def mixing_query(docs: DataFrame, bounded: bool = False) -> DataFrame:
-    found = mix(docs, columns=["doc_id"], bounded=bounded)
-    return found.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"), F.col("_probability").alias("probability"), F.col("_sampled").alias("sampled"))
+def mixing_query(docs: DataFrame) -> DataFrame:
+    """Cell, token weight, probability and draw of every row; the cases are those of `mix`."""
+    found = mix(docs, columns=["doc_id"])
+    return found.select("own.doc_id", "source", "lang", "topic", F.col("tokens").alias("n_tokens"), "probability", "sampled")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are drawn, with their own columns."""
-    return mix(docs, **options).filter("_sampled").select(*docs.columns)
+    """The documents that are drawn, with their own columns, whatever these are named."""
+    return mix(docs, **options).filter("sampled").select("own.*")
 
 
-def oracle_sql(rounds: int = ROUNDS) -> str:
+def oracle_sql() -> str:
+    """The query in DuckDB's SQL: the fit is a recursion over steps, one margin a step, until a block of rounds has settled."""
     share = lambda c: f"length(t) - length(translate(t, '{c}', ''))"
+    margins = list(FLATTEN)
     parts = [f"""
-WITH rows AS (SELECT doc_id, coalesce(source, '?') AS source, coalesce(lang, '?') AS lang, coalesce(text, '') AS t FROM documents),
+WITH RECURSIVE rows AS (SELECT doc_id, coalesce(source, '?') AS source, coalesce(lang, '?') AS lang, coalesce(text, '') AS t FROM documents),
 typed AS (SELECT doc_id, source, lang, greatest(1, (length(t) + 3) // 4)::BIGINT AS tokens,
   CASE WHEN length(t) < 400 THEN 'short' WHEN ({share('|')}) * 40 >= length(t) THEN 'tabular' WHEN ({share('!')}) * 20 >= length(t) THEN 'shouting'
        WHEN ({share('#$%&*')}) * 20 >= length(t) THEN 'symbols' ELSE 'prose' END AS topic FROM rows),
-cell AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM typed GROUP BY ALL)"""]
+cell AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS bound, sum(sum(tokens)) OVER ()::DOUBLE AS everything FROM typed GROUP BY ALL)"""]
     for m, power in FLATTEN.items():
-        parts.append(f"p_{m} AS (SELECT {m}, pow(sum(tokens), {power}::DOUBLE) AS p FROM cell GROUP BY {m}), s_{m} AS (SELECT {m}, p / sum(p) OVER () AS target_{m} FROM p_{m})")
-    parts.append("f0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cell JOIN s_source USING (source) JOIN s_lang USING (lang) JOIN s_topic USING (topic))")
-    step = 0
-    for _ in range(rounds):
-        for m in FLATTEN:
-            parts.append(f"f{step + 1} AS MATERIALIZED (SELECT * REPLACE (weight * target_{m} / sum(weight) OVER (PARTITION BY {m}) AS weight) FROM f{step})")
-            step += 1
-    parts.append(f"chance AS (SELECT source, lang, topic, round(least(1, {KEEP}::DOUBLE * weight * sum(tokens) OVER () / tokens), 9) AS probability FROM f{step})")
-    return ",\n".join(parts) + f"""
+        # Values reach what they have in order of that against their share; the scale is the largest that follows for some number of them.
+        parts.append(f"""
+v_{m} AS (SELECT {m}, sum(bound) AS has, pow(sum(bound), {power}::DOUBLE) AS p, {KEEP}::DOUBLE * any_value(everything) AS amount FROM cell GROUP BY {m}),
+w_{m} AS (SELECT {m}, has, amount, p / sum(p) OVER () AS part FROM v_{m}),
+x_{m} AS (SELECT *, (amount - sum(has) OVER () + sum(has) OVER b) / sum(part) OVER b AS scale FROM w_{m} WINDOW b AS (ORDER BY has / part DESC, {m} ROWS UNBOUNDED PRECEDING)),
+a_{m} AS (SELECT {m}, least(has, part * greatest(0, max(scale) OVER ())) AS amount_{m} FROM x_{m})""")
+    by = "CASE step % 3 " + " ".join(f"WHEN {i} THEN {m}" for i, m in enumerate(margins)) + " END"
+    amount = "CASE step % 3 " + " ".join(f"WHEN {i} THEN amount_{m}" for i, m in enumerate(margins)) + " END"
+    ties = ", ".join(f"CASE WHEN step % 3 <> {i} THEN {m} END" for i, m in enumerate(margins))
+    steps = 3 * BLOCK
+    return ",".join(parts) + f""",
+fit AS (
+  SELECT 0 AS step, source, lang, topic, everything, bound, bound AS weight, bound AS before, FALSE AS settled, amount_source, amount_lang, amount_topic
+  FROM cell JOIN a_source USING (source) JOIN a_lang USING (lang) JOIN a_topic USING (topic)
+  UNION ALL
+  SELECT step + 1, source, lang, topic, everything, bound, weight, before,
+    (step + 1) % {steps} = 0 AND max(abs(least(bound, weight) - before) / everything) OVER () <= {SETTLED}, amount_source, amount_lang, amount_topic
+  FROM (
+    SELECT * REPLACE (weight * greatest(0, max(scale) OVER (PARTITION BY margin)) AS weight, CASE WHEN step % {steps} = {steps - 3} THEN least(bound, weight) ELSE before END AS before)
+    FROM (
+      SELECT *, {by} AS margin, ({amount} - sum(bound) OVER (PARTITION BY {by}) + sum(bound) OVER b) / sum(weight) OVER b AS scale
+      FROM fit WHERE NOT settled AND step < {3 * ROUNDS}
+      WINDOW b AS (PARTITION BY {by} ORDER BY bound / weight DESC, {ties} ROWS UNBOUNDED PRECEDING)
+    )
+  )
+),
+chance AS (SELECT source, lang, topic, round(least(1, least(bound, weight) / bound), 9) AS probability FROM fit WHERE settled OR step = {3 * ROUNDS})
 SELECT doc_id, source, lang, topic, tokens AS n_tokens, probability,
   ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 < probability AS sampled
 FROM typed JOIN chance USING (source, lang, topic)
