@@ -6,27 +6,32 @@ neighbours that no test window has, ends a run, and only runs as long as the
 shortest window can hold an occurrence. Over the runs stand a suffix array by
 prefix doubling, its Burrows-Wheeler transform in a wavelet matrix, and sampled
 suffix positions. All windows are searched backward at once, occurrences located
-through the samples, and their spans merged.
+through the samples, and their spans merged. The windows lie in the shared folder, in
+blocks; a task holds one block at a time, and the driver holds the blocks' names alone.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import fresh_path
 from . import text as tx
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
 SAMPLE = 4
-#: Benchmark text in one broadcast. A larger benchmark goes over the documents in as many passes.
-BENCHMARK_BYTES = 32 << 20
+#: Benchmark text in one block (one item at least). A larger benchmark goes over each batch of documents in as many passes.
+BENCHMARK_BYTES = 4 << 20
 #: Located rows at a time: a bound on memory where a window is very frequent.
 LOCATE_ROWS = 1 << 20
 
@@ -94,7 +99,7 @@ class FMIndex:
         lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.size)
         for back in range(1, patterns.shape[1] + 1):
             live = np.flatnonzero((lengths >= back) & (lo < hi))
-            symbol = patterns[live, lengths[live] - back]
+            symbol = patterns[live, lengths[live] - back].astype(np.int64)
             lo[live] = self.below[symbol] + self.bwt.rank(symbol, lo[live])
             hi[live] = self.below[symbol] + self.bwt.rank(symbol, hi[live])
         return lo, np.maximum(lo, hi)
@@ -124,29 +129,66 @@ class Phrases:
     lengths: np.ndarray
     item_first: np.ndarray  # items[item_first[w]:item_first[w + 1]] have window w
     items: np.ndarray
-    names: list[str]
+    names: np.ndarray  # of the items, in UTF-8
 
     @classmethod
     def of(cls, names: list[str], texts: list[str | None], window: int = WINDOW) -> Phrases:
         flat = tx.Texts.of(texts).lowered()
         at = tx.spans(flat, tx.ALNUM)
-        hashes = tx.span_hashes(flat.data, at.starts, at.ends)
-        vocabulary, symbols = np.unique(hashes, return_inverse=True)
-        symbols, has = symbols + 1, {}
-        for i, (a, b) in enumerate(zip(at.first[:-1].tolist(), at.first[1:].tolist(), strict=True)):
-            for s in range(a, max(b - window, a) + 1 if b > a else a):
-                has.setdefault(tuple(symbols[s : min(s + window, b)].tolist()), set()).add(i)
-        windows, size = list(has), len(vocabulary) + 1
-        patterns = np.zeros((len(windows), window), np.int64)
-        for row, x in zip(patterns, windows, strict=True):
-            row[: len(x)] = x
-        lengths = np.array([len(x) for x in windows], np.int64)
-        two = (patterns[:, 1:] > 0).ravel()
-        pairs = np.unique((patterns[:, :-1] * size + patterns[:, 1:]).ravel()[two])
-        named: dict[str, int] = {}
-        who = [sorted({named.setdefault(names[i], len(named)) for i in has[x]}) for x in windows]
-        first = np.concatenate([[0], np.cumsum([len(x) for x in who])]).astype(np.int64)
-        return cls(vocabulary, pairs, patterns, lengths, first, np.array([i for x in who for i in x], np.int64), list(named))
+        vocabulary, symbols = np.unique(tx.span_hashes(flat.data, at.starts, at.ends), return_inverse=True)
+        n, size = np.diff(at.first), len(vocabulary) + 1
+        count = np.where(n >= window, n - window + 1, np.minimum(n, 1))
+        starts = tx.ragged(at.first[:-1], count)
+        length = np.repeat(np.minimum(n, window), count).astype(np.int32)
+        named, who = np.unique(np.array([x.encode() for x in names], object), return_inverse=True) if names else (np.zeros(0, object), np.zeros(0, np.int64))
+        who = np.repeat(who, count)
+        padded = np.concatenate([symbols + 1, np.zeros(window, np.int64)]).astype(np.int32)
+        code = np.zeros(len(starts), np.uint64)  # equal windows have equal codes
+        for i, c in enumerate(tx.constants(window, 31)):
+            code += np.where(i < length, padded[starts + i], 0).astype(np.uint64) * c
+        order = np.lexsort((who, code))
+        starts, length, who = starts[order], length[order], who[order]
+        fresh = np.ones(len(starts), bool)
+        if len(starts):
+            fresh[1:] = length[1:] != length[:-1]
+            for i in range(window):  # windows with one code are compared word by word
+                x = np.where(i < length, padded[starts + i], 0)
+                fresh[1:] |= x[1:] != x[:-1]
+        patterns = np.zeros((int(fresh.sum()), window), np.int32)
+        lengths = length[fresh].astype(np.int64)
+        for i in range(window):
+            patterns[:, i] = np.where(i < lengths, padded[starts[fresh] + i], 0)
+        one = [np.unique(patterns[:, i].astype(np.int64)[two] * size + patterns[two, i + 1]) for i in range(window - 1) if (two := patterns[:, i + 1] > 0).any()]
+        which = np.cumsum(fresh) - 1
+        new = np.append(True, (which[1:] != which[:-1]) | (who[1:] != who[:-1]))[: len(which)]
+        first = np.searchsorted(which[new], np.arange(len(lengths) + 1))
+        return cls(vocabulary, np.unique(np.concatenate([np.zeros(0, np.int64), *one])), patterns, lengths, first, who[new].astype(np.int64), named.astype(bytes))
+
+    def save(self, path: str) -> None:
+        out, (where, name) = io.BytesIO(), fs.FileSystem.from_uri(path)
+        np.savez(out, **{x.name: getattr(self, x.name) for x in fields(self)})
+        where.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with where.open_output_stream(name) as file:
+            file.write(out.getbuffer())
+
+    @classmethod
+    def load(cls, path: str) -> Phrases:
+        where, name = fs.FileSystem.from_uri(path)
+        with where.open_input_file(name) as file:
+            return cls(**np.load(io.BytesIO(file.read())))
+
+
+class Blocks:
+    """Phrases by the names of their files; the last one that was read is kept, so a single block is read once for each worker."""
+
+    held: tuple[str, Phrases] | None = None
+
+    @classmethod
+    def get(cls, path: str) -> Phrases:
+        if cls.held is None or cls.held[0] != path:
+            cls.held = None
+            cls.held = path, Phrases.load(path)
+        return cls.held[1]
 
 
 def _member(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,38 +234,44 @@ def occurrences(words: np.ndarray, first: np.ndarray, phrases: Phrases) -> Itera
             yield origin[index.locate(rows)], which
 
 
-def _scan(texts: tx.Texts, passes: list[Phrases]) -> dict[str, list]:
-    """The operator's columns for a shard."""
-    low = texts.lowered()
-    at = tx.spans(low, tx.ALNUM)
-    words = tx.span_hashes(low.data, at.starts, at.ends)
-    delta, found = np.zeros(len(words) + 1, np.int64), []
-    names: list[str] = []
-    for phrases in passes:
-        for place, which in occurrences(words, at.first, phrases):
-            np.add.at(delta, place, 1)
-            np.add.at(delta, place + phrases.lengths[which], -1)
-            doc = np.searchsorted(at.first, place, side="right") - 1
+class Scan:
+    """The operator's columns for a shard, gathered block by block."""
+
+    def __init__(self, texts: tx.Texts):
+        self.texts = texts
+        low = texts.lowered()
+        self.at = tx.spans(low, tx.ALNUM)
+        self.words = tx.span_hashes(low.data, self.at.starts, self.at.ends)
+        self.delta = np.zeros(len(self.words) + 1, np.int32)
+        self.items: dict[int, set[str]] = {}
+
+    def add(self, phrases: Phrases) -> None:
+        first = self.at.first
+        for place, which in occurrences(self.words, first, phrases):
+            np.add.at(self.delta, place, 1)
+            np.add.at(self.delta, place + phrases.lengths[which], -1)
+            doc = np.searchsorted(first, place, side="right") - 1
             pair = np.unique(doc * len(phrases.lengths) + which)
             doc, which = pair // len(phrases.lengths), pair % len(phrases.lengths)
             count = phrases.item_first[which + 1] - phrases.item_first[which]
-            found.append(np.unique(np.stack([np.repeat(doc, count), phrases.items[tx.ragged(phrases.item_first[which], count)] + len(names)]), axis=1))
-        names += phrases.names
-    hit = np.cumsum(delta[:-1]) > 0
-    total = np.concatenate([[0], np.cumsum(hit)])
-    items: dict[int, set[str]] = {}
-    for pairs in found:
-        for d, i in pairs.T.tolist():
-            items.setdefault(d, set()).add(names[i])
-    n_hit = total[at.first[1:]] - total[at.first[:-1]]
-    spans: list[list[dict]] = [[] for _ in range(len(texts))]
-    for d in np.flatnonzero(n_hit).tolist():
-        a, b = int(at.first[d]), int(at.first[d + 1])
-        edge = np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))
-        base = int(texts.offsets[d])
-        lead = np.concatenate([[0], np.cumsum((texts.data[base : texts.offsets[d + 1]] & 0xC0) != 0x80)])
-        spans[d] = [{"start": int(lead[at.starts[a + s] - base]), "end": int(lead[at.ends[a + e - 1] - base])} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
-    return {"n_words": np.diff(at.first), "n_hit": n_hit, "items": [sorted(items.get(d, ())) for d in range(len(texts))], "spans": spans}
+            pair = np.unique(np.repeat(doc, count) * len(phrases.names) + phrases.items[tx.ragged(phrases.item_first[which], count)])
+            for d, i in zip((pair // len(phrases.names)).tolist(), (pair % len(phrases.names)).tolist(), strict=True):
+                self.items.setdefault(d, set()).add(phrases.names[i].decode())
+
+    def columns(self) -> dict[str, pa.Array]:
+        at, texts = self.at, self.texts
+        hit = np.cumsum(self.delta[:-1]) > 0
+        total = np.concatenate([[0], np.cumsum(hit)])
+        n_hit = total[at.first[1:]] - total[at.first[:-1]]
+        spans: list[list[dict]] = [[] for _ in range(len(texts))]
+        for d in np.flatnonzero(n_hit).tolist():
+            a, b = int(at.first[d]), int(at.first[d + 1])
+            edge = np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]]))
+            base = int(texts.offsets[d])
+            lead = np.concatenate([[0], np.cumsum((texts.data[base : texts.offsets[d + 1]] & 0xC0) != 0x80)])
+            spans[d] = [{"start": int(lead[at.starts[a + s] - base]), "end": int(lead[at.ends[a + e - 1] - base])} for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True)]
+        items = [sorted(self.items.get(d, ())) for d in range(len(texts))]
+        return {"n_words": pa.array(np.diff(at.first), pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "items": pa.array(items, pa.list_(pa.string())), "spans": pa.array(spans, _SPANS)}
 
 
 _COLUMNS = {
@@ -235,39 +283,61 @@ _COLUMNS = {
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def benchmark_phrases(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, limit: int = BENCHMARK_BYTES) -> list[Phrases]:
-    """The benchmark in blocks of at most `limit` bytes of text (one item at least), read as an iterator."""
-    out, names, texts, size = [], [], [], 0
-    for row in benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).orderBy("item").toLocalIterator():
-        size += len(row.text or "") * 2
-        if texts and size > limit:
-            out.append(Phrases.of(names, texts, window))
-            names, texts, size = [], [], len(row.text or "") * 2
-        names.append("null" if row.item is None else row.item)
-        texts.append(row.text)
-    return [*out, Phrases.of(names, texts, window)] if texts else out
+def benchmark_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, limit: int = BENCHMARK_BYTES) -> list[str]:
+    """Write the benchmark's windows to the shared folder, in blocks of at most `limit` bytes of text (one item at least); the files' names.
+
+    Tasks make the blocks; a task that is run again leaves files that nobody names.
+    """
+    folder = fresh_path(benchmark.sparkSession, "windows")
+    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, texts, bytes_, files = [], [], 0, []
 
+        def close() -> None:
+            files.append(f"{folder}/{uuid.uuid4().hex}.npz")
+            Phrases.of(names, texts, window).save(files[-1])
+            names.clear()
+            texts.clear()
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+        for batch in batches:
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = len(x.encode())
+                if names and bytes_ + own > limit:
+                    close()
+                    bytes_ = 0
+                names.append(name)
+                texts.append(x)
+                bytes_ += own
+        if names:
+            close()
+        yield pa.RecordBatch.from_pydict({"file": pa.array(files, pa.string())})
+
+    return [r.file for r in rows.repartition(max(1, -(-size // limit))).mapInArrow(build, "file string").collect()]
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, keep: list[str] | None = None, limit: int = BENCHMARK_BYTES) -> DataFrame:
     """Append n_words, n_hit, items and merged removal spans (code points) to the columns `keep` (default: all).
 
     A test window is `window` consecutive words of an item, or all words of a
-    shorter item; a word inside any occurrence is hit. There is no shuffle: each
-    task indexes its own rows. A benchmark over `BENCHMARK_BYTES` is broadcast
-    block by block, and every shard searches all blocks. Null and empty texts
+    shorter item; a word inside any occurrence is hit. There is no shuffle of documents:
+    each task indexes its own rows. A benchmark over `BENCHMARK_BYTES` is several blocks in
+    the shared folder; every shard searches all of them, one after the other. Null and empty texts
     have no words and no hits; items without words match nothing; a null item id is
     named `null`; repeated rows stay; columns named as the appended ones are replaced.
     """
     kept = [x for x in (docs.columns if keep is None else keep) if x not in _COLUMNS]
     schema = T.StructType([docs.schema[x] for x in kept] + [T.StructField(k, v) for k, v in _COLUMNS.items()])
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in benchmark_phrases(benchmark, window=window)]
+    files = benchmark_blocks(benchmark, window=window, limit=limit)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = [x.value for x in shared]
         for batch in batches:
             for part, texts in tx.blocks(batch, text, SHARD_BYTES):
-                found = _scan(texts, passes)
-                yield tx.with_columns(part.select(kept), n_words=pa.array(found["n_words"], pa.int64()), n_hit=pa.array(found["n_hit"], pa.int64()), items=pa.array(found["items"], pa.list_(pa.string())), spans=pa.array(found["spans"], _SPANS))
+                scan = Scan(texts)
+                for file in files:
+                    scan.add(Blocks.get(file))
+                yield tx.with_columns(part.select(kept), **scan.columns())
 
     return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(find, schema)
 
@@ -277,6 +347,7 @@ CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 
 
 def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The contract's columns and the removal spans for every row; null and empty texts have no words and are clean."""
     found = find_contamination(docs, benchmark, keep=["doc_id"])
     return found.select(
         "doc_id",
@@ -290,7 +361,5 @@ def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    clash = {f"_own_{x}": x for x in docs.columns if x in _COLUMNS}
-    renamed = docs.withColumnsRenamed({v: k for k, v in clash.items()})
-    return find_contamination(renamed, benchmark).filter(~F.expr(CONTAMINATED)).drop(*_COLUMNS).withColumnsRenamed(clash).select(*docs.columns)
+    """The documents that are not contaminated, with their own columns, whatever these are named."""
+    return find_contamination(tx.packed(docs), benchmark, keep=["own"]).filter(~F.expr(CONTAMINATED)).select("own.*")
