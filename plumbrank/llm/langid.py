@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import discard, materialise
 from . import text as tx
 from .toxicity import held_out
 
@@ -24,9 +25,10 @@ from .toxicity import held_out
 DOCS_A_LANGUAGE = 256
 DICTIONARY_BYTES = 112 << 10
 LANGUAGES = 512
-#: Compression levels for texts of up to SHORT bytes, and for longer ones: short texts need short matches found.
-LEVELS, SHORT = (12, 7), 1024
-#: Bytes of text compressed at once. Longer texts are taken in parts, so that a text does not become its own dictionary.
+#: Bytes of a training text that enter a dictionary in one turn.
+PIECE_BYTES = 512
+LEVEL = 7
+#: Bytes of text compressed at once, up to a space. Longer texts are taken in parts, so that a text does not become its own dictionary.
 PART_BYTES = 2048
 #: A winner that saves less than this share of bytes against the second is rejected.
 MARGIN = 0.01
@@ -41,27 +43,59 @@ def normal(text: str) -> bytes:
     return regex.sub(r"[^\p{L}\p{M}]+", " ", text.lower()).strip().encode()
 
 
+def parts(data: bytes, size: int) -> list[bytes]:
+    """The bytes in parts of at most `size`, cut behind a space; where there is none, between characters."""
+    out, at = [], 0
+    while at < len(data):
+        to = min(at + size, len(data))
+        if to < len(data):
+            space = data.rfind(b" ", at, to) + 1
+            while not space and data[to] & 0xC0 == 0x80 and to > at + 1:
+                to -= 1
+            to = space or to
+        out.append(data[at:to])
+        at = to
+    return out
+
+
 def fit_dictionaries(docs: DataFrame, lang: str = "lang", per_language: int = DOCS_A_LANGUAGE, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A raw-content dictionary for each language, the most frequent first: texts of a bounded sample, at most `size` bytes.
 
-    The sample is the `per_language` documents of each language with the least hash
-    of their id that aren't held out and have letters. Ids are ranked with a limit
-    ahead of the shuffle, and broadcast (at most languages x per_language) to fetch
+    The sample is the `per_language` documents of each language with the least hash of
+    their id that aren't held out and have letters; ids that share a text or repeat count
+    once. Whole texts are normalised on the executors and cut into pieces; a dictionary takes
+    the first piece of each document, then the second of each, and so on until it is full.
+    Ids are cut by a threshold on their hash, from their number, ahead of any shuffle
+    (six deviations above what is wanted), so a frequent language is no hot key; the few
+    that are left are ranked and broadcast (at most languages x per_language) to fetch
     texts. More languages than `LANGUAGES` are an error, not a sample of them.
     """
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t"), F.col(lang).alias("_l")).filter(F.col("_l").isNotNull() & F.col("_t").rlike(r"\p{L}") & ~held_out("_id"))
-    ranked = rows.select("_l", "_id", F.xxhash64("_id").alias("_h")).distinct()
-    least = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_id"))).filter(F.col("_r") <= per_language).drop("_r")
-    chosen = rows.join(F.broadcast(least), ["_l", "_id"]).groupBy("_l", "_h", "_id").agg(F.min("_t").alias("_t"))
-    found: dict[str, list[bytes]] = {}
-    part = size // 16  # of one document at most, so that a long one doesn't fill a dictionary
-    cut = F.substring("_t", 1, part)
-    for row in chosen.orderBy("_l", "_h", "_id").select("_l", cut.alias("_t")).toLocalIterator():
-        found.setdefault(row["_l"], []).append(normal(row["_t"])[:part])
-        if len(found) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
-    often = {r["_l"]: r["n"] for r in rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {k: b" ".join(found[k])[-size:] for k in sorted(found, key=lambda k: (-often[k], k)) if any(found[k])}
+    ids = materialise(rows.select("_l", "_id", F.xxhash64("_id").alias("_h")), "language-ids")
+    often = {r["_l"]: r["n"] for r in ids.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(often) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not often:
+        return {}
+    wanted = per_language + 6 * per_language**0.5 + 10
+    least = docs.sparkSession.createDataFrame([(k, float(min(1.0, wanted / n))) for k, n in often.items()], "_l string, _part double")
+    low = ids.join(F.broadcast(least), "_l").filter(F.col("_h") / F.lit(2.0**64) + 0.5 <= F.col("_part")).select("_l", "_id", "_h").distinct()
+    ranked = low.withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_id"))).filter(F.col("_r") <= per_language)
+    chosen = rows.join(F.broadcast(ranked), ["_l", "_id"]).groupBy("_l", "_r").agg(F.min("_t").alias("_t"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for language, rank, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                cut = parts(normal(text), PIECE_BYTES)
+                cut = cut[: int(np.searchsorted(np.cumsum([len(x) for x in cut]), size, side="right"))]  # no dictionary has room for more
+                yield pa.RecordBatch.from_arrays([pa.array([language] * len(cut), pa.string()), pa.array([rank] * len(cut), pa.int32()), pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], names=["_l", "_r", "_turn", "_piece"])
+
+    cut = chosen.mapInArrow(pieces, "_l string, _r int, _turn int, _piece binary")
+    room = F.sum(F.length("_piece")).over(Window.partitionBy("_l").orderBy("_turn", "_r"))
+    filled = cut.withColumn("_to", room).filter(F.col("_to") <= size)
+    found = {r["_l"]: b"".join(x["_piece"] for x in r["_all"]) for r in filled.groupBy("_l").agg(F.array_sort(F.collect_list(F.struct("_turn", "_r", "_piece"))).alias("_all")).collect()}
+    discard(ids)
+    return {k: found[k] for k in sorted(found, key=lambda k: (-often[k], k)) if found[k]}
 
 
 class Classifier:
@@ -69,19 +103,18 @@ class Classifier:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.languages = list(dictionaries)
-        self.compressors = [[self._compressor(dictionaries[x], level) for x in self.languages] for level in LEVELS]
+        self.compressors = [self._compressor(dictionaries[x]) for x in self.languages]
 
     @staticmethod
-    def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    def _compressor(content: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=level)
         return zstandard.ZstdCompressor(dict_data=d, level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def sizes(self, text: str) -> np.ndarray:
         """Compressed bytes of the whole text under each language."""
-        data = normal(text)
-        parts = [data[i : i + PART_BYTES] for i in range(0, len(data), PART_BYTES)]
-        return np.array([sum(len(c.compress(x)) for x in parts) for c in self.compressors[len(data) > SHORT]], float)
+        cut = parts(normal(text), PART_BYTES)
+        return np.array([sum(len(c.compress(x)) for x in cut) for c in self.compressors], float)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, rejected."""
@@ -118,5 +151,6 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
 
 def language_query(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and rejected for every row; `und` and 0 for null texts and texts without letters."""
     found = identify(docs, fit_dictionaries(docs), keep=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
