@@ -3,7 +3,8 @@
 A text is cut at safe boundaries: places where the tokenizer's own splitting
 always cuts, whatever stands on either side. The tokens of a text are then those
 of its pieces in order. Within a block each distinct piece is encoded once, and a
-bounded memory keeps what a worker has encoded before.
+bounded memory keeps what a worker has encoded before. What has no white space and no
+ASCII punctuation has no safe boundary either, and stays one piece whatever its length.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 
 from . import text as tx
 
-#: Pieces in a generation of a worker's memory, of which there are two: a bound on it.
-REMEMBERED = 400_000
+#: Pieces in a generation of a worker's memory, of which there are two, and bytes of a piece's ids that are kept: bounds on it.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 64
 #: Bytes of text in one call of the library.
 CALL_BYTES = 256 << 10
 
@@ -77,6 +78,35 @@ def cut_tiles(texts: tx.Texts, mark: np.ndarray) -> tx.Spans:
     return tx.Spans(starts, ends, np.searchsorted(starts, texts.offsets))
 
 
+class Memory:
+    """Ids of pieces by the pieces' hashes: sorted arrays, some thirty bytes for a piece."""
+
+    def __init__(self, width: np.dtype):
+        self.hashes, self.starts, self.sizes, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, width)
+
+    def get(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the pieces are known; numbers of ids of those, and their ids, one behind the other."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(0, np.int64), self.flat
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        found = self.hashes[at] == hashes
+        at = at[found]
+        sizes = self.sizes[at].astype(np.int64)
+        return found, sizes, self.flat[tx.ragged(self.starts[at], sizes)] if len(self.flat) else self.flat
+
+    def put(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Learn pieces in ascending order that are not known; those with very many ids are not kept."""
+        starts = np.cumsum(sizes) - sizes
+        short = sizes * self.flat.itemsize <= REMEMBERED_BYTES
+        hashes, starts, sizes = hashes[short], starts[short], sizes[short]
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.starts = np.insert(self.starts, at, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes.astype(np.int32))
+        if len(ids):
+            self.flat = np.concatenate([self.flat, ids[tx.ragged(starts, sizes)]])
+
+
 class PieceEncoder:
     """Token ids (or only their number) of pieces, through the tokenizers library."""
 
@@ -87,49 +117,56 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut, self.lengths_only, self.known, self.older = cut, lengths_only, {}, {}
+        self.cut, self.lengths_only = cut, lengths_only
         self.mark = marks([x.content for x in self.tokenizer.get_added_tokens_decoder().values()])
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.known, self.older = Memory(self.width), Memory(self.width)
 
-    def _learn(self, texts: tx.Texts, starts: np.ndarray, ends: np.ndarray) -> Iterator[int | bytes]:
-        """What the library makes of new pieces, in calls of about equally many bytes."""
-        raw, code = texts.data.tobytes(), "H" if self.width.itemsize == 2 else "I"
+    def _learn(self, texts: tx.Texts, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the library makes of new pieces, in calls of about equally many bytes: numbers of ids, and the ids."""
+        raw, code, sizes, ids = texts.data.tobytes(), "H" if self.width.itemsize == 2 else "I", [], array("H" if self.width.itemsize == 2 else "I")
         call = np.cumsum(ends - starts) // CALL_BYTES
         for part in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(call)) + 1):
             pieces = [raw[s:e].decode("utf-8") for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
-            found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-            yield from map(len, found) if self.lengths_only else (array(code, x.ids).tobytes() for x in found)
-
-    def pieces(self, texts: tx.Texts) -> tuple[tx.Spans, list, np.ndarray]:
-        """The pieces, what is known of each distinct one, and which one each piece is."""
+            for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
+                sizes.append(len(x))
+                if not self.lengths_only:
+                    ids.extend(array(code, x.ids))
+        return np.array(sizes, np.int64), np.frombuffer(ids, self.width) if len(ids) else np.zeros(0, self.width)
+
+    def pieces(self, texts: tx.Texts) -> tuple[tx.Spans, np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces, numbers and ids of the distinct ones, and which one each piece is."""
         at = self.cut(texts, self.mark)
         hashes, one, which = np.unique(tx.span_hashes(texts.data, at.starts, at.ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        values, new = list(map(self.known.get, keys)), []
-        for i in [i for i, v in enumerate(values) if v is None]:
-            values[i] = self.older.get(keys[i])
-            if values[i] is None:
-                new.append(i)
-            else:
-                self.known[keys[i]] = values[i]
-        fresh = one[np.array(new, np.int64)]
-        for i, v in zip(new, self._learn(texts, at.starts[fresh], at.ends[fresh]), strict=True):
-            values[i] = self.known[keys[i]] = v
-        return at, values, which
+        if len(self.known.hashes) > REMEMBERED:
+            self.known, self.older = Memory(self.width), self.known
+        size, parts, new = np.zeros(len(hashes), np.int64), [], np.arange(len(hashes))
+        for memory in (self.known, self.older):
+            found, sizes, ids = memory.get(hashes[new])
+            size[new[found]] = sizes
+            parts.append((new[found], ids))
+            new = new[~found]
+        fresh = one[new]
+        size[new], ids = self._learn(texts, at.starts[fresh], at.ends[fresh])
+        parts.append((new, ids))
+        flat = np.empty(0 if self.lengths_only else int(size.sum()), self.width)
+        if not self.lengths_only:
+            begin = np.cumsum(size) - size
+            for some, ids in parts:
+                flat[tx.ragged(begin[some], size[some])] = ids
+        for some, ids in parts[1:]:  # the older generation's are carried over
+            self.known.put(hashes[some], size[some], ids)
+        return at, size, flat, which
 
     def counts(self, texts: tx.Texts) -> np.ndarray:
-        at, known, which = self.pieces(texts)
-        total = np.concatenate([[0], np.cumsum(np.array(known, np.int64)[which])])
+        at, size, _, which = self.pieces(texts)
+        total = np.concatenate([[0], np.cumsum(size[which])])
         return total[at.first[1:]] - total[at.first[:-1]]
 
     def ids(self, texts: tx.Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and how many each text has."""
-        at, known, which = self.pieces(texts)
-        size = np.array([len(x) // self.width.itemsize for x in known], np.int64)
+        at, size, flat, which = self.pieces(texts)
         begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(known), self.width)
         total = np.concatenate([[0], np.cumsum(size[which])])
         return flat[tx.ragged(begin[which], size[which])], total[at.first[1:]] - total[at.first[:-1]]
 
