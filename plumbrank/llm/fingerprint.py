@@ -142,12 +142,14 @@ def _successors(docs: DataFrame, parts: int) -> DataFrame:
     return dealt.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "peek", "doc_id", "text")
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_by_edit double, n_distinct double"
 
 
 def fingerprint_query(docs: DataFrame, size: int = SIZE, words: int = WORDS) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
+    Beside resemblance stand the part of a text's shingles that its edited text contains,
+    and the number of its distinct shingles, as the sketches estimate them.
     The edited text takes its last half from the next document by doc_id. Texts
     are shuffled once. Null texts count as empty; null ids come first; repeated ids
     follow one another in order of their texts; a table of one document is its own
@@ -181,6 +183,8 @@ def fingerprint_query(docs: DataFrame, size: int = SIZE, words: int = WORDS) ->
             "edited_fingerprint": [encoded(x) for x in second],
             "near_edited": [resemblance(a[4], x, size) for (a, _), x in zip(pairs, second, strict=True)],
             "near_next": [resemblance(a[4], b[4], size) for a, b in pairs],
+            "kept_by_edit": [containment(a[4], x, size) for (a, _), x in zip(pairs, second, strict=True)],
+            "n_distinct": [distinct(a[4], size) for a, _ in pairs],
         })
 
     return _successors(docs, shuffle_partitions(docs.sparkSession)).mapInArrow(run, _OUT)

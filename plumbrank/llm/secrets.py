@@ -18,7 +18,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
 #: Weak candidates, by the part that they would be of a credential.
-IDENTIFIER = r"""(?i:user(?:_?name)?|login|account|access_?key(?:_?id)?|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,64}"""
+IDENTIFIER = r"""(?i:user(?:_?name)?|login|account|access_?key(?:_?id)?|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}"""
 ENDPOINT = r"""(?:https?|ftp|jdbc|postgres|mysql|mongodb|redis|amqp|ssh)://[A-Za-z0-9._~%@:/?&=+-]{4,}"""
 #: Code points between the nearest ends of two parts of one credential.
 SCOPE = 240
@@ -44,14 +44,14 @@ def _matches(text: Column, pattern: str, group: int | None = None) -> Column:
 
 
 def _candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """A row for each document and match (and one without a match where a document has none): _row, keep, kind, start, end, part."""
+    """A row for each document and match (and one without a match where a document has none): _row, kind, start, end, part, and `_keep` on a document's first."""
     t = F.coalesce(F.col(text), F.lit(""))
     patterns = {"assign": (ASSIGN, 2), "access": (ACCESS, None), "hex": (HEX, None), "weak_identifier": (IDENTIFIER, None), "endpoint": (ENDPOINT, None)}
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(x).alias(f"_keep_{i}") for i, x in enumerate(keep)], *[_matches(t, p, g).alias(f"_{k}") for k, (p, g) in patterns.items()])
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*([F.col(f"`{x}`") for x in keep] or [F.lit(0)])).alias("_keep"), *[_matches(t, p, g).alias(f"_{k}") for k, (p, g) in patterns.items()])
     kinds = [F.transform(F.col(f"_{k}"), lambda m, i: F.struct(F.lit(KINDS.index(k)).alias("kind"), i.alias("at"), m["gap"].alias("gap"), m["all"].alias("all"), m["part"].alias("part"))) for k in patterns]
     every = F.concat(*[F.coalesce(x, F.array().cast("array<struct<kind:int,at:int,gap:int,all:int,part:int>>")) for x in kinds])
-    names = [f"_keep_{i}" for i in range(len(keep))]
-    found = rows.select("_row", *names, F.explode_outer(every).alias("m")).select("_row", *names, "m.*")
+    found = rows.select("_row", "_keep", F.posexplode_outer(every).alias("_at", "m"))
+    found = found.select("_row", F.when(F.coalesce("_at", F.lit(0)) == 0, F.col("_keep")).alias("_keep"), "m.*")
     found = found.repartition("_row")  # serves all windows and the grouping that follow
     so_far = Window.partitionBy("_row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("all")).over(so_far)
@@ -71,12 +71,13 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     join is an ordered pass: the last end and the next start of each part, carried
     over a document's matches by windows, so no pair is listed.
 
-    Positions are running sums over a document's matches. Only matches are shuffled,
-    never texts. Null and empty texts have no findings; repeated rows stay apart; a
+    Positions are running sums over a document's matches. Matches are shuffled, and the
+    columns `keep` once for each document beside its first match; rows are told apart by
+    their place in the input, which has to come in the same order when it is read again.
+    Null and empty texts have no findings; repeated rows stay apart; a
     column named `findings` is replaced.
     """
     keep = [x for x in (docs.columns if keep is None else keep) if x != "findings"]
-    names = [f"_keep_{i}" for i in range(len(keep))]
     found = _candidates(docs, text, keep)
     part = F.element_at(F.array(*[F.lit(PARTS[k]) for k in KINDS]), F.col("kind") + 1)
     found = found.withColumn("part", F.when(F.col("kind").isNotNull(), part))
@@ -96,13 +97,14 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
         .when(F.col("kind") == KINDS.index("endpoint"), F.col("_secret") & F.col("_identifier"))
     )
     entry = F.when(base | linked, F.struct("start", "kind", "end", base.alias("base")))
-    rows = found.groupBy("_row").agg(*[F.first(x).alias(x) for x in names], F.array_sort(F.collect_list(entry)).alias("f"))
+    rows = found.groupBy("_row").agg(F.first("_keep", ignorenulls=True).alias("_keep"), F.array_sort(F.collect_list(entry)).alias("f"))
     kind = F.array(*[F.lit(k) for k in KINDS])
     findings = F.transform("f", lambda x: F.struct(F.element_at(kind, x["kind"] + 1).alias("kind"), x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end"), x["base"].alias("base")))
-    return rows.select(*[F.col(n).alias(x) for n, x in zip(names, keep, strict=True)], findings.alias("findings"))
+    return rows.select(*(["_keep.*"] if keep else []), findings.alias("findings"))
 
 
 def secrets_query(docs: DataFrame) -> DataFrame:
+    """Counts, digest and spans of each document's findings; null and empty texts have none."""
     found = find_secrets(docs, keep=["doc_id"])
     named = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

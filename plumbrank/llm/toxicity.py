@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ EPOCHS = 3
 STEMS = (6, 7)
 #: Occurrences in a text that count, each with a weight of its own.
 LEVELS = 3
+#: Bytes of text whose features are made at once: some hundred bytes of arrays for each word.
+FEATURE_BYTES = 512 << 10
 
 
 @dataclass(frozen=True)
@@ -87,25 +90,32 @@ def fit_rows(examples: Iterator[tuple[np.ndarray, int]] | list, params: Ftrl, bi
             z[at], n[at] = zi + g - sigma * w, ni + g * g
             bias_z += g - ((bias_n + g * g) ** 0.5 - bias_n**0.5) / params.alpha * bias
             bias_n += g * g
-    w = weights(z, n)
-    kept = np.flatnonzero(w)
-    return kept, w[kept], -bias_z / ((params.beta + bias_n**0.5) / params.alpha)
+    kept = np.flatnonzero(np.abs(z) > params.l1)
+    return kept, weights(z[kept], n[kept]), -bias_z / ((params.beta + bias_n**0.5) / params.alpha)
 
 
 @dataclass(frozen=True)
 class Model:
-    places: np.ndarray
+    places: np.ndarray  # ascending
     weights: np.ndarray
     bias: float
     bits: int = BITS
 
+    @cached_property
+    def live(self) -> np.ndarray:
+        """Whether a place has a weight at any level; made once for each worker that holds the model."""
+        out = np.zeros(1 << self.bits, bool)
+        out[self.places & ((1 << self.bits) - 1)] = True
+        return out
+
     def scores(self, texts: tx.Texts) -> np.ndarray:
-        table = np.zeros(LEVELS << self.bits)
-        table[self.places] = self.weights
         at, doc = features(texts, self.bits)
-        live = np.flatnonzero((table != 0).reshape(LEVELS, -1).any(axis=0)[at])
-        at, doc = occurrences(at[live], doc[live], self.bits)
-        total = np.bincount(doc, weights=table[at], minlength=len(texts)) if len(at) else np.zeros(len(texts))
+        some = np.flatnonzero(self.live[at])
+        at, doc = occurrences(at[some], doc[some], self.bits)
+        total = np.zeros(len(texts))
+        if len(at):
+            where = np.minimum(np.searchsorted(self.places, at), len(self.places) - 1)
+            total = np.bincount(doc, weights=np.where(self.places[where] == at, self.weights[where], 0.0), minlength=len(texts))
         return 1.0 / (1.0 + np.exp(-np.clip(total + self.bias, -35.0, 35.0)))
 
 
@@ -130,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
         for batch in batches:
-            for part, block in tx.blocks(batch, "_t"):
+            for part, block in tx.blocks(batch, "_t", FEATURE_BYTES):
                 at, doc = occurrences(*features(block, bits), bits)
                 cut = np.searchsorted(doc, np.arange(len(block) + 1))
                 at = at.astype(np.int32)  # one array for a block, of which examples are views: memory that goes back as a whole
@@ -156,17 +166,19 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in tx.blocks(batch, text):
+            for part, texts in tx.blocks(batch, text, FEATURE_BYTES):
                 yield tx.with_columns(part.select(kept), **{into: pa.array(shared.value.scores(texts))})
 
     return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted (1 from a score of 0.5) for every row; null and empty texts have the bias's score."""
     found = score(docs, fit(docs, labels), keep=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that score below the threshold, with their own columns."""
-    return score(docs, fit(docs, labels), into="_toxicity").filter(F.col("_toxicity") < threshold).select(*docs.columns)
+    """The documents that score below the threshold, with their own columns, whatever these are named."""
+    model = fit(docs, labels)
+    return score(tx.packed(docs), model, into="score", keep=["own"]).filter(F.col("score") < threshold).select("own.*")

@@ -88,10 +88,20 @@ def test_documents(spark):
 
 
 def test_one_of_each_group_stays(spark, planted):
-    docs = spark.createDataFrame(planted, "doc_id long, text string")
-    kept = jaccard.near_duplicates_removed(docs).collect()
-    ids = [r.doc_id for r in kept if r.doc_id is not None]
-    assert sorted(ids) == sorted({c for _, _, c in brute(planted) if c is not None}) and sum(r.doc_id is None for r in kept) == 2
+    """By row: a text that shares its id with another document's is no copy of it, and copies without an id go."""
+    rows = planted + [(None, planted[0][1] + " more words of its own at the end of it"), (5000, None)]
+    docs = spark.createDataFrame([(*r, i, i, i) for i, r in enumerate(rows)], "doc_id long, text string, _first int, key int, _id int")
+    kept = jaccard.near_duplicates_removed(docs)
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert all((r.doc_id, r.text) == rows[r._first] and r._first == r.key == r._id for r in kept)  # own columns come back as they were
+    by_row = Counter((i, c) for i, _, c in brute([(i, x) for i, (_, x) in enumerate(rows)]))
+    group = {i: c for i, c in by_row}
+    last = lambda i: (rows[i][0] is None, rows[i][0])
+    full = [r._first for r in kept if shingles(r.text)]
+    assert sorted(group[i] for i in full) == sorted({group[i] for i, (_, x) in enumerate(rows) if shingles(x)})
+    assert all(last(i) == min(last(j) for j in group if group[j] == group[i]) for i in full)
+    assert sorted(r._first for r in kept if not shingles(r.text)) == [i for i, (_, x) in enumerate(rows) if not shingles(x)]
 
 
 def test_empty(spark):

@@ -94,7 +94,8 @@ def test_weak_parts_need_company(spark, odd):
     kinds = [x.split(":")[0] for x in got[4].split(",")]
     assert kinds == ["weak_identifier", "weak_secret", "endpoint"]
     assert [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in got[4].split(","))][1] == "password: abc123"
-    assert got[5] == "" and got[9] == "" and got[1] == "" and got[8] == "assign:0:11" or got[8]
+    assert (got[5], got[9], got[1]) == ("", "", "")
+    assert got[8] == "assign:13:35"  # the short value before it has only another secret near
 
 
 def test_licences(spark, odd):
@@ -145,7 +146,58 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT-0", MIT.split("\n\n")[0].removesuffix(", subject to the following conditions:") + ".\n\n" + MIT.split("\n\n")[2]),
+    ("0BSD", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""),
+    ("BSD-4-Clause", BSD.split("{}")[0] + """3. All advertising materials mentioning features or use of this software must display the following acknowledgement:
+This product includes software developed by the organization."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"""),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)"),
+    ("BSL-1.0", """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"""),
+    ("PostgreSQL", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies."),
+    ("NCSA", "University of Illinois/NCSA Open Source License"),
+    ("MS-PL", "Microsoft Public License (Ms-PL)"),
+    ("AFL-3.0", "Licensed under the Academic Free License version 3.0"),
+    ("OSL-3.0", "Licensed under the Open Software License version 3.0"),
+    ("Artistic-2.0", "The Artistic License 2.0\n\nCopyright (c) 2000-2006"),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n"),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
+    ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"),
+    ("LGPL-3.0", GPL.format(":", ",", 3).replace("GNU General Public License as", "GNU Lesser General Public License as")),
+    ("LGPL-2.1", "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n"),
+    ("LGPL-2.1", GPL.format(";", ";", 2.1).replace("General", "Lesser General").replace("This program", "This library")),
+    ("AGPL-3.0", "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n"),
+    ("AGPL-3.0", GPL.format(":", ",", 3).replace("GNU General Public License as", "GNU Affero General Public License as")),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("CDDL-1.0", 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License").'),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or – as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\");"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("CC0-1.0", "CC0 1.0 Universal\n\nStatement of Purpose"),
+    ("CC0-1.0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
 ]
+SPDX = """MIT ISC BSD-3-Clause BSD-2-Clause Apache-2.0 GPL-3.0 GPL-3.0-only GPL-3.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later MPL-2.0 CC-BY-4.0 CC-BY-SA-4.0
+CC-BY-NC-4.0 CC0-1.0 Unlicense MIT-0 0BSD BSD-4-Clause Zlib BSL-1.0 PostgreSQL NCSA MS-PL AFL-3.0 OSL-3.0 Artistic-2.0 LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later
+LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later EPL-2.0 EPL-1.0 CDDL-1.0 EUPL-1.2 OFL-1.1 WTFPL
+CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0""".split()
+HEADERS += [(x.removesuffix("-only").removesuffix("-or-later"), f"// SPDX-License-Identifier: {x}\n") for x in SPDX]
 
 
 def licences_of(spark, texts):
@@ -161,12 +213,44 @@ def test_each_rule_fires_on_its_licence(spark, width):
     assert [x for _, x in found] == [[name] for name, _ in HEADERS]
     for (sentences, _), (_, _, rule) in zip(found, licences.RULES):
         assert ",".join(rule) in ",".join(sentences)
+    assert len({name for name, _ in HEADERS}) >= 30
     assert licences_of(spark, [GPL.split("\n\n")[1].split("  ")[0]]) == [(["gpl-hope"], [])]
 
 
+def plain_sentences(text):
+    """Word by word, without patterns: from each end of a sentence the longest known one that another end follows."""
+    words, ends = [], set()
+    for line in re.split(r"[\r\n]+", text.lower()):
+        for sentence in re.split(r"[.!?;:]+\s+|[.!?;:]+$", line):
+            ends.add(len(words))
+            words += "".join(c if c.isalnum() else " " for c in sentence).split()
+    ends.add(len(words))
+    known, out, at = {tuple(s.split()): k for k, s in licences.SENTENCES.items()}, [], 0
+    while at < len(words):
+        sizes = [n for n in sorted({len(k) for k in known}, reverse=True) if at + n in ends and tuple(words[at : at + n]) in known] if at in ends else []
+        out += [known[tuple(words[at : at + sizes[0]])]] if sizes else []
+        at += sizes[0] if sizes else 1
+    return out
+
+
+def test_licences_are_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [t for _, t in HEADERS] + ["\n".join(t for _, t in HEADERS), "All rights reserved; all rights reserved\nall rights reserved. Not all rights reserved.", "ALL\n\nRIGHTS: reserved!"] + [r.text or "" for r in docs.select("text").collect()]
+    got = licences_of(spark, texts)
+    assert [s for s, _ in got] == [plain_sentences(t) for t in texts]
+    for sentences, names in got:
+        chain = f",{','.join(sentences)},"
+        assert names == list(dict.fromkeys(n for n, _, rule in licences.RULES if f",{','.join(rule)}," in chain))
+
+
+def test_licence_headers_equal_sql(spark):
+    docs = spark.createDataFrame(list(enumerate(["\n\n".join(textwrap.fill(p, 60) for p in t.split("\n\n")) for _, t in HEADERS])), "doc_id long, text string")
+    same(spark, licences.licences_query(docs), docs, queries.ORACLE_SQL["op5_licences"])
+
+
 def test_licences_at_any_width(spark):
     long = [(name, t) for name, t in HEADERS if len(t) > 130]
-    texts = ["Copyright (c) 2020 A B\n\n" + "\n\n".join(textwrap.fill(p, w) for p in t.split("\n\n")) for w in (20, 40, 60, 72, 78, 100, 130, 160, 200, 400) for _, t in long]
+    texts = ["Copyright (c) 2020 A B\n\n" + "\n\n".join(textwrap.fill(p, w, break_long_words=False) for p in t.split("\n\n")) for w in (20, 40, 60, 72, 78, 100, 130, 160, 200, 400) for _, t in long]
     found = licences_of(spark, texts)
     assert [x for _, x in found] == [[name] for name, _ in long] * 10
     assert all(s == found[i % len(long)][0] for i, (s, _) in enumerate(found))
@@ -175,7 +259,7 @@ def test_licences_at_any_width(spark):
 def test_raking_meets_margins(spark):
     cells = [(s, lang, t, 10 * (i + 1)) for i, (s, lang, t) in enumerate((s, g, t) for s in "ab" for g in "xy" for t in "pq")]
     df = spark.createDataFrame([(*c, {"a": 0.3, "b": 0.7}[c[0]], {"x": 0.5, "y": 0.5}[c[1]], {"p": 0.9, "q": 0.1}[c[2]]) for c in cells], "source string, lang string, topic string, tokens long, target_source double, target_lang double, target_topic double")
-    got = mixing.rake(df, ["source", "lang", "topic"], 30)
+    got = mixing.rake(df, ["source", "lang", "topic"], 0.1).withColumn("weight", F.col("drawn") / 36.0)
     for m, want in (("source", {"a": 0.3, "b": 0.7}), ("lang", {"x": 0.5, "y": 0.5}), ("topic", {"p": 0.9, "q": 0.1})):
         assert {r[0]: r[1] for r in got.groupBy(m).agg(F.sum("weight")).collect()} == pytest.approx(want, abs=1e-6)
 
@@ -184,14 +268,20 @@ def test_given_targets_and_empty(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     only = spark.createDataFrame([("en", 1.0)], "lang string, target double")
     assert {r.lang for r in mixing.mixed(docs, targets={"lang": only}).select("lang").distinct().collect()} == {"en"}
-    part = mixing.mix(docs).agg(F.sum(F.when(F.col("_sampled"), F.col("_n"))) / F.sum("_n")).first()[0]
-    assert 0.35 < part < 0.6
+    part = mixing.mix(docs).agg(F.sum(F.when(F.col("sampled"), F.col("tokens"))) / F.sum("tokens")).first()[0]
+    assert 0.4 < part < 0.6
+    clash = docs.withColumns({x: F.lit(1) for x in ("own", "tokens", "topic", "key", "probability", "sampled")})
+    kept = mixing.mixed(clash)
+    assert kept.columns == clash.columns and kept.filter("own = 1 and tokens = 1 and key = 1 and sampled = 1").count() == kept.count() == mixing.mixed(docs).count()
+    given = mixing.mix(docs, topic=F.col("source"), weight=F.col("doc_id") * 0 + 3)
+    assert given.filter("topic <> source or tokens <> 3").count() == 0
+    assert mixing.mix(docs, weight=F.lit(None)).filter("probability <> 0 or sampled").count() == 0
     for f in (secrets.secrets_query, licences.licences_query, mixing.mixing_query):
         assert f(odd.limit(0)).count() == 0
 
 
 def drawn_shares(found, margin):
-    got = found.groupBy(margin).agg(F.sum(F.col("_n") * F.col("_probability")).alias("x"), F.sum("_n").alias("n"), F.sum(F.when(F.col("_sampled"), F.col("_n")).otherwise(0)).alias("s"), F.sum(F.col("_n") * F.col("_n") * F.col("_probability") * (1 - F.col("_probability"))).alias("var")).collect()
+    got = found.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("probability")).alias("x"), F.sum("tokens").alias("n"), F.sum(F.when(F.col("sampled"), F.col("tokens")).otherwise(0)).alias("s"), F.sum(F.col("tokens") * F.col("tokens") * F.col("probability") * (1 - F.col("probability"))).alias("var")).collect()
     return {r[0]: (r.x, r.n, r.s, r.var**0.5) for r in got}
 
 
@@ -199,9 +289,9 @@ def drawn_shares(found, margin):
 def test_drawn_rows_meet_margins_under_the_bound(spark, keep):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = mixing.mix(docs, keep=keep).cache()
-    assert found.filter("_probability > 1").count() == 0
+    assert found.filter("probability > 1").count() == 0
     for m, power in mixing.FLATTEN.items():
-        got = drawn_shares(found, f"_{m}")
+        got = drawn_shares(found, m)
         total = sum(n for _, n, _, _ in got.values())
         want = {v: n**power for v, (_, n, _, _) in got.items()}
         # Values that cannot give their share are drawn whole, the others share the rest in proportion.
@@ -214,7 +304,7 @@ def test_drawn_rows_meet_margins_under_the_bound(spark, keep):
             assert x == pytest.approx(fair, abs=total * 1e-6)
             assert abs(s - x) <= 4 * deviation + 1
         assert bool(short) == (keep == 0.5 and m == "topic")
-    assert sum(x for x, _, _, _ in drawn_shares(found, "_lang").values()) == pytest.approx(keep * total, rel=1e-6)
+    assert sum(x for x, _, _, _ in drawn_shares(found, "lang").values()) == pytest.approx(keep * total, rel=1e-6)
 
 
 def test_pipeline_stages(spark):

@@ -1,12 +1,14 @@
 """Operators 1, 2, 4, 6, 8 and 10 against brute force, and on awkward rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +77,27 @@ def test_token_files_round_trip(spark, which, request):
     found = binary.lookup(spark, out, 7)
     assert found[0].tolist() == t.encode(one.text, add_special_tokens=False).ids + [2] and len(found) == docs.filter("doc_id = 7").count()
     assert binary.lookup(spark, out, 10**12) == []
+    empty = [r for r in docs.collect() if r.doc_id is None]
+    assert len(binary.lookup(spark, out, None)) == len(empty)
+
+
+def test_a_lookup_opens_one_shard_and_reads_little(spark, monkeypatch):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of "), F.col("id").cast("string")).alias("text"))
+    out = fresh_path(spark, "test")
+    monkeypatch.setattr(binary, "LEAST_BYTES", 4000)
+    binary.write_token_files(docs, queries.tokenizer("byte_bpe_50k.json"), out)
+    manifest = spark.read.parquet(f"{out}/manifest")
+    assert manifest.count() > 4
+    opened, read = [], []
+    kept, bytes_ = binary.ShardReader.__init__, binary.ShardReader._bytes
+    monkeypatch.setattr(binary.ShardReader, "__init__", lambda self, path: (opened.append(path), kept(self, path))[1])
+    monkeypatch.setattr(binary.ShardReader, "_bytes", lambda self, at, size: (read.append(size), bytes_(self, at, size))[1])
+    for key in (0, 1234, 3999):
+        opened.clear(), read.clear()
+        assert library("byte_bpe_50k.json").decode(binary.lookup(spark, out, key)[0].tolist()[:-1]) == f"text of {key}"
+        assert len(opened) == 1 and sum(read) < 2000 and len(read) < 40
+    opened.clear()
+    assert binary.lookup(spark, out, 5000) == [] and binary.lookup(spark, out, -1) == [] and not opened
 
 
 def test_perfect_hash_is_minimal_and_knows_strangers():
@@ -119,11 +142,19 @@ def test_decontamination_is_brute_force(spark, documents, awkward, short):
 
 def test_decontamination_in_blocks_gives_the_same(spark, documents):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
-    whole, parts = fmindex.benchmark_phrases(bench), fmindex.benchmark_phrases(bench, limit=2000)
-    assert len(whole) == 1 < len(parts)
-    texts = text.Texts.of([r.text for r in documents.collect()])
-    a, b = fmindex._scan(texts, whole), fmindex._scan(texts, parts)
-    assert np.array_equal(a["n_hit"], b["n_hit"]) and a["items"] == b["items"] and a["spans"] == b["spans"] and a["n_hit"].sum()
+    assert len(fmindex.benchmark_blocks(bench)) == 1 < len(fmindex.benchmark_blocks(bench, limit=2000))
+    found = [sorted(map(str, fmindex.find_contamination(documents, bench, keep=["doc_id"], limit=limit).collect())) for limit in (fmindex.BENCHMARK_BYTES, 2000)]
+    assert found[0] == found[1] and fmindex.find_contamination(documents, bench).filter("n_hit > 0").count()
+
+
+def test_windows_of_equal_codes_stay_apart(monkeypatch):
+    """Windows are told apart word by word, whatever their hash codes; equal ones may then stand twice."""
+    monkeypatch.setattr(text, "constants", lambda n, seed: np.zeros(n, np.uint64))
+    got = fmindex.Phrases.of(["a", "b", "c", "a"], ["x y z", "x y w", "x y z", "q r s t"], 3)
+    rows = defaultdict(set)
+    for p, a, b in zip(got.patterns.tolist(), got.item_first[:-1], got.item_first[1:], strict=True):
+        rows[tuple(p)] |= {got.names[i].decode() for i in got.items[a:b]}
+    assert sorted(map(sorted, rows.values())) == [["a"], ["a"], ["a", "c"], ["b"]]
 
 
 def test_removal_spans_cover_the_words(spark):
@@ -159,11 +190,13 @@ def test_fingerprints_follow_the_next_document(which, request):
         x, y = x or "", y or ""
         half = len(x) // 2
         edited = x[: len(x) - half] + y[:half]
-        want[name, hashlib.sha256(edited.encode()).hexdigest()] = (len(x), likeness(shingles(x), shingles(edited)), likeness(shingles(x), shingles(y)))
+        inside = len(shingles(x) & shingles(edited)) / len(shingles(x)) if shingles(x) else 1.0
+        want[name, hashlib.sha256(edited.encode()).hexdigest()] = (len(x), likeness(shingles(x), shingles(edited)), likeness(shingles(x), shingles(y)), inside, len(shingles(x)))
     got = fingerprint.fingerprint_query(docs).collect()
     assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
     for r in got:
-        n, near_edited, near_next = want[r.doc_id, r.edited_sha256]
+        n, near_edited, near_next, inside, distinct = want[r.doc_id, r.edited_sha256]
+        assert abs(r.kept_by_edit - inside) < 0.3 and abs(r.n_distinct - distinct) <= 0.3 * distinct
         assert r.n_chars == n and abs(r.near_edited - near_edited) < 0.17 and abs(r.near_next - near_next) < 0.17
 
 
@@ -187,6 +220,95 @@ def test_language_held_out_accuracy(spark, awkward):
     assert len(odd) == len(AWKWARD) and {r.lang_pred for r in odd if not r.text} == {"und"}
 
 
+def test_language_is_plain_zstandard(spark, documents, awkward):
+    """Each prediction again, by the library alone: the whole text in parts at spaces under each dictionary, fewest bytes win."""
+    dictionaries = langid.fit_dictionaries(documents)
+    assert set(dictionaries) == {r.lang for r in documents.filter(~langid.held_out()).select("lang").distinct().collect()} and all(len(x) <= langid.DICTIONARY_BYTES for x in dictionaries.values())
+    docs = documents.select("doc_id", "text").union(awkward.select("doc_id", "text"))
+    letters = re.compile(r"[^\W\d_]")
+    for r in langid.identify(docs, dictionaries).collect():
+        if not r.text or not letters.search(r.text):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        data, sizes = langid.normal(r.text), {}
+        for name, content in dictionaries.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            one = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            at, total = 0, 0
+            while at < len(data):
+                to = len(data) if len(data) - at <= langid.PART_BYTES else (data.rfind(b" ", at, at + langid.PART_BYTES) + 1 or at + langid.PART_BYTES)
+                total += len(one.compress(data[at:to]))
+                at = to
+            sizes[name] = total
+        assert sizes[r.lang_pred] == min(sizes.values()) and 0 < r.score <= 1
+
+
+def test_dictionaries_take_turns(spark):
+    """A text of any length gives a piece in each turn until the dictionary is full; its head of figures counts for nothing."""
+    rows = [(i, "0123 " * 4000 + " ".join(f"{w}{c}" for c in "abcdefgh" for w in ("alpha", "beta"))) for i in range(40)] + [(100, "zulu " * 50_000)]
+    docs = spark.createDataFrame([(i, x, "xx") for i, x in rows], "doc_id long, text string, lang string")
+    got = langid.fit_dictionaries(docs, size=20_000)["xx"]
+    seen = sum(b"betah" in x for x in got.split(b"alphaa")[1:])
+    assert len(got) <= 20_000 and seen == docs.filter(~langid.held_out()).filter("doc_id < 100").count() and (b"zulu" in got) == (docs.filter(langid.held_out()).filter("doc_id = 100").count() == 0)
+    assert b"".join(langid.parts("äöü".encode() * 900, 512)) == "äöü".encode() * 900 and all(x.decode() for x in langid.parts("äöü".encode() * 900, 512))
+
+
+def test_ftrl_is_the_plain_recurrence():
+    """The weights of the vectorised fit against the published update, a coordinate at a time."""
+    rng = np.random.default_rng(9)
+    rows = [(np.unique(rng.integers(0, 60, 12)), int(y)) for y in rng.random(80) < 0.4]
+    p = toxicity.Ftrl(l1=0.5, epochs=2)
+    z, n, bz, bn = Counter(), Counter(), 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= p.l1 else -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + n[i] ** 0.5) / p.alpha + p.l2)
+    for _ in range(p.epochs):
+        for at, y in rows:
+            w = {i: weight(i) for i in at.tolist()}
+            bias = -bz / ((p.beta + bn**0.5) / p.alpha)
+            g = (1 / (1 + math.exp(-(sum(w.values()) + bias))) - y) * (p.positive if y else 1.0)
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / p.alpha * w[i]
+                n[i] += g * g
+            bz += g - ((bn + g * g) ** 0.5 - bn**0.5) / p.alpha * bias
+            bn += g * g
+    places, values, bias = toxicity.fit_rows(rows, p, bits=8)
+    want = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(places.tolist(), values.tolist())) == pytest.approx(want) and bias == pytest.approx(-bz / ((p.beta + bn**0.5) / p.alpha))
+
+
+def test_toxicity_scores_are_sums_of_weights():
+    """Scores by hand: each distinct feature of a text, for each of its first occurrences, through a dictionary."""
+    texts = ["Bad bad word, bad WORDS indeed", "", None, "nothing here at all " * 30, "bad " * 5]
+    rng = np.random.default_rng(2)
+    at, _ = toxicity.features(text.Texts.of(texts))
+    places = np.unique(np.concatenate([at | level << toxicity.BITS for level in range(toxicity.LEVELS)]))[::2]
+    model = toxicity.Model(places, rng.normal(size=len(places)), 0.25)
+    table = dict(zip(places.tolist(), model.weights.tolist()))
+    for x, got in zip(texts, model.scores(text.Texts.of(texts)).tolist(), strict=True):
+        count = Counter(toxicity.features(text.Texts.of([x]))[0].tolist())
+        total = 0.25 + sum(table.get(i | level << toxicity.BITS, 0.0) for i, n in count.items() for level in range(min(n, toxicity.LEVELS)))
+        assert got == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_filters_keep_clashing_columns(spark):
+    rows = [(i, x, 7.5, "mine", i) for i, x in enumerate((None, "", "a calm text of no harm", "Eins zwei drei"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, items string, own int")
+    bench = spark.createDataFrame([(1, "Eins zwei drei")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    clean = fmindex.decontaminated(docs, bench)
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect())) == sorted(rows[:3])
+    mild = toxicity.without_toxic(docs, labels, threshold=0.6)
+    assert mild.columns == docs.columns and sorted(map(tuple, mild.collect())) == sorted(rows)
+
+
+def test_long_words_hash_in_pieces():
+    long = "q" * (300 << 10)
+    texts = text.Texts.of([long, f"a {long} b", long[:-1] + "z", long + "q"])
+    at = text.spans(texts, text.NOT_SPACE)
+    h = text.span_hashes(texts.data, at.starts, at.ends)
+    assert h[0] == h[2] and len(set(h.tolist())) == 5 and len(text._place) <= text.LONG_SPAN
+    assert text.Texts.of([long, "ä", "", None]).code_points().tolist() == [300 << 10, 1, 0, 0]
+
+
 def test_toxicity_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
     rows = toxicity.toxicity_query(docs, labels).join(labels, "doc_id").filter("held_out").collect()
