@@ -50,6 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table of documents; the rows of the last, read back from the token-id files.
+
+    Null, empty and very long texts and repeated rows are each stage's own cases; an empty
+    table gives none; further columns of any name pass through all stages but the last.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"stage-{name}")
