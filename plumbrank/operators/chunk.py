@@ -49,6 +49,11 @@ class FixedWords:
         return windows.select(F.concat_ws("#", "doc_id", F.col("i").cast("string")).alias("chunk_id"), "doc_id", F.array_join(F.slice("w", F.col("at") + 1, self.size), " ").alias("text"))
 
 
+def chunks_of(chunks: DataFrame, doc_id: str) -> DataFrame:
+    """The chunks of one document."""
+    return chunks.filter(F.col("doc_id") == doc_id)
+
+
 def chunks_per_document(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 

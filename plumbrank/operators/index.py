@@ -32,7 +32,11 @@ def length_stats(lengths_: DataFrame) -> DataFrame:
 
 @dataclass
 class TermIndex:
-    """postings(unit, term, tf, dl), frequency(term, df), stats(n, avgdl), units(unit)."""
+    """postings(unit, term, tf, dl), frequency(term, df), stats(n, avgdl), units(unit).
+
+    A unit's terms are counted where its text lies, so no term is a hot key and sums over
+    a unit's postings fold ahead of their shuffle.
+    """
 
     unit: str
     postings: DataFrame
@@ -42,9 +46,9 @@ class TermIndex:
 
     @classmethod
     def build(cls, units: DataFrame, unit: str, stopwords: str | None, stemmer: str | None, lower: bool, pattern: str, keep: bool) -> TermIndex:
-        """keep: write postings once, clustered by term, for several searches; else they are a part of each search's plan."""
+        """keep: write postings once, those of a file sorted by term; else they are a part of each search's plan."""
         found = text.stem_column(text.terms(F.col("text"), stopwords, lower, pattern), stemmer)
-        tokenised = spread(units.select(unit, "text")).select(unit, found.alias("terms"))
+        tokenised = units.select(unit, "text").repartition(unit).select(unit, found.alias("terms"))
         if keep:
             tokenised = materialise(tokenised, "terms")
         size = lengths(tokenised, unit)
@@ -53,7 +57,7 @@ class TermIndex:
         postings = exploded.groupBy(unit, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("dl").alias("dl"))
         frequency = document_frequency(postings)
         if keep:
-            postings = materialise(postings.repartition("term").sortWithinPartitions("term"), "postings")
+            postings = materialise(postings.sortWithinPartitions("term"), "postings")
             frequency = materialise(document_frequency(postings), "frequency")
         return cls(unit, postings, frequency, length_stats(size), units.select(unit))
 

@@ -24,6 +24,11 @@ def top(run: DataFrame, n: int = 5) -> DataFrame:
     return run.filter(F.col("rank") <= n)
 
 
+def of_query(rows: DataFrame, query_id: str) -> DataFrame:
+    """What a run, or a table of evidence or hypotheses, says of one query."""
+    return rows.filter(F.col("query_id") == query_id)
+
+
 def stored_order(run: DataFrame) -> DataFrame:
     return run.orderBy("query_id", "rank")
 

@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..session import materialise, spread
+from ..session import broadcast_if_small, materialise
 from .index import TermIndex, document_frequency
 from .ranking import rank
 
 #: Bytes of query vectors in one broadcast; more go over the corpus in blocks.
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 16 << 20
+#: Bytes of scores that a task holds at once: queries go over a batch of units in tiles.
+TILE_BYTES = 32 << 20
 
 
 class Retriever(Protocol):
@@ -35,27 +37,41 @@ class Retriever(Protocol):
     def search(self, queries: DataFrame, k: int) -> DataFrame: ...
 
 
-def padded(hits: DataFrame, queries: DataFrame, units: DataFrame, k: int, offset: DataFrame | None = None) -> DataFrame:
+def padded(hits: DataFrame, queries: DataFrame, units: DataFrame, k: int, offset: DataFrame | None = None, dtype: str = "float64") -> DataFrame:
     """Top k of hits, filled up with units of no match in order of their ids.
 
-    hits: (query_id, unit_id, score) of matches; only those above 0 count. The first k
-    ids suffice to fill any query. offset: (query_id, offset), what each unit has
-    without a match.
+    hits: (query_id, unit_id, score) of matches; only those above 0 count. offset:
+    (query_id, offset), what each unit has without a match. Scores are of `dtype` before
+    they are ranked, so what its precision makes equal is in order of ids. Matches are
+    ranked and written once; only queries with fewer than k of them are filled up, from
+    the first k ids.
     """
-    matches = hits.filter(F.round("score", scoring.PLACES) > 0)
+    matches = hits.filter(F.round("score", scoring.PLACES) > 0).select("query_id", "unit_id", "score")
+    if offset is not None:
+        matches = matches.join(offset, "query_id", "left").select("query_id", "unit_id", (F.col("score") + F.coalesce("offset", F.lit(0.0))).alias("score"))
+    ranked = materialise(rank(_precise(matches, dtype), k, "unit_id"), "ranked")
+    short = queries.select("query_id").distinct().join(ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")), "query_id", "left").filter(F.coalesce("_n", F.lit(0)) < k).select("query_id")
     first = units.select("unit_id").orderBy("unit_id").limit(k)
-    blanks = queries.select("query_id").crossJoin(F.broadcast(first)).join(matches, ["query_id", "unit_id"], "left_anti").withColumn("score", F.lit(0.0))
-    every = matches.select("query_id", "unit_id", "score").unionByName(blanks)
+    blanks = short.crossJoin(F.broadcast(first)).join(ranked, ["query_id", "unit_id"], "left_anti").withColumn("score", F.lit(0.0))
     if offset is not None:
-        every = every.join(offset, "query_id", "left").select("query_id", "unit_id", (F.col("score") + F.coalesce("offset", F.lit(0.0))).alias("score"))
-    return rank(every, k, "unit_id")
+        blanks = blanks.join(offset, "query_id", "left").select("query_id", "unit_id", F.coalesce("offset", F.lit(0.0)).alias("score"))
+    return rank(ranked.select("query_id", "unit_id", "score").unionByName(_precise(blanks, dtype)), k, "unit_id")
+
 
+def _precise(scored: DataFrame, dtype: str) -> DataFrame:
+    """Scores as numbers of `dtype`, kept as double."""
+    return scored if dtype in ("float64", "double") else scored.withColumn("score", F.col("score").cast("float").cast("double"))
 
-def _single(run: DataFrame, dtype: str) -> DataFrame:
-    """Scores of lower precision collapse near ties; ranks follow."""
-    if dtype in ("float64", "double"):
-        return run
-    return run.withColumn("score", F.col("score").cast("float").cast("double"))
+
+def pinned(model_id: str, revision: str | None, resolve: Callable[[str], str | None] | None) -> str | None:
+    """The revision that was asked for, or the one that a model's name stands for now, as far as `resolve` can tell."""
+    if revision is not None or resolve is None:
+        return revision
+    try:
+        found = resolve(model_id)
+    except Exception:  # offline, unknown, a local path: all of them mean that it is not known
+        return None
+    return None if found is None else str(found)
 
 
 @dataclass
@@ -94,7 +110,7 @@ class BM25Retriever:
         hits = ix.postings.join(known, "term").groupBy("query_id", "unit_id").agg(F.sum(add).alias("score"))
         absent = scoring.bm25_absent(self.method, self.k1)
         offset = known.groupBy("query_id").agg((F.sum("w") * absent).alias("offset")) if absent else None
-        return _single(padded(hits, queries, ix.units, k, offset), self.dtype)
+        return padded(hits, queries, ix.units, k, offset, self.dtype)
 
 
 @dataclass
@@ -125,13 +141,14 @@ class TfidfRetriever:
         return grams.join(idf, "gram").withColumn("w", scoring.tf_weight(F.col("tf"), self.sublinear_tf) * F.col("idf"))
 
     def index(self, units: DataFrame) -> None:
-        grams = self._grams(spread(units.select("unit_id", "text")), "unit_id")
+        # Grams are counted where a unit's text lies: only texts are shuffled, never grams.
+        grams = self._grams(units.select("unit_id", "text").repartition("unit_id"), "unit_id")
         n = F.broadcast(units.agg(F.count(F.lit(1)).cast("double").alias("n")))
         if self.keep_index:
-            grams = materialise(grams.repartition("gram"), "grams")
+            grams = materialise(grams.sortWithinPartitions("gram"), "grams")
         idf = document_frequency(grams, "gram").crossJoin(n).select("gram", scoring.smooth_idf(F.col("n"), F.col("df"), self.smooth_idf).alias("idf"))
         if self.keep_index:
-            idf = materialise(idf, "idf")
+            idf = broadcast_if_small(materialise(idf, "idf"))
         norms = self._weighted(grams, idf).groupBy("unit_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         self._index = (grams, idf, materialise(norms, "norms") if self.keep_index else norms, units.select("unit_id"))
 
@@ -143,15 +160,21 @@ class TfidfRetriever:
         asked = self._weighted(self._grams(queries, "query_id"), idf).select("query_id", "gram", "idf", F.col("w").alias("qw"))
         qnorm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
         dw = scoring.tf_weight(F.col("tf"), self.sublinear_tf) * F.col("idf")
+        if self.keep_index:
+            asked = broadcast_if_small(materialise(asked, "asked"))
         dots = grams.join(asked, "gram").groupBy("query_id", "unit_id").agg(F.sum(F.col("qw") * dw).alias("dot"))
         one = lambda c: F.when(F.col(c) == 0, F.lit(1.0)).otherwise(F.col(c))
         hits = dots.join(norms, "unit_id").join(qnorm, "query_id").select("query_id", "unit_id", (F.col("dot") / (one("norm") * one("qnorm"))).alias("score"))
-        return _single(padded(hits, queries, units, k), self.dtype)
+        return padded(hits, queries, units, k, None, self.dtype)
 
 
 @dataclass
 class DenseRetriever:
-    """Vectors come from a column, or from an encoder: a function from a list of texts to a matrix, run in Arrow batches."""
+    """Vectors come from a column, or from an encoder: a function from a list of texts to a matrix, run in Arrow batches.
+
+    A model republished under its name is another model: without a `revision`, `resolve`
+    says which one the name stands for now. None where that cannot be known, never a guess.
+    """
 
     model_id: str = "precomputed"
     name: str = "dense"
@@ -164,8 +187,12 @@ class DenseRetriever:
     max_seq_length: int | None = None
     batch_size: int = 32
     encoder: Callable[[list[str]], np.ndarray] | None = None
+    resolve: Callable[[str], str | None] | None = field(default=None, repr=False)
     _units: DataFrame | None = field(default=None, repr=False)
 
+    def __post_init__(self) -> None:
+        self.revision = pinned(self.model_id, self.revision, self.resolve)
+
     @property
     def descriptor(self) -> dict[str, Any]:
         names = ("model_id", "revision", "device", "dtype", "normalize", "query_prompt", "document_prompt", "max_seq_length", "batch_size")
@@ -213,13 +240,16 @@ class DenseRetriever:
                 for batch in batches:
                     if not batch.num_rows:
                         continue
-                    d = np.array(batch.column(1).to_pylist(), float)
-                    score = np.round((q.astype(np.float32) @ d.astype(np.float32).T).astype(float) if single else q @ d.T, scoring.PLACES)
+                    d = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                     names = np.array(batch.column(0).to_pylist(), object)
                     by_name = np.argsort(names, kind="stable")
-                    names, score = names[by_name], score[:, by_name]
-                    at = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(np.array(ids, object), at.shape[1]), pa.string()), "unit_id": pa.array(names[at].ravel(), pa.string()), "score": pa.array(np.take_along_axis(score, at, axis=1).ravel())})
+                    names, d = names[by_name], d[by_name]
+                    tile = max(1, TILE_BYTES // (8 * batch.num_rows))
+                    for lo in range(0, len(ids), tile):
+                        some = q[lo : lo + tile]
+                        score = np.round((some.astype(np.float32) @ d.astype(np.float32).T).astype(float) if single else some @ d.T, scoring.PLACES)
+                        at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                        yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(np.array(ids[lo : lo + tile], object), at.shape[1]), pa.string()), "unit_id": pa.array(names[at].ravel(), pa.string()), "score": pa.array(np.take_along_axis(score, at, axis=1).ravel())})
 
             parts.append(self._units.mapInArrow(best, "query_id string, unit_id string, score double"))
         if not parts:

@@ -67,8 +67,10 @@ def _judged(rows: DataFrame) -> DataFrame:
 def compare_measures(left: DataFrame, right: DataFrame, seed: int = SEED, resamples: int = RESAMPLES, confidence: float = CONFIDENCE, alpha: float = ALPHA) -> DataFrame:
     """A row for each measure, without correction for their number. Values are paired in order of query ids, as the draws depend on it.
 
-    A group is one measure's judged queries: their number is that of human labels, not of documents.
+    Runs that don't cover the same queries are refused. A group is one measure's judged
+    queries: their number is that of human labels, not of documents.
     """
+    check_paired(left, right)
 
     def test(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("query_id")
@@ -81,6 +83,7 @@ def compare_measures(left: DataFrame, right: DataFrame, seed: int = SEED, resamp
 
 def hashed_significance(left: DataFrame, right: DataFrame, resamples: int = 200, seed: int = SEED, confidence: float = CONFIDENCE, alpha: float = ALPHA) -> DataFrame:
     """The same test in SQL alone: draws come from md5 of (seed, resample, place), so every engine makes the same."""
+    check_paired(left, right)
     ordered = paired(left, right).withColumn("d", F.round(F.col("right_value") - F.col("left_value"), 9)).groupBy("measure").agg(F.array_sort(F.collect_list(F.struct("query_id", "d"))).alias("q"))
     values = ordered.select("measure", F.transform("q", lambda x: x["d"]).alias("d"), F.size("q").alias("n"))
     draws = values.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples))))

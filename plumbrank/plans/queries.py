@@ -80,7 +80,7 @@ def char_ngrams_df(spark, sf):
 
 
 def _bm25(method: str) -> Query:
-    return lambda spark, sf: tasks.bm25_run(spark, sf, method=method, keep_index=False)
+    return lambda spark, sf: tasks.bm25_run(spark, sf, method=method)
 
 
 for _name, _method in (("lucene", "lucene"), ("robertson", "robertson"), ("atire", "atire"), ("plus", "bm25+"), ("l", "bm25l")):
@@ -114,7 +114,7 @@ def dense_dot_topk(spark, sf):
 @query
 def passage_bm25_topk(spark, sf):
     task = tasks.passage(spark, sf)
-    return retrieve.retrieve(retrieve.build("bm25", keep_index=False), task.corpus, task.queries, tasks.K)
+    return retrieve.retrieve(retrieve.build("bm25"), task.corpus, task.queries, tasks.K)
 
 
 # Chunks and reranking
@@ -429,7 +429,7 @@ def duplicate_ids(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each judged query: BM25's rank of its document, the symptom, reciprocal rank."""
     task = tasks.known_item(spark, sf)
-    run = tasks.bm25_run(spark, sf, keep_index=False)
+    run = tasks.bm25_run(spark, sf)
     gold = ranking.best_relevant(run, task.qrels)
     symptom = F.when(F.col("gold_rank").isNull(), "miss").when(F.col("gold_rank") == 1, "ok").otherwise("rank")
     return gold.select("query_id", "gold_rank", symptom.alias("symptom"), F.coalesce(F.round(1.0 / F.col("gold_rank"), 6), F.lit(0.0)).alias("rr"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "plumbrank", cores: int | str = "*", memory: str = "20g") -> SparkSession:
@@ -69,5 +70,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a few large files out to all cores before text-heavy work."""
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, 1))
+    """Deal out the rows of a scan that has fewer partitions than there are cores; a larger one stays as it is, unshuffled."""
+    cores = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A hint for a table that has been counted and has at most so many short rows; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

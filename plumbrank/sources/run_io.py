@@ -18,8 +18,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, schema: T.StructType, *order: str) -> None:
-    """One sorted Parquet file. Published tables have a row for a judged query or a hit, not for a document."""
-    conform(df, schema).coalesce(1).sortWithinPartitions(*order).write.option("compression", "snappy").parquet(path)
+    """One sorted Parquet file. Published tables have a row for a judged query or a hit, not for a document; they are shuffled into the file, so that what makes them stays spread out."""
+    conform(df, schema).repartition(1).sortWithinPartitions(*order).write.option("compression", "snappy").parquet(path)
 
 
 def write_run(directory: str, run: DataFrame) -> None:
