@@ -145,7 +145,7 @@ class TfidfRetriever:
         grams = self._grams(units.select("unit_id", "text").repartition("unit_id"), "unit_id")
         n = F.broadcast(units.agg(F.count(F.lit(1)).cast("double").alias("n")))
         if self.keep_index:
-            grams = materialise(grams.sortWithinPartitions("gram"), "grams")
+            grams = materialise(grams, "grams")
         idf = document_frequency(grams, "gram").crossJoin(n).select("gram", scoring.smooth_idf(F.col("n"), F.col("df"), self.smooth_idf).alias("idf"))
         if self.keep_index:
             idf = broadcast_if_small(materialise(idf, "idf"))

@@ -277,3 +277,10 @@ ORACLE_SQL |= {
     "dataset_summary": _with(KNOWN) + "SELECT (SELECT count(*) FROM corpus) AS n_docs, count(DISTINCT query_id) AS n_judged FROM qrels",
     "run_health": _with(*DIAGNOSED, measures("lm", "lrun", MEASURES)) + "SELECT measure, round(avg(value), 6) AS value, (SELECT count(*) FROM lev WHERE symptom <> 'ok') AS n_failing, (SELECT count(*) FROM lev) AS n_judged FROM lm GROUP BY measure",
 }
+
+#: One document's or query's part of what other queries return.
+ORACLE_SQL |= {
+    "chunks_of_document": f"SELECT * FROM ({ORACLE_SQL['chunk_fixed_words']}) WHERE doc_id = '50'",
+    "hits_of_query": f"SELECT * FROM ({ORACLE_SQL['bm25_lucene_topk']}) WHERE query_id = 'q-50-a'",
+    "causes_of_query": f"SELECT * FROM ({ORACLE_SQL['hypotheses']}) WHERE query_id = 'q-0-a'",
+}

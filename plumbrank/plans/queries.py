@@ -126,6 +126,24 @@ def chunk_fixed_words(spark, sf):
     return cut.select("chunk_id", "doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@query
+def chunks_of_document(spark, sf):
+    """The chunks of document 50."""
+    return chunk.chunks_of(chunk_fixed_words(spark, sf), "50")
+
+
+@query
+def hits_of_query(spark, sf):
+    """What the first formulation of document 50 finds."""
+    return ranking.of_query(tasks.bm25_run(spark, sf), "q-50-a")
+
+
+@query
+def causes_of_query(spark, sf):
+    """What may have caused the failure of the first formulation of document 0."""
+    return ranking.of_query(QUERIES["hypotheses"](spark, sf), "q-0-a")
+
+
 @query
 def chunk_whole(spark, sf):
     return chunk.Whole().cut(tasks.corpus(spark, sf)).select("chunk_id", "doc_id", F.length("text").alias("n_chars"))

@@ -370,6 +370,64 @@ def provenance(stage, **env):
     return manifest.StageProvenance(stage=stage, key="fp_x", impl_version=version, packages=("pyspark",), environment=manifest.Environment(**base))
 
 
+def test_more_measures(spark):
+    """By hand from the rankings, as their definitions have them."""
+    grades = {"a": {"d1": 3, "d2": 0, "d3": 1, "d4": -1, "d9": 2}, "b": {"d1": 1}, "c": {"d1": 0}, "e": {"d5": 5, "d1": 0, "d2": 0}}
+    runs = {"a": ["d2", "d1", "d7", "d4", "d3", "d8"], "b": ["d3", "d1"], "c": ["d1"], "e": ["d1", "d5"]}
+    qrels = spark.createDataFrame([(q, d, g) for q, x in grades.items() for d, g in x.items()], "query_id string, doc_id string, relevance int")
+    run = spark.createDataFrame([(q, d, i + 1, float(9 - i)) for q, x in runs.items() for i, d in enumerate(x)], "query_id string, doc_id string, rank int, score double")
+    names = ("ERR", "ERR@3", "RBP", "RBP@2", "Judged@4", "Bpref", "Rprec", "SetP", "SetR", "SetF")
+    got = {(r.query_id, r.measure): r.value for r in evaluate.evaluate(run, qrels, names).collect()}
+    want = {}
+    for q in ("a", "b", "e"):
+        g, order = grades[q], runs[q]
+        r, n = sum(x > 0 for x in g.values()), sum(x <= 0 for x in g.values())
+        hit = [g.get(d, 0) > 0 for d in order]
+        for name, k in (("ERR", 99), ("ERR@3", 3)):
+            going, total = 1.0, 0.0
+            for i, d in enumerate(order[:k]):
+                stop = (2 ** min(max(g.get(d, 0), 0), 4) - 1) / 16
+                total += going * stop / (i + 1)
+                going *= 1 - stop
+            want[q, name] = total
+        for name, k in (("RBP", 99), ("RBP@2", 2)):
+            want[q, name] = 0.2 * sum(0.8**i for i, h in enumerate(hit[:k]) if h)
+        want[q, "Judged@4"] = sum(d in g for d in order[:4]) / 4
+        bad = [sum(d in g and g[d] <= 0 for d in order[:i]) for i in range(len(order))]
+        want[q, "Bpref"] = sum(1 - (min(b, r) / min(r, n) if b else 0) for b, h in zip(bad, hit) if h) / r
+        want[q, "Rprec"] = sum(hit[:r]) / r
+        p, c = sum(hit) / len(order), sum(hit) / r
+        want[q, "SetP"], want[q, "SetR"], want[q, "SetF"] = p, c, 2 * p * c / (p + c)
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    for bad in ("Bpref@3", "Judged", "SetP@2"):
+        with pytest.raises(ValueError):
+            evaluate.parse_measure(bad)
+
+
+def test_equal_single_scores_are_in_order_of_ids(spark):
+    hits = spark.createDataFrame([("q", "b", 10.00000002), ("q", "a", 10.00000001)], "query_id string, unit_id string, score double")
+    q, units = spark.createDataFrame([("q",), ("none",)], "query_id string"), spark.createDataFrame([("a",), ("b",), ("c",)], "unit_id string")
+    for dtype, first in (("float32", ["a", "b", "c"]), ("float64", ["b", "a", "c"])):
+        got = retrieve.padded(hits, q, units, 3, None, dtype).orderBy("query_id", "rank").collect()
+        assert [r.unit_id for r in got if r.query_id == "q"] == first and [r.unit_id for r in got if r.query_id == "none"] == ["a", "b", "c"]
+
+
+def test_revisions_are_pinned_or_unknown():
+    asked = []
+    resolve = lambda x: asked.append(x) or "abc"
+    assert retrieve.build("dense", model_id="m", resolve=resolve).descriptor["revision"] == "abc" and asked == ["m"]
+    assert retrieve.build("dense", model_id="m", revision="r", resolve=resolve).descriptor["revision"] == "r" and asked == ["m"]
+    assert retrieve.build("dense", model_id="m", resolve=lambda x: 1 / 0).descriptor["revision"] is None
+    assert retrieve.build("dense").descriptor["revision"] is None
+
+
+def test_unpaired_runs_are_refused_by_the_operator(spark):
+    a = [1.0, 0.5, 0.25]
+    for f in (significance.compare_measures, significance.hashed_significance):
+        with pytest.raises(significance.NotPairedError):
+            f(metric(spark, a), metric(spark, a[:2]))
+
+
 def manifest_of(stages=("retrieve", "evaluate"), corpus="c", labels="l", schema=1, **env):
     return manifest.RunManifest(run_id="r", name="r", config="fp_c", corpus=corpus, labels=labels, schema_version=schema, stages=tuple(provenance(s, **env) for s in stages))
 
