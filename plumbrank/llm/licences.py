@@ -7,7 +7,9 @@ sequence of sentences that names a licence.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import chain
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -162,6 +164,16 @@ def normal(sentence: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in sentence.lower()).split())
 
 
+def _cover() -> list[str]:
+    """Few words, one of which each known sentence has: those that most of the sentences left have, long ones first."""
+    left, out = [set(s.split()) for s in SENTENCES.values()], []
+    while left:
+        words = sorted(set().union(*left))
+        out.append(max(words, key=lambda w: (sum(w in s for s in left) * (len(w) > 4), len(w))))
+        left = [s for s in left if out[-1] not in s]
+    return out
+
+
 _notices()
 
 #: A sentence ends at punctuation before white space, or at the end of a line.
@@ -169,8 +181,8 @@ END = r"[.!?;:]+[\s]+|[.!?;:]+$|[\r\n]+"
 OTHER = r"[^\p{L}\p{N}]+"
 #: Stands for a sentence's end in lowered text, which has no capital.
 MARK = "Z"
-#: A text with a known sentence has one of these words, the longest of each; others are not read at all.
-WORDS = "|".join(sorted({max(s.split(), key=len) for s in SENTENCES.values()}))
+#: A text with a known sentence has one of these words; others are not read at all.
+WORDS = _cover()
 #: Ends that may stand within a known sentence: those of its wrapped lines, and its own ("v. 2.0", "free software: you").
 WITHIN = f"(?:{MARK} )*+"
 
@@ -197,7 +209,7 @@ def scan_licences(docs: DataFrame, text: str = "text", keep: list[str] | None =
     kept = [x for x in (docs.columns if keep is None else keep) if x not in ("sentences", "licences", "duties")]
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<string>")
-    likely = F.lower(t).rlike(WORDS)
+    likely = reduce(or_, (F.contains(F.lower(t), F.lit(w)) for w in WORDS))
     rows = docs.select(*kept, F.when(likely, _known(t)).otherwise(none).alias("sentences"))
     chain_ = F.concat(F.lit(","), F.array_join("sentences", ","), F.lit(","))
     matched = lambda what: F.array_distinct(F.filter(F.array(*[F.when(chain_.contains("," + ",".join(rule) + ","), F.lit(what(name, duty))) for name, duty, rule in RULES]), lambda x: x.isNotNull()))
@@ -227,7 +239,7 @@ def oracle_sql() -> str:
     ordered = "array_to_string(list_filter(list_transform(generate_series(1, len(d)), lambda i: CASE WHEN list_position(d, d[i]) = i THEN d[i] END), lambda x: x IS NOT NULL), ',')"
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-found AS (SELECT doc_id, CASE WHEN regexp_matches(lower(t), {quote(WORDS)}) THEN {found} ELSE [] END AS f, {table} AS known FROM texts),
+found AS (SELECT doc_id, CASE WHEN {" OR ".join(f"contains(lower(t), {quote(w)})" for w in WORDS)} THEN {found} ELSE [] END AS f, {table} AS known FROM texts),
 listed AS (SELECT doc_id, list_transform(f, lambda x: element_at(known, regexp_replace(x, ' (?:{MARK} )+', ' ', 'g'))[1]) AS s FROM found),
 chained AS (SELECT doc_id, s, ',' || array_to_string(s, ',') || ',' AS c FROM listed),
 named AS (SELECT *, {first} AS d FROM chained)
