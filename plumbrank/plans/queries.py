@@ -70,7 +70,7 @@ def doc_length_stats(spark, sf):
 
 @query
 def char_ngrams_df(spark, sf):
-    """Occurrences, documents and distinct n-grams by their size."""
+    """Occurrences and documents of each gram of three characters."""
     grams = text.char_ngrams(spread(tasks.corpus(spark, sf)), "doc_id", 3, 3)
     tf = grams.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("tf"))
     return tf.groupBy("gram").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("df"))

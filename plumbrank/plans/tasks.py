@@ -53,7 +53,7 @@ def passage(spark: SparkSession, sf_dir: str) -> Task:
     by_word = items.select("query_id", F.col("text").alias("_item"), F.when(F.size(letters(F.col("text"))) > 2, F.get(letters(F.col("text")), F.lit(1))).alias("_w"))
     found = docs.select("doc_id", F.explode(F.array_distinct(letters(F.col("text")))).alias("_w")).join(by_word.select("_w", "query_id", "_item").filter("_w is not null"), "_w")
     hits = found.join(docs, "doc_id").filter(F.col("text").contains(F.col("_item")))
-    short = by_word.filter("_w is null")  # too few words for that: tested against all documents, in one broadcast block
+    short = by_word.filter("_w is null")  # too few words for that: a stated set of queries, tested against all documents
     if not short.isEmpty():
         hits = hits.select("query_id", "doc_id").unionByName(docs.join(short, F.col("text").contains(F.col("_item"))).select("query_id", "doc_id"))
     return Task(docs, items, hits.select("query_id", "doc_id", F.lit(1).alias("relevance")).distinct())
@@ -69,12 +69,22 @@ def vectors(spark: SparkSession, sf_dir: str, scaled: bool = False) -> Task:
     return Task(docs.drop("label"), asked.drop("label"), labels)
 
 
-#: Runs that several queries start from, each written once for a session and folder.
-_made: dict[tuple[str, str, str], DataFrame] = {}
+#: Runs that several queries start from, each written once for a session and the folder's tables as they are.
+_made: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of the tables that runs are made from."""
+    out = []
+    for table in ("documents", "benchmark"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{table}.parquet")
+        where = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += [(x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in (where.listStatus(path) if where.exists(path) else ())]
+    return tuple(sorted(out))
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir))
     if key not in _made:
         _made[key] = materialise(make(), name)
     return _made[key]

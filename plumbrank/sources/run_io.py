@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import RUN
+from .store import located
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -33,14 +34,15 @@ def read_run(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def write_json(path: str, value: dict[str, Any]) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, sort_keys=True, ensure_ascii=False)
-        f.write("\n")
+    where, at = located(path)
+    with where.open_output_stream(at) as f:
+        f.write((json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode())
 
 
 def read_json(path: str) -> dict[str, Any]:
-    with open(path, encoding="utf-8") as f:
-        value = json.load(f)
+    where, at = located(path)
+    with where.open_input_file(at) as f:
+        value = json.loads(f.read().decode())
     if not isinstance(value, dict):
         raise ValueError(f"{path}: not a JSON object")
     return value

@@ -1,13 +1,18 @@
-"""A content-addressed store: a directory for each key, published whole or not at all."""
+"""A content-addressed store: a directory for each key, published whole or not at all.
+
+Files and folders are reached through the file system that a path's scheme names, so a
+store may lie where all of a cluster's nodes see it; without a scheme a path is local.
+"""
 
 from __future__ import annotations
 
 import os
-import shutil
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyarrow import fs
+
 
 def safe(name: str) -> str:
     """An identifier that can be a directory's name."""
@@ -16,6 +21,38 @@ def safe(name: str) -> str:
     return name
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path there."""
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def is_dir(path: str) -> bool:
+    where, at = located(path)
+    return where.get_file_info(at).type == fs.FileType.Directory
+
+
+def is_file(path: str) -> bool:
+    where, at = located(path)
+    return where.get_file_info(at).type == fs.FileType.File
+
+
+def names(path: str) -> list[str]:
+    """What a folder holds, sorted, without what is hidden; nothing where there is no folder."""
+    where, at = located(path)
+    return sorted(x.base_name for x in where.get_file_info(fs.FileSelector(at, allow_not_found=True)) if not x.base_name.startswith("."))
+
+
+def make_dir(path: str) -> None:
+    where, at = located(path)
+    where.create_dir(at, recursive=True)
+
+
+def remove_dir(path: str) -> None:
+    if is_dir(path):
+        where, at = located(path)
+        where.delete_dir(at)
+
+
 class Store:
     def __init__(self, root: str):
         self.root = root
@@ -24,7 +61,7 @@ class Store:
         return os.path.join(self.root, safe(stage), safe(key))
 
     def has(self, stage: str, key: str) -> bool:
-        return os.path.isdir(self.path(stage, key))
+        return is_dir(self.path(stage, key))
 
     def lookup(self, stage: str, key: str) -> str | None:
         return self.path(stage, key) if self.has(stage, key) else None
@@ -34,17 +71,18 @@ class Store:
         """A scratch directory that becomes the key's when the block ends well. The first to publish wins; a failure leaves nothing."""
         final = self.path(stage, key)
         scratch = os.path.join(os.path.dirname(final), f".tmp-{uuid.uuid4().hex}")
-        os.makedirs(scratch)
+        make_dir(scratch)
         try:
             yield scratch
-            if not os.path.isdir(final):
+            if not is_dir(final):
+                where, at = located(scratch)
                 try:
-                    os.rename(scratch, final)
+                    where.move(at, located(final)[1])
                 except OSError:
-                    if not os.path.isdir(final):
+                    if not is_dir(final):
                         raise
         finally:
-            shutil.rmtree(scratch, ignore_errors=True)
+            remove_dir(scratch)
 
     def forget(self, stage: str, key: str) -> None:
-        shutil.rmtree(self.path(stage, key), ignore_errors=True)
+        remove_dir(self.path(stage, key))

@@ -11,7 +11,7 @@ from .. import schemas
 from ..operators.diff import diff_counts
 from ..plans.manifest import LAYOUT_VERSION
 from .run_io import read_json, write_json, write_table
-from .store import Store, safe
+from .store import Store, is_file, make_dir, names, safe
 
 
 class Workspace:
@@ -23,8 +23,7 @@ class Workspace:
         return os.path.join(self.root, kind, safe(name))
 
     def _names(self, kind: str) -> list[str]:
-        at = os.path.join(self.root, kind)
-        return sorted(x for x in os.listdir(at) if not x.startswith(".")) if os.path.isdir(at) else []
+        return names(os.path.join(self.root, kind))
 
     def runs(self) -> list[str]:
         return self._names("run")
@@ -37,7 +36,7 @@ class Workspace:
         return spark.createDataFrame(rows, "kind string, id string")
 
     def write_index(self) -> None:
-        os.makedirs(self.root, exist_ok=True)
+        make_dir(self.root)
         write_json(os.path.join(self.root, "index.json"), {"layout_version": LAYOUT_VERSION, "runs": self.runs(), "comparisons": self.comparisons()})
 
     def write_run(self, outcome: Any) -> str:
@@ -87,7 +86,7 @@ class Workspace:
 
     def _manifest(self, kind: str, name: str) -> dict[str, Any]:
         path = os.path.join(self._path(kind, name), "manifest.json")
-        if not os.path.isfile(path):
+        if not is_file(path):
             raise ValueError(f"no {kind} {name!r} in {self.root}")
         found = read_json(path)
         if found.get("layout_version") != LAYOUT_VERSION:
