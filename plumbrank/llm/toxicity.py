@@ -179,6 +179,11 @@ def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that score below the threshold, with their own columns, whatever these are named."""
+    """The documents that score below the threshold, with their own columns, whatever these are named.
+
+    Where nothing could be learned, nothing is known against any document, and all stay.
+    """
     model = fit(docs, labels)
+    if not len(model.places) and not model.bias:
+        return docs
     return score(tx.packed(docs), model, into="score", keep=["own"]).filter(F.col("score") < threshold).select("own.*")

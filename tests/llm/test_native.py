@@ -332,3 +332,28 @@ def test_pipeline_stages(spark):
         assert out.columns == columns
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert corpus_pipeline.run(spark, DATA).count() == len(ids)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty, repeated and very long texts, clashing names; and tables without rows."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, own string, score double, items string, key int, tokens string, _first int, topic int"
+    rest = ("o", 9.0, "i", 3, "t", 1, 2)
+    long = " ".join(f"w{i * 7919 % 100003}" for i in range(150_000))
+    texts = [(1, None, None, None), (2, "", "en", "a"), (3, "one two three four five six", "en", "a"), (3, "one two three four five six", "en", "a"), (None, "one two three four five six", "en", "a"), (None, None, None, None), (4, "other words under a known id " * 3, "de", None), (4, "one two three four five six", "de", "b"), (5, long, "en", "b"), (6, long + " more", "en", "b"), (7, "z" * 2_000_000, None, "c")]
+    rows = [(i, x, lang, source, None if x is None else len(x), *rest) for i, x, lang, source in texts]
+    (tmp_path / "some").mkdir()
+    for name, table in (("documents", spark.createDataFrame(rows, columns)), ("labels", spark.createDataFrame([(3, None), (None, 1), (99, 1)], "doc_id long, toxic int")), ("benchmark", spark.createDataFrame([(None, "other words under a known id"), (2, None), (3, "")], "item_id long, text string"))):
+        table.write.parquet(str(tmp_path / "some" / f"{name}.parquet"))
+        table.limit(0).write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "some" / "documents.parquet"))
+    want = {"jaccard_join": {1: 1, 2: 1, 3: 1, None: 1, 4: 1, 5: 1, 7: 1}, "decontamination": {1: 1, 2: 1, 3: 1, None: 1, 5: 1, 7: 1}}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path / "some"))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(tuple(r) in rows for r in got)
+        if name == "toxicity":  # nothing could be learned, so nothing goes
+            assert Counter(map(tuple, got)) == Counter(rows)
+        assert name not in want or Counter(r.doc_id for r in got) == want[name]
+        docs = spark.createDataFrame(got, out.schema)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
