@@ -239,6 +239,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, key: s
                 out.add(keys.fill_null(0).to_numpy(zero_copy_only=False), keys.is_null().to_numpy(zero_copy_only=False), ids, sizes)
         if out is not None:
             told = out.close()
+            tx.release()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "file": [name], **{k: pa.array([v], pa.int64()) for k, v in told.items()}})
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))

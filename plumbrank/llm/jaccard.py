@@ -137,6 +137,7 @@ def _supported(rows: DataFrame, percent: int) -> DataFrame:
                 "short": pa.array(np.concatenate([np.where(many, -1, name[owner[first]]), name])),
                 "own": pa.array(np.concatenate([np.zeros(len(first), np.int64), count << 32 | support(n, percent)[1]])),
             })
+        tx.release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # of the last shingle: itself, the last class that has it, whether it is shared, whether that class was not told so
@@ -159,6 +160,7 @@ def _supported(rows: DataFrame, percent: int) -> DataFrame:
                 counts.append(np.ones(len(names[1]), np.int64))
                 needs.append(np.zeros(len(names[1]), np.int64))
             yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(v)) for k, v in (("short", names), ("count", counts), ("need", needs))})
+        tx.release()
 
     sent = rows.select("short", "n", "key", "tokens").mapInArrow(pack, "token long, short long, own long")
     met = sent.repartition(shuffle_partitions(rows.sparkSession), "token").sortWithinPartitions("token", "short").mapInArrow(meet, "short long, count long, need long")
@@ -378,6 +380,8 @@ def _joined(bundles: DataFrame, percent: int) -> DataFrame:
         sets = np.split(tokens.flatten().to_numpy(), ends[:-1])
         two = table["i"][0].as_py() != table["j"][0].as_py()
         found = np.array(links(sets, percent, (own != own[0]).astype(int) if two else None), np.int64).reshape(-1, 2)
+        if len(names) > 100:
+            tx.release()
         return pa.table({"a": pa.array(names[found[:, 0]]), "b": pa.array(names[found[:, 1]])})
 
     return dealt.groupBy("kind", "bundle", "i", "j").applyInArrow(join, "a long, b long")

@@ -9,6 +9,7 @@ text where that is larger, a few bytes for each of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,9 @@ HASH_BYTES = 512 << 10
 #: A longer span is hashed in pieces of this size, whose hashes are folded.
 LONG_SPAN = 64 << 10
 
+#: glibc's own call for it; other C libraries have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -100,6 +104,13 @@ class Texts:
         return out
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker is used again, and keeps no more than it needs."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Texts]]:
     """The batch in slices of about `limit` bytes of text; a longer text makes its own slice."""
     texts = batch.column(batch.schema.get_field_index(column))
@@ -110,7 +121,7 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, to - at), Texts.of(texts.slice(at, to - at))
         at = to
-    pa.default_memory_pool().release_unused()  # a reused worker keeps no more than it needs
+    release()
 
 
 @dataclass

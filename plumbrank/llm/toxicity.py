@@ -146,6 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
                 at = at.astype(np.int32)  # one array for a block, of which examples are views: memory that goes back as a whole
                 examples += [(at[a:b], y) for a, b, y in zip(cut[:-1].tolist(), cut[1:].tolist(), part.column(2).to_pylist(), strict=True)]
         places, values, bias = fit_rows(examples, params, bits)
+        del examples
+        tx.release()
         yield pa.RecordBatch.from_pydict({"place": pa.array(np.append(places, -1), pa.int64()), "weight": pa.array(np.append(values, bias))})
 
     learned = sample.repartition(1).sortWithinPartitions("_h", "_id").mapInArrow(train, "place long, weight double").collect()
