@@ -34,7 +34,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         space.write_run(found)
         outcomes[system.name] = found
         values = ", ".join(f"{r.measure} {r.value:.4f}" for r in found.summary().orderBy("measure").collect())
-        print(f"{found.manifest.run_id}{' (ranking from cache)' if found.cached else ''}: {values}")
+        print(f"{found.run_id}{' (ranking from cache)' if found.cached else ''}: {values}")
     base = outcomes[experiment.baseline_system().name]
     for system in experiment.others():
         other = compare.compare(base, outcomes[system.name], dataset)

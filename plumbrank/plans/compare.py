@@ -31,7 +31,7 @@ class Comparison:
 
 def compare(left: RunOutcome, right: RunOutcome, dataset: Dataset, seed: int = significance.SEED, resamples: int = significance.RESAMPLES) -> Comparison:
     """Runs that do not cover the same queries, or that the trust gate calls incomparable, are refused."""
-    commit = lambda o, s: (p := o.manifest.stage(s)) and p.environment.engine_commit
+    commit = lambda o, s: (p := o.manifest.step(s)) and p["commit"]
     changed = {s: source_changed(commit(left, s), commit(right, s), s) for s in COMPARED_STAGES}
     verdict = assess(left.manifest, right.manifest, COMPARED_STAGES, changed)
     shared = [x for x in left.measures if x in right.measures]
@@ -40,6 +40,6 @@ def compare(left: RunOutcome, right: RunOutcome, dataset: Dataset, seed: int = s
     if verdict.level == Trust.INCOMPARABLE:
         raise ValueError("the runs cannot be compared: " + "; ".join(verdict.reasons))
     deltas = materialise(diff.compare_runs(left.run, right.run, dataset.qrels, left.diagnosis.evidence, right.diagnosis.evidence), "deltas")
-    a, b = left.manifest.run_id, right.manifest.run_id
-    what = fingerprint({"left": a, "right": b, "labels": left.manifest.labels, "corpus": left.manifest.corpus, "seed": seed, "resamples": resamples})
+    a, b, data = left.run_id, right.run_id, left.manifest["data"]
+    what = fingerprint({"left": a, "right": b, "labels": data["labels"], "corpus": data["corpus"], "seed": seed, "resamples": resamples})
     return Comparison(f"{left.name}-vs-{right.name}-{what[3:11]}", left, right, verdict, rows, deltas)

@@ -49,14 +49,17 @@ def read_json(path: str) -> dict[str, Any]:
 
 
 def write_stage_provenance(directory: str, provenance: Any) -> None:
-    write_json(os.path.join(directory, "stage.json"), provenance.model_dump(mode="json"))
+    write_json(os.path.join(directory, "stage.json"), provenance.parts)
 
 
 def read_stage_provenance(directory: str, expect_key: str | None = None) -> Any:
-    """expect_key: the key under which the directory was found; another one inside is refused."""
-    from ..plans.manifest import StageProvenance
-
-    found = StageProvenance.model_validate(read_json(os.path.join(directory, "stage.json")))
-    if expect_key is not None and found.key != expect_key:
-        raise ValueError(f"{directory}: holds {found.key}, not {expect_key}")
+    """expect_key: the key under which the directory was found; another one inside, or more than one step, is refused."""
+    from ..plans.manifest import STEP, Record
+
+    found = Record.parse(read_json(os.path.join(directory, "stage.json")))
+    if list(found.parts) != [STEP + x for x in found.steps()] or len(found.parts) != 1:
+        raise ValueError(f"{directory}: not the record of one step")
+    key = next(iter(found.parts.values()))["key"]
+    if expect_key is not None and key != expect_key:
+        raise ValueError(f"{directory}: holds {key}, not {expect_key}")
     return found

@@ -44,14 +44,14 @@ class Workspace:
         calibration = outcome.diagnosis.calibration.first()
         about = {
             "layout_version": LAYOUT_VERSION,
-            "manifest": outcome.manifest.model_dump(mode="json"),
+            "manifest": outcome.manifest.parts,
             "dataset": {"name": outcome.dataset.name, "path": outcome.dataset.path},
             "measures": list(outcome.measures),
             "calibration": calibration.asDict(),
         }
         store = Store(self.root)
-        store.forget("run", outcome.manifest.run_id)
-        with store.reserve("run", outcome.manifest.run_id) as at:
+        store.forget("run", outcome.run_id)
+        with store.reserve("run", outcome.run_id) as at:
             tables = {
                 "run": (outcome.run, schemas.RUN, ("query_id", "rank")),
                 "metrics": (outcome.metrics, schemas.METRICS, ("query_id", "measure")),
@@ -62,11 +62,11 @@ class Workspace:
                 write_table(df, os.path.join(at, f"{name}.parquet"), schema, *order)
             write_json(os.path.join(at, "manifest.json"), about)
         self.write_index()
-        return self._path("run", outcome.manifest.run_id)
+        return self._path("run", outcome.run_id)
 
     def write_comparison(self, comparison: Any) -> str:
         """manifest.json and deltas; the runs are named, never copied."""
-        side = lambda o: {"run_id": o.manifest.run_id, "name": o.name}
+        side = lambda o: {"run_id": o.run_id, "name": o.name}
         keep = ("delta", "ci_low", "ci_high", "p_value", "n", "resamples", "seed", "alpha", "confidence", "is_real", "underpowered")
         about = {
             "layout_version": LAYOUT_VERSION,

@@ -364,10 +364,9 @@ def test_runs_round_trip(spark, tmp_path):
     assert [r.score for r in run_io.read_run(spark, str(tmp_path)).collect()] == scores
 
 
-def provenance(stage, **env):
-    base = dict(python="3.13", platform="linux", engine_commit="a" * 40, engine_dirty=False, packages={"pyspark": "4.1"}) | env
-    version = base.pop("impl_version", 1)
-    return manifest.StageProvenance(stage=stage, key="fp_x", impl_version=version, packages=("pyspark",), environment=manifest.Environment(**base))
+def provenance(stage, **change):
+    base = {"key": "fp_x", "version": 1, "params": {}, "inputs": [], "uses": ["pyspark"], "commit": "a" * 40, "dirty": False, "python": "3.13", "platform": "linux", "packages": {"pyspark": "4.1"}, "made_at": "t"}
+    return manifest.Record({manifest.STEP + stage: base | change})
 
 
 def test_more_measures(spark):
@@ -428,8 +427,11 @@ def test_unpaired_runs_are_refused_by_the_operator(spark):
             f(metric(spark, a), metric(spark, a[:2]))
 
 
-def manifest_of(stages=("retrieve", "evaluate"), corpus="c", labels="l", schema=1, **env):
-    return manifest.RunManifest(run_id="r", name="r", config="fp_c", corpus=corpus, labels=labels, schema_version=schema, stages=tuple(provenance(s, **env) for s in stages))
+def record_of(stages=("retrieve", "evaluate"), corpus="c", labels="l", schema=2, **change):
+    found = manifest.Record({"run": {"schema": schema, "id": "r", "name": "r", "config": "fp_c", "made_at": "t"}, "data": {"corpus": corpus, "labels": labels}})
+    for s in stages:
+        found |= provenance(s, **change)
+    return found
 
 
 @pytest.mark.parametrize(
@@ -438,28 +440,34 @@ def manifest_of(stages=("retrieve", "evaluate"), corpus="c", labels="l", schema=
         ({}, None, trust.Trust.IDENTICAL),
         ({"corpus": "d"}, None, trust.Trust.INCOMPARABLE),
         ({"labels": "m"}, None, trust.Trust.INCOMPARABLE),
-        ({"schema": 2}, None, trust.Trust.INCOMPARABLE),
+        ({"schema": 1}, None, trust.Trust.INCOMPARABLE),
         ({"stages": ("retrieve",)}, None, trust.Trust.INCOMPARABLE),
         ({"python": "3.12"}, None, trust.Trust.SUSPECT),
         ({"platform": "mac"}, None, trust.Trust.SUSPECT),
         ({"packages": {"pyspark": "3.5"}}, None, trust.Trust.SUSPECT),
         ({"packages": {"pyspark": "4.1", "pandas": "1"}}, None, trust.Trust.IDENTICAL),
-        ({"impl_version": 2}, None, trust.Trust.SUSPECT),
-        ({"engine_dirty": True}, None, trust.Trust.SUSPECT),
-        ({"engine_commit": None}, None, trust.Trust.SUSPECT),
-        ({"engine_commit": "b" * 40}, None, trust.Trust.SUSPECT),
-        ({"engine_commit": "b" * 40}, True, trust.Trust.SUSPECT),
-        ({"engine_commit": "b" * 40}, False, trust.Trust.COMPARABLE),
+        ({"version": 2}, None, trust.Trust.SUSPECT),
+        ({"dirty": True}, None, trust.Trust.SUSPECT),
+        ({"commit": None}, None, trust.Trust.SUSPECT),
+        ({"commit": "b" * 40}, None, trust.Trust.SUSPECT),
+        ({"commit": "b" * 40}, True, trust.Trust.SUSPECT),
+        ({"commit": "b" * 40}, False, trust.Trust.COMPARABLE),
     ],
 )
 def test_trust(change, changed, level):
-    verdict = trust.assess(manifest_of(), manifest_of(**change), ("retrieve", "evaluate"), {s: changed for s in ("retrieve", "evaluate")})
+    verdict = trust.assess(record_of(), record_of(**change), ("retrieve", "evaluate"), {s: changed for s in ("retrieve", "evaluate")})
     assert verdict.level == level and bool(verdict.reasons) == (level != trust.Trust.IDENTICAL)
 
 
 def test_manifests_are_strict():
-    with pytest.raises(ValueError):
-        manifest.Environment(python="3", platform="x", extra=1)
+    whole = record_of()
+    assert manifest.Record.parse(json.loads(json.dumps(whole.parts))) == whole and whole.steps() == ["retrieve", "evaluate"] and whole.step("rerank") is None
+    for bad in ({**whole["data"], "extra": 1}, {"corpus": "c"}, {"corpus": "c", "labels": None}, []):
+        with pytest.raises(ValueError):
+            manifest.Record({"data": bad})
+    for bad in ({"other": {}}, [whole.parts], None):
+        with pytest.raises(ValueError):
+            manifest.Record.parse(bad)
     for bad in (True, "1", 1.0):
         with pytest.raises(TypeError):
             manifest.impl_version({"impl_version": bad})
@@ -484,17 +492,17 @@ def test_pipeline_cache_and_comparison(spark, tmp_path):
     space = workspace.Workspace(str(tmp_path / "runs"))
     first = pipeline.execute(d, retrieve.build("bm25"), k=2, store=space.cache)
     second = pipeline.execute(d, retrieve.build("bm25"), k=2, store=space.cache)
-    assert (first.cached, second.cached) == (False, True) and first.run.collect() == second.run.collect() and first.manifest.run_id == second.manifest.run_id
+    assert (first.cached, second.cached) == (False, True) and first.run.collect() == second.run.collect() and first.run_id == second.run_id
     relabelled = dataset.load_dataset(spark, write_dataset(tmp_path / "ds2", GOOD[0], GOOD[1], GOOD[2][:2]))
     assert pipeline.execute(relabelled, retrieve.build("bm25"), k=2, store=space.cache).cached
     other = pipeline.execute(d, retrieve.build("bm25"), k=2, chunking=chunk.FixedWords(3, 1), reranker=rerank.build_reranker("coverage"), store=space.cache, name="other")
-    assert not other.cached and other.moved.count() == 2 and {s.stage for s in other.manifest.stages} == {"retrieve", "rerank", "evaluate", "diagnose"}
+    assert not other.cached and other.moved.count() == 2 and set(other.manifest.steps()) == {"retrieve", "rerank", "evaluate", "diagnose"}
     found = compare.compare(first, other, d, resamples=100)
     for o in (first, other):
         space.write_run(o)
     space.write_comparison(found)
-    assert space.runs() == sorted([first.manifest.run_id, other.manifest.run_id]) and space.comparisons() == [found.comparison_id]
-    assert space.table(spark, first.manifest.run_id, "metrics").count() == 6 and space.deltas(spark, found.comparison_id).count() == 2 and space.catalog(spark).count() == 3
+    assert space.runs() == sorted([first.run_id, other.run_id]) and space.comparisons() == [found.comparison_id]
+    assert space.table(spark, first.run_id, "metrics").count() == 6 and space.deltas(spark, found.comparison_id).count() == 2 and space.catalog(spark).count() == 3
     with pytest.raises(significance.NotPairedError):
         compare.compare(first, pipeline.execute(dataset.load_dataset(spark, write_dataset(tmp_path / "ds3", GOOD[0], GOOD[1], GOOD[2][:1])), retrieve.build("bm25"), k=2), d)
     with pytest.raises(ValueError, match="cannot be compared"):
