@@ -182,7 +182,7 @@ MEASURED = (*BOTH_STEPS, measures("lm", "lrun", MEASURES), measures("rm", "rrun"
 RE_EVIDENCE = (*RERANKED, evidence("xev", "xrun", "cand_best"))
 VIEW = "view_ AS (SELECT d.*, l.symptom AS left_symptom, r.symptom AS right_symptom FROM delta d JOIN lev l USING (query_id) JOIN rev r USING (query_id))"
 DRAW = f"drawn AS (SELECT query_id FROM lev WHERE symptom <> 'ok' ORDER BY md5('{labelling.SEED}:' || query_id), query_id LIMIT {DRAWN})"
-LABELS = "given AS (SELECT query_id, CASE WHEN query_id LIKE '%b' THEN 'lexical_mismatch' ELSE 'hard_negative' END AS cause FROM lev WHERE symptom <> 'ok' AND query_id NOT LIKE '%a')"
+LABELS = "given AS (SELECT query_id, symptom, CASE WHEN query_id LIKE '%b' THEN 'lexical_mismatch' ELSE 'hard_negative' END AS cause FROM lev WHERE symptom <> 'ok')"
 AGREED = "agreed AS (SELECT query_id, cause, coalesce(p, []) AS p, list_contains(coalesce(p, []), cause) AS hit FROM given LEFT JOIN (SELECT query_id, list(DISTINCT kind) AS p FROM lhyp GROUP BY query_id) USING (query_id))"
 R6 = lambda c: f"round({c}, 6) AS {c}"
 EVIDENCE_COLUMNS = f"query_id, symptom, gold_rank, best_relevant, top1, top1_is_relevant, {R6('score_margin')}, {R6('query_gold_overlap')}, {R6('competitor_gold_overlap')}, query_token_count, tied_with_top1, gold_score_is_zero, retrieved_with_zero_score, rank_before_rerank"
@@ -261,8 +261,8 @@ hits AS (SELECT query_id, string_agg(concat_ws(':', rank, doc_id, hit), ',' ORDE
 SELECT query_id, q.text AS query, symptom, gold_rank, gold_id, md5(substr(c.text, 1, {labelling.SNIPPET})) AS gold_md5, retrieved, {R6('query_gold_overlap')} FROM known JOIN queries q USING (query_id) JOIN corpus c ON c.doc_id = gold_id JOIN hits USING (query_id)""",
     "label_agreement": _with(*DIAGNOSED, LABELS, AGREED) + "SELECT (SELECT count(*) FROM given) AS labelled, count(*) AS compared, count(*) FILTER (hit) AS agreed, round(CASE WHEN count(*) > 0 THEN count(*) FILTER (hit) / count(*)::DOUBLE END, 6) AS accuracy FROM agreed",
     "label_agreement_by_cause": _with(*DIAGNOSED, LABELS, AGREED) + "SELECT kind AS cause, coalesce(said, 0) AS said, coalesce(confirmed, 0) AS confirmed, coalesce(missed, 0) AS missed, round(confirmed / said::DOUBLE, 6) AS precision FROM (SELECT kind, count(*) AS said, count(*) FILTER (kind = cause) AS confirmed FROM (SELECT cause, unnest(p) AS kind FROM agreed) GROUP BY kind) FULL JOIN (SELECT cause AS kind, count(*) AS missed FROM agreed WHERE NOT hit GROUP BY cause) USING (kind)",
-    "label_unlabelled": _with(*DIAGNOSED, DRAW, LABELS) + "SELECT query_id FROM drawn ANTI JOIN given USING (query_id)",
-    "referential_violations": "SELECT doc_id::VARCHAR AS doc_id FROM labels ANTI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') USING (doc_id)",
+    "label_unlabelled": _with(*DIAGNOSED, DRAW, LABELS) + "SELECT query_id FROM drawn ANTI JOIN (FROM given WHERE symptom <> 'miss') USING (query_id)",
+    "referential_violations": "SELECT doc_id::VARCHAR AS doc_id FROM documents ANTI JOIN labels USING (doc_id)",
     "duplicate_ids": "SELECT conv_id::VARCHAR AS query_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1",
     "flagship_known_item": _with(*LEFT_STEPS) + "SELECT query_id, gold_rank, CASE WHEN gold_rank IS NULL THEN 'miss' WHEN gold_rank = 1 THEN 'ok' ELSE 'rank' END AS symptom, coalesce(round(1e0 / gold_rank, 6), 0) AS rr FROM lrun_best",
 }

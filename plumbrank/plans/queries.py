@@ -403,37 +403,37 @@ def label_cases(spark, sf):
 
 
 def _labels(spark, sf) -> DataFrame:
-    """Stand-in for a filled sheet: every failing query that isn't an `a` formulation, its cause by formulation."""
-    failing = tasks.diagnosis(spark, sf, "left").failing().select("query_id")
-    return failing.filter("not endswith(query_id, 'a')").withColumn("cause", F.when(F.endswith("query_id", F.lit("b")), "lexical_mismatch").otherwise("hard_negative"))
+    """Stand-in for a filled sheet: every failing query, its cause by formulation."""
+    failing = tasks.diagnosis(spark, sf, "left").failing().select("query_id", "symptom")
+    return failing.withColumn("cause", F.when(F.endswith("query_id", F.lit("b")), "lexical_mismatch").otherwise("hard_negative"))
 
 
 @query
 def label_agreement(spark, sf):
     d = tasks.diagnosis(spark, sf, "left")
-    return rounded(labelling.agreement(_labels(spark, sf), d.evidence, d.hypotheses))
+    return rounded(labelling.agreement(_labels(spark, sf).select("query_id", "cause"), d.evidence, d.hypotheses))
 
 
 @query
 def label_agreement_by_cause(spark, sf):
     d = tasks.diagnosis(spark, sf, "left")
-    return rounded(labelling.agreement_by_cause(_labels(spark, sf), d.evidence, d.hypotheses))
+    return rounded(labelling.agreement_by_cause(_labels(spark, sf).select("query_id", "cause"), d.evidence, d.hypotheses))
 
 
 @query
 def label_unlabelled(spark, sf):
-    return labelling.unlabelled(_drawn(spark, sf), _labels(spark, sf))
+    """Drawn failures that a sheet lacks whose writer left the misses open."""
+    return labelling.unlabelled(_drawn(spark, sf), _labels(spark, sf).filter("symptom <> 'miss'"))
 
 
 @query
 def referential_violations(spark, sf):
-    """Labels of documents or queries that a corpus lacks; `labels` stands in for labels, `documents` of one language for the corpus."""
+    """Ids that are referred to and not there: `documents` against the ids that `labels` knows."""
     from ..session import read_table
     from ..sources.dataset import dangling
 
-    docs = read_table(spark, sf, "documents").filter("lang = 'en'").select(F.col("doc_id").cast("string").alias("doc_id"))
-    rows = read_table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("doc_id"))
-    return dangling(rows, docs, "doc_id")
+    rows, known = (read_table(spark, sf, x).select(F.col("doc_id").cast("string").alias("doc_id")) for x in ("documents", "labels"))
+    return dangling(rows, known, "doc_id")
 
 
 @query
