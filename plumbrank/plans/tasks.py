@@ -44,15 +44,18 @@ def known_item(spark: SparkSession, sf_dir: str) -> Task:
 
 
 def passage(spark: SparkSession, sf_dir: str) -> Task:
-    """Labels: the documents that contain an item's text. An item of three or more words meets only documents with its second word."""
+    """Labels: the documents that contain an item's text. An item of three or more words meets only documents with its longest inner word."""
     docs = corpus(spark, sf_dir)
     items = read_table(spark, sf_dir, "benchmark").filter("length(text) > 0").select(F.concat(F.lit("b-"), F.col("item_id").cast("string")).alias("query_id"), "text")
-    # A document holds an item's text only if it has the item's second run of letters as a whole word
-    # (the first may be cut by what stands before, the last by what stands behind): an equi-join, then the exact test.
+    # A document holds an item's text only if it has each of the item's inner runs of letters as a whole word (the first
+    # may be cut by what stands before, the last by what stands behind). The longest is likely rare: an equi-join of ids
+    # on it, then the exact test, to which texts come once for each pair.
     letters = lambda t: F.regexp_extract_all(t, F.lit(r"[\p{L}]+"), F.lit(0))
-    by_word = items.select("query_id", F.col("text").alias("_item"), F.when(F.size(letters(F.col("text"))) > 2, F.get(letters(F.col("text")), F.lit(1))).alias("_w"))
-    found = docs.select("doc_id", F.explode(F.array_distinct(letters(F.col("text")))).alias("_w")).join(by_word.select("_w", "query_id", "_item").filter("_w is not null"), "_w")
-    hits = found.join(docs, "doc_id").filter(F.col("text").contains(F.col("_item")))
+    runs = letters(F.col("text"))
+    longest = F.array_max(F.transform(F.slice(runs, 2, F.greatest(F.size(runs) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    by_word = items.select("query_id", F.col("text").alias("_item"), longest.alias("_w"))
+    found = docs.select("doc_id", F.explode(F.array_distinct(letters(F.col("text")))).alias("_w")).join(by_word.select("_w", "query_id").filter("_w is not null"), "_w").select("doc_id", "query_id")
+    hits = found.join(docs, "doc_id").join(by_word.select("query_id", "_item"), "query_id").filter(F.col("text").contains(F.col("_item")))
     short = by_word.filter("_w is null")  # too few words for that: a stated set of queries, tested against all documents
     if not short.isEmpty():
         hits = hits.select("query_id", "doc_id").unionByName(docs.join(short, F.col("text").contains(F.col("_item"))).select("query_id", "doc_id"))
