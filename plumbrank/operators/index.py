@@ -46,20 +46,23 @@ class TermIndex:
 
     @classmethod
     def build(cls, units: DataFrame, unit: str, stopwords: str | None, stemmer: str | None, lower: bool, pattern: str, keep: bool) -> TermIndex:
-        """keep: write postings once, those of a file sorted by term; else they are a part of each search's plan."""
+        """keep: write postings once, those of a file sorted by term; else they are a part of each search's plan.
+
+        The one shuffle, of texts by unit, serves the count too; statistics of what was
+        written come from it, so that texts are tokenised once.
+        """
         found = text.stem_column(text.terms(F.col("text"), stopwords, lower, pattern), stemmer)
         tokenised = units.select(unit, "text").repartition(unit).select(unit, found.alias("terms"))
-        if keep:
-            tokenised = materialise(tokenised, "terms")
-        size = lengths(tokenised, unit)
         # dl rides along: postings then need no join with lengths.
         exploded = tokenised.select(unit, F.size("terms").cast("double").alias("dl"), F.explode("terms").alias("term"))
         postings = exploded.groupBy(unit, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("dl").alias("dl"))
-        frequency = document_frequency(postings)
-        if keep:
-            postings = materialise(postings.sortWithinPartitions("term"), "postings")
-            frequency = materialise(document_frequency(postings), "frequency")
-        return cls(unit, postings, frequency, length_stats(size), units.select(unit))
+        if not keep:
+            return cls(unit, postings, document_frequency(postings), length_stats(lengths(tokenised, unit)), units.select(unit))
+        postings = materialise(postings.sortWithinPartitions("term"), "postings")
+        counted = materialise(postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("tf").alias("_all")), "frequency")
+        rows = units.agg(F.count(F.lit(1)).cast("double").alias("n"), F.count("text").alias("_texts"))
+        stats = counted.agg(F.sum("_all").alias("_all")).crossJoin(rows).select("n", F.coalesce(F.try_divide("_all", "_texts"), F.lit(0.0)).alias("avgdl"))
+        return cls(unit, postings, counted.select("term", "df"), stats, units.select(unit))
 
 
 def smoothed_idf(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:

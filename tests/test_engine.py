@@ -527,6 +527,15 @@ def test_index_statistics(spark, corpus):
     assert index.smoothed_idf(corpus).filter("term = 'oven'").first().idf == pytest.approx(math.log(4 / 2) + 1)
 
 
+def test_kept_and_planned_indexes_are_the_same(spark):
+    rows = [("a", "rust rust oven"), ("b", ""), ("c", None), ("d", "the oven")]
+    for units in (spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame([], "doc_id string, text string")):
+        kept, planned = (index.TermIndex.build(units, "doc_id", "en", None, True, text.TERM, keep) for keep in (True, False))
+        for part in ("postings", "frequency", "stats"):
+            a, b = (getattr(x, part) for x in (kept, planned))
+            assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_passage_labels_of_short_items(spark, tmp_path):
     texts = {1: "a foo bar here", 2: "foo ba", 3: "xfoo ba-r", 4: "one two threefold", 5: "one twofold three", 6: "nothing"}
     items = {1: "foo ba", 2: "one two three", 3: "foo", 4: "ba"}
