@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table
-from . import binary, fingerprint, fmindex, jaccard, langid, licences, mixing, secrets, tokens, toxicity
+from . import balltree, binary, divergence, fingerprint, fmindex, jaccard, langid, licences, mixing, packing, secrets, tokens, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -66,7 +66,22 @@ def op10_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.binary_query(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between sources of a language over its terms, and the terms that each source has more of; null texts, languages and sources are empty."""
+    return divergence.divergence_query(read_table(spark, sf_dir, "documents"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every piece of every text; null texts hold the end id alone, repeated rows are documents of their own."""
+    return packing.packing_query(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for each anchor's positives; rows that lack a label, a vector or a finite component take no part."""
+    return balltree.negatives_query(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprint, op2_token_counts, op3_secrets, op4_decontamination, op5_licences, op6_language, op7_jaccard_join, op8_toxicity, op9_mixing, op10_binary)
+    f.__name__: f for f in (op1_fingerprint, op2_token_counts, op3_secrets, op4_decontamination, op5_licences, op6_language, op7_jaccard_join, op8_toxicity, op9_mixing, op10_binary, op11_divergence, op12_packing, op13_hard_negatives)
 }
-ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.oracle_sql(), "op5_licences": licences.oracle_sql(), "op9_mixing": mixing.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_secrets": secrets.oracle_sql(), "op5_licences": licences.oracle_sql(), "op9_mixing": mixing.oracle_sql(), "op11_divergence": divergence.oracle_sql(), "op13_hard_negatives": balltree.oracle_sql()}

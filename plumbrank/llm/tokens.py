@@ -47,10 +47,11 @@ def _before_marks(data: np.ndarray, mark: np.ndarray) -> np.ndarray:
 
 def cut_words(texts: tx.Texts, mark: np.ndarray) -> tx.Spans:
     """Pieces without white space, for tokenizers that drop it and keep punctuation apart from words."""
-    at = tx.spans(texts, tx.NOT_SPACE)
-    inner = np.setdiff1d(_before_marks(texts.data, mark), texts.offsets)
-    starts, ends = np.union1d(at.starts, inner), np.union1d(at.ends, inner)
-    return tx.Spans(starts, ends, np.searchsorted(starts, texts.offsets))
+    at, inner = tx.spans(texts, tx.NOT_SPACE), _before_marks(texts.data, mark)
+    begin, end = np.zeros(len(texts.data) + 1, bool), np.zeros(len(texts.data) + 1, bool)
+    begin[at.starts] = begin[inner] = end[at.ends] = end[inner] = True
+    starts = np.flatnonzero(begin)
+    return tx.Spans(starts, np.flatnonzero(end), np.searchsorted(starts, texts.offsets))
 
 
 def cut_tiles(texts: tx.Texts, mark: np.ndarray) -> tx.Spans:
