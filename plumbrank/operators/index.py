@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..session import materialise, spread
+from ..session import spread
 
 
 def term_frequency(tokens: DataFrame, unit: str, term: str = "term") -> DataFrame:
@@ -32,11 +32,7 @@ def length_stats(lengths_: DataFrame) -> DataFrame:
 
 @dataclass
 class TermIndex:
-    """postings(unit, term, tf, dl), frequency(term, df), stats(n, avgdl), units(unit).
-
-    A unit's terms are counted where its text lies, so no term is a hot key and sums over
-    a unit's postings fold ahead of their shuffle.
-    """
+    """postings(unit, term, tf, dl), frequency(term, df), stats(n, avgdl), units(unit), as parts of a plan."""
 
     unit: str
     postings: DataFrame
@@ -45,24 +41,14 @@ class TermIndex:
     units: DataFrame
 
     @classmethod
-    def build(cls, units: DataFrame, unit: str, stopwords: str | None, stemmer: str | None, lower: bool, pattern: str, keep: bool) -> TermIndex:
-        """keep: write postings once, those of a file sorted by term; else they are a part of each search's plan.
-
-        The one shuffle, of texts by unit, serves the count too; statistics of what was
-        written come from it, so that texts are tokenised once.
-        """
+    def build(cls, units: DataFrame, unit: str, stopwords: str | None, stemmer: str | None, lower: bool, pattern: str) -> TermIndex:
+        """Occurrences are counted ahead of the exchange, which no text goes through."""
         found = text.stem_column(text.terms(F.col("text"), stopwords, lower, pattern), stemmer)
-        tokenised = units.select(unit, "text").repartition(unit).select(unit, found.alias("terms"))
+        tokenised = spread(units.select(unit, "text")).select(unit, found.alias("terms"))
         # dl rides along: postings then need no join with lengths.
         exploded = tokenised.select(unit, F.size("terms").cast("double").alias("dl"), F.explode("terms").alias("term"))
         postings = exploded.groupBy(unit, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("dl").alias("dl"))
-        if not keep:
-            return cls(unit, postings, document_frequency(postings), length_stats(lengths(tokenised, unit)), units.select(unit))
-        postings = materialise(postings.sortWithinPartitions("term"), "postings")
-        counted = materialise(postings.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("tf").alias("_all")), "frequency")
-        rows = units.agg(F.count(F.lit(1)).cast("double").alias("n"), F.count("text").alias("_texts"))
-        stats = counted.agg(F.sum("_all").alias("_all")).crossJoin(rows).select("n", F.coalesce(F.try_divide("_all", "_texts"), F.lit(0.0)).alias("avgdl"))
-        return cls(unit, postings, counted.select("term", "df"), stats, units.select(unit))
+        return cls(unit, postings, document_frequency(postings), length_stats(lengths(tokenised, unit)), units.select(unit))
 
 
 def smoothed_idf(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:

@@ -14,12 +14,12 @@ from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..session import broadcast_if_small, materialise
-from .index import TermIndex, document_frequency
+from ..session import broadcast_if_small, materialise, spread
+from .postings import COUNTED, WEIGHED, PostingsIndex, indexed, inverted, inverted_grams, packed, search, unpacked
 from .ranking import rank
 
 #: Bytes of query vectors in one broadcast; more go over the corpus in blocks.
@@ -37,18 +37,15 @@ class Retriever(Protocol):
     def search(self, queries: DataFrame, k: int) -> DataFrame: ...
 
 
-def padded(hits: DataFrame, queries: DataFrame, units: DataFrame, k: int, offset: DataFrame | None = None, dtype: str = "float64") -> DataFrame:
-    """Top k of hits, filled up with units of no match in order of their ids.
+def padded(matches: DataFrame, queries: DataFrame, units: DataFrame, k: int, offset: DataFrame | None = None, dtype: str = "float64") -> DataFrame:
+    """Top k of matches, filled up with units of no match in order of their ids.
 
-    hits: (query_id, unit_id, score) of matches; only those above 0 count. offset:
+    matches: (query_id, unit_id, score) of units that score above 0 by themselves; offset:
     (query_id, offset), what each unit has without a match. Scores are of `dtype` before
     they are ranked, so what its precision makes equal is in order of ids. Matches are
     ranked and written once; only queries with fewer than k of them are filled up, from
     the first k ids.
     """
-    matches = hits.filter(F.round("score", scoring.PLACES) > 0).select("query_id", "unit_id", "score")
-    if offset is not None:
-        matches = matches.join(offset, "query_id", "left").select("query_id", "unit_id", (F.col("score") + F.coalesce("offset", F.lit(0.0))).alias("score"))
     ranked = materialise(rank(_precise(matches, dtype), k, "unit_id"), "ranked")
     short = queries.select("query_id").distinct().join(ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n")), "query_id", "left").filter(F.coalesce("_n", F.lit(0)) < k).select("query_id")
     first = units.select("unit_id").orderBy("unit_id").limit(k)
@@ -76,6 +73,8 @@ def pinned(model_id: str, revision: str | None, resolve: Callable[[str], str | N
 
 @dataclass
 class BM25Retriever:
+    """An index holds all terms and serves any method, k1, b and stop words; only with a stemmer, which may make a stop word of another, does it lack the stop words."""
+
     name: str = "bm25"
     k1: float = 1.5
     b: float = 0.75
@@ -85,8 +84,7 @@ class BM25Retriever:
     token_pattern: str = text.TERM
     lower: bool = True
     dtype: str = "float64"
-    keep_index: bool = True
-    _index: TermIndex | None = field(default=None, repr=False)
+    _index: PostingsIndex | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         scoring.check_method(self.method)
@@ -95,8 +93,21 @@ class BM25Retriever:
     def descriptor(self) -> dict[str, Any]:
         return {"kind": "bm25", "k1": self.k1, "b": self.b, "method": self.method, "stopwords": self.stopwords, "stemmer": self.stemmer, "token_pattern": self.token_pattern, "lower": self.lower, "dtype": self.dtype, "impl_version": 1}
 
+    @property
+    def index_options(self) -> tuple:
+        """Retrievers for which these are the same can share an index."""
+        return "bm25", self.lower, self.token_pattern, self.stemmer, self.stopwords if self.stemmer else None
+
     def index(self, units: DataFrame) -> None:
-        self._index = TermIndex.build(units, "unit_id", self.stopwords, self.stemmer, self.lower, self.token_pattern, self.keep_index)
+        found = text.stem_column(text.terms(F.col("text"), self.stopwords if self.stemmer else None, self.lower, self.token_pattern), self.stemmer)
+        rows = spread(units.select("unit_id", "text")).select("unit_id", found.alias("terms"))
+        stop = F.lit(0) if self.stemmer else F.size(F.filter("terms", lambda t: t.isin(*text.ENGLISH_STOPWORDS)))
+        self._index = indexed(inverted(rows.withColumn("stop", stop)))
+
+    def share(self, other: PostingsIndex | None = None) -> PostingsIndex | None:
+        """The index, or take over another's."""
+        self._index = other or self._index
+        return self._index
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         ix = self._index
@@ -104,25 +115,32 @@ class BM25Retriever:
             raise ValueError("index() comes before search()")
         found = text.stem_column(text.terms(F.col("text"), self.stopwords, self.lower, self.token_pattern), self.stemmer)
         wanted = queries.select("query_id", F.explode(found).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("qtf"))
-        stats = F.broadcast(ix.stats)
-        known = wanted.join(ix.frequency, "term").crossJoin(stats).withColumn("w", F.col("qtf") * scoring.bm25_idf(self.method, F.col("n"), F.col("df")))
-        add = F.col("w") * scoring.bm25_tf(self.method, self.k1, self.b, F.col("tf"), F.col("dl"), F.col("avgdl"))
-        hits = ix.postings.join(known, "term").groupBy("query_id", "unit_id").agg(F.sum(add).alias("score"))
+        w = F.col("qtf") * scoring.bm25_idf(self.method, F.lit(float(ix.totals[0])), F.col("df").cast("double"))
+        stopped = self.stopwords is not None and not self.stemmer
         absent = scoring.bm25_absent(self.method, self.k1)
-        offset = known.groupBy("query_id").agg((F.sum("w") * absent).alias("offset")) if absent else None
-        return padded(hits, queries, ix.units, k, offset, self.dtype)
+        offset = F.sum("w").over(Window.partitionBy("query_id")) * absent
+        known = wanted.join(ix.terms, "term").withColumn("w", w).withColumn("offset", offset if absent else F.lit(0.0))
+        method, k1, b, avgdl = self.method, self.k1, self.b, ix.mean_length(stopped)
+
+        def impact(of: np.ndarray) -> np.ndarray:
+            return scoring.bm25_tf(method, k1, b, of["tf"].astype(float), (of["dl"] - of["stop"] if stopped else of["dl"]).astype(float), avgdl)
+
+        bound = scoring.bm25_tf(method, k1, b, F.col("most_tf").cast("double"), F.col("least_kept" if stopped else "least_dl").cast("double"), F.lit(avgdl))
+        hits = search(ix, known, k, COUNTED, impact, bound, self.dtype)
+        return padded(hits, queries, ix.units, k, known.select("query_id", "offset").distinct() if absent else None, self.dtype)
 
 
 @dataclass
 class TfidfRetriever:
+    """Postings hold a unit's weights over their length, so that a cosine is a sum over what a query has."""
+
     name: str = "tfidf"
     ngram_range: tuple[int, int] = (3, 5)
     lower: bool = True
     sublinear_tf: bool = True
     smooth_idf: bool = True
     dtype: str = "float64"
-    keep_index: bool = True
-    _index: tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None = field(default=None, repr=False)
+    _index: PostingsIndex | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         low, high = self.ngram_range
@@ -133,39 +151,44 @@ class TfidfRetriever:
     def descriptor(self) -> dict[str, Any]:
         return {"kind": "tfidf", "ngram_range": list(self.ngram_range), "lower": self.lower, "sublinear_tf": self.sublinear_tf, "smooth_idf": self.smooth_idf, "dtype": self.dtype, "impl_version": 1}
 
-    def _grams(self, rows: DataFrame, unit: str) -> DataFrame:
-        found = text.char_ngrams(rows, unit, *self.ngram_range, self.lower)
-        return found.groupBy(unit, "gram").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-
-    def _weighted(self, grams: DataFrame, idf: DataFrame) -> DataFrame:
-        return grams.join(idf, "gram").withColumn("w", scoring.tf_weight(F.col("tf"), self.sublinear_tf) * F.col("idf"))
+    def _idf(self, units: int) -> Column:
+        return scoring.smooth_idf(F.lit(float(units)), F.col("df").cast("double"), self.smooth_idf)
 
     def index(self, units: DataFrame) -> None:
-        # Grams are counted where a unit's text lies: only texts are shuffled, never grams.
-        grams = self._grams(units.select("unit_id", "text").repartition("unit_id"), "unit_id")
-        n = F.broadcast(units.agg(F.count(F.lit(1)).cast("double").alias("n")))
-        if self.keep_index:
-            grams = materialise(grams, "grams")
-        idf = document_frequency(grams, "gram").crossJoin(n).select("gram", scoring.smooth_idf(F.col("n"), F.col("df"), self.smooth_idf).alias("idf"))
-        if self.keep_index:
-            idf = broadcast_if_small(materialise(idf, "idf"))
-        norms = self._weighted(grams, idf).groupBy("unit_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        self._index = (grams, idf, materialise(norms, "norms") if self.keep_index else norms, units.select("unit_id"))
+        sublinear = self.sublinear_tf
+
+        def weigh(rows: pa.Table) -> pa.Table:
+            """Of one segment: a unit's weights over their length."""
+            count = rows["n"].to_numpy()
+            given = np.concatenate([unpacked(x, COUNTED) for x in rows["data"].chunks])
+            tf = given["tf"].astype(float)
+            weight = (1 + np.log(tf) if sublinear else tf) * np.repeat(rows["idf"].to_numpy(), count)
+            norm = np.sqrt(np.bincount(given["doc"], weight**2))
+            records = np.empty(len(given), WEIGHED)
+            records["doc"], records["dl"], records["impact"] = given["doc"], given["dl"], weight / np.where(norm == 0, 1.0, norm)[given["doc"]]
+            starts = np.cumsum(count) - count
+            most = np.maximum.reduceat(records["impact"], starts)
+            return pa.table({"segment": rows["segment"], "term": rows["term"], "at": rows["at"], "n": rows["n"], "most": pa.array(most), "data": packed(records, starts)})
+
+        def weighed(blocks: DataFrame, counted: DataFrame, n: int) -> DataFrame:
+            idf = broadcast_if_small(materialise(counted.select("term", self._idf(n).alias("idf")), "idf"))
+            rows = blocks.select("segment", "term", "at", "n", "data").join(idf, "term")
+            return rows.groupBy("segment").applyInArrow(weigh, "segment long, term string, at int, n int, most double, data binary")
+
+        lowered = F.lower("text") if self.lower else F.col("text")
+        self._index = indexed(inverted_grams(spread(units.select("unit_id", lowered.alias("text"))), *self.ngram_range), weighed)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        if self._index is None:
+        ix = self._index
+        if ix is None:
             raise ValueError("index() comes before search()")
-        grams, idf, norms, units = self._index
+        grams = text.char_ngrams(queries, "query_id", *self.ngram_range, self.lower).groupBy("query_id", F.col("gram").alias("term")).agg(F.count(F.lit(1)).cast("double").alias("tf"))
         # Grams that the corpus lacks have no idf: they leave the query's vector, its norm too.
-        asked = self._weighted(self._grams(queries, "query_id"), idf).select("query_id", "gram", "idf", F.col("w").alias("qw"))
-        qnorm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-        dw = scoring.tf_weight(F.col("tf"), self.sublinear_tf) * F.col("idf")
-        if self.keep_index:
-            asked = broadcast_if_small(materialise(asked, "asked"))
-        dots = grams.join(asked, "gram").groupBy("query_id", "unit_id").agg(F.sum(F.col("qw") * dw).alias("dot"))
-        one = lambda c: F.when(F.col(c) == 0, F.lit(1.0)).otherwise(F.col(c))
-        hits = dots.join(norms, "unit_id").join(qnorm, "query_id").select("query_id", "unit_id", (F.col("dot") / (one("norm") * one("qnorm"))).alias("score"))
-        return padded(hits, queries, units, k, None, self.dtype)
+        asked = grams.join(ix.terms, "term").withColumn("qw", scoring.tf_weight(F.col("tf"), self.sublinear_tf) * self._idf(ix.totals[0]))
+        norm = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id")))
+        known = asked.select("query_id", "term", "df", "first", "last", (F.col("qw") / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).alias("w"), F.lit(0.0).alias("offset"))
+        hits = search(ix, known, k, WEIGHED, lambda of: of["impact"].copy(), F.col("most"), self.dtype, unit_length=True)
+        return padded(hits, queries, ix.units, k, None, self.dtype)
 
 
 @dataclass

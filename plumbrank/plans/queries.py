@@ -50,7 +50,7 @@ def word_split(spark, sf):
 
 
 def _term_index(spark, sf) -> index.TermIndex:
-    return index.TermIndex.build(tasks.corpus(spark, sf), "doc_id", "en", None, True, text.TERM, keep=False)
+    return index.TermIndex.build(tasks.corpus(spark, sf), "doc_id", "en", None, True, text.TERM)
 
 
 @query

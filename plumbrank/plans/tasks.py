@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,8 +73,8 @@ def vectors(spark: SparkSession, sf_dir: str, scaled: bool = False) -> Task:
     return Task(docs.drop("label"), asked.drop("label"), labels)
 
 
-#: Runs that several queries start from, each written once for a session and the folder's tables as they are.
-_made: dict[tuple, DataFrame] = {}
+#: Runs and indexes that several queries start from, each written once for a session and the folder's tables as they are.
+_made: dict[tuple, Any] = {}
 
 
 def _state(spark: SparkSession, sf_dir: str) -> tuple:
@@ -94,8 +95,14 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
 
 
 def bm25_run(spark: SparkSession, sf_dir: str, k: int = K, **options) -> DataFrame:
-    task = known_item(spark, sf_dir)
-    return retrieve.retrieve(retrieve.build("bm25", **options), task.corpus, task.queries, k)
+    """Runs whose retrievers differ in scoring alone share an index."""
+    task, retriever = known_item(spark, sf_dir), retrieve.build("bm25", **options)
+    key = (spark.sparkContext.applicationId, sf_dir, retriever.index_options, _state(spark, sf_dir))
+    if key not in _made:
+        retriever.index(task.corpus.withColumnRenamed("doc_id", "unit_id"))
+        _made[key] = retriever.share()
+    retriever.share(_made[key])
+    return retriever.search(task.queries, k).withColumnRenamed("unit_id", "doc_id")
 
 
 def left_run(spark: SparkSession, sf_dir: str) -> DataFrame:

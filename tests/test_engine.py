@@ -73,7 +73,7 @@ def test_ranks_break_ties_by_id(spark):
 @pytest.mark.parametrize("method", scoring.METHODS)
 def test_bm25_formula(spark, corpus, method):
     q = queries_of(spark, {"q": "rotate the token token"})
-    got = {r.doc_id: r.score for r in retrieve.retrieve(retrieve.build("bm25", method=method, keep_index=False), corpus, q, 3).collect()}
+    got = {r.doc_id: r.score for r in retrieve.retrieve(retrieve.build("bm25", method=method), corpus, q, 3).collect()}
     docs = {d: [w for w in t.split() if w not in text.ENGLISH_STOPWORDS and len(w) > 1] for d, t in CORPUS}
     n, avg, k1, b = len(docs), sum(map(len, docs.values())) / len(docs), 1.5, 0.75
     want = {}
@@ -522,20 +522,11 @@ def test_cli(spark, tmp_path, capsys):
 
 
 def test_index_statistics(spark, corpus):
-    ix = index.TermIndex.build(corpus, "doc_id", None, None, True, text.TERM, keep=False)
+    ix = index.TermIndex.build(corpus, "doc_id", None, None, True, text.TERM)
     assert {r.term: r.df for r in ix.frequency.collect()}["rotate"] == 2
     assert index.smoothed_idf(corpus).filter("term = 'oven'").first().idf == pytest.approx(math.log(4 / 2) + 1)
 
 
-def test_kept_and_planned_indexes_are_the_same(spark):
-    rows = [("a", "rust rust oven"), ("b", ""), ("c", None), ("d", "the oven")]
-    for units in (spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame([], "doc_id string, text string")):
-        kept, planned = (index.TermIndex.build(units, "doc_id", "en", None, True, text.TERM, keep) for keep in (True, False))
-        for part in ("postings", "frequency", "stats"):
-            a, b = (getattr(x, part) for x in (kept, planned))
-            assert a.columns == b.columns and sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-
-
 def test_passage_labels_of_short_items(spark, tmp_path):
     texts = {1: "a foo bar here", 2: "foo ba", 3: "xfoo ba-r", 4: "one two threefold", 5: "one twofold three", 6: "nothing"}
     items = {1: "foo ba", 2: "one two three", 3: "foo", 4: "ba"}
