@@ -216,7 +216,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, key: s
     under a name of its own, and the manifest, committed by Spark's own writer,
     names the file of the attempt that counted: a task that is run again leaves an
     orphan, never a mixture. Null texts count as empty and hold the end id alone;
-    null keys sort first; repeated keys stay side by side, ordered by text.
+    null keys sort first; repeated keys stay side by side, ordered by text, in several shards
+    where they are many.
     """
     spark = docs.sparkSession
     docs.sparkSession.createDataFrame([], "a int").write.parquet(f"{out_dir}/made")  # makes the folder through Spark's own file system
@@ -246,7 +247,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out_dir: str, key: s
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES), min(shuffle_partitions(spark), size // LEAST_BYTES))
     # The manifest's rows, one for each shard, meet in one file.
-    rows.repartitionByRange(shards, "key").sortWithinPartitions("key", "text").mapInArrow(write, _MANIFEST).repartition(1).write.parquet(f"{out_dir}/manifest")
+    rows.repartitionByRange(shards, "key", F.substring("text", 1, 64)).sortWithinPartitions("key", "text").mapInArrow(write, _MANIFEST).repartition(1).write.parquet(f"{out_dir}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{out_dir}/manifest")
 
 

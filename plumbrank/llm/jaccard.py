@@ -27,8 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import discard, materialise, shuffle_partitions
 from . import text as tx
@@ -87,24 +88,30 @@ def _rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, short long, tokens array<long>")
 
 
-def _keys(texts: DataFrame, words: int, whole: bool) -> DataFrame:
-    """The rows with the name of their text's set in place of the text; with `whole`, only those of a class that `key` names, with the set."""
-    names = [x for x in texts.columns if x not in ("text", "key")]
-    schema = ", ".join([f"`{x}` {texts.schema[x].dataType.simpleString()}" for x in names] + ["tokens array<long>" if whole else "text string, key binary"])
+def _keyed(texts: DataFrame, words: int) -> DataFrame:
+    """The rows with the name of their text's set in place of the text."""
+    names = [x for x in texts.columns if x != "text"]
+    schema = T.StructType([*(texts.schema[x] for x in names), T.StructField("key", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, block in tx.blocks(batch, "text"):
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array([class_key(x) for x in shingle_sets(block, words)], pa.binary())], names=[*names, "key"])
+
+    return texts.select(*names, "text").mapInArrow(run, schema)
+
+
+def _whole(texts: DataFrame, words: int) -> DataFrame:
+    """(set, tokens): the whole sets of rows (set, key, text) whose text is of the class that `key` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, block in tx.blocks(batch, "text"):
                 found = shingle_sets(block, words)
-                keys = [class_key(x) for x in found]
-                if not whole:
-                    yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), part.column("text"), pa.array(keys, pa.binary())], names=[*names, "text", "key"])
-                    continue
-                own = [i for i, (k, want) in enumerate(zip(keys, part.column("key").to_pylist(), strict=True)) if k == want]
-                kept = part.take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(kept.column(x) for x in names), _lists([found[i] for i in own])], names=[*names, "tokens"])
+                own = [i for i, (x, want) in enumerate(zip(found, part.column("key").to_pylist(), strict=True)) if class_key(x) == want]
+                yield pa.RecordBatch.from_arrays([part.column("set").take(pa.array(own, pa.int64())), _lists([found[i] for i in own])], names=["set", "tokens"])
 
-    return texts.select(*names, "text", *(["key"] if whole else [])).mapInArrow(run, schema)
+    return texts.select("set", "key", "text").mapInArrow(run, "set long, tokens array<long>")
 
 
 def _supported(rows: DataFrame, percent: int) -> DataFrame:
@@ -400,7 +407,7 @@ def _components(docs: DataFrame, words: int, percent: int, limit: int) -> tuple[
 
     few = reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(reps) if few else reps, "rep").select("set", "key", "text")
-    whole = _keys(texts, words, whole=True).dropDuplicates(["set"])
+    whole = _whole(texts, words).dropDuplicates(["set"])
     whole = materialise(whole.select("set", F.size("tokens").cast("long").alias("n"), "tokens"), "whole-sets")
     postings = materialise(_prefixes(whole, percent), "postings")
     bundles = _bundles(postings, whole.select("set", (F.col("n") * 8).alias("size")), limit)
@@ -446,16 +453,26 @@ def near_duplicates_removed(docs: DataFrame, words: int = 4, percent: int = 85)
 
     Rows are told apart by id and set, so a text that shares its id with a removed one stays.
     Null ids come last; null and empty texts link with nothing and all stay, repeated ones too.
+    Rows are looked up by their sets, whatever their ids: only sets of several rows, and those that
+    go, are listed. A list that is too long to be broadcast meets the rows in a shuffle, but
+    for the sets of very many rows.
     """
     last = F.lit((1 << 63) - 1)
     own = F.coalesce(F.col("doc_id").cast("long"), last)
     rows, classes = _components(docs.select(own.alias("doc_id"), "text"), words, percent, BLOCK_SETS)
-    stay = rows.filter("n = 0").select("doc_id", "key").unionByName(classes.filter("rep = component_id and key = component_key").select(F.col("rep").alias("doc_id"), "key"))
-    often = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_often"))
-    stay = materialise(stay.groupBy("doc_id").agg(F.collect_set("key").alias("_keys")).join(often, "doc_id").select(F.col("doc_id").alias("_id"), "_keys", "_often"), "staying")
+    stays = F.expr("rep = component_id and key = component_key")
+    listed = classes.filter(~stays | (F.col("copies") > 1)).select("key", "copies", F.when(stays, F.col("rep")).alias("_stays"))
+    again = rows.join(listed.filter("_stays is not null"), "key").filter("doc_id = _stays").groupBy("key").agg((F.count(F.lit(1)) > 1).alias("_again"))
+    listed = materialise(listed.join(again, "key", "left"), "listed")
     # The caller's columns travel in one, so that none can clash with those of this plan.
-    kept = docs.select(own.alias("_id"), F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_own")).join(stay, "_id")
-    once = kept.filter("_often = 1").select("_own.*")
-    several = _keys(kept.filter("_often > 1").select("_id", "_keys", "_own", F.col("_own.text").alias("text")), words, whole=False).filter(F.array_contains("_keys", F.col("key")))
-    first = F.row_number().over(Window.partitionBy("_id", "key").orderBy("text"))
-    return once.unionByName(several.withColumn("_first", first).filter("_first = 1 or key = X''").select("_own.*"))
+    keyed = _keyed(docs.select(own.alias("_id"), "text", F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_own")), words)
+    if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        found = keyed.join(F.broadcast(listed), "key", "left")
+    else:
+        fair = (classes.agg(F.sum("copies")).first()[0] or 0) // (4 * shuffle_partitions(docs.sparkSession))
+        large = F.broadcast(listed.filter(F.col("copies") > fair))
+        few = keyed.join(large.select("key"), "key", "left_anti").join(listed.filter(F.col("copies") <= fair), "key", "left")
+        found = keyed.join(large, "key").unionByName(few)
+    kept = found.filter("copies is null or _id = _stays")
+    once = kept.filter(~F.coalesce("_again", F.lit(False))).select("_own.*")
+    return once.unionByName(kept.filter("_again").groupBy("key").agg(F.min_by("_own", "_own.text").alias("_own")).select("_own.*"))

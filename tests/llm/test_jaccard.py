@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbrank.llm import components, jaccard, text
 
@@ -145,3 +147,52 @@ def test_components_of_a_path_a_star_and_a_ring(spark):
     got = dict(components.connected_components(edges).collect())
     assert got == {**{i: 1 for i in range(1, 41)}, **{100 + i: 100 for i in range(50)}, **{200 + i: 200 for i in range(17)}}
     assert components.connected_components(edges.limit(0)).count() == 0
+
+
+def _staying(rows, words, percent):
+    """Indices of rows (id, text) that one plain pass over all pairs keeps."""
+    sets = []
+    for _, text in rows:
+        w = [x for x in (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split()]
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, 1))) if w else frozenset())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return sets, group
+
+
+def test_removal_with_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    base = [" ".join(rng.choices("abcdefghijklmnopqrst", k=40)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(None, t) for t in base[:3]] + [(None, base[0] + " x")] + [(None, "only here " * 9)] * 3 + [(7, base[2]), (7, "an id again with a text of its own")]
+    rows += [(3, base[3])] * 4 + [(None, None), (None, ""), (5, ""), (5, None)] + [(100 + i, base[5] + " y") for i in range(20)]
+    df = spark.createDataFrame([(*r, {"m": 1}, "k") for r in rows], "doc_id long, text string, extra map<string,int>, key string").repartition(4)
+    got = Counter((r.doc_id, r.text) for r in jaccard.near_duplicates_removed(df, 4, 85).collect())
+    sets, group = _staying(rows, 4, 85)
+    want = Counter()
+    for g in set(group):
+        members = [i for i, x in enumerate(group) if x == g]
+        if not sets[members[0]]:
+            want.update(rows[i] for i in members)
+            continue
+        best = min(((rows[i][0] is None, rows[i][0] or 0, rows[i][1]) for i in members))
+        want[None if best[0] else best[1], best[2]] += 1
+    assert got == want
+
+
+@pytest.mark.parametrize("limit", [500_000, 1])
+def test_removal_without_ids_is_linear(spark, monkeypatch, limit):
+    """Rows without an id are looked up by their sets: ten times the rows take no hundred times as long."""
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", limit)
+    took = []
+    for n in (3_000, 30_000):
+        text = F.concat_ws(" ", *[F.md5(F.concat(F.lit(f"{i}-"), (F.col("id") - F.when(F.col("id") % 10 == 0, 1).otherwise(0)).cast("string"))) for i in range(8)])
+        df = spark.range(1, n + 1).select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"))
+        began = time.time()
+        assert jaccard.near_duplicates_removed(df, 5, 80).count() == n - n // 10
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 10
