@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
+from . import models
 from .ranking import rank
 
 
@@ -40,7 +41,10 @@ class CoverageReranker:
 
 @dataclass(frozen=True)
 class CrossEncoderReranker:
-    """Scores pairs with an injected model, loaded once for each worker: `load()` gives a function from two lists of texts to scores."""
+    """Scores pairs with an injected model, loaded once for each worker process: `load()` gives a function from two lists of texts to scores.
+
+    Calls hold pairs of like length; a null text counts as empty.
+    """
 
     model_id: str = "injected"
     name: str = "cross_encoder"
@@ -59,15 +63,17 @@ class CrossEncoderReranker:
     def score(self, query: Column, document: Column) -> Column:
         if self.load is None:
             raise ValueError("a cross-encoder needs `load`")
-        load, size = self.load, self.batch_size
+        key, load, count = models.name_of(self.descriptor, self.load), self.load, self.batch_size
 
         @F.pandas_udf("double")
         def scores(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            model = load()
+            model = models.loaded(key, load)
             for q, d in batches:
-                found: list[float] = []
-                for at in range(0, len(q), size):
-                    found += list(model(q[at : at + size].tolist(), d[at : at + size].tolist()))
+                q, d = q.fillna("").tolist(), d.fillna("").tolist()
+                found = [0.0] * len(q)
+                for call in models.calls([models.size(a) + models.size(b) for a, b in zip(q, d, strict=True)], count):
+                    for i, x in zip(call, model([q[i] for i in call], [d[i] for i in call]), strict=True):
+                        found[i] = float(x)
                 yield pd.Series(found, dtype=float)
 
         return scores(query, document)

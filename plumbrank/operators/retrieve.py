@@ -19,15 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..session import broadcast_if_small, materialise, spread
+from . import cells, models
 from .postings import COUNTED, WEIGHED, PostingsIndex, indexed, inverted, inverted_grams, packed, search, unpacked
 from .ranking import rank
 
-#: Bytes of query vectors in one broadcast; more go over the corpus in blocks.
-QUERY_BYTES = 16 << 20
-#: Bytes of scores that a task holds at once: queries go over a batch of units in tiles.
-TILE_BYTES = 32 << 20
-
-
 class Retriever(Protocol):
     name: str
 
@@ -193,7 +188,9 @@ class TfidfRetriever:
 
 @dataclass
 class DenseRetriever:
-    """Vectors come from a column, or from an encoder: a function from a list of texts to a matrix, run in Arrow batches.
+    """Vectors come from a column, or from an encoder: a function from a list of texts to a matrix, or `load`, which gives one in each worker process.
+
+    Calls hold texts of like length; vectors return to the rows that their texts came from. Search is exact, in cells.
 
     A model republished under its name is another model: without a `revision`, `resolve`
     says which one the name stands for now. None where that cannot be known, never a guess.
@@ -210,8 +207,9 @@ class DenseRetriever:
     max_seq_length: int | None = None
     batch_size: int = 32
     encoder: Callable[[list[str]], np.ndarray] | None = None
+    load: Callable[[], Callable[[list[str]], np.ndarray]] | None = None
     resolve: Callable[[str], str | None] | None = field(default=None, repr=False)
-    _units: DataFrame | None = field(default=None, repr=False)
+    _cells: DataFrame | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         self.revision = pinned(self.model_id, self.revision, self.resolve)
@@ -224,16 +222,19 @@ class DenseRetriever:
     def _vectors(self, rows: DataFrame, unit: str, prompt: str) -> DataFrame:
         """(unit, vector as array<double>), of unit length where `normalize` says so; a null vector stays out."""
         if "vector" not in rows.columns:
-            if self.encoder is None:
-                raise ValueError("texts need an encoder; or give a `vector` column")
-            encode, size = self.encoder, self.batch_size
+            if self.encoder is None and self.load is None:
+                raise ValueError("texts need an encoder, or `load` that gives one; or give a `vector` column")
+            key, encoder, load, count = models.name_of(self.descriptor, self.load), self.encoder, self.load, self.batch_size
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                encode = encoder or models.loaded(key, load)
                 for batch in batches:
-                    for at in range(0, batch.num_rows, size):
-                        part = batch.slice(at, size)
-                        found = np.asarray(encode([prompt + (x or "") for x in part.column(1).to_pylist()]), float)
-                        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(found), pa.list_(pa.float64()))], names=[unit, "vector"])
+                    texts = [prompt + (x or "") for x in batch.column(1).to_pylist()]
+                    found: list[Any] = [None] * len(texts)
+                    for call in models.calls([models.size(x) for x in texts], count):
+                        for i, vector in zip(call, np.asarray(encode([texts[i] for i in call]), float), strict=True):
+                            found[i] = vector
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=[unit, "vector"])
 
             rows = rows.select(unit, "text").mapInArrow(run, f"{unit} string, vector array<double>")
         v = F.col("vector").cast("array<double>")
@@ -244,55 +245,12 @@ class DenseRetriever:
         return rows.withColumn("_norm", norm).select(unit, F.when(F.col("_norm") == 0, F.col("vector")).otherwise(F.transform("vector", lambda x: x / F.col("_norm"))).alias("vector"))
 
     def index(self, units: DataFrame) -> None:
-        self._units = self._vectors(units, "unit_id", self.document_prompt)
+        self._cells = cells.build(self._vectors(units, "unit_id", self.document_prompt))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """Every query against every unit, block by block of queries: a task multiplies matrices and keeps its own k best.
-
-        A block of queries is broadcast, of at most `QUERY_BYTES`; a task sends on at
-        most k rows for each query and batch.
-        """
-        if self._units is None:
+        if self._cells is None:
             raise ValueError("index() comes before search()")
-        single, parts = self.dtype in ("float32", "float16"), []
-        for ids, matrix in self._blocks(queries):
-            shared = self._units.sparkSession.sparkContext.broadcast((ids, matrix))
-
-            def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                ids, q = shared.value
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    d = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                    names = np.array(batch.column(0).to_pylist(), object)
-                    by_name = np.argsort(names, kind="stable")
-                    names, d = names[by_name], d[by_name]
-                    tile = max(1, TILE_BYTES // (8 * batch.num_rows))
-                    for lo in range(0, len(ids), tile):
-                        some = q[lo : lo + tile]
-                        score = np.round((some.astype(np.float32) @ d.astype(np.float32).T).astype(float) if single else some @ d.T, scoring.PLACES)
-                        at = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                        yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(np.array(ids[lo : lo + tile], object), at.shape[1]), pa.string()), "unit_id": pa.array(names[at].ravel(), pa.string()), "score": pa.array(np.take_along_axis(score, at, axis=1).ravel())})
-
-            parts.append(self._units.mapInArrow(best, "query_id string, unit_id string, score double"))
-        if not parts:
-            return rank(self._units.sparkSession.createDataFrame([], "query_id string, unit_id string, score double"), k, "unit_id")
-        every = parts[0]
-        for x in parts[1:]:
-            every = every.unionByName(x)
-        return rank(every, k, "unit_id")
-
-    def _blocks(self, queries: DataFrame) -> Iterator[tuple[list[str], np.ndarray]]:
-        ids, rows, size = [], [], 0
-        for r in self._vectors(queries, "query_id", self.query_prompt).toLocalIterator():
-            ids.append(r.query_id)
-            rows.append(r.vector)
-            size += 8 * len(r.vector)
-            if size >= QUERY_BYTES:
-                yield ids, np.array(rows, float)
-                ids, rows, size = [], [], 0
-        if ids:
-            yield ids, np.array(rows, float)
+        return rank(cells.search(self._cells, self._vectors(queries, "query_id", self.query_prompt), k, self.dtype in ("float32", "float16")), k, "unit_id")
 
 
 RETRIEVERS: dict[str, Callable[..., Retriever]] = {"bm25": BM25Retriever, "tfidf": TfidfRetriever, "dense": DenseRetriever}
