@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -16,6 +16,8 @@ MIN_QUERIES = 30
 LOW_QUANTILE, HIGH_QUANTILE = 0.25, 0.75
 #: Decimal places of overlaps, which are compared with quantiles of their own column.
 OVERLAP_PLACES = 12
+#: Overlaps as whole numbers have at most so many bits; bits that a round of a selection decides.
+DIGITS, DIGIT = 50, 10
 
 
 def overlaps(sides: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -84,21 +86,34 @@ def collect_evidence(run: DataFrame, qrels: DataFrame, corpus: DataFrame, querie
     )
 
 
-def nearest_rank(value: Column, fraction: float) -> Column:
-    """Aggregate: the value at the nearest rank (half to even) of `fraction`; 0 where there are none."""
-    ordered = F.sort_array(F.collect_list(value))
-    at = F.bround(F.lit(fraction) * (F.size(ordered) - 1)).cast("int") + 1
-    return F.when(F.size(ordered) == 0, F.lit(0.0)).otherwise(F.get(ordered, at - 1))
+def nearest_ranks(values: DataFrame) -> DataFrame:
+    """(name, value): of each name's values (name, value, fraction) the one at the nearest rank (half to even) of its fraction.
+
+    A selection by digits: of the values as whole numbers, rounded to `OVERLAP_PLACES`, each round counts
+    those that share the digits found so far by their next `DIGIT` bits, and goes on with the one
+    digit that holds the rank. No round sorts or gathers more than 2 ** `DIGIT` counts of a name.
+    """
+    rows = values.select("name", "value", F.round(F.col("value") * 10**OVERLAP_PLACES).cast("long").alias("_v"))
+    place = F.bround(F.first("fraction") * (F.count(F.lit(1)) - 1)).cast("long")
+    found = values.groupBy("name").agg(place.alias("_place")).withColumn("_digits", F.lit(0).cast("long"))
+    for low in range(DIGITS - DIGIT, -1, -DIGIT):
+        digits = F.shiftright("_v", low)
+        here = rows.withColumn("_digits", F.shiftright("_v", low + DIGIT)).join(F.broadcast(found), ["name", "_digits"])
+        counts = here.groupBy("name", "_place", digits.alias("_digits")).agg(F.count(F.lit(1)).alias("_n"), F.max("value").alias("value"))
+        before = F.sum("_n").over(Window.partitionBy("name").orderBy("_digits")) - F.col("_n")
+        counts = counts.withColumn("_before", before).filter((F.col("_before") <= F.col("_place")) & (F.col("_place") < F.col("_before") + F.col("_n")))
+        found = counts.select("name", "_digits", (F.col("_place") - F.col("_before")).alias("_place"), *(["value"] if low == 0 else []))
+    return found.select("name", "value")
 
 
 def calibrate(evidence: DataFrame) -> DataFrame:
-    """One row: n, sufficient, and the overlaps that are low and high for this dataset."""
-    return evidence.agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.count(F.lit(1)) >= MIN_QUERIES).alias("sufficient"),
-        nearest_rank(F.col("query_gold_overlap"), LOW_QUANTILE).alias("low_query_gold_overlap"),
-        nearest_rank(F.when(F.col("symptom") == "rank", F.col("competitor_gold_overlap")), HIGH_QUANTILE).alias("high_competitor_gold_overlap"),
-    )
+    """One row: n, sufficient, and the overlaps that are low and high for this dataset; 0 where nothing says so."""
+    side = lambda name, value, fraction: F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(fraction).alias("fraction"))
+    both = F.array(side("low", F.col("query_gold_overlap"), LOW_QUANTILE), side("high", F.when(F.col("symptom") == "rank", F.col("competitor_gold_overlap")), HIGH_QUANTILE))
+    ranks = nearest_ranks(evidence.select(F.explode(both).alias("x")).select("x.*").filter("value is not null"))
+    of = lambda name: F.coalesce(F.max(F.when(F.col("name") == name, F.col("value"))), F.lit(0.0))
+    enough = evidence.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) >= MIN_QUERIES).alias("sufficient"))
+    return enough.crossJoin(F.broadcast(ranks.agg(of("low").alias("low_query_gold_overlap"), of("high").alias("high_competitor_gold_overlap"))))
 
 
 def interpret(evidence: DataFrame, calibration: DataFrame) -> DataFrame:
@@ -135,7 +150,7 @@ class Diagnosis:
 def diagnose(run: DataFrame, qrels: DataFrame, corpus: DataFrame, queries: DataFrame, before: DataFrame | None = None) -> Diagnosis:
     """Evidence is written once: thresholds are compared with the very numbers that they were drawn from."""
     evidence = materialise(collect_evidence(run, qrels, corpus, queries, before), "evidence")
-    calibration = calibrate(evidence)
+    calibration = materialise(calibrate(evidence), "calibration")
     return Diagnosis(evidence, interpret(evidence, calibration), calibration)
 
 

@@ -3,27 +3,42 @@
 from __future__ import annotations
 
 import random
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
 from ..schemas import LABELLABLE
+from ..session import materialise, shuffle_partitions
 from .ranking import reference_gold, relevant, top
 
 SIZE, SEED, TOP, SNIPPET = 50, 20261006, 5, 400
 
 
-def sample_ids(failing: list[str], size: int = SIZE, seed: int = SEED) -> list[str]:
-    """The draw that Python's own generator makes from the sorted ids."""
-    ids = sorted(failing)
-    return ids if size >= len(ids) else sorted(random.Random(seed).sample(ids, size))
+def sample_places(n: int, size: int = SIZE, seed: int = SEED) -> list[int]:
+    """Places in a sorted list of n that Python's own generator draws."""
+    return sorted(random.Random(seed).sample(range(n), size)) if size < n else list(range(n))
 
 
 def sample_failures(evidence: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
-    """(query_id) of a reproducible draw. Ids of failing queries, whose number is that of judged ones, reach the driver; nothing else does."""
-    ids = [r.query_id for r in evidence.filter("symptom <> 'ok'").select("query_id").distinct().collect()]
-    return evidence.sparkSession.createDataFrame([(x,) for x in sample_ids(ids, size, seed)], "query_id string")
+    """(query_id) of a reproducible draw from the sorted ids of failing queries.
+
+    The driver draws places and holds `size` numbers; an id's place is how many ids its range of them
+    has ahead of it, and all ranges before.
+    """
+    spark = evidence.sparkSession
+    ids = evidence.filter("symptom <> 'ok'").select("query_id").distinct().repartitionByRange(shuffle_partitions(spark), "query_id").sortWithinPartitions("query_id")
+    own = F.monotonically_increasing_id()
+    ranged = materialise(ids.select("query_id", F.shiftright(own, 33).alias("range"), own.bitwiseAND((1 << 33) - 1).alias("at")), "failing")
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    if size >= n:
+        return ranged.select("query_id")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(F.broadcast(sizes.select("range", before.alias("before"))), "range").select("query_id", (F.col("before") + F.col("at")).alias("place"))
+    drawn = spark.createDataFrame([(x,) for x in sample_places(n, size, seed)], "place long")
+    return placed.join(F.broadcast(drawn), "place").select("query_id")
 
 
 def sample_failures_hashed(evidence: DataFrame, size: int = SIZE, seed: int = SEED) -> DataFrame:
@@ -42,10 +57,11 @@ def cases(drawn: DataFrame, evidence: DataFrame, run: DataFrame, queries: DataFr
 
 
 def validate_label(cause: str) -> str:
-    cleaned = cause.strip().lower().replace(" ", "_").replace("-", "_")
-    if cleaned not in LABELLABLE:
-        raise ValueError(f"unknown cause {cause!r}; known: {', '.join(LABELLABLE)}")
-    return cleaned
+    """The known cause that a person meant, whatever the case and whatever stands between its words."""
+    for known in LABELLABLE:
+        if re.fullmatch(r"\s*" + "[ _-]".join(known.split("_")) + r"\s*", cause, re.IGNORECASE):
+            return known
+    raise ValueError(f"unknown cause {cause!r}; known: {', '.join(LABELLABLE)}")
 
 
 def render_sheet(rows: DataFrame, run_id: str, seed: int = SEED) -> str:

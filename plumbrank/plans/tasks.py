@@ -140,7 +140,7 @@ def diagnosis(spark: SparkSession, sf_dir: str, side: str) -> diagnose.Diagnosis
     else:
         run, before = {"left": left_run, "right": right_run}[side](spark, sf_dir), None
     evidence = once(spark, sf_dir, f"evidence-{side}", lambda: diagnose.collect_evidence(run, task.qrels, task.corpus, task.queries, before))
-    calibration = diagnose.calibrate(evidence)
+    calibration = once(spark, sf_dir, f"calibration-{side}", lambda: diagnose.calibrate(evidence))
     return diagnose.Diagnosis(evidence, diagnose.interpret(evidence, calibration), calibration)
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import RUN
+from ..session import shuffle_partitions
 from .store import located
 
 
@@ -19,18 +21,25 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, schema: T.StructType, *order: str) -> None:
-    """One sorted Parquet file. Published tables have a row for a judged query or a hit, not for a document; they are shuffled into the file, so that what makes them stays spread out."""
-    conform(df, schema).repartition(1).sortWithinPartitions(*order).write.option("compression", "snappy").parquet(path)
+    """Sorted Parquet files, each with a range of the order's first column, named in their order."""
+    spread_out = conform(df, schema).repartitionByRange(shuffle_partitions(df.sparkSession), order[0])
+    spread_out.sortWithinPartitions(*order).write.option("compression", "snappy").parquet(path)
 
 
 def write_run(directory: str, run: DataFrame) -> None:
-    """A query without hits leaves no trace."""
+    """A query without hits leaves no trace. A query's hits are in one file, in order."""
     write_table(run, os.path.join(directory, "run.parquet"), RUN, "query_id", "rank")
 
 
 def read_run(spark: SparkSession, directory: str) -> DataFrame:
-    """Order is the stored rank; scores never decide it anew."""
-    return spark.read.schema(RUN).parquet(os.path.join(directory, "run.parquet")).orderBy("query_id", "rank")
+    """The stored ranking, as it lies: `rank` is the order, and scores never decide it anew. Nothing is sorted again."""
+    return spark.read.schema(RUN).parquet(os.path.join(directory, "run.parquet"))
+
+
+def stored_rows(spark: SparkSession, directory: str) -> Iterator[Row]:
+    """Hits in stored order, file by file: names of files are in order of their ranges."""
+    for file in sorted(read_run(spark, directory).inputFiles(), key=lambda x: x.rsplit("/", 1)[-1]):
+        yield from spark.read.schema(RUN).parquet(file).toLocalIterator()
 
 
 def write_json(path: str, value: dict[str, Any]) -> None:

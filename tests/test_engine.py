@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 
 import numpy as np
 import pytest
@@ -273,7 +274,7 @@ def test_significance(spark):
 
 
 def test_labelling(spark, corpus, tmp_path):
-    assert labelling.sample_ids(list("edcba"), 9) == list("abcde") and labelling.sample_ids(list("edcba"), 2) == labelling.sample_ids(list("abcde"), 2)
+    assert labelling.sample_places(5, 9) == list(range(5)) and len(set(labelling.sample_places(500, 50))) == 50
     d = diagnosed(spark, corpus, [("near", 2), ("gold", 1)])
     run, qrels, queries = run_of(spark, {"q": [("near", 2), ("gold", 1)]}), qrels_of(spark, {"q": {"gold": 2}}), queries_of(spark, {"q": "rotate token"})
     sheet = labelling.render_sheet(labelling.cases(labelling.sample_failures(d.evidence), d.evidence, run, queries, corpus, qrels), "run-1")
@@ -361,7 +362,8 @@ def test_store(tmp_path):
 def test_runs_round_trip(spark, tmp_path):
     scores = [math.pi, 1.0, 1 - 2**-52, 0.8709996938705444, 1e-300, 0.0]
     run_io.write_run(str(tmp_path), run_of(spark, {"ü": [(f"d{i}", s) for i, s in enumerate(scores)]}))
-    assert [r.score for r in run_io.read_run(spark, str(tmp_path)).collect()] == scores
+    assert [r.score for r in run_io.stored_rows(spark, str(tmp_path))] == scores
+    assert "Exchange" not in run_io.read_run(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
 
 
 def provenance(stage, **change):
@@ -534,3 +536,38 @@ def test_passage_labels_of_short_items(spark, tmp_path):
     spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r.query_id, r.doc_id) for r in tasks.passage(spark, str(tmp_path)).qrels.collect()}
     assert got == {(f"b-{i}", str(d)) for i, item in items.items() for d, t in texts.items() if item in t}
+
+
+def test_nearest_ranks_by_digits(spark):
+    """Against a sorted list: ties, many equal values, one value, halves to even, and names without any."""
+    rng = random.Random(9)
+    cases = {"few": [0.5], "two": [0.25, 0.75], "ties": [0.1] * 300 + [0.2], "any": [round(rng.random(), 12) for _ in range(401)], "ends": [0.0, 1.0] * 50, "close": [round(0.3 + i * 1e-12, 12) for i in range(77)]}
+    for fraction in (0.0, 0.25, 0.5, 0.75, 1.0):
+        rows = spark.createDataFrame([(n, v, fraction) for n, vs in cases.items() for v in vs], "name string, value double, fraction double").repartition(5)
+        got = {r.name: r.value for r in diagnose.nearest_ranks(rows).collect()}
+        assert got == {n: sorted(vs)[round(fraction * (len(vs) - 1))] for n, vs in cases.items()}
+    assert "collect_list" not in diagnose.nearest_ranks(rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(("n", "size"), [(200, 50), (30, 7), (30, 30), (5, 50), (0, 3)])
+def test_draw_is_that_of_pythons_generator(spark, n, size):
+    ids = [f"q{i * 7919 % 1000:03d}" for i in range(n)]
+    rows = spark.createDataFrame([(q, "miss") for q in ids] + [("q0000", "ok")] + [(q, "rank") for q in ids[:3]], "query_id string, symptom string").repartition(6)
+    want = sorted(random.Random(4).sample(sorted(ids), size)) if size < n else sorted(ids)
+    assert sorted(r.query_id for r in labelling.sample_failures(rows, size, 4).collect()) == want
+
+
+def test_a_long_run_is_stored_in_order(spark, tmp_path):
+    rows = [(f"q{q:03d}", f"d{r}", r, float(-r)) for q in range(300) for r in range(1, 6)]
+    run = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "query_id string, doc_id string, rank int, score double").repartition(7)
+    run_io.write_run(str(tmp_path), run)
+    assert len(run_io.read_run(spark, str(tmp_path)).inputFiles()) > 1
+    assert [tuple(r) for r in run_io.stored_rows(spark, str(tmp_path))] == rows
+
+
+def test_causes_as_people_write_them():
+    for written in ("Lexical Mismatch", " lexical-mismatch ", "LEXICAL_MISMATCH"):
+        assert labelling.validate_label(written) == "lexical_mismatch"
+    for bad in ("lexical", "lexical__mismatch", "", "lexical mismatch!"):
+        with pytest.raises(ValueError):
+            labelling.validate_label(bad)
