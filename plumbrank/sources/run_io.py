@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..schemas import RUN
 from ..session import shuffle_partitions
-from .store import located
+from . import files
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -43,15 +43,11 @@ def stored_rows(spark: SparkSession, directory: str) -> Iterator[Row]:
 
 
 def write_json(path: str, value: dict[str, Any]) -> None:
-    where, at = located(path)
-    with where.open_output_stream(at) as f:
-        f.write((json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode())
+    files.write(path, (json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode())
 
 
 def read_json(path: str) -> dict[str, Any]:
-    where, at = located(path)
-    with where.open_input_file(at) as f:
-        value = json.loads(f.read().decode())
+    value = json.loads(files.read(path).decode())
     if not isinstance(value, dict):
         raise ValueError(f"{path}: not a JSON object")
     return value

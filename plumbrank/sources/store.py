@@ -1,17 +1,24 @@
-"""A content-addressed store: a directory for each key, published whole or not at all.
+"""A content-addressed store: each key's files are published whole or not at all.
 
-Files and folders are reached through the file system that a path's scheme names, so a
-store may lie where all of a cluster's nodes see it; without a scheme a path is local.
+A key's folder holds attempts, and versions: small files that name an attempt. A writer
+fills an attempt of its own and then creates the next version's file, which only one writer
+can; nothing is moved. The highest version whose file is whole is what readers see, so a writer
+that dies leaves an attempt that nobody sees, and never takes away what was there before.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
+from typing import TypeVar
 
-from pyarrow import fs
+from . import files
+
+T = TypeVar("T")
+#: The end of a version's file: without it, its writer has not come to the end.
+_END = "\n"
 
 
 def safe(name: str) -> str:
@@ -21,68 +28,82 @@ def safe(name: str) -> str:
     return name
 
 
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path, and the path there."""
-    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
-
-
-def is_dir(path: str) -> bool:
-    where, at = located(path)
-    return where.get_file_info(at).type == fs.FileType.Directory
-
-
-def is_file(path: str) -> bool:
-    where, at = located(path)
-    return where.get_file_info(at).type == fs.FileType.File
-
-
-def names(path: str) -> list[str]:
-    """What a folder holds, sorted, without what is hidden; nothing where there is no folder."""
-    where, at = located(path)
-    return sorted(x.base_name for x in where.get_file_info(fs.FileSelector(at, allow_not_found=True)) if not x.base_name.startswith("."))
-
-
-def make_dir(path: str) -> None:
-    where, at = located(path)
-    where.create_dir(at, recursive=True)
-
-
-def remove_dir(path: str) -> None:
-    if is_dir(path):
-        where, at = located(path)
-        where.delete_dir(at)
-
-
 class Store:
     def __init__(self, root: str):
         self.root = root
 
-    def path(self, stage: str, key: str) -> str:
+    def folder(self, stage: str, key: str) -> str:
         return os.path.join(self.root, safe(stage), safe(key))
 
-    def has(self, stage: str, key: str) -> bool:
-        return is_dir(self.path(stage, key))
+    def _versions(self, stage: str, key: str) -> list[tuple[str, str]]:
+        """Versions' files and the attempts that they name, oldest first; None stands for a file that isn't whole."""
+        at = self.folder(stage, key)
+        found = []
+        for name in files.names(at):
+            if name.startswith("version-"):
+                told = files.read(os.path.join(at, name)).decode()
+                found.append((name, told.removesuffix(_END) if told.endswith(_END) else None))
+        return found
+
+    def keys(self, stage: str) -> list[str]:
+        return [x for x in files.names(os.path.join(self.root, safe(stage))) if self.has(stage, x)]
+
+    def path(self, stage: str, key: str) -> str:
+        """Where the published files are."""
+        whole = [attempt for _, attempt in self._versions(stage, key) if attempt is not None]
+        return os.path.join(self.folder(stage, key), whole[-1] if whole else "nothing")
 
     def lookup(self, stage: str, key: str) -> str | None:
         return self.path(stage, key) if self.has(stage, key) else None
 
+    def has(self, stage: str, key: str) -> bool:
+        return any(attempt is not None for _, attempt in self._versions(stage, key))
+
     @contextmanager
-    def reserve(self, stage: str, key: str) -> Iterator[str]:
-        """A scratch directory that becomes the key's when the block ends well. The first to publish wins; a failure leaves nothing."""
-        final = self.path(stage, key)
-        scratch = os.path.join(os.path.dirname(final), f".tmp-{uuid.uuid4().hex}")
-        make_dir(scratch)
+    def reserve(self, stage: str, key: str, replace: bool = False) -> Iterator[str]:
+        """A folder that becomes the key's when the block ends well. The first to publish wins; with `replace`, the last.
+
+        A failure leaves the key as it was.
+        """
+        at = self.folder(stage, key)
+        attempt = f"attempt-{uuid.uuid4().hex}"
+        scratch = os.path.join(at, attempt)
+        files.make_dir(scratch)
+        published = False
         try:
             yield scratch
-            if not is_dir(final):
-                where, at = located(scratch)
-                try:
-                    where.move(at, located(final)[1])
-                except OSError:
-                    if not is_dir(final):
-                        raise
+            published = self._publish(stage, key, attempt, replace)
         finally:
-            remove_dir(scratch)
+            if not published:
+                files.remove(scratch)
+        if published:
+            self._sweep(stage, key)
+
+    def _publish(self, stage: str, key: str, attempt: str, replace: bool) -> bool:
+        while True:
+            versions = self._versions(stage, key)
+            if not replace and any(x is not None for _, x in versions):
+                return False
+            number = 1 + max((int(name.rsplit("-", 1)[-1]) for name, _ in versions), default=0)
+            if files.create(os.path.join(self.folder(stage, key), f"version-{number:09d}"), (attempt + _END).encode()):
+                return True
+
+    def _sweep(self, stage: str, key: str) -> None:
+        """Drop versions but the last two whole ones: who reads the one before may go on."""
+        whole = [(name, attempt) for name, attempt in self._versions(stage, key) if attempt is not None]
+        for name, attempt in whole[:-2]:
+            files.remove(os.path.join(self.folder(stage, key), name))
+            files.remove(os.path.join(self.folder(stage, key), attempt))
 
     def forget(self, stage: str, key: str) -> None:
-        remove_dir(self.path(stage, key))
+        files.remove(self.folder(stage, key))
+
+    def cached(self, stage: str, key: str, load: Callable[[str], T], make: Callable[[str], None]) -> tuple[T, bool]:
+        """What `load` reads from the key's files, and whether they were there; `make` writes them where they are missing or `load` refuses them."""
+        there = self.lookup(stage, key)
+        if there is not None:
+            with suppress(OSError, ValueError):
+                return load(there), True
+        with self.reserve(stage, key, replace=there is not None) as at:
+            make(at)
+        return load(self.path(stage, key)), False

@@ -11,36 +11,32 @@ from .. import schemas
 from ..operators.diff import diff_counts
 from ..plans.manifest import LAYOUT_VERSION
 from .run_io import read_json, write_json, write_table
-from .store import Store, is_file, make_dir, names, safe
+from . import files
+from .store import Store
 
 
 class Workspace:
     def __init__(self, root: str):
         self.root = root
         self.cache = Store(os.path.join(root, "cache"))
-
-    def _path(self, kind: str, name: str) -> str:
-        return os.path.join(self.root, kind, safe(name))
-
-    def _names(self, kind: str) -> list[str]:
-        return names(os.path.join(self.root, kind))
+        self.bundles = Store(root)
 
     def runs(self) -> list[str]:
-        return self._names("run")
+        return self.bundles.keys("run")
 
     def comparisons(self) -> list[str]:
-        return self._names("comparison")
+        return self.bundles.keys("comparison")
 
     def catalog(self, spark: SparkSession) -> DataFrame:
         rows = [("run", x) for x in self.runs()] + [("comparison", x) for x in self.comparisons()]
         return spark.createDataFrame(rows, "kind string, id string")
 
     def write_index(self) -> None:
-        make_dir(self.root)
+        files.make_dir(self.root)
         write_json(os.path.join(self.root, "index.json"), {"layout_version": LAYOUT_VERSION, "runs": self.runs(), "comparisons": self.comparisons()})
 
     def write_run(self, outcome: Any) -> str:
-        """manifest.json and four tables; published whole. A bundle with the same id is replaced only by being absent: ids name configurations."""
+        """manifest.json and four tables; published whole. One with the same id is there until the new one is."""
         calibration = outcome.diagnosis.calibration.first()
         about = {
             "layout_version": LAYOUT_VERSION,
@@ -49,9 +45,7 @@ class Workspace:
             "measures": list(outcome.measures),
             "calibration": calibration.asDict(),
         }
-        store = Store(self.root)
-        store.forget("run", outcome.run_id)
-        with store.reserve("run", outcome.run_id) as at:
+        with self.bundles.reserve("run", outcome.run_id, replace=True) as at:
             tables = {
                 "run": (outcome.run, schemas.RUN, ("query_id", "rank")),
                 "metrics": (outcome.metrics, schemas.METRICS, ("query_id", "measure")),
@@ -62,7 +56,7 @@ class Workspace:
                 write_table(df, os.path.join(at, f"{name}.parquet"), schema, *order)
             write_json(os.path.join(at, "manifest.json"), about)
         self.write_index()
-        return self._path("run", outcome.run_id)
+        return self.bundles.path("run", outcome.run_id)
 
     def write_comparison(self, comparison: Any) -> str:
         """manifest.json and deltas; the runs are named, never copied."""
@@ -76,18 +70,16 @@ class Workspace:
             "significance": {r.measure: {x: r[x] for x in keep} for r in comparison.significance.collect()},
             "counts": diff_counts(comparison.deltas).first().asDict(),
         }
-        store = Store(self.root)
-        store.forget("comparison", comparison.comparison_id)
-        with store.reserve("comparison", comparison.comparison_id) as at:
+        with self.bundles.reserve("comparison", comparison.comparison_id, replace=True) as at:
             write_table(comparison.deltas, os.path.join(at, "deltas.parquet"), schemas.DELTAS, "query_id")
             write_json(os.path.join(at, "manifest.json"), about)
         self.write_index()
-        return self._path("comparison", comparison.comparison_id)
+        return self.bundles.path("comparison", comparison.comparison_id)
 
     def _manifest(self, kind: str, name: str) -> dict[str, Any]:
-        path = os.path.join(self._path(kind, name), "manifest.json")
-        if not is_file(path):
+        if not self.bundles.has(kind, name):
             raise ValueError(f"no {kind} {name!r} in {self.root}")
+        path = os.path.join(self.bundles.path(kind, name), "manifest.json")
         found = read_json(path)
         if found.get("layout_version") != LAYOUT_VERSION:
             raise ValueError(f"{path}: layout version {found.get('layout_version')}, not {LAYOUT_VERSION}")
@@ -102,8 +94,8 @@ class Workspace:
     def table(self, spark: SparkSession, run_id: str, name: str) -> DataFrame:
         """A table of a run bundle: run, metrics, evidence or hypotheses."""
         self.read_run_manifest(run_id)
-        return spark.read.schema(getattr(schemas, name.upper())).parquet(os.path.join(self._path("run", run_id), f"{name}.parquet"))
+        return spark.read.schema(getattr(schemas, name.upper())).parquet(os.path.join(self.bundles.path("run", run_id), f"{name}.parquet"))
 
     def deltas(self, spark: SparkSession, comparison_id: str) -> DataFrame:
         self.read_comparison_manifest(comparison_id)
-        return spark.read.schema(schemas.DELTAS).parquet(os.path.join(self._path("comparison", comparison_id), "deltas.parquet"))
+        return spark.read.schema(schemas.DELTAS).parquet(os.path.join(self.bundles.path("comparison", comparison_id), "deltas.parquet"))

@@ -4,6 +4,7 @@ import json
 import math
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from plumbrank.functions import scoring, text
 from plumbrank.functions.stemmer import stem
 from plumbrank.operators import chunk, diagnose, diff, evaluate, index, labelling, ranking, rerank, retrieve, significance
 from plumbrank.plans import compare, config, manifest, pipeline, tasks, trust
-from plumbrank.sources import dataset, fingerprint, run_io, store, workspace
+from plumbrank.sources import dataset, files, fingerprint, run_io, store, workspace
 
 CORPUS = [("gold", "rotate the production token every week"), ("near", "rotate logs every night and every week"), ("far", "the kitchen has a new oven")]
 
@@ -342,12 +343,12 @@ def test_frame_fingerprint(spark):
     assert len({base, f([("x", 1)]), f([("x", 1), ("x", 1), ("y", None)]), f([("x", 1), ("y", 0)]), f([(None, 1), ("y", None)]), f([("x", 1), ("y", None)], "a string, c int")}) == 6
 
 
-def test_store(tmp_path):
+def test_store(spark, tmp_path):
     s = store.Store(str(tmp_path))
     with pytest.raises(RuntimeError), s.reserve("retrieve", "k") as at:
         open(os.path.join(at, "x"), "w").close()
         raise RuntimeError
-    assert not s.has("retrieve", "k") and os.listdir(tmp_path / "retrieve") == []
+    assert not s.has("retrieve", "k") and s.keys("retrieve") == [] and os.listdir(tmp_path / "retrieve" / "k") == []
     with s.reserve("retrieve", "k") as outer, s.reserve("retrieve", "k") as inner:
         open(os.path.join(outer, "outer"), "w").close()
         open(os.path.join(inner, "inner"), "w").close()
@@ -359,6 +360,55 @@ def test_store(tmp_path):
             s.path("retrieve", bad)
 
 
+@pytest.mark.parametrize("scheme", ["", "file://", "viewfs://plumb/at"])
+def test_publication(spark, tmp_path, scheme):
+    """Also through a file system that only Spark's readers open."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.plumb.link./at", f"file://{tmp_path}")
+    root = scheme if scheme.startswith("viewfs") else f"{scheme}{tmp_path}"
+    s = store.Store(f"{root}/store")
+    df = spark.range(5)
+
+    def publish(n, replace=False):
+        with s.reserve("run", "r", replace) as at:
+            spark.range(n).write.parquet(f"{at}/t.parquet")
+
+    count = lambda: spark.read.parquet(f"{s.path('run', 'r')}/t.parquet").count()
+    publish(3)
+    publish(4)  # the first wins
+    assert count() == 3 and s.keys("run") == ["r"]
+    before = s.path("run", "r")
+    with pytest.raises(RuntimeError), s.reserve("run", "r", True) as at:
+        df.write.parquet(f"{at}/t.parquet")
+        assert s.path("run", "r") == before  # what was there stays until the new one is whole
+        raise RuntimeError
+    assert count() == 3
+    for n in (5, 6, 7):
+        publish(n, True)
+        assert count() == n
+    versions = [x for x in files.names(s.folder("run", "r")) if x.startswith("version")]
+    assert len(versions) == 2 and len(files.names(s.folder("run", "r"))) == 4
+    # A writer that died in the middle: an attempt without a version, and a version's file without its end.
+    files.make_dir(f"{s.folder('run', 'r')}/attempt-dead")
+    files.write(f"{s.folder('run', 'r')}/version-000000099", b"attempt-de")
+    assert count() == 7
+    publish(8, True)
+    assert count() == 8 and not files.create(f"{s.folder('run', 'r')}/version-000000099", b"x") and files.create(f"{s.folder('run', 'r')}/other", b"x")
+    calls = []
+    load = lambda at: files.read(f"{at}/note").decode()
+    make = lambda at: (calls.append(at), files.write(f"{at}/note", f"made {len(calls)}".encode()))
+    assert [s.cached("note", "n", load, make) for _ in range(2)] == [("made 1", False), ("made 1", True)]
+    files.remove(f"{s.path('note', 'n')}/note")
+    assert s.cached("note", "n", load, make) == ("made 2", False) and s.cached("note", "n", load, make) == ("made 2", True)
+
+
+def test_two_publishers_at_once(spark, tmp_path):
+    s = store.Store(str(tmp_path))
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: files.create(str(tmp_path / "one" / "version-000000001"), b"%d\n" % i), range(24)))
+    assert sum(won) == 1 and files.read(str(tmp_path / "one" / "version-000000001")) == b"%d\n" % won.index(True)
+    assert s.path("one", "nobody").endswith("nothing")
+
+
 def test_runs_round_trip(spark, tmp_path):
     scores = [math.pi, 1.0, 1 - 2**-52, 0.8709996938705444, 1e-300, 0.0]
     run_io.write_run(str(tmp_path), run_of(spark, {"ü": [(f"d{i}", s) for i, s in enumerate(scores)]}))
