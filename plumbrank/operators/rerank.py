@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Any, NamedTuple, Protocol
+from typing import Any, ClassVar, NamedTuple, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,13 +27,15 @@ class Reranker(Protocol):
 class CoverageReranker:
     """Share of the query's distinct words that a candidate has, less `length_penalty` times the log of its distinct words."""
 
+    uses: ClassVar[tuple[str, ...]] = ()
+    version: ClassVar[int] = 1
     name: str = "coverage"
     lower: bool = True
     length_penalty: float = 0.0
 
     @property
     def descriptor(self) -> dict[str, Any]:
-        return {"kind": "coverage", "lower": self.lower, "length_penalty": self.length_penalty, "impl_version": 1}
+        return {"kind": "coverage", "lower": self.lower, "length_penalty": self.length_penalty, "impl_version": self.version}
 
     def score(self, query: Column, document: Column) -> Column:
         return scoring.coverage(text.word_set(query, self.lower), text.word_set(document, self.lower), self.length_penalty)
@@ -46,6 +48,8 @@ class CrossEncoderReranker:
     Calls hold pairs of like length; a null text counts as empty.
     """
 
+    uses: ClassVar[tuple[str, ...]] = ("pandas", "pyarrow")
+    version: ClassVar[int] = 2
     model_id: str = "injected"
     name: str = "cross_encoder"
     revision: str | None = None
@@ -58,7 +62,7 @@ class CrossEncoderReranker:
     @property
     def descriptor(self) -> dict[str, Any]:
         names = ("model_id", "revision", "device", "dtype", "max_length", "batch_size")
-        return {"kind": "cross_encoder", **{x: getattr(self, x) for x in names}, "impl_version": 1}
+        return {"kind": "cross_encoder", **{x: getattr(self, x) for x in names}, "impl_version": self.version}
 
     def score(self, query: Column, document: Column) -> Column:
         if self.load is None:

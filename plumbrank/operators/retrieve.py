@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from typing import Any, Protocol
+from typing import Any, ClassVar, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,8 @@ def pinned(model_id: str, revision: str | None, resolve: Callable[[str], str | N
 class BM25Retriever:
     """An index holds all terms and serves any method, k1, b and stop words; only with a stemmer, which may make a stop word of another, does it lack the stop words."""
 
+    uses: ClassVar[tuple[str, ...]] = ("numpy", "pyarrow")
+    version: ClassVar[int] = 2
     name: str = "bm25"
     k1: float = 1.5
     b: float = 0.75
@@ -86,7 +88,7 @@ class BM25Retriever:
 
     @property
     def descriptor(self) -> dict[str, Any]:
-        return {"kind": "bm25", "k1": self.k1, "b": self.b, "method": self.method, "stopwords": self.stopwords, "stemmer": self.stemmer, "token_pattern": self.token_pattern, "lower": self.lower, "dtype": self.dtype, "impl_version": 1}
+        return {"kind": "bm25", "k1": self.k1, "b": self.b, "method": self.method, "stopwords": self.stopwords, "stemmer": self.stemmer, "token_pattern": self.token_pattern, "lower": self.lower, "dtype": self.dtype, "impl_version": self.version}
 
     @property
     def index_options(self) -> tuple:
@@ -129,6 +131,8 @@ class BM25Retriever:
 class TfidfRetriever:
     """Postings hold a unit's weights over their length, so that a cosine is a sum over what a query has."""
 
+    uses: ClassVar[tuple[str, ...]] = ("numpy", "pyarrow")
+    version: ClassVar[int] = 2
     name: str = "tfidf"
     ngram_range: tuple[int, int] = (3, 5)
     lower: bool = True
@@ -144,7 +148,7 @@ class TfidfRetriever:
 
     @property
     def descriptor(self) -> dict[str, Any]:
-        return {"kind": "tfidf", "ngram_range": list(self.ngram_range), "lower": self.lower, "sublinear_tf": self.sublinear_tf, "smooth_idf": self.smooth_idf, "dtype": self.dtype, "impl_version": 1}
+        return {"kind": "tfidf", "ngram_range": list(self.ngram_range), "lower": self.lower, "sublinear_tf": self.sublinear_tf, "smooth_idf": self.smooth_idf, "dtype": self.dtype, "impl_version": self.version}
 
     def _idf(self, units: int) -> Column:
         return scoring.smooth_idf(F.lit(float(units)), F.col("df").cast("double"), self.smooth_idf)
@@ -196,6 +200,8 @@ class DenseRetriever:
     says which one the name stands for now. None where that cannot be known, never a guess.
     """
 
+    uses: ClassVar[tuple[str, ...]] = ("numpy", "pyarrow")
+    version: ClassVar[int] = 2
     model_id: str = "precomputed"
     name: str = "dense"
     revision: str | None = None
@@ -217,7 +223,7 @@ class DenseRetriever:
     @property
     def descriptor(self) -> dict[str, Any]:
         names = ("model_id", "revision", "device", "dtype", "normalize", "query_prompt", "document_prompt", "max_seq_length", "batch_size")
-        return {"kind": "dense", **{x: getattr(self, x) for x in names}, "impl_version": 1}
+        return {"kind": "dense", **{x: getattr(self, x) for x in names}, "impl_version": self.version}
 
     def _vectors(self, rows: DataFrame, unit: str, prompt: str) -> DataFrame:
         """(unit, vector as array<double>), of unit length where `normalize` says so; a null vector stays out."""

@@ -520,11 +520,11 @@ def test_manifests_are_strict():
     for bad in ({"other": {}}, [whole.parts], None):
         with pytest.raises(ValueError):
             manifest.Record.parse(bad)
-    for bad in (True, "1", 1.0):
-        with pytest.raises(TypeError):
-            manifest.impl_version({"impl_version": bad})
-    assert manifest.impl_version({}) == 1 and manifest.source_changed(None, "a" * 40, "retrieve") is None and manifest.source_changed("a" * 40, "a" * 40, "retrieve") is False
-    assert manifest.relevant_packages("retrieve", "dense") == ("numpy", "pyarrow", "pyspark") and all(p.exists() for s in manifest.STAGE_SOURCES for p in manifest.stage_source_paths(s))
+    assert manifest.source_changed(None, "a" * 40, "retrieve") is None and manifest.source_changed("a" * 40, "a" * 40, "retrieve") is False
+    place = {"commit": None, "dirty": False, "python": "3", "platform": "linux", "packages": {}}
+    said = lambda by: manifest.step_record("retrieve", "k", {}, (), by, place)["step:retrieve"]
+    assert said(retrieve.build("dense"))["uses"] == ["numpy", "pyarrow", "pyspark"] and said(None)["uses"] == ["pyspark"]
+    assert said(retrieve.build("bm25"))["version"] == retrieve.build("bm25").descriptor["impl_version"] and all(p.exists() for s in manifest.STAGE_SOURCES for p in manifest.stage_source_paths(s))
 
 
 def test_experiment_files(tmp_path):
@@ -621,3 +621,42 @@ def test_causes_as_people_write_them():
     for bad in ("lexical", "lexical__mismatch", "", "lexical mismatch!"):
         with pytest.raises(ValueError):
             labelling.validate_label(bad)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 977, 70_001])
+def test_draws_from_anywhere_are_those_of_the_generator(n):
+    rows = 40 if n < 10_000 else 3
+    draw = np.random.default_rng(7)
+    want, signs = draw.integers(0, n, size=(rows, n)), draw.choice(np.array([-1.0, 1.0]), size=(rows, n))
+    every = significance.words(7, 0, rows * n + 2000)
+    bad = np.flatnonzero(significance.passed_over(every, n)) if n > 1 else np.zeros(0, np.int64)
+    of = significance.Draws(7, n, rows, bad[bad - np.arange(len(bad)) < rows * n])
+    for first, last in ((0, rows), (1, 2), (rows - 1, rows), (rows // 3, rows // 2 + 1)):
+        assert (of.indices(first, last) == want[first:last]).all() and (of.signs(first, last) == signs[first:last]).all()
+
+
+def test_unused_words_shift_the_draws(spark, monkeypatch):
+    """With so many queries that words are left unused, and shares so small that many tasks look for them."""
+    monkeypatch.setattr(significance, "DRAWS", 50_000)
+    n, rows = 70_001, 4
+    of = significance.draws(spark, n, 7, rows)
+    draw = np.random.default_rng(7)
+    assert len(of.skipped) and (of.indices(0, rows) == draw.integers(0, n, size=(rows, n))).all()
+    assert (of.signs(1, rows) == draw.choice(np.array([-1.0, 1.0]), size=(rows, n))[1:]).all()
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 8])
+def test_shares_of_resamples_give_what_one_generator_gives(spark, tasks):
+    rng = np.random.default_rng(2)
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        frames = []
+        for shift in (0.0, 0.03):
+            rows = [(f"q{i:03d}", m, float(v)) for m, n in (("RR", 83), ("P@5", 1), ("nDCG@10", 83)) for i, v in enumerate(rng.random(n) + shift)]
+            frames.append(spark.createDataFrame(rows, "query_id string, measure string, value double"))
+        got = {r.measure: r for r in significance.compare_measures(*frames, resamples=501).collect()}
+        for m, r in got.items():
+            a, b = (f.filter(F.col("measure") == m).orderBy("query_id").toPandas()["value"].to_numpy() for f in frames)
+            assert (r.ci_low, r.ci_high, r.p_value) == significance.resampled(b - a, significance.SEED, 501, significance.CONFIDENCE) and r.n == len(a) and r.delta == (b - a).mean()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
