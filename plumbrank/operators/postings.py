@@ -43,9 +43,11 @@ BROADCAST_TERMS = 1_000_000
 SPARE = 2e-9
 
 _SEGMENT = "segment long, term string, at int, n int, most_tf int, least_dl int, least_kept int, data binary, units array<string>, texts int, n_terms long, n_stop long"
-#: Records of `data`, one for each posting: a unit's number, how often it has the term, its terms, and stop words among them; or what it adds for a weight of 1.
-COUNTED = np.dtype([("doc", "<i4"), ("tf", "<i4"), ("dl", "<i4"), ("stop", "<i4")])
-WEIGHED = np.dtype([("impact", "<f8"), ("doc", "<i4"), ("dl", "<i4")])
+#: Records of `data`, one for each posting: a unit's number, less that of the block's posting before it, and how often it has the term, or what it adds for a weight of 1.
+COUNTED = np.dtype([("doc", "<i4"), ("tf", "<i4")])
+WEIGHED = np.dtype([("doc", "<i4"), ("impact", "<f8")])
+#: `data` of a segment's own row: terms of each unit, and stop words among them.
+LENGTHS = np.dtype([("dl", "<i4"), ("stop", "<i4")])
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -68,6 +70,19 @@ def unpacked(data: pa.Array, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind) if offsets[-1] > offsets[0] else np.zeros(0, kind)
 
 
+def steps(docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Numbers as steps from one to the next; each block begins with its number."""
+    out = np.diff(docs, prepend=0)
+    out[starts] = docs[starts]
+    return out
+
+
+def numbers(steps_: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The inverse of `steps`."""
+    total = np.cumsum(steps_, dtype=np.int64)
+    return total - np.repeat(total[starts] - steps_[starts], counts)
+
+
 def numbered(ids: pa.Array, length: np.ndarray) -> np.ndarray:
     """Texts in order of length, then of id."""
     return np.lexsort((pc.rank(ids).to_numpy(), length)) if len(ids) else np.zeros(0, np.int64)
@@ -91,8 +106,8 @@ def segment(name: int, ids: pa.Array, order: np.ndarray, length: np.ndarray, sto
     fresh = np.append(True, term[1:] != term[:-1])[: len(term)]
     within = at - np.maximum.accumulate(np.where(fresh, at, 0)) if len(term) else at
     starts = np.flatnonzero(within % BLOCK == 0)
-    records = np.empty(len(term), COUNTED)
-    records["doc"], records["tf"], records["dl"], records["stop"] = doc, tf, length[doc], stop[doc]
+    records, lengths = np.empty(len(term), COUNTED), np.empty(len(order), LENGTHS)
+    records["doc"], records["tf"], lengths["dl"], lengths["stop"] = steps(doc, starts), tf, length, stop
     n = len(starts)
     least = lambda x: pa.array(np.minimum.reduceat(x, starts).astype(np.int32) if n else np.zeros(0, np.int32))
     blocks = {
@@ -101,11 +116,11 @@ def segment(name: int, ids: pa.Array, order: np.ndarray, length: np.ndarray, sto
         "at": pa.array((within[starts] // BLOCK).astype(np.int32)),
         "n": pa.array(np.diff(np.append(starts, len(term))).astype(np.int32)),
         "most_tf": pa.array(-np.minimum.reduceat(-tf, starts).astype(np.int32) if n else np.zeros(0, np.int32)),
-        "least_dl": least(records["dl"]),
-        "least_kept": least(records["dl"] - records["stop"]),
+        "least_dl": least(length[doc]),
+        "least_kept": least((length - stop)[doc]),
         "data": packed(records, starts),
     }
-    units = {"segment": pa.array([name]), "units": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.take(pa.array(order))), "texts": pa.array([int(known.sum())], pa.int32()), "n_terms": pa.array([int(length.sum())]), "n_stop": pa.array([int(stop.sum())])}
+    units = {"segment": pa.array([name]), "data": packed(lengths, np.zeros(1, np.int64)), "units": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.take(pa.array(order))), "texts": pa.array([int(known.sum())], pa.int32()), "n_terms": pa.array([int(length.sum())]), "n_stop": pa.array([int(stop.sum())])}
     kinds = {"segment": pa.int64(), "term": pa.string(), "data": pa.binary(), "units": pa.list_(pa.string()), "n_terms": pa.int64(), "n_stop": pa.int64()}
     names = [x.split()[0] for x in _SEGMENT.split(", ")]
     for found, rows in ((blocks, n), (units, 1)):
@@ -177,7 +192,7 @@ def grams_of(texts: list[str], order: np.ndarray, low: int, high: int) -> tuple[
 
 @dataclass
 class PostingsIndex:
-    """segments: a row for each (segment, units, texts, n_terms, n_stop); postings: blocks in files by term; terms: (term, df, first, last), with the term's files; files: their paths."""
+    """segments: a row for each (segment, data, units, texts, n_terms, n_stop); postings: blocks in files by term; terms: (term, df, first, last), with the term's files; files: their paths."""
 
     segments: DataFrame
     postings: DataFrame
@@ -233,7 +248,7 @@ def indexed(made: DataFrame, finish: Callable[[DataFrame, DataFrame, int], DataF
     """The index of segments as `inverted` makes them. finish(blocks, (term, df), units) may give blocks other columns first."""
     spark = made.sparkSession
     made = materialise(made, "segments")
-    segments = materialise(made.filter("term is null").select("segment", "units", "texts", "n_terms", "n_stop"), "units")
+    segments = materialise(made.filter("term is null").select("segment", "data", "units", "texts", "n_terms", "n_stop"), "units")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     totals = tuple(segments.agg(total(F.size("units").cast("long")), total("texts"), total("n_terms"), total("n_stop")).first())
     blocks = made.filter("term is not null").drop("units", "texts", "n_terms", "n_stop")
@@ -271,18 +286,35 @@ class Blocks:
         self.most = {s: {t: float(self.bound[lo:hi].max()) for t, (lo, hi) in of.items()} for s, of in self.rows.items()}
 
     @classmethod
-    def of(cls, parts: list[pa.RecordBatch], kind: np.dtype, impact: Callable[[np.ndarray], np.ndarray]) -> Blocks:
-        """parts: segment, term, n, data; impact: what postings add for a weight of 1, from their records."""
-        if not parts:
-            return cls(*(np.zeros(0, np.int64) for _ in range(5)), {})
-        seg, n = (np.concatenate([x.column(i).to_numpy() for x in parts]) for i in (0, 2))
-        term = [t for x in parts for t in x.column(1).to_pylist()]
-        records, counts = np.concatenate([unpacked(x.column(3), kind) for x in parts]), n.astype(np.int64)
+    def of(cls, parts: list[pa.RecordBatch], kind: np.dtype, impact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Blocks:
+        """parts: segment, term, n, data, a segment's own row first; impact: what postings add for a weight of 1, from their records and their units' lengths."""
+        lengths: dict[int, np.ndarray] = {}
         rows: dict[int, dict[str, tuple[int, int]]] = {}
-        for i, (s, t) in enumerate(zip(seg.tolist(), term, strict=True)):
-            of = rows.setdefault(s, {})
-            of[t] = (of[t][0] if t in of else i, i + 1)
-        return cls(records["doc"].astype(np.int64), impact(records), records["dl"], np.cumsum(counts) - counts, counts, rows)
+        counts, records, of_unit, at = [], [], [], 0
+        for x in parts:
+            own = x.column(1).is_null()
+            for r in x.filter(own).select([0, 3]).to_pylist():
+                lengths[r["segment"]] = np.frombuffer(r["data"], LENGTHS)
+            x = x.filter(pc.invert(own))
+            if not x.num_rows:
+                continue
+            segments, n = x.column(0).to_numpy(), x.column(2).to_numpy().astype(np.int64)
+            for i, (s, t) in enumerate(zip(segments.tolist(), x.column(1).to_pylist(), strict=True), at):
+                of = rows.setdefault(s, {})
+                of[t] = (of[t][0] if t in of else i, i + 1)
+            at += x.num_rows
+            found = unpacked(x.column(3), kind).copy()
+            found["doc"] = numbers(found["doc"], np.cumsum(n) - n, n)
+            counts.append(n)
+            records.append(found)
+            first = np.append(0, np.flatnonzero(np.diff(segments)) + 1)
+            ends = np.append(np.cumsum(n), 0)[np.append(first[1:], len(n)) - 1]
+            cuts = np.split(found["doc"], ends[:-1])
+            of_unit += [lengths[s][docs] for s, docs in zip(segments[first].tolist(), cuts, strict=True)]
+        if not at:
+            return cls(*(np.zeros(0, np.int64) for _ in range(5)), {})
+        n, found, units = np.concatenate(counts), np.concatenate(records), np.concatenate(of_unit)
+        return cls(found["doc"].astype(np.int64), impact(found, units), units["dl"], np.cumsum(n) - n, n, rows)
 
     def best(self, query: list[tuple[str, float]], k: int, threshold: float, final: Callable[[np.ndarray], np.ndarray], spare: float, unit_length: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(segment, doc, sum, final score) of the k best units above 0; equal scores of one segment by length, then number.
@@ -379,11 +411,11 @@ def worthwhile(blocks: DataFrame, known: DataFrame, least: DataFrame, small: Cal
     return blocks.join(small(materialise(need, "need")), "term").filter("_bound >= _need")
 
 
-def search(index: PostingsIndex, known: DataFrame, k: int, kind: np.dtype, impact: Callable[[np.ndarray], np.ndarray], bound: Column, dtype: str = "float64", unit_length: bool = False) -> DataFrame:
+def search(index: PostingsIndex, known: DataFrame, k: int, kind: np.dtype, impact: Callable[[np.ndarray, np.ndarray], np.ndarray], bound: Column, dtype: str = "float64", unit_length: bool = False) -> DataFrame:
     """(query_id, unit_id, score): the k best matches of each query, more where they are equal.
 
     known: (query_id, term, w, offset, and the columns of the index's terms). impact: what postings add for a weight of 1, from their
-    records of a `kind`; bound: a column that no impact of the block exceeds.
+    records of a `kind` and their units' lengths; bound: a column that no impact of the block exceeds.
     """
     spark = index.postings.sparkSession
     known = materialise(known.filter("w > 0"), "known")
@@ -392,7 +424,9 @@ def search(index: PostingsIndex, known: DataFrame, k: int, kind: np.dtype, impac
     files = sorted({f for first, last in ranges for f in range(first, last + 1)})
     small = F.broadcast if n_terms <= BROADCAST_TERMS else lambda df: df
     parts = max(1, -(-postings // PART_POSTINGS), min(shuffle_partitions(spark), -(-postings // LEAST_POSTINGS)))
-    blocks = index.of(files).join(small(asked.select("term")), "term", "left_semi").withColumns({"_bound": bound, "part": F.pmod(F.xxhash64("segment"), F.lit(parts)).cast("int")})
+    part_of = F.pmod(F.xxhash64("segment"), F.lit(parts)).cast("int")
+    blocks = index.of(files).join(small(asked.select("term")), "term", "left_semi").withColumns({"_bound": bound, "part": part_of})
+    lengths = index.segments.select("segment", "data", part_of.alias("part"))
     queries = known.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("terms"), F.first("offset").alias("offset"))
     single = dtype not in ("float64", "double")
     names = ["segment", "term", "n", "data"]
@@ -417,8 +451,9 @@ def search(index: PostingsIndex, known: DataFrame, k: int, kind: np.dtype, impac
         some = blocks.filter((F.col("part") >= first) & (F.col("part") < last)).select("part", "at", *names)
         given = queries.withColumn("least", F.lit(0.0)) if least is None else queries.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
         given = given.withColumn("part", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
-        both = some.unionByName(given, allowMissingColumns=True).withColumn("part", F.col("part") - first)
-        return both.repartitionById(last - first, "part").sortWithinPartitions(F.asc_nulls_first("query_id"), "segment", "term", "at").mapInArrow(run, "query_id string, segment long, doc long, sum double, score double")
+        own = lengths.filter((F.col("part") >= first) & (F.col("part") < last))
+        both = some.unionByName(own, allowMissingColumns=True).unionByName(given, allowMissingColumns=True).withColumn("part", F.col("part") - first)
+        return both.repartitionById(last - first, "part").sortWithinPartitions(F.asc_nulls_first("query_id"), "segment", F.asc_nulls_first("term"), "at").mapInArrow(run, "query_id string, segment long, doc long, sum double, score double")
 
     if parts < TWO_WAVES:
         found = wave(blocks, 0, parts, None)

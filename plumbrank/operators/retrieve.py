@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..session import broadcast_if_small, materialise, spread
 from . import cells, models
-from .postings import COUNTED, WEIGHED, PostingsIndex, indexed, inverted, inverted_grams, packed, search, unpacked
+from .postings import COUNTED, WEIGHED, PostingsIndex, indexed, inverted, inverted_grams, numbers, packed, search, unpacked
 from .ranking import rank
 
 class Retriever(Protocol):
@@ -119,8 +119,8 @@ class BM25Retriever:
         known = wanted.join(ix.terms, "term").withColumn("w", w).withColumn("offset", offset if absent else F.lit(0.0))
         method, k1, b, avgdl = self.method, self.k1, self.b, ix.mean_length(stopped)
 
-        def impact(of: np.ndarray) -> np.ndarray:
-            return scoring.bm25_tf(method, k1, b, of["tf"].astype(float), (of["dl"] - of["stop"] if stopped else of["dl"]).astype(float), avgdl)
+        def impact(of: np.ndarray, units: np.ndarray) -> np.ndarray:
+            return scoring.bm25_tf(method, k1, b, of["tf"].astype(float), (units["dl"] - units["stop"] if stopped else units["dl"]).astype(float), avgdl)
 
         bound = scoring.bm25_tf(method, k1, b, F.col("most_tf").cast("double"), F.col("least_kept" if stopped else "least_dl").cast("double"), F.lit(avgdl))
         hits = search(ix, known, k, COUNTED, impact, bound, self.dtype)
@@ -162,10 +162,11 @@ class TfidfRetriever:
             given = np.concatenate([unpacked(x, COUNTED) for x in rows["data"].chunks])
             tf = given["tf"].astype(float)
             weight = (1 + np.log(tf) if sublinear else tf) * np.repeat(rows["idf"].to_numpy(), count)
-            norm = np.sqrt(np.bincount(given["doc"], weight**2))
-            records = np.empty(len(given), WEIGHED)
-            records["doc"], records["dl"], records["impact"] = given["doc"], given["dl"], weight / np.where(norm == 0, 1.0, norm)[given["doc"]]
             starts = np.cumsum(count) - count
+            doc = numbers(given["doc"], starts, count)
+            norm = np.sqrt(np.bincount(doc, weight**2))
+            records = np.empty(len(given), WEIGHED)
+            records["doc"], records["impact"] = given["doc"], weight / np.where(norm == 0, 1.0, norm)[doc]
             most = np.maximum.reduceat(records["impact"], starts)
             return pa.table({"segment": rows["segment"], "term": rows["term"], "at": rows["at"], "n": rows["n"], "most": pa.array(most), "data": packed(records, starts)})
 
@@ -186,7 +187,7 @@ class TfidfRetriever:
         asked = grams.join(ix.terms, "term").withColumn("qw", scoring.tf_weight(F.col("tf"), self.sublinear_tf) * self._idf(ix.totals[0]))
         norm = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id")))
         known = asked.select("query_id", "term", "df", "first", "last", (F.col("qw") / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).alias("w"), F.lit(0.0).alias("offset"))
-        hits = search(ix, known, k, WEIGHED, lambda of: of["impact"].copy(), F.col("most"), self.dtype, unit_length=True)
+        hits = search(ix, known, k, WEIGHED, lambda of, units: of["impact"].copy(), F.col("most"), self.dtype, unit_length=True)
         return padded(hits, queries, ix.units, k, None, self.dtype)
 
 

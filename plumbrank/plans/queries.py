@@ -135,7 +135,7 @@ def chunks_of_document(spark, sf):
 @query
 def hits_of_query(spark, sf):
     """What the first formulation of document 50 finds."""
-    return ranking.of_query(tasks.bm25_run(spark, sf), "q-50-a")
+    return tasks.bm25_run(spark, sf, query_id="q-50-a")
 
 
 @query

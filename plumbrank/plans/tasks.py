@@ -94,15 +94,16 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFra
     return _made[key]
 
 
-def bm25_run(spark: SparkSession, sf_dir: str, k: int = K, **options) -> DataFrame:
-    """Runs whose retrievers differ in scoring alone share an index."""
+def bm25_run(spark: SparkSession, sf_dir: str, k: int = K, query_id: str | None = None, **options) -> DataFrame:
+    """Runs whose retrievers differ in scoring alone share an index. query_id: search for this query alone."""
     task, retriever = known_item(spark, sf_dir), retrieve.build("bm25", **options)
     key = (spark.sparkContext.applicationId, sf_dir, retriever.index_options, _state(spark, sf_dir))
     if key not in _made:
         retriever.index(task.corpus.withColumnRenamed("doc_id", "unit_id"))
         _made[key] = retriever.share()
     retriever.share(_made[key])
-    return retriever.search(task.queries, k).withColumnRenamed("unit_id", "doc_id")
+    queries = task.queries if query_id is None else ranking.of_query(task.queries, query_id)
+    return retriever.search(queries, k).withColumnRenamed("unit_id", "doc_id")
 
 
 def left_run(spark: SparkSession, sf_dir: str) -> DataFrame:

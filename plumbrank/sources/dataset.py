@@ -6,11 +6,12 @@ import json
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import titled
 from ..operators.ranking import judged
+from . import files
 from .fingerprint import frame_fingerprint
 
 
@@ -52,21 +53,18 @@ class Dataset:
 def read_jsonl(spark: SparkSession, path: str, fields: dict[str, str]) -> DataFrame:
     """Rows of a JSON-lines file with `_line`, the 1-based line number. fields: name to kind, `string` or `int?` (default 1).
 
-    One file is read as text in its own order; blank lines are skipped, and the first
-    line that is no object or lacks a field is an error that names it.
+    A folder of parts counts as the file that its parts make up in order of their names. Blank lines are
+    skipped, and the first line that is no object or lacks a field is an error that names it.
     """
-    if not os.path.exists(path.removeprefix("file://")) and "://" not in path:
+    if not (files.is_file(path) or files.is_dir(path)):
         raise DatasetError(f"{path}: no such file")
-    # Line numbers: partitions of one file are in order, so a running count over partitions' sizes is the place.
-    lines = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    sizes = {r[0]: r[1] for r in lines.groupBy(part.alias("p")).count().collect()}
-    base, before = 0, []
-    for p in sorted(sizes):
-        before.append((p, base))
-        base += sizes[p]
-    offset = F.create_map(*[F.lit(x) for pair in before for x in pair]) if before else None
-    number = (F.lit(0) if offset is None else F.element_at(offset, part.cast("int"))) + (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))) + 1
+    # A task reads whole splits: a line's place is that in its split, and the lines of all splits before.
+    split = (F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    lines = spark.read.text(path).select("value", *split, F.monotonically_increasing_id().alias("_id"))
+    sizes = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.join(F.broadcast(sizes.withColumn("_before", before).drop("_n")), ["_file", "_block"])
+    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
     rows = lines.withColumn("_line", number.cast("long")).filter(F.trim("value") != "")
     rows = rows.withColumn("_v", F.try_parse_json("value"))
     bad = F.when(F.col("_v").isNull() | ~F.schema_of_variant("_v").startswith("OBJECT"), F.lit("is not a JSON object"))
@@ -109,20 +107,25 @@ def load_dataset(spark: SparkSession, directory: str, name: str | None = None) -
 
 
 def export_dataset(docs: DataFrame, queries: DataFrame, qrels: DataFrame, directory: str, source: str, with_title: bool = True) -> dict:
-    """Write tables as a dataset directory, as `load_dataset` reads it; documents may have a `title`. Empty texts are left out, with their labels."""
+    """Write tables as a dataset directory, as `load_dataset` reads it; documents may have a `title`. Empty texts are left out, with their labels.
+
+    Executors write parts, each with a range of the ids; `source.json` lists them with their lines and where each
+    begins in the file that they make up, so joining them is a copy in order of their names.
+    """
     body = titled(F.col("title"), F.col("text")) if with_title and "title" in docs.columns else F.trim("text")
     docs = docs.select("doc_id", body.alias("text")).filter("length(text) > 0")
     queries = queries.select("query_id", F.trim("text").alias("text")).filter("length(text) > 0")
     qrels = qrels.select("query_id", "doc_id", "relevance").join(docs, "doc_id", "left_semi").join(queries, "query_id", "left_semi").select("query_id", "doc_id", "relevance")
-    os.makedirs(directory, exist_ok=True)
-    counts = {}
+    counts, parts = {}, {}
     for file, rows in (("corpus", docs), ("queries", queries), ("qrels", qrels)):
-        counts[file] = 0
-        with open(os.path.join(directory, f"{file}.jsonl"), "w", encoding="utf-8") as out:
-            for line in rows.orderBy(*rows.columns[:2]).toJSON().toLocalIterator():
-                out.write(line + "\n")
-                counts[file] += 1
-    about = {"dataset": source, "title_concatenated": with_title, "counts": counts}
-    with open(os.path.join(directory, "source.json"), "w", encoding="utf-8") as out:
-        json.dump(about, out, indent=2)
+        path = f"{directory}/{file}.jsonl"
+        rows.orderBy(*rows.columns[:2]).select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
+        written = docs.sparkSession.read.text(path).groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+        parts[file], at = [], 0
+        for part in written.orderBy("name").collect():
+            parts[file].append({"name": part["name"], "lines": part["lines"], "at": at})
+            at += part["bytes"]
+        counts[file] = sum(x["lines"] for x in parts[file])
+    about = {"dataset": source, "title_concatenated": with_title, "counts": counts, "parts": parts}
+    files.write(f"{directory}/source.json", json.dumps(about, indent=2).encode())
     return about

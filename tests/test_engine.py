@@ -660,3 +660,28 @@ def test_shares_of_resamples_give_what_one_generator_gives(spark, tasks):
             assert (r.ci_low, r.ci_high, r.p_value) == significance.resampled(b - a, significance.SEED, 501, significance.CONFIDENCE) and r.n == len(a) and r.delta == (b - a).mean()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_export_in_parts(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i:04d}", "" if i % 50 == 0 else f"text é \"{i}\"\n{i}") for i in range(900)], "doc_id string, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    queries = spark.createDataFrame([(f"q{i}", f"ask {i}") for i in range(20)], "query_id string, text string")
+    qrels = spark.createDataFrame([(f"q{i}", f"d{i * 7:04d}", i % 3) for i in range(20)], "query_id string, doc_id string, relevance int")
+    about = dataset.export_dataset(docs, queries, qrels, str(tmp_path), "made up", with_title=False)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert about["counts"] == {"corpus": 882, "queries": 20, "qrels": 19} and len(about["parts"]["corpus"]) > 1
+    whole = b"".join((tmp_path / "corpus.jsonl" / p["name"]).read_bytes() for p in about["parts"]["corpus"])
+    for p in about["parts"]["corpus"]:
+        assert whole[p["at"] :].startswith((tmp_path / "corpus.jsonl" / p["name"]).read_bytes())
+    ids = [json.loads(x)["doc_id"] for x in whole.decode().splitlines()]
+    assert ids == sorted(ids)
+    found = dataset.load_dataset(spark, str(tmp_path))
+    assert sorted(map(tuple, found.corpus.collect())) == sorted((r.doc_id, r.text) for r in docs.collect() if r.text)
+    lines = {r.doc_id: r._line for r in dataset.read_jsonl(spark, str(tmp_path / "corpus.jsonl"), {"doc_id": "string", "text": "string"}).collect()}
+    assert [lines[x] for x in ids] == list(range(1, 883))
+    name = about["parts"]["corpus"][1]["name"]
+    part = (tmp_path / "corpus.jsonl" / name).read_text().splitlines()
+    (tmp_path / "corpus.jsonl" / name).write_text("\n".join([part[0], "oops", *part[1:]]) + "\n")
+    (tmp_path / "corpus.jsonl" / f".{name}.crc").unlink(missing_ok=True)
+    with pytest.raises(dataset.DatasetError, match=f"corpus.jsonl:{about['parts']['corpus'][0]['lines'] + 2}: is not"):
+        dataset.load_dataset(spark, str(tmp_path))

@@ -96,14 +96,15 @@ def blocks_of(texts, impact):
     """Blocks of one segment of texts."""
     rows = pa.table({"unit_id": [f"u{i:06d}" for i in range(len(texts))], "terms": pa.array([t.split() for t in texts], pa.list_(pa.string())), "stop": pa.array([0] * len(texts), pa.int32())})
     made, units = postings._of_terms(5, rows)
-    rows = made.select(["segment", "term", "n", "data"]).take(pa.array(sorted(range(made.num_rows), key=lambda i: (made["term"][i].as_py(), made["at"][i].as_py()))))
-    return postings.Blocks.of([rows], postings.COUNTED, impact), units["units"][0].as_py()
+    names = ["segment", "term", "n", "data"]
+    rows = made.select(names).take(pa.array(sorted(range(made.num_rows), key=lambda i: (made["term"][i].as_py(), made["at"][i].as_py()))))
+    return postings.Blocks.of([units.select(names), rows], postings.COUNTED, impact), units["units"][0].as_py()
 
 
 def test_blocks_are_left_out(monkeypatch):
     texts = zipf_texts(11, 20_000, 80)
     avgdl = sum(len(t.split()) for t in texts) / len(texts)
-    blocks, units = blocks_of(texts, lambda of: scoring.bm25_tf("lucene", 1.5, 0.75, of["tf"].astype(float), of["dl"].astype(float), avgdl))
+    blocks, units = blocks_of(texts, lambda of, units: scoring.bm25_tf("lucene", 1.5, 0.75, of["tf"].astype(float), units["dl"].astype(float), avgdl))
     at = {u: i for i, u in enumerate(units)}
     df = Counter(w for t in texts for w in set(t.split()))
     for words, share in (("w299 w280 w000 w001", 0.8), ("w050 w000 w002 w001 w004", 0.4), ("w150 w151 w152 w000", 0.8)):
