@@ -229,6 +229,12 @@ ORACLE_SQL: dict[str, str] = {
     "reference_gold": _with(PASSAGE) + "SELECT query_id, max(doc_id) AS reference_gold FROM qrels GROUP BY query_id",
     "rank_scores": _with(KNOWN, bm25("lrun")) + "SELECT query_id, doc_id, (count(*) OVER (PARTITION BY query_id) - rank + 1)::DOUBLE AS rank_score FROM lrun",
     "metrics_long": _with(*LEFT_STEPS, measures("lm", "lrun", MEASURES)) + f"SELECT query_id, measure, {R6('value')} FROM lm",
+    # A query of the known-item task has one relevant document, of grade 2, and no other label.
+    "metrics_more": _with(*LEFT_STEPS, "sized AS (SELECT query_id, count(*) AS n FROM lrun GROUP BY query_id)") + f"""SELECT query_id, measure, {R6('value')} FROM (
+        SELECT query_id, unnest(['ERR', 'RBP', 'Judged@10', 'Bpref', 'Rprec', 'SetP', 'SetR', 'SetF']) AS measure,
+            unnest([coalesce(3.0 / 16 / gold_rank, 0), coalesce(0.2 * pow(0.8, gold_rank - 1), 0), CASE WHEN gold_rank <= 10 THEN 0.1 ELSE 0 END, CASE WHEN gold_rank IS NULL THEN 0 ELSE 1 END,
+                CASE WHEN gold_rank = 1 THEN 1 ELSE 0 END, CASE WHEN gold_rank IS NULL THEN 0 ELSE 1.0 / n END, CASE WHEN gold_rank IS NULL THEN 0 ELSE 1 END, CASE WHEN gold_rank IS NULL THEN 0 ELSE 2.0 / (n + 1) END]::DOUBLE[]) AS value
+        FROM lrun_best JOIN sized USING (query_id))""",
     "metrics_aggregate": _with(*LEFT_STEPS, measures("lm", "lrun", MEASURES)) + "SELECT measure, round(avg(value), 6) AS value FROM lm GROUP BY measure",
     "metrics_passage": _with(PASSAGE, bm25("run"), best("run_best", "run"), measures("m", "run", MEASURES)) + f"SELECT query_id, measure, {R6('value')} FROM m",
     "metrics_dense": _with(dense("list_cosine_similarity"), best("run_best", "run"), measures("m", "run", MEASURES)) + f"SELECT query_id, measure, {R6('value')} FROM m",

@@ -14,6 +14,7 @@ from . import tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+MORE_MEASURES = ("ERR", "RBP", "Judged@10", "Bpref", "Rprec", "SetP", "SetR", "SetF")
 MEASURES = ("nDCG@10", "RR", "R@10", "P@10", "AP", "Success@5", "RR@5", "AP@5", "nDCG")
 DRAWN = 20
 
@@ -208,6 +209,12 @@ def metrics_long(spark, sf):
     return rounded(tasks.metrics(spark, sf, "left", MEASURES))
 
 
+@query
+def metrics_more(spark, sf):
+    """Measures of readers who stop, of what is judged, and of the run as a set."""
+    return rounded(tasks.metrics(spark, sf, "left", MORE_MEASURES))
+
+
 @query
 def metrics_aggregate(spark, sf):
     return rounded(evaluate.aggregate(tasks.metrics(spark, sf, "left", MEASURES)))
@@ -348,6 +355,12 @@ def significance_bootstrap(spark, sf):
     return significance.compare_measures(*(tasks.metrics(spark, sf, x, evaluate.DEFAULT_MEASURES) for x in ("left", "right")))
 
 
+@query
+def significance_verdicts(spark, sf):
+    """Differences of all measures, judged as the operator does by itself: 10,000 resamples, its own seed and level."""
+    return significance.compare_measures(*(tasks.metrics(spark, sf, x, MEASURES) for x in ("left", "right"))).select("measure", "n", "delta", "ci_low", "ci_high", "p_value", "underpowered", "is_real")
+
+
 @query
 def significance_hashed(spark, sf):
     return significance.hashed_significance(*(tasks.metrics(spark, sf, x, ("nDCG@10", "RR")) for x in ("left", "right")))
