@@ -8,10 +8,13 @@ by ranges of (term, segment), so a frequent term takes several files and no task
 all of it; `terms` knows for each term its document frequency and its files.
 
 Searching. Only files of the queries' terms are opened. Their blocks meet the queries, which
-pass by as a stream of rows, in as many parts as postings need. Terms are scored in order
-of what they can add at most. The k-th best score so far is a threshold: a block that cannot
-lift a unit to it is left out, and once the terms that are left cannot do so alone, only
-blocks that hold one of the units in question are scored. A large search runs in two waves:
+pass by as a stream of rows, in as many parts as postings need. The k-th best score so far is
+a threshold. Where queries are few, terms are scored one after the other, in order of what they can
+add at most: a block that cannot lift a unit to the threshold is left out, and once the terms that are left
+cannot do so alone, only blocks that hold one of the units in question are scored. Many queries are
+compared at once with tiles of units: of those that a tile's bounds leave, terms that many of them share are
+a product of matrices, other terms are added posting by posting, and what comes near the
+threshold in single precision is scored exactly. A large search runs in two waves:
 thresholds of a few parts leave out blocks of all others before they are shuffled.
 """
 
@@ -35,6 +38,10 @@ from ..session import broadcast_if_small, discard, materialise, shuffle_partitio
 SEGMENT_TERMS, BLOCK = 4 << 20, 128
 #: Blocks of one term or more that are scored at once.
 GROUP = 32
+#: Queries that are compared with tiles at once, and those that are too few for it; units of a tile; additions in a product of matrices that take as long as one by place.
+QUERIES, FEW, TILE, PRODUCTS = 2048, 8, 1024, 500
+#: Pairs of a hit and a term that are scored exactly at once.
+PAIRS = 1 << 20
 #: Postings that a task of a search holds, about, and where all are few; a search of so many tasks runs in two waves.
 PART_POSTINGS, LEAST_POSTINGS, TWO_WAVES = 4 << 20, 64 << 10, 16
 #: Terms of all queries that are broadcast to the blocks, at most.
@@ -392,7 +399,175 @@ class Blocks:
         return found, sums[found], dl[found]
 
 
-def shown_as(dtype: str, offset: float) -> Callable[[np.ndarray], np.ndarray]:
+def foremost(query: np.ndarray, segment_: np.ndarray, doc: np.ndarray, size: np.ndarray, shown: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each query's best k in order of query and score, and their ranks; of those that are equal at the last place up to k of a segment and length."""
+    order = np.lexsort((doc, segment_, -shown, query))
+    q, s = query[order], shown[order]
+    at = np.arange(len(order))
+    first = np.append(True, q[1:] != q[:-1])[: len(q)]
+    begin = np.maximum.accumulate(np.where(first, at, 0)) if len(q) else at
+    last = np.minimum(begin + k - 1, np.append(np.flatnonzero(first)[1:], len(q))[np.cumsum(first) - 1] - 1)
+    tied = s == s[last]
+    fresh = first | np.append(True, (tied[1:] != tied[:-1]) | (segment_[order][1:] != segment_[order][:-1]) | (size[order][1:] != size[order][:-1]))[: len(q)]
+    within = at - np.maximum.accumulate(np.where(fresh, at, 0)) if len(q) else at
+    keep = (s > s[last]) | (tied & (within < k))
+    return order[keep], (at - begin)[keep]
+
+
+@dataclass
+class Tiles:
+    """Postings of one part in order of (tile, term, unit); a tile is up to `TILE` units of a segment, a run is what a tile has of a term."""
+
+    terms: pa.Array
+    key: np.ndarray  # (tile * terms + term) * TILE + unit
+    impact: np.ndarray
+    dl: np.ndarray
+    segments: np.ndarray  # of each tile: its segment and its first unit
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, blocks: Blocks) -> Tiles:
+        number = {t: i for i, t in enumerate(sorted({t for of in blocks.rows.values() for t in of}))}
+        term, base = np.zeros(len(blocks.starts), np.int64), np.zeros(len(blocks.starts), np.int64)
+        segments, first, at = [], [], 0
+        for s, of in blocks.rows.items():
+            for t, (lo, hi) in of.items():
+                term[lo:hi], base[lo:hi] = number[t], at
+            tiles = int(max(blocks.last[hi - 1] for _, hi in of.values())) // TILE + 1
+            segments += [s] * tiles
+            first += range(0, tiles * TILE, TILE)
+            at += tiles
+        key = blocks.docs // TILE
+        key += np.repeat(base, blocks.counts)
+        key *= max(len(number), 1)
+        key += np.repeat(term, blocks.counts)
+        key *= TILE
+        key += blocks.docs % TILE
+        order = np.argsort(key, kind="stable")
+        return cls(pa.array(list(number), pa.string()), key[order], blocks.impact[order], blocks.dl[order].astype(np.int32), np.array(segments, np.int64), np.array(first, np.int64))
+
+    def __post_init__(self):
+        run = self.key // TILE
+        self.starts = np.flatnonzero(np.append(True, run[1:] != run[:-1])[: len(run)])
+        self.runs = run[self.starts]
+        self.counts = np.diff(np.append(self.starts, len(run)))
+        self.most = np.maximum.reduceat(self.impact, self.starts) if len(run) else np.zeros(0)
+        self.ends = np.searchsorted(self.runs, np.arange(len(self.segments) + 1) * max(len(self.terms), 1))
+        self.highest = np.zeros(len(self.terms))  # what a term adds at most for a weight of 1
+        np.maximum.at(self.highest, self.runs % max(len(self.terms), 1), self.most)
+        self.compared = self.skipped = 0
+
+    def best(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, threshold: np.ndarray, final: Callable[[np.ndarray, np.ndarray], np.ndarray], spare: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(query, segment, doc, sum, final score) of each query's k best units above 0, more where they are equal, as `Blocks.best` has them.
+
+        query, term, weight: the queries' terms that occur here, once for each query, in order of queries; threshold, spare: of each query;
+        final: of sums and their queries.
+        """
+        n, threshold = len(threshold), threshold.copy()
+        tops = np.zeros((n, k))
+        out: list[tuple[np.ndarray, ...]] = []
+        for tile, (lo, hi) in enumerate(zip(self.ends[:-1].tolist(), self.ends[1:].tolist(), strict=True)):
+            if lo == hi:
+                continue
+            names = self.runs[lo:hi] - tile * len(self.terms)
+            at = np.minimum(np.searchsorted(names, term), hi - lo - 1)
+            has = np.flatnonzero(names[at] == term)
+            at, q, w = at[has], query[has], weight[has]
+            most = np.bincount(q, w * self.most[lo + at], n)
+            active = (most > 0) & (most >= threshold - spare)
+            self.compared += int(np.count_nonzero(active))
+            self.skipped += n - int(np.count_nonzero(active))
+            rows = np.flatnonzero(active)
+            if not len(rows):
+                continue
+            some = active[q]
+            at, q, w = at[some], q[some], w[some]
+            begin, end = int(self.starts[lo]), int(self.starts[hi - 1] + self.counts[hi - 1])
+            unit = self.key[begin:end] % TILE
+            row = (np.cumsum(active) - 1)[q]
+            near = self._near(at, row, w, len(rows), self.starts[lo:hi] - begin, self.counts[lo:hi], unit, self.impact[begin:end])
+            many = np.bincount(row, minlength=len(rows))
+            error = (many + 4) * 1.2e-7 * most[rows]
+            floor = np.maximum(threshold[rows] - spare[rows] - error, 1e-37).astype(np.float32)
+            hot = np.flatnonzero(near.max(axis=1) >= floor)
+            if not len(hot):
+                continue
+            near, floor = near[hot] if len(hot) < len(rows) else near, floor[hot]
+            full = np.flatnonzero(np.count_nonzero(near >= floor[:, None], axis=1) > 2 * k)
+            if len(full) and near.shape[1] > k:
+                kth = np.partition(near[full], near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+                floor[full] = np.maximum(floor[full], kth - 2 * error[hot[full]] - spare[rows[hot[full]]])
+            hit, doc = np.nonzero(near >= floor[:, None])
+            hit = hot[hit]
+            value, size = self._exact(hit, doc, np.append(0, np.cumsum(many)), self.runs[lo + at], w, self.key[begin:end], self.impact[begin:end], self.dl[begin:end])
+            of = rows[hit]
+            good = (np.round(value, scoring.PLACES) > 0) & (value >= threshold[of] - spare[of])
+            of, doc, value, size = of[good], doc[good], value[good], size[good]
+            shown = final(value, of)
+            chosen, rank = foremost(of, np.zeros(len(of), np.int64), doc, size, shown, k)
+            of, doc, value, size, shown = of[chosen], doc[chosen], value[chosen], size[chosen], shown[chosen]
+            out.append((of, np.full(len(of), self.segments[tile]), doc + self.first[tile], size, value, shown))
+            met = np.unique(of)
+            new = np.zeros((len(met), k))
+            first = rank < k
+            new[np.searchsorted(met, of[first]), rank[first]] = value[first]
+            tops[met] = np.partition(np.concatenate([tops[met], new], axis=1), k, axis=1)[:, k:]
+            threshold[met] = np.maximum(threshold[met], tops[met].min(axis=1))
+        if not out:
+            return *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0), np.zeros(0)
+        of, segment_, doc, size, value, shown = (np.concatenate(x) for x in zip(*out, strict=True))
+        good = value >= threshold[of] - spare[of]
+        of, segment_, doc, size, value, shown = (x[good] for x in (of, segment_, doc, size, value, shown))
+        chosen, _ = foremost(of, segment_, doc, size, shown, k)
+        return of[chosen], segment_[chosen], doc[chosen], value[chosen], shown[chosen]
+
+    @staticmethod
+    def _near(at: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int, starts: np.ndarray, counts: np.ndarray, unit: np.ndarray, impact: np.ndarray) -> np.ndarray:
+        """Sums of a tile's units for each of n queries, in single precision. at, row, weight: a run of the tile, for a query, and its weight."""
+        wide = int(unit.max()) + 1
+        dense = np.bincount(at, minlength=len(counts)) * counts * PRODUCTS > n * wide
+        shared = np.flatnonzero(dense)
+        if len(shared):
+            some = ragged(starts[shared], counts[shared])
+            left, right = np.zeros((n, len(shared)), np.float32), np.zeros((len(shared), wide), np.float32)
+            right[np.repeat(np.arange(len(shared)), counts[shared]), unit[some]] = impact[some]
+            of = dense[at]
+            left[row[of], (np.cumsum(dense) - 1)[at[of]]] = weight[of]
+            near = left @ right
+            at, row, weight = at[~of], row[~of], weight[~of]
+        else:
+            near = np.zeros((n, wide), np.float32)
+        if len(at):
+            flat, place = near.reshape(-1), np.arange(len(at))
+            fresh = np.append(True, row[1:] != row[:-1])
+            turn = place - np.maximum.accumulate(np.where(fresh, place, 0))
+            for i in range(int(turn.max()) + 1):  # one term of each query in turn: no place comes twice
+                now = np.flatnonzero(turn == i)
+                many = counts[at[now]]
+                some = ragged(starts[at[now]], many)
+                flat[np.repeat(row[now] * wide, many) + unit[some]] += (np.repeat(weight[now], many) * impact[some]).astype(np.float32)
+        return near
+
+    @staticmethod
+    def _exact(row: np.ndarray, doc: np.ndarray, first: np.ndarray, run: np.ndarray, weight: np.ndarray, key: np.ndarray, impact: np.ndarray, dl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of hits (row, doc), and lengths of their units. first: of each row, where its runs and weights begin."""
+        value, size = np.zeros(len(row)), np.zeros(len(row), np.int64)
+        many = np.diff(first)[row]
+        ends, at = np.cumsum(many), 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            pair, hit = ragged(first[row[at:to]], many[at:to]), np.repeat(np.arange(at, to), many[at:to])
+            want = run[pair] * TILE + doc[hit]
+            place = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            found = np.flatnonzero(key[place] == want)
+            place, hit = place[found], hit[found]
+            value[at:to] = np.bincount(hit - at, weight[pair[found]] * impact[place], to - at)
+            size[hit] = dl[place]
+            at = to
+        return value, size
+
+
+def shown_as(dtype: str, offset: float | np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     """Scores as they are ranked: with what units have without a match, of the precision of `dtype`, rounded."""
     if dtype in ("float64", "double"):
         return lambda x: np.round(x + offset, scoring.PLACES)
@@ -424,22 +599,46 @@ def search(index: PostingsIndex, known: DataFrame, k: int, kind: np.dtype, impac
     files = sorted({f for first, last in ranges for f in range(first, last + 1)})
     small = F.broadcast if n_terms <= BROADCAST_TERMS else lambda df: df
     parts = max(1, -(-postings // PART_POSTINGS), min(shuffle_partitions(spark), -(-postings // LEAST_POSTINGS)))
-    part_of = F.pmod(F.xxhash64("segment"), F.lit(parts)).cast("int")
-    blocks = index.of(files).join(small(asked.select("term")), "term", "left_semi").withColumns({"_bound": bound, "part": part_of})
-    lengths = index.segments.select("segment", "data", part_of.alias("part"))
+    # Segments are dealt in turn: by hash some parts would have several times the postings of others.
+    dealt = index.segments.select("segment", F.row_number().over(Window.orderBy("segment")).alias("_at"))
+    parts = max(1, min(parts, index.segments.count()))
+    dealt = F.broadcast(materialise(dealt.select("segment", F.pmod(F.col("_at"), F.lit(parts)).cast("int").alias("part")), "parts"))
+    blocks = index.of(files).join(small(asked.select("term")), "term", "left_semi").withColumn("_bound", bound).join(dealt, "segment")
+    lengths = index.segments.select("segment", "data").join(dealt, "segment")
     queries = known.groupBy("query_id").agg(F.collect_list(F.struct("term", "w")).alias("terms"), F.first("offset").alias("offset"))
     single = dtype not in ("float64", "double")
     names = ["segment", "term", "n", "data"]
 
+    def together(tiles: Tiles, asked: pa.RecordBatch) -> pa.RecordBatch:
+        """What a part has for many queries."""
+        ids, terms, offset, least = (asked.column(asked.schema.get_field_index(x)) for x in ("query_id", "terms", "offset", "least"))
+        offset, least, pairs = offset.to_numpy(), least.to_numpy(), terms.flatten()
+        term = pc.fill_null(pc.index_in(pairs.field("term"), tiles.terms), -1).to_numpy().astype(np.int64)
+        query, weight = np.repeat(np.arange(len(ids)), pc.list_value_length(terms).to_numpy()), pairs.field("w").to_numpy()
+        spare = np.full(len(ids), SPARE)
+        if single:
+            spare += 1e-6 * (np.abs(offset) + np.bincount(query, weight * np.append(tiles.highest, 0.0)[term], len(ids)))
+        here = term >= 0
+        found = tiles.best(query[here], term[here], weight[here], k, least, lambda value, of: shown_as(dtype, offset[of])(value), spare)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(found[0])), *(pa.array(x) for x in found[1:])], names=["query_id", "segment", "doc", "sum", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = [], None
+        held, part, tiles = [], None, None
         for batch in batches:
             at = batch.num_rows - int(np.count_nonzero(batch.column(batch.schema.get_field_index("query_id")).is_valid().to_numpy(zero_copy_only=False)))  # blocks come first
             if at:
                 held.append(batch.slice(0, at).select(names))
             if at == batch.num_rows:
                 continue
-            part = part or Blocks.of(held, kind, impact)
+            if part is None and tiles is None:
+                part = Blocks.of(held, kind, impact)
+                held.clear()
+            if tiles is not None or batch.num_rows - at >= FEW:
+                if tiles is None:
+                    tiles, part = Tiles.of(part), None
+                for lo in range(at, batch.num_rows, QUERIES):
+                    yield together(tiles, batch.slice(lo, QUERIES))
+                continue
             found: list[tuple[str, tuple[np.ndarray, ...]]] = []
             for q in batch.slice(at).select(["query_id", "terms", "offset", "least"]).to_pylist():
                 spare = SPARE + (1e-6 * (abs(q["offset"]) + sum(x["w"] * max((m.get(x["term"], 0.0) for m in part.most.values()), default=0.0) for x in q["terms"])) if single else 0.0)

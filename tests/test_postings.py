@@ -189,3 +189,49 @@ def test_empty_tables(spark):
         full.index(spark.createDataFrame([("u", None), ("v", ""), ("w", "alpha beta")], "unit_id string, text string"))
         assert [x.unit_id for x in full.search(queries, 3).orderBy("rank").collect()] == ["u", "v", "w"]
         assert full.search(queries.limit(0), 3).collect() == []
+
+
+def test_many_queries_are_compared_with_tiles_at_once(monkeypatch):
+    """What tiles find for all queries together is what blocks find for each, ties included; no step is done once for each query and segment."""
+    monkeypatch.setattr(postings, "TILE", 64)
+    texts = zipf_texts(21, 1500, 40)
+    texts += [texts[3]] * 200
+    avgdl = sum(len(t.split()) for t in texts) / len(texts)
+    blocks, _ = blocks_of(texts, lambda of, units: scoring.bm25_tf("lucene", 1.5, 0.75, of["tf"].astype(float), units["dl"].astype(float), avgdl))
+    rng = random.Random(5)
+    asked = [{w: rng.uniform(0.1, 4.0) for w in rng.sample(WORDS, rng.randint(1, 7))} for _ in range(200)] + [dict.fromkeys(texts[3].split(), 1.0), {"w000": 2.0}]
+    tiles = postings.Tiles.of(blocks)
+    number = {t: i for i, t in enumerate(tiles.terms.to_pylist())}
+    pairs = [(q, number[t], w) for q, terms in enumerate(asked) for t, w in terms.items() if t in number]
+    query, term, weight = (np.array(x) for x in zip(*pairs, strict=True))
+    spare, shown = np.full(len(asked), postings.SPARE), postings.shown_as("float64", 0.0)
+    single = [blocks.best(list(terms.items()), 10, 0.0, shown, postings.SPARE, False) for terms in asked]
+    for least in (np.zeros(len(asked)), np.array([np.sort(x[2])[-5] for x in single])):
+        calls = []
+        monkeypatch.setattr(postings.Tiles, "_near", staticmethod(lambda *a, of=postings.Tiles.__dict__["_near"].__func__: calls.append(1) or of(*a)))
+        of, _, doc, value, _ = tiles.best(query, term, weight, 10, least, lambda v, _: shown(v), spare)
+        assert len(calls) <= len(tiles.segments)
+        for q, (_, docs, sums, _) in enumerate(single):
+            some = sums >= least[q] - postings.SPARE
+            want = dict(zip(docs[some].tolist(), sums[some].tolist(), strict=True))
+            got = dict(zip(doc[of == q].tolist(), value[of == q].tolist(), strict=True))
+            assert got == pytest.approx(want, abs=1e-12), q
+        monkeypatch.undo()
+        monkeypatch.setattr(postings, "TILE", 64)
+    assert tiles.skipped > 0
+
+
+@pytest.mark.parametrize(("kind", "options"), [("bm25", {"stopwords": None}), ("bm25", {"stopwords": None, "method": "bm25l", "dtype": "float32"}), ("tfidf", {})])
+def test_searches_with_few_and_many_queries_agree(spark, monkeypatch, kind, options):
+    monkeypatch.setattr(postings, "LEAST_POSTINGS", 200)
+    monkeypatch.setattr(postings, "TWO_WAVES", 2)
+    texts = zipf_texts(31, 300, 30)
+    texts += [texts[5]] * 25 + ["", None]
+    units = spark.createDataFrame([(f"u{i:04d}", t) for i, t in enumerate(texts)], "unit_id string, text string").repartition(5)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(t.split()[:6])) for i, t in enumerate(zipf_texts(32, 60)) if t] + [("same", texts[5]), ("none", "zz")], "query_id string, text string")
+    r = retrieve.build(kind, **options)
+    r.index(units)
+    found = lambda: [tuple(x) for x in r.search(queries, 10).orderBy("query_id", "rank").collect()]
+    together = found()
+    monkeypatch.setattr(postings, "FEW", 1 << 30)
+    assert together == found() and len(together) == 10 * queries.count()
