@@ -49,9 +49,9 @@ def judged(qrels: DataFrame) -> DataFrame:
     return qrels.filter("relevance > 0").select("query_id").distinct()
 
 
-def labelled(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """The run of judged queries with `relevance` (null where unjudged)."""
-    return run.join(judged(qrels), "query_id", "left_semi").join(qrels, ["query_id", "doc_id"], "left")
+def labelled(run: DataFrame, qrels: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The run of judged queries with `relevance` (null where unjudged). known: labels, or numbers of them, that say which queries are judged; else qrels do."""
+    return run.join(judged(qrels if known is None else known), "query_id", "left_semi").join(qrels, ["query_id", "doc_id"], "left")
 
 
 def best_relevant(run: DataFrame, qrels: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import chunk, diagnose, diff, evaluate, index, labelling, ranking, retrieve, significance
-from ..session import spread
+from ..session import materialise, spread
 from . import tasks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -227,8 +227,9 @@ def metrics_passage(spark, sf):
 
 @query
 def metrics_dense(spark, sf):
-    run = dense_cosine_topk(spark, sf)
-    return rounded(evaluate.evaluate(run, tasks.vectors(spark, sf).qrels, MEASURES))
+    run = materialise(dense_cosine_topk(spark, sf), "dense")
+    qrels, grades = tasks.vector_labels(spark, sf, run)
+    return rounded(evaluate.evaluate(run, qrels, MEASURES, grades))
 
 
 # Diagnosis

@@ -685,3 +685,16 @@ def test_export_in_parts(spark, tmp_path):
     (tmp_path / "corpus.jsonl" / f".{name}.crc").unlink(missing_ok=True)
     with pytest.raises(dataset.DatasetError, match=f"corpus.jsonl:{about['parts']['corpus'][0]['lines'] + 2}: is not"):
         dataset.load_dataset(spark, str(tmp_path))
+
+
+def test_measures_need_no_list_of_labels(spark, monkeypatch):
+    """A query whose labels are very many: they are numbers of grades, and gains of an ideal ranking are summed in pieces."""
+    monkeypatch.setattr(evaluate, "PLACES", 7)
+    grades = spark.createDataFrame([("q", 3, 5), ("q", 1, 40), ("q", 0, 9), ("r", 1, 200_000), ("s", 0, 4)], "query_id string, relevance int, n long")
+    run = spark.createDataFrame([("q", "a", 1, 2.0), ("q", "b", 2, 1.0), ("r", "c", 1, 1.0), ("s", "a", 1, 1.0)], "query_id string, doc_id string, rank int, score double")
+    qrels = spark.createDataFrame([("q", "b", 3), ("q", "a", 0), ("r", "c", 1)], "query_id string, doc_id string, relevance int")
+    got = {(x.query_id, x.measure): x.value for x in evaluate.evaluate(run, qrels, ("nDCG", "nDCG@10", "R@5", "AP"), grades).collect()}
+    gain = lambda gs: sum(g / math.log2(i + 2) for i, g in enumerate(gs))
+    of_q, of_r = [3] * 5 + [1] * 40, [1] * 200_000
+    want = {("q", "nDCG"): gain([0, 3]) / gain(of_q), ("q", "nDCG@10"): gain([0, 3]) / gain(of_q[:10]), ("q", "R@5"): 1 / 45, ("q", "AP"): 0.5 / 45, ("r", "nDCG"): 1 / gain(of_r), ("r", "nDCG@10"): 1 / gain(of_r[:10]), ("r", "R@5"): 1 / 200_000, ("r", "AP"): 1 / 200_000}
+    assert got == pytest.approx(want)
