@@ -22,17 +22,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..session import broadcast_if_small, discard, materialise, shuffle_partitions
+from ..session import broadcast_if_small, materialise, shuffle_partitions
 
 #: Term occurrences in a segment, at most, or those of one text; postings in a block, at most.
 SEGMENT_TERMS, BLOCK = 4 << 20, 128
@@ -49,6 +52,10 @@ BROADCAST_TERMS = 1_000_000
 #: What rounding of scores may hide.
 SPARE = 2e-9
 
+#: Cells of queries and units that are summed at once; a term is kept as a row of numbers where at least one in so many units of its segment has it; ranges of a segment's units that have bounds of their own.
+CELLS, DENSE, RANGES = 1 << 20, 12, 16
+_WHOLE = "segment long, blocks binary, data binary, units array<string>, texts int, n_terms long, n_stop long"
+_BLOCKS = "segment long, term string, at int, n int, most_tf int, least_dl int, least_kept int, data binary"
 _SEGMENT = "segment long, term string, at int, n int, most_tf int, least_dl int, least_kept int, data binary, units array<string>, texts int, n_terms long, n_stop long"
 #: Records of `data`, one for each posting: a unit's number, less that of the block's posting before it, and how often it has the term, or what it adds for a weight of 1.
 COUNTED = np.dtype([("doc", "<i4"), ("tf", "<i4")])
@@ -197,15 +204,44 @@ def grams_of(texts: list[str], order: np.ndarray, low: int, high: int) -> tuple[
     return *(np.concatenate([none, *(x[i] for x in parts)]) for i in range(3)), pa.array(words, pa.string())
 
 
-@dataclass
+def whole(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each segment, its blocks in one value."""
+    for blocks in made:
+        units, sink = next(made), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, blocks.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(blocks)
+        own = {x: units[x] for x in ("segment", "data", "units", "texts", "n_terms", "n_stop")} | {"blocks": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
+        names = [x.split()[0] for x in _WHOLE.split(", ")]
+        yield pa.RecordBatch.from_arrays([own[x] for x in names], names=names)
+
+
+def stored(path: str, columns: list[str]) -> pa.Table:
+    """Columns of a file in the shared folder."""
+    where, name = fs.FileSystem.from_uri(path)
+    with where.open_input_file(name) as file:
+        return pq.ParquetFile(file).read(columns)
+
+
+def blocks_in(value: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+
+
+def vocabulary(blocks: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Terms of a segment, where the blocks of each begin, and its postings."""
+    first = np.flatnonzero(blocks["at"].to_numpy() == 0)
+    return blocks["term"].take(pa.array(first)), first, np.add.reduceat(blocks["n"].to_numpy().astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
 class PostingsIndex:
-    """segments: a row for each (segment, data, units, texts, n_terms, n_stop); postings: blocks in files by term; terms: (term, df, first, last), with the term's files; files: their paths."""
+    """whole: a row for each segment in a file of its own (segment, blocks, data, units, texts, n_terms, n_stop).
+
+    Made when first asked for: postings: blocks in files by term; terms: (term, df, first, last), with the term's files; files: their paths.
+    """
 
-    segments: DataFrame
-    postings: DataFrame
-    terms: DataFrame
-    files: list[str]
-    totals: tuple[int, int, int, int] = field(default=(0, 0, 0, 0))  # units, texts, terms, stop words
+    def __init__(self, segments: DataFrame, norms: DataFrame | None = None):
+        self.segments, self.norms = segments, norms
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        self.totals = tuple(segments.agg(total(F.size("units").cast("long")), total("texts"), total("n_terms"), total("n_stop")).first())  # units, texts, terms, stop words
 
     @property
     def units(self) -> DataFrame:
@@ -219,6 +255,58 @@ class PostingsIndex:
         _, texts, terms, stop = self.totals
         return (terms - (stop if without_stop else 0)) / texts if texts else 0.0
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """(at, path, norms): the file of each segment, in turn, and that of its units' lengths as vectors."""
+        where = lambda df, name: df.select("segment", F.col("_metadata.file_path").alias(name))
+        found = where(self.segments, "path")
+        found = found.withColumn("norms", F.lit(None).cast("string")) if self.norms is None else found.join(where(self.norms, "norms"), "segment")
+        # The first segments of all tasks come first, so that a few of them are of any part of the table.
+        return materialise(found.select((F.row_number().over(Window.orderBy(F.xxhash64("segment"))) - 1).alias("at"), "path", "norms"), "places")
+
+    def each(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, first: int = 0, last: int | None = None) -> DataFrame:
+        """A task for each segment from `first` to `last`: run over its row of `places`."""
+        n = self.places.count() if last is None else last
+        some = self.places.filter((F.col("at") >= first) & (F.col("at") < n)).withColumn("at", (F.col("at") - first).cast("int"))
+        return some.repartitionById(max(n - first, 1), "at").mapInArrow(run, schema)
+
+    def counted(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, df), of the terms of a table alone where one is given."""
+        asked = None if terms is None else materialise(terms.select("term").distinct(), "asked").inputFiles()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path in batch["path"].to_pylist():
+                    found, _, n = vocabulary(blocks_in(stored(path, ["blocks"])["blocks"][0]))
+                    for file in (None,) if asked is None else asked:
+                        if file is None:
+                            yield pa.RecordBatch.from_arrays([found, pa.array(n)], names=["term", "n"])
+                            continue
+                        some = pc.index_in(found, stored(file, ["term"])["term"].combine_chunks()).is_valid()
+                        yield pa.RecordBatch.from_arrays([found.filter(some), pa.array(n).filter(some)], names=["term", "n"])
+
+        return self.each(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path in batch["path"].to_pylist():
+                    yield blocks_in(stored(path, ["blocks"])["blocks"][0]).select([x.split()[0] for x in _BLOCKS.split(", ")])
+
+        return materialise(self.each(run, _BLOCKS).repartitionByRange(shuffle_partitions(self.segments.sparkSession), "term", "segment").sortWithinPartitions("term", "segment", "at"), "postings")
+
+    @cached_property
+    def files(self) -> list[str]:
+        return sorted(self.postings.inputFiles())
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        # Names alone are compared: paths are written in more ways than one. A term's files follow one another.
+        names = F.lit([f.rsplit("/", 1)[-1] for f in self.files]).cast("array<string>")
+        place = F.array_position(names, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).cast("int") - 1
+        return materialise(self.postings.select("term", "n", place.alias("file")).groupBy("term").agg(F.sum("n").alias("df"), F.min("file").alias("first"), F.max("file").alias("last")), "terms")
+
     def of(self, files: list[int]) -> DataFrame:
         """Blocks in some of the files: others are not opened."""
         if not files:
@@ -230,9 +318,9 @@ def inverted(tokenised: DataFrame) -> DataFrame:
     """Segments of rows (unit_id, terms, stop), made where the rows lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_segments(batches, lambda b: pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64), _of_terms)
+        return whole(in_segments(batches, lambda b: pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64), _of_terms))
 
-    return tokenised.select(F.col("unit_id").cast("string").alias("unit_id"), "terms", F.col("stop").cast("int").alias("stop")).mapInArrow(run, _SEGMENT)
+    return tokenised.select(F.col("unit_id").cast("string").alias("unit_id"), "terms", F.col("stop").cast("int").alias("stop")).mapInArrow(run, _WHOLE)
 
 
 def inverted_grams(texts: DataFrame, low: int, high: int) -> DataFrame:
@@ -246,31 +334,14 @@ def inverted_grams(texts: DataFrame, low: int, high: int) -> DataFrame:
         yield from segment(name, ids, order, length, None, column.is_valid().to_numpy(zero_copy_only=False), *grams_of(given, order, low, high))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return in_segments(batches, lambda b: (high - low + 1) * pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64), make)
-
-    return texts.select(F.col("unit_id").cast("string").alias("unit_id"), "text").mapInArrow(run, _SEGMENT)
-
-
-def indexed(made: DataFrame, finish: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None) -> PostingsIndex:
-    """The index of segments as `inverted` makes them. finish(blocks, (term, df), units) may give blocks other columns first."""
-    spark = made.sparkSession
-    made = materialise(made, "segments")
-    segments = materialise(made.filter("term is null").select("segment", "data", "units", "texts", "n_terms", "n_stop"), "units")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    totals = tuple(segments.agg(total(F.size("units").cast("long")), total("texts"), total("n_terms"), total("n_stop")).first())
-    blocks = made.filter("term is not null").drop("units", "texts", "n_terms", "n_stop")
-    if finish is not None:
-        blocks = materialise(finish(blocks, blocks.groupBy("term").agg(F.sum("n").alias("df")), totals[0]), "blocks")
-    postings = materialise(blocks.repartitionByRange(shuffle_partitions(spark), "term", "segment").sortWithinPartitions("term", "segment", "at"), "postings")
-    discard(made)
-    if finish is not None:
-        discard(blocks)
-    files = sorted(postings.inputFiles())
-    # Names alone are compared: paths are written in more ways than one. A term's files follow one another.
-    names = F.lit([f.rsplit("/", 1)[-1] for f in files]).cast("array<string>")
-    place = F.array_position(names, F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).cast("int") - 1
-    terms = postings.select("term", "n", place.alias("file")).groupBy("term").agg(F.sum("n").alias("df"), F.min("file").alias("first"), F.max("file").alias("last"))
-    return PostingsIndex(segments, postings, materialise(terms, "terms"), files, totals)
+        return whole(in_segments(batches, lambda b: (high - low + 1) * pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64), make))
+
+    return texts.select(F.col("unit_id").cast("string").alias("unit_id"), "text").mapInArrow(run, _WHOLE)
+
+
+def indexed(made: DataFrame) -> PostingsIndex:
+    """The index of segments as `inverted` makes them."""
+    return PostingsIndex(materialise(made, "segments", 1))
 
 
 @dataclass
@@ -567,6 +638,144 @@ class Tiles:
         return value, size
 
 
+@dataclass
+class Segment:
+    """All postings of one segment in order of (term, unit), for many queries at once.
+
+    Of each query's terms in order of what they add at most, only the first are needed to find the units that can reach its
+    threshold; those of the rest are looked up for such units alone. Frequent terms are kept as rows of numbers
+    for all units, of single precision; what comes near a threshold is scored exactly.
+    """
+
+    name: int
+    terms: pa.Array
+    starts: np.ndarray
+    counts: np.ndarray
+    doc: np.ndarray
+    impact: np.ndarray
+    dl: np.ndarray  # of each unit
+
+    @classmethod
+    def load(cls, path: str, norms: str | None, impact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Segment:
+        row = stored(path, ["segment", "blocks", "data"])
+        blocks, units = blocks_in(row["blocks"][0]), np.frombuffer(row["data"][0].as_buffer(), LENGTHS)
+        terms, _, counts = vocabulary(blocks)
+        n, given = blocks["n"].to_numpy().astype(np.int64), unpacked(blocks["data"], COUNTED)
+        doc = numbers(given["doc"], np.cumsum(n) - n, n).astype(np.int32)
+        of_unit = units[doc] if norms is None else np.frombuffer(stored(norms, ["norm"])["norm"][0].as_buffer(), np.float64)[doc]
+        return cls(row["segment"][0].as_py(), terms, np.cumsum(counts) - counts, counts, doc, impact(given, of_unit), units["dl"].astype(np.int64))
+
+    def __post_init__(self):
+        self.most = np.maximum.reduceat(self.impact, self.starts) if len(self.starts) else np.zeros(0)
+        self.wide = max(1, -(-len(self.dl) // RANGES))  # units of a range
+        of = np.repeat(np.arange(len(self.terms)) * RANGES, self.counts) + self.doc // self.wide
+        run = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
+        self.bounds = np.zeros((len(self.terms), RANGES))  # what a term adds at most in a range, for a weight of 1
+        if len(run):
+            self.bounds.ravel()[of[run]] = np.maximum.reduceat(self.impact, run)
+        self.row = np.full(len(self.terms) + 1, -1)  # of each frequent term, its row
+        often = np.flatnonzero(self.counts * DENSE > len(self.dl))
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.wide * RANGES), np.float32)
+        some = ragged(self.starts[often], self.counts[often])
+        self.rows[np.repeat(np.arange(len(often)), self.counts[often]), self.doc[some]] = self.impact[some]
+        self.key = np.repeat(np.arange(len(self.terms)) * len(self.dl), self.counts) + self.doc
+        self.added = self.compared = self.skipped = 0
+
+    def best(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray, final: Callable[[np.ndarray, np.ndarray], np.ndarray], spare: np.ndarray, length: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(query, segment, doc, sum, final score) as `Tiles.best` gives them. length: all terms together add at most the root of the sum of its squares."""
+        n, units = len(least), self.wide * RANGES
+        add = weight * self.most[term]
+        order = np.lexsort((-add, query))
+        query, term, weight, add = query[order], term[order], weight[order], add[order]
+        first = np.searchsorted(query, np.arange(n + 1))
+        ends = np.append(0.0, np.cumsum(add))
+        rest = ends[first[1:]][query] - ends[:-1]  # what this term and those behind it add at most
+        cap = np.full(len(query) + 1, np.inf)
+        if length is not None:
+            squares = np.append(0.0, np.cumsum(length[order] ** 2))
+            cap[:-1] = np.sqrt(np.maximum(squares[first[1:]][query] - squares[:-1], 0.0) + 1e-9)
+        need = (np.minimum(rest, cap[:-1]) * (1 + 1e-9) + 1e-9 >= (least - spare)[query]) & (add > 0)
+        wanted = np.bincount(query, need, n).astype(np.int64)
+        active = np.flatnonzero(wanted)
+        self.compared += len(active)
+        self.skipped += n - len(active)
+        error = (np.diff(first) + 4) * 1.2e-7 * np.bincount(query, add, n) + 1e-9
+        dense = np.zeros(n, bool)
+        dense[query[need & (self.row[term] >= 0)]] = True
+        dense |= least <= 0
+        step, out = max(1, CELLS // units), []
+        for some, whole_ in ((active[~dense[active]], False), (active[dense[active]], True)):
+            for lo in range(0, len(some), step):
+                of = some[lo : lo + step]
+                left = self._left(first[of] + wanted[of], first[of + 1], term, weight, cap)
+                floor = np.maximum((least - spare - error)[of, None] - left, 1e-37)
+                near, cell = self._near(first[of], wanted[of], term, weight)
+                if whole_:
+                    near = near.reshape(len(of), units)
+                    if units > k:
+                        full = np.flatnonzero((least[of] <= 0) | (np.count_nonzero(near >= floor.min(axis=1)[:, None], axis=1) > 32 * k))
+                        kth = np.partition(near[full], units - k, axis=1)[:, units - k]
+                        floor[full] = np.maximum(floor[full], (kth - 2 * error[of[full]] - spare[of[full]])[:, None] - left[full])
+                    cell = np.flatnonzero(near.reshape(-1, self.wide) >= floor.reshape(-1, 1))
+                else:
+                    cell = np.unique(cell[near[cell] >= floor.ravel()[cell // self.wide]])
+                hit, doc = of[cell // units], cell % units
+                # Of the other terms, frequent ones are read from their rows, before anything is looked up.
+                others = first[hit + 1] - first[hit] - wanted[hit]
+                pair, at = ragged(first[hit] + wanted[hit], others), np.repeat(np.arange(len(hit)), others)
+                row = self.row[term[pair]]
+                more = np.where(row >= 0, self.rows[row, doc[at]] if len(self.rows) else 0.0, self.bounds[term[pair], doc[at] // self.wide])
+                can = near.ravel()[cell] + np.bincount(at, weight[pair] * more, len(hit)) >= (least - spare - error)[hit]
+                hit, doc = hit[can], doc[can]
+                value = self._exact(hit, doc, first, term, weight)
+                good = (np.round(value, scoring.PLACES) > 0) & (value >= least[hit] - spare[hit])
+                hit, doc, value = hit[good], doc[good], value[good]
+                shown = final(value, hit)
+                chosen, _ = foremost(hit, np.zeros(len(hit), np.int64), doc, self.dl[doc], shown, k)
+                out.append((hit[chosen], np.full(len(chosen), self.name), doc[chosen], value[chosen], shown[chosen]))
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(none, *out, strict=True))
+
+    def _left(self, begin: np.ndarray, end: np.ndarray, term: np.ndarray, weight: np.ndarray, cap: np.ndarray) -> np.ndarray:
+        """What the terms from `begin` on add at most in each range of units."""
+        at = ragged(begin, end - begin)
+        sums = np.zeros((len(at) + 1, RANGES))
+        np.cumsum(weight[at, None] * self.bounds[term[at]], axis=0, out=sums[1:])
+        to = np.cumsum(end - begin)
+        return np.minimum(sums[to] - sums[to - (end - begin)], np.where(end > begin, cap[np.minimum(begin, len(cap) - 1)], 0.0)[:, None])
+
+    def _near(self, first: np.ndarray, wanted: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the needed terms of some queries for all units, and the cells that rare terms add to."""
+        units, at = self.wide * RANGES, ragged(first, wanted)
+        of, row = np.repeat(np.arange(len(first)), wanted), self.row[term[at]]
+        rare = row < 0
+        pair, many = at[rare], self.counts[term[at[rare]]]
+        some = ragged(self.starts[term[pair]], many)
+        self.added += len(some)
+        cell = np.repeat(of[rare] * units, many) + self.doc[some]
+        near = np.bincount(cell, np.repeat(weight[pair], many) * self.impact[some], len(first) * units)
+        row, of, given = row[~rare], of[~rare], weight[at[~rare]].astype(np.float32)
+        ends = np.searchsorted(of, np.arange(len(first) + 1)).tolist()
+        for q in np.unique(of).tolist():
+            mine = slice(ends[q], ends[q + 1])
+            near[q * units : (q + 1) * units] += given[mine] @ self.rows[row[mine]]
+        return near, cell
+
+    def _exact(self, query: np.ndarray, doc: np.ndarray, first: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        value, many = np.zeros(len(query)), np.diff(first)[query]
+        ends, at = np.cumsum(many), 0
+        while at < len(query):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            pair, hit = ragged(first[query[at:to]], many[at:to]), np.repeat(np.arange(at, to), many[at:to])
+            want = term[pair] * len(self.dl) + doc[hit]
+            place = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            found = np.flatnonzero(self.key[place] == want)
+            value[at:to] = np.bincount(hit[found] - at, weight[pair[found]] * self.impact[place[found]], to - at)
+            at = to
+        return value
+
+
 def shown_as(dtype: str, offset: float | np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     """Scores as they are ranked: with what units have without a match, of the precision of `dtype`, rounded."""
     if dtype in ("float64", "double"):
@@ -586,14 +795,96 @@ def worthwhile(blocks: DataFrame, known: DataFrame, least: DataFrame, small: Cal
     return blocks.join(small(materialise(need, "need")), "term").filter("_bound >= _need")
 
 
-def search(index: PostingsIndex, known: DataFrame, k: int, kind: np.dtype, impact: Callable[[np.ndarray, np.ndarray], np.ndarray], bound: Column, dtype: str = "float64", unit_length: bool = False) -> DataFrame:
+_ASKED = "ids array<string>, least binary, offset binary, terms array<string>, query binary, term binary, w binary, scale binary"
+
+
+def in_blocks(queries: DataFrame, size: int) -> DataFrame:
+    """Queries (query_id, terms (term, w, scale), offset, least) by up to `size` in a row, their terms once in each row: what all segments read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                ids, terms, offset, least = batch.slice(lo, size).columns
+                pairs, many = terms.flatten(), pc.list_value_length(terms).to_numpy().astype(np.int64)
+                found = pairs.field("term").dictionary_encode()
+                binary = {"least": least.to_numpy(), "offset": offset.to_numpy(), "query": np.repeat(np.arange(len(ids), dtype=np.int32), many), "term": found.indices.to_numpy(), "w": pairs.field("w").to_numpy(), "scale": pairs.field("scale").to_numpy()}
+                own = {x: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for x, v in binary.items()}
+                for x, v in (("ids", ids), ("terms", found.dictionary)):
+                    own[x] = pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+                names = [x.split()[0] for x in _ASKED.split(", ")]
+                yield pa.RecordBatch.from_arrays([own[x] for x in names], names=names)
+
+    return queries.select("query_id", "terms", "offset", "least").mapInArrow(run, _ASKED)
+
+
+def search_all(index: PostingsIndex, known: DataFrame, k: int, impact: Callable[[np.ndarray, np.ndarray], np.ndarray], dtype: str, unit_length: bool) -> DataFrame:
+    """(query_id, segment, doc, sum, score) of many queries: a task for each segment, where its postings lie; queries are read from the shared folder, a block of them at a time."""
+    single = dtype not in ("float64", "double")
+    terms = F.sort_array(F.collect_list(F.struct("term", "w", "scale")))
+    # Queries with the same terms are one.
+    same = known.groupBy("query_id").agg(terms.alias("terms"), F.first("offset").alias("offset"))
+    kept = materialise(same.groupBy("terms", "offset").agg(F.min("query_id").alias("query_id"), F.collect_list("query_id").alias("members")), "distinct")
+    size = QUERIES * 4
+    parts = index.places.count()
+
+    def blocks_of(least: DataFrame | None) -> list[str]:
+        given = kept.select("query_id", "terms", "offset")
+        given = given.withColumn("least", F.lit(0.0)) if least is None else given.join(least, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+        return sorted(materialise(in_blocks(given.repartition(max(1, -(-n // size))), size), "blocks", 1).inputFiles())
+
+    def wave(first: int, last: int, least: DataFrame | None) -> DataFrame:
+        asked = blocks_of(least)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path, norms in zip(batch["path"].to_pylist(), batch["norms"].to_pylist(), strict=True):
+                    yield from scored(Segment.load(path, norms, impact))
+
+        def scored(part: Segment) -> Iterator[pa.RecordBatch]:
+            for file in asked:
+                row = stored(file, [x.split()[0] for x in _ASKED.split(", ")])
+                if not row.num_rows:
+                    continue
+                read = lambda x, kind: np.frombuffer(row[x][0].as_buffer(), kind)  # noqa: E731, B023
+                ids, number = row["ids"][0].values, pc.fill_null(pc.index_in(row["terms"][0].values, part.terms), -1).to_numpy().astype(np.int64)
+                offset, term, query, w = read("offset", float), number[read("term", np.int32)], read("query", np.int32).astype(np.int64), read("w", float)
+                here = term >= 0
+                query, term, w = query[here], term[here], w[here]
+                weight = w * read("scale", float)[here]
+                spare = np.full(len(ids), SPARE)
+                if single:
+                    spare += 1e-6 * (np.abs(offset) + np.bincount(query, weight * part.most[term], len(ids)))
+                found = part.best(query, term, weight, k, read("least", float), lambda value, of: shown_as(dtype, offset[of])(value), spare, w if unit_length else None)  # noqa: B023
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(found[0])), *(pa.array(x) for x in found[1:])], names=["query_id", "segment", "doc", "sum", "score"])
+
+        return index.each(run, "query_id string, segment long, doc long, sum double, score double", first, last)
+
+    n = kept.count()
+    if parts < TWO_WAVES:
+        found = wave(0, parts, None)
+    else:
+        early, place = max(math.isqrt(parts), parts // 16), Window.partitionBy("query_id").orderBy(F.desc("sum"))
+        found = materialise(wave(0, early, None), "hits")
+        least = found.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") == k).select("query_id", F.col("sum").alias("least"))
+        found = found.unionByName(wave(early, parts, least))
+    found = found.withColumn("_rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("_rank") <= k)
+    return found.select("query_id", "segment", "doc", "score").join(kept.select("query_id", F.explode("members").alias("_member")), "query_id").select(F.col("_member").alias("query_id"), "segment", "doc", "score")
+
+
+def search(index: PostingsIndex, known: DataFrame, k: int, impact: Callable[[np.ndarray, np.ndarray], np.ndarray], bound: Column | None, dtype: str = "float64", unit_length: bool = False) -> DataFrame:
     """(query_id, unit_id, score): the k best matches of each query, more where they are equal.
 
-    known: (query_id, term, w, offset, and the columns of the index's terms). impact: what postings add for a weight of 1, from their
-    records of a `kind` and their units' lengths; bound: a column that no impact of the block exceeds.
+    known: (query_id, term, df, w, scale, offset). impact: what postings add for a weight of w times scale, from their
+    records and their units' lengths, or norms where the index has them; bound: a column that no impact of the block exceeds.
+    unit_length: for each unit, impacts times scales are a vector of length 1, and so is w.
     """
-    spark = index.postings.sparkSession
+    spark = index.segments.sparkSession
     known = materialise(known.filter("w > 0"), "known")
+    if bound is None or known.select("query_id").distinct().limit(FEW).count() >= FEW:
+        ranked = broadcast_if_small(materialise(search_all(index, known, k, impact, dtype, unit_length), "ranked"))
+        return index.ids().join(ranked, ["segment", "doc"]).select("query_id", "unit_id", "score")
+    kind = COUNTED
+    known = materialise(known.drop("df").join(index.terms, "term"), "known")
     asked = known.groupBy("term").agg(F.first("df").alias("df"), F.first("first").alias("first"), F.first("last").alias("last"))
     n_terms, postings, ranges = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0)), F.collect_set(F.struct("first", "last"))).first()
     files = sorted({f for first, last in ranges for f in range(first, last + 1)})

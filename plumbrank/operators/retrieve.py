@@ -14,13 +14,14 @@ from typing import Any, ClassVar, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..session import broadcast_if_small, materialise, spread
 from . import cells, models
-from .postings import COUNTED, WEIGHED, PostingsIndex, indexed, inverted, inverted_grams, numbers, packed, search, unpacked
+from .postings import COUNTED, LENGTHS, PostingsIndex, blocks_in, indexed, inverted, inverted_grams, numbers, search, stored, unpacked, vocabulary
 from .ranking import rank
 
 class Retriever(Protocol):
@@ -116,20 +117,49 @@ class BM25Retriever:
         stopped = self.stopwords is not None and not self.stemmer
         absent = scoring.bm25_absent(self.method, self.k1)
         offset = F.sum("w").over(Window.partitionBy("query_id")) * absent
-        known = wanted.join(ix.terms, "term").withColumn("w", w).withColumn("offset", offset if absent else F.lit(0.0))
+        wanted = materialise(wanted, "wanted")
+        known = materialise(wanted.join(ix.counted(wanted), "term").withColumn("w", w).withColumn("scale", F.lit(1.0)).withColumn("offset", offset if absent else F.lit(0.0)), "known")
         method, k1, b, avgdl = self.method, self.k1, self.b, ix.mean_length(stopped)
 
         def impact(of: np.ndarray, units: np.ndarray) -> np.ndarray:
             return scoring.bm25_tf(method, k1, b, of["tf"].astype(float), (units["dl"] - units["stop"] if stopped else units["dl"]).astype(float), avgdl)
 
         bound = scoring.bm25_tf(method, k1, b, F.col("most_tf").cast("double"), F.col("least_kept" if stopped else "least_dl").cast("double"), F.lit(avgdl))
-        hits = search(ix, known, k, COUNTED, impact, bound, self.dtype)
+        hits = search(ix, known, k, impact, bound, self.dtype)
         return padded(hits, queries, ix.units, k, known.select("query_id", "offset").distinct() if absent else None, self.dtype)
 
 
+def tf_weights(tf: np.ndarray, sublinear: bool) -> np.ndarray:
+    return 1 + np.log(tf) if sublinear else tf.astype(float)
+
+
+def norms(ix: PostingsIndex, files: list[str], sublinear: bool) -> DataFrame:
+    """(segment, norm): lengths of a segment's units as vectors. files: (term, idf), which each task reads one after another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                row = stored(path, ["segment", "blocks", "data"])
+                blocks = blocks_in(row["blocks"][0])
+                terms, _, counts = vocabulary(blocks)
+                idf = np.zeros(len(terms))
+                for file in files:
+                    known = stored(file, ["term", "idf"]).combine_chunks()
+                    at = pc.index_in(terms, known["term"].combine_chunks())
+                    some = at.is_valid()
+                    idf[some.to_numpy(zero_copy_only=False)] = known["idf"].take(at.filter(some)).to_numpy()
+                n, given = blocks["n"].to_numpy().astype(np.int64), unpacked(blocks["data"], COUNTED)
+                weight = tf_weights(given["tf"], sublinear) * np.repeat(idf, counts)
+                units = len(row["data"][0].as_buffer()) // LENGTHS.itemsize
+                norm = np.sqrt(np.bincount(numbers(given["doc"], np.cumsum(n) - n, n), weight**2, units))
+                yield pa.RecordBatch.from_arrays([row["segment"].combine_chunks(), pa.array([norm.tobytes()], pa.binary())], names=["segment", "norm"])
+
+    return ix.each(run, "segment long, norm binary")
+
+
 @dataclass
 class TfidfRetriever:
-    """Postings hold a unit's weights over their length, so that a cosine is a sum over what a query has."""
+    """Postings hold counts, and the index a norm for each unit, so that a cosine is a sum over what a query has."""
 
     uses: ClassVar[tuple[str, ...]] = ("numpy", "pyarrow")
     version: ClassVar[int] = 2
@@ -140,6 +170,7 @@ class TfidfRetriever:
     smooth_idf: bool = True
     dtype: str = "float64"
     _index: PostingsIndex | None = field(default=None, repr=False)
+    _df: DataFrame | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         low, high = self.ngram_range
@@ -154,29 +185,11 @@ class TfidfRetriever:
         return scoring.smooth_idf(F.lit(float(units)), F.col("df").cast("double"), self.smooth_idf)
 
     def index(self, units: DataFrame) -> None:
-        sublinear = self.sublinear_tf
-
-        def weigh(rows: pa.Table) -> pa.Table:
-            """Of one segment: a unit's weights over their length."""
-            count = rows["n"].to_numpy()
-            given = np.concatenate([unpacked(x, COUNTED) for x in rows["data"].chunks])
-            tf = given["tf"].astype(float)
-            weight = (1 + np.log(tf) if sublinear else tf) * np.repeat(rows["idf"].to_numpy(), count)
-            starts = np.cumsum(count) - count
-            doc = numbers(given["doc"], starts, count)
-            norm = np.sqrt(np.bincount(doc, weight**2))
-            records = np.empty(len(given), WEIGHED)
-            records["doc"], records["impact"] = given["doc"], weight / np.where(norm == 0, 1.0, norm)[doc]
-            most = np.maximum.reduceat(records["impact"], starts)
-            return pa.table({"segment": rows["segment"], "term": rows["term"], "at": rows["at"], "n": rows["n"], "most": pa.array(most), "data": packed(records, starts)})
-
-        def weighed(blocks: DataFrame, counted: DataFrame, n: int) -> DataFrame:
-            idf = broadcast_if_small(materialise(counted.select("term", self._idf(n).alias("idf")), "idf"))
-            rows = blocks.select("segment", "term", "at", "n", "data").join(idf, "term")
-            return rows.groupBy("segment").applyInArrow(weigh, "segment long, term string, at int, n int, most double, data binary")
-
         lowered = F.lower("text") if self.lower else F.col("text")
-        self._index = indexed(inverted_grams(spread(units.select("unit_id", lowered.alias("text"))), *self.ngram_range), weighed)
+        plain = indexed(inverted_grams(spread(units.select("unit_id", lowered.alias("text"))), *self.ngram_range))
+        self._df = materialise(plain.counted(), "df")
+        files = sorted(materialise(self._df.select("term", self._idf(plain.totals[0]).alias("idf")), "idf").inputFiles())
+        self._index = PostingsIndex(plain.segments, materialise(norms(plain, files, self.sublinear_tf), "norms", 1))
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         ix = self._index
@@ -184,10 +197,11 @@ class TfidfRetriever:
             raise ValueError("index() comes before search()")
         grams = text.char_ngrams(queries, "query_id", *self.ngram_range, self.lower).groupBy("query_id", F.col("gram").alias("term")).agg(F.count(F.lit(1)).cast("double").alias("tf"))
         # Grams that the corpus lacks have no idf: they leave the query's vector, its norm too.
-        asked = grams.join(ix.terms, "term").withColumn("qw", scoring.tf_weight(F.col("tf"), self.sublinear_tf) * self._idf(ix.totals[0]))
+        asked = grams.join(self._df, "term").withColumn("scale", self._idf(ix.totals[0])).withColumn("qw", scoring.tf_weight(F.col("tf"), self.sublinear_tf) * F.col("scale"))
         norm = F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(Window.partitionBy("query_id")))
-        known = asked.select("query_id", "term", "df", "first", "last", (F.col("qw") / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).alias("w"), F.lit(0.0).alias("offset"))
-        hits = search(ix, known, k, WEIGHED, lambda of, units: of["impact"].copy(), F.col("most"), self.dtype, unit_length=True)
+        known = asked.select("query_id", "term", "df", (F.col("qw") / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).alias("w"), "scale", F.lit(0.0).alias("offset"))
+        sublinear = self.sublinear_tf
+        hits = search(ix, known, k, lambda of, norm: tf_weights(of["tf"], sublinear) / np.where(norm == 0, 1.0, norm), None, self.dtype, unit_length=True)
         return padded(hits, queries, ix.units, k, None, self.dtype)
 
 

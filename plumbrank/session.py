@@ -45,14 +45,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumbrank-{name}-{os.getpid()}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, rows: int = 0) -> DataFrame:
     """Cut lineage by writing a table to the shared folder and reading it back.
 
     The files outlive the executors that wrote them, so a lost executor costs
-    no recomputation of what stands before.
+    no recomputation of what stands before. rows: of a file, at most, where not 0.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
