@@ -207,9 +207,12 @@ def grams_of(texts: list[str], order: np.ndarray, low: int, high: int) -> tuple[
 def whole(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each segment, its blocks in one value."""
     for blocks in made:
-        units, sink = next(made), pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, blocks.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(blocks)
+        units, sink, given = next(made), pa.BufferOutputStream(), unpacked(blocks["data"], COUNTED)
+        # Steps and counts each in the narrowest type that holds them: interleaved records take several times the disk.
+        narrow = {x: pa.array(given[x].astype(np.min_scalar_type(int(given[x].max(initial=0))))) for x in ("doc", "tf")}
+        for part in (blocks.drop_columns(["segment", "data"]), pa.RecordBatch.from_pydict(narrow)):
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(part)
         own = {x: units[x] for x in ("segment", "data", "units", "texts", "n_terms", "n_stop")} | {"blocks": pa.array([sink.getvalue().to_pybytes()], pa.binary())}
         names = [x.split()[0] for x in _WHOLE.split(", ")]
         yield pa.RecordBatch.from_arrays([own[x] for x in names], names=names)
@@ -222,8 +225,18 @@ def stored(path: str, columns: list[str]) -> pa.Table:
         return pq.ParquetFile(file).read(columns)
 
 
-def blocks_in(value: pa.Scalar) -> pa.RecordBatch:
-    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+def blocks_in(value: pa.Scalar, name: int | None = None) -> pa.RecordBatch:
+    """Blocks of a segment; name: with their postings and the segment's number."""
+    source = pa.BufferReader(value.as_buffer())
+    blocks = pa.ipc.open_stream(source).read_all().combine_chunks().to_batches()
+    if not blocks:
+        return pa.RecordBatch.from_pylist([], pa.schema([("term", pa.string()), ("at", pa.int32()), ("n", pa.int32()), ("most_tf", pa.int32()), ("least_dl", pa.int32()), ("least_kept", pa.int32()), ("segment", pa.int64()), ("data", pa.binary())]))
+    if name is None:
+        return blocks[0]
+    given, n = pa.ipc.open_stream(source).read_all(), blocks[0]["n"].to_numpy().astype(np.int64)
+    records = np.empty(given.num_rows, COUNTED)
+    records["doc"], records["tf"] = given["doc"].to_numpy(), given["tf"].to_numpy()
+    return blocks[0].append_column("segment", pa.array(np.full(len(n), name))).append_column("data", packed(records, np.cumsum(n) - n))
 
 
 def vocabulary(blocks: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -292,7 +305,8 @@ class PostingsIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for path in batch["path"].to_pylist():
-                    yield blocks_in(stored(path, ["blocks"])["blocks"][0]).select([x.split()[0] for x in _BLOCKS.split(", ")])
+                    row = stored(path, ["segment", "blocks"])
+                    yield blocks_in(row["blocks"][0], row["segment"][0].as_py()).select([x.split()[0] for x in _BLOCKS.split(", ")])
 
         return materialise(self.each(run, _BLOCKS).repartitionByRange(shuffle_partitions(self.segments.sparkSession), "term", "segment").sortWithinPartitions("term", "segment", "at"), "postings")
 
@@ -658,7 +672,7 @@ class Segment:
     @classmethod
     def load(cls, path: str, norms: str | None, impact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Segment:
         row = stored(path, ["segment", "blocks", "data"])
-        blocks, units = blocks_in(row["blocks"][0]), np.frombuffer(row["data"][0].as_buffer(), LENGTHS)
+        blocks, units = blocks_in(row["blocks"][0], row["segment"][0].as_py()), np.frombuffer(row["data"][0].as_buffer(), LENGTHS)
         terms, _, counts = vocabulary(blocks)
         n, given = blocks["n"].to_numpy().astype(np.int64), unpacked(blocks["data"], COUNTED)
         doc = numbers(given["doc"], np.cumsum(n) - n, n).astype(np.int32)

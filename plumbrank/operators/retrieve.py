@@ -140,7 +140,7 @@ def norms(ix: PostingsIndex, files: list[str], sublinear: bool) -> DataFrame:
         for batch in batches:
             for path in batch["path"].to_pylist():
                 row = stored(path, ["segment", "blocks", "data"])
-                blocks = blocks_in(row["blocks"][0])
+                blocks = blocks_in(row["blocks"][0], row["segment"][0].as_py())
                 terms, _, counts = vocabulary(blocks)
                 idf = np.zeros(len(terms))
                 for file in files:

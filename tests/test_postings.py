@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +236,41 @@ def test_searches_with_few_and_many_queries_agree(spark, monkeypatch, kind, opti
     together = found()
     monkeypatch.setattr(postings, "FEW", 1 << 30)
     assert together == found() and len(together) == 10 * queries.count()
+
+
+@pytest.mark.parametrize("frequent", [12, 1])
+def test_a_segment_finds_for_all_queries_what_blocks_find(tmp_path, monkeypatch, frequent):
+    """Needed terms alone are added up; the others are looked up for what may reach the threshold, ties included."""
+    monkeypatch.setattr(postings, "DENSE", frequent)
+    texts = zipf_texts(41, 1500, 40)
+    texts += [texts[3]] * 200
+    avgdl = sum(len(t.split()) for t in texts) / len(texts)
+    impact = lambda of, units: scoring.bm25_tf("lucene", 1.5, 0.75, of["tf"].astype(float), units["dl"].astype(float), avgdl)
+    blocks, _ = blocks_of(texts, impact)
+    rows = pa.table({"unit_id": [f"u{i:06d}" for i in range(len(texts))], "terms": pa.array([t.split() for t in texts], pa.list_(pa.string())), "stop": pa.array([0] * len(texts), pa.int32())})
+    pa.parquet.write_table(pa.Table.from_batches(postings.whole(iter(postings._of_terms(5, rows)))), tmp_path / "s.parquet")
+    part = postings.Segment.load(f"file://{tmp_path}/s.parquet", None, impact)
+    rng, number = random.Random(5), {t: i for i, t in enumerate(part.terms.to_pylist())}
+    asked = [{w: rng.uniform(0.1, 4.0) for w in rng.sample(WORDS, rng.randint(1, 7))} for _ in range(200)] + [dict.fromkeys(texts[3].split(), 1.0), {"w000": 2.0}]
+    query, term, weight = (np.array(x) for x in zip(*[(q, number[t], w) for q, terms in enumerate(asked) for t, w in terms.items() if t in number], strict=True))
+    shown = postings.shown_as("float64", 0.0)
+    single = [blocks.best(list(terms.items()), 10, 0.0, shown, postings.SPARE, False) for terms in asked]
+    added = []
+    for least in (np.zeros(len(asked)), np.array([np.sort(x[2])[-5] for x in single])):
+        part.added = 0
+        of, _, doc, value, _ = part.best(query, term, weight, 10, least, lambda v, _: shown(v), np.full(len(asked), postings.SPARE))
+        added.append(part.added)
+        for q, (_, docs, sums, _) in enumerate(single):
+            some = sums >= least[q] - postings.SPARE
+            got = dict(zip(doc[of == q].tolist(), value[of == q].tolist(), strict=True))
+            assert got == pytest.approx(dict(zip(docs[some].tolist(), sums[some].tolist(), strict=True)), abs=1e-12), q
+    assert added[1] < added[0]
+
+
+def test_an_index_of_grams_takes_few_bytes_a_posting(spark):
+    texts = zipf_texts(51, 800, 200)
+    r = retrieve.build("tfidf")
+    r.index(spark.createDataFrame([(f"u{i:04d}", t) for i, t in enumerate(texts)], "unit_id string, text string").repartition(2))
+    segments = r._index.segments
+    many = sum(len({t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)}) for t in texts)
+    assert segments.select(F.sum(F.length("blocks"))).first()[0] < 2 * many
