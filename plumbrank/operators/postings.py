@@ -45,15 +45,17 @@ GROUP = 32
 QUERIES, FEW, TILE, PRODUCTS = 2048, 8, 1024, 500
 #: Pairs of a hit and a term that are scored exactly at once.
 PAIRS = 1 << 20
-#: Postings that a task of a search holds, about, and where all are few; a search of so many tasks runs in two waves.
-PART_POSTINGS, LEAST_POSTINGS, TWO_WAVES = 4 << 20, 64 << 10, 16
+#: Postings that a task of a search holds, about, and where all are few; a search of so many tasks runs in two waves, or three.
+PART_POSTINGS, LEAST_POSTINGS, TWO_WAVES, THREE_WAVES = 4 << 20, 64 << 10, 16, 128
 #: Terms of all queries that are broadcast to the blocks, at most.
 BROADCAST_TERMS = 1_000_000
 #: What rounding of scores may hide.
 SPARE = 2e-9
 
 #: Cells of queries and units that are summed at once; a term is kept as a row of numbers where at least one in so many units of its segment has it; ranges of a segment's units that have bounds of their own.
-CELLS, DENSE, RANGES = 1 << 20, 12, 16
+CELLS, DENSE, RANGES = 1 << 20, 12, 32
+#: All units are summed for a query of whose terms more postings than one in so many units are to be read; postings of a term that make a first threshold, for each unit that is asked for.
+WHOLE, SEEDS = 4, 3
 _WHOLE = "segment long, blocks binary, data binary, units array<string>, texts int, n_terms long, n_stop long"
 _BLOCKS = "segment long, term string, at int, n int, most_tf int, least_dl int, least_kept int, data binary"
 _SEGMENT = "segment long, term string, at int, n int, most_tf int, least_dl int, least_kept int, data binary, units array<string>, texts int, n_terms long, n_stop long"
@@ -654,11 +656,12 @@ class Tiles:
 
 @dataclass
 class Segment:
-    """All postings of one segment in order of (term, unit), for many queries at once.
+    """All postings of one segment in order of (term, unit), and of (term, falling impact), for many queries at once.
 
-    Of each query's terms in order of what they add at most, only the first are needed to find the units that can reach its
-    threshold; those of the rest are looked up for such units alone. Frequent terms are kept as rows of numbers
-    for all units, of single precision; what comes near a threshold is scored exactly.
+    A query's terms stand in order of what they add at most. A unit that reaches the threshold has an impact in the first
+    of its terms that all terms behind can lift so far, so of each term only the postings of the highest impacts are
+    read; those of the rest are looked up for such units alone. Where these are many, all units are summed. Frequent terms are
+    kept as rows of numbers for all units, of single precision; what comes near a threshold is scored exactly.
     """
 
     name: int
@@ -682,9 +685,10 @@ class Segment:
     def __post_init__(self):
         self.most = np.maximum.reduceat(self.impact, self.starts) if len(self.starts) else np.zeros(0)
         self.wide = max(1, -(-len(self.dl) // RANGES))  # units of a range
-        of = np.repeat(np.arange(len(self.terms)) * RANGES, self.counts) + self.doc // self.wide
+        owner = np.repeat(np.arange(len(self.terms)), self.counts)
+        of = owner * RANGES + self.doc // self.wide
         run = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)])
-        self.bounds = np.zeros((len(self.terms), RANGES))  # what a term adds at most in a range, for a weight of 1
+        self.bounds = np.zeros((len(self.terms), RANGES), np.float32)  # what a term adds at most in a range, for a weight of 1
         if len(run):
             self.bounds.ravel()[of[run]] = np.maximum.reduceat(self.impact, run)
         self.row = np.full(len(self.terms) + 1, -1)  # of each frequent term, its row
@@ -693,74 +697,150 @@ class Segment:
         self.rows = np.zeros((len(often), self.wide * RANGES), np.float32)
         some = ragged(self.starts[often], self.counts[often])
         self.rows[np.repeat(np.arange(len(often)), self.counts[often]), self.doc[some]] = self.impact[some]
-        self.key = np.repeat(np.arange(len(self.terms)) * len(self.dl), self.counts) + self.doc
-        self.added = self.compared = self.skipped = 0
+        self.key = owner * len(self.dl) + self.doc
+        # Postings of each term by falling impact, in single precision: its bits, as a whole number, are in the same order.
+        self.fallen = (owner << 32) + self._fall(self.impact)
+        order = np.argsort(self.fallen)
+        self.fallen, self.fallen_doc, self.fallen_impact = self.fallen[order], self.doc[order], self.impact[order].astype(np.float32)
+        self.fallen_range = (self.fallen_doc // self.wide).astype(np.int8)
+        self.added = self.compared = self.skipped = self.whole = 0
+
+    @staticmethod
+    def _fall(impact: np.ndarray) -> np.ndarray:
+        """Whole numbers that fall as impacts rise."""
+        return (1 << 31) - 1 - impact.astype(np.float32).view(np.int32).astype(np.int64)
 
     def best(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray, final: Callable[[np.ndarray, np.ndarray], np.ndarray], spare: np.ndarray, length: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
         """(query, segment, doc, sum, final score) as `Tiles.best` gives them. length: all terms together add at most the root of the sum of its squares."""
-        n, units = len(least), self.wide * RANGES
+        n = len(least)
         add = weight * self.most[term]
         order = np.lexsort((-add, query))
         query, term, weight, add = query[order], term[order], weight[order], add[order]
         first = np.searchsorted(query, np.arange(n + 1))
         ends = np.append(0.0, np.cumsum(add))
-        rest = ends[first[1:]][query] - ends[:-1]  # what this term and those behind it add at most
+        after = ends[first[1:]][query] - ends[1:]  # what the terms behind this one add at most
         cap = np.full(len(query) + 1, np.inf)
         if length is not None:
             squares = np.append(0.0, np.cumsum(length[order] ** 2))
             cap[:-1] = np.sqrt(np.maximum(squares[first[1:]][query] - squares[:-1], 0.0) + 1e-9)
-        need = (np.minimum(rest, cap[:-1]) * (1 + 1e-9) + 1e-9 >= (least - spare)[query]) & (add > 0)
-        wanted = np.bincount(query, need, n).astype(np.int64)
-        active = np.flatnonzero(wanted)
+        error = (np.diff(first) + 4) * 1.2e-7 * np.bincount(query, add, n) + 1e-9
+        least = np.maximum(least, self._seeded(query, first, term, weight, k, least <= 0) - error)
+        floor = least - spare - error
+        # A unit that reaches the threshold is found by the first of its terms in this order: what stands behind adds no more than `after`.
+        last = np.zeros(len(query) + 1, bool)
+        last[first[1:][first[1:] > first[:-1]] - 1] = True
+        behind = np.where(last[:-1], 0.0, np.minimum(after, cap[1:]) * (1 + 1e-9) + 1e-9)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            low = np.where(add > 0, (floor[query] - behind) / weight, np.inf)
+        many = np.searchsorted(self.fallen, (term << 32) + self._fall(np.clip(low, 0.0, 3e38) * (1 - 1e-6)), side="right") - self.starts[term]
+        many = np.clip(np.where(add > 0, many, 0), 0, self.counts[term])
+        total = np.bincount(query, many, n).astype(np.int64)
+        active = np.flatnonzero(total)
         self.compared += len(active)
         self.skipped += n - len(active)
-        error = (np.diff(first) + 4) * 1.2e-7 * np.bincount(query, add, n) + 1e-9
-        dense = np.zeros(n, bool)
-        dense[query[need & (self.row[term] >= 0)]] = True
-        dense |= least <= 0
-        step, out = max(1, CELLS // units), []
-        for some, whole_ in ((active[~dense[active]], False), (active[dense[active]], True)):
-            for lo in range(0, len(some), step):
-                of = some[lo : lo + step]
-                left = self._left(first[of] + wanted[of], first[of + 1], term, weight, cap)
-                floor = np.maximum((least - spare - error)[of, None] - left, 1e-37)
-                near, cell = self._near(first[of], wanted[of], term, weight)
-                if whole_:
-                    near = near.reshape(len(of), units)
-                    if units > k:
-                        full = np.flatnonzero((least[of] <= 0) | (np.count_nonzero(near >= floor.min(axis=1)[:, None], axis=1) > 32 * k))
-                        kth = np.partition(near[full], units - k, axis=1)[:, units - k]
-                        floor[full] = np.maximum(floor[full], (kth - 2 * error[of[full]] - spare[of[full]])[:, None] - left[full])
-                    cell = np.flatnonzero(near.reshape(-1, self.wide) >= floor.reshape(-1, 1))
+        dense = total * WHOLE > len(self.dl)
+        out: list[tuple[np.ndarray, ...]] = []
+        some = active[~dense[active]]
+        ends, at = np.cumsum(total[some]), 0
+        while at < len(some):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS // 8, side="right")))
+            out.append(self._found(some[at:to], first, term, weight, many, cap, floor))
+            at = to
+        some, step = active[dense[active]], max(1, CELLS // (self.wide * RANGES))
+        self.whole += len(some)
+        for lo in range(0, len(some), step):
+            out.append(self._all(some[lo : lo + step], first, term, weight, k, least, spare, error))
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        for hit, doc in out:
+            value = self._exact(hit, doc, first, term, weight)
+            good = (np.round(value, scoring.PLACES) > 0) & (value >= least[hit] - spare[hit])
+            hit, doc, value = hit[good], doc[good], value[good]
+            shown = final(value, hit)
+            chosen, _ = foremost(hit, np.zeros(len(hit), np.int64), doc, self.dl[doc], shown, k)
+            found = [np.append(x, y) for x, y in zip(found, (hit[chosen], np.full(len(chosen), self.name), doc[chosen], value[chosen], shown[chosen]), strict=True)]
+        return tuple(found)
+
+    def _seeded(self, query: np.ndarray, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, wanted: np.ndarray) -> np.ndarray:
+        """For queries that have no threshold yet: what k units reach at least, by the postings of one of their terms with the highest impacts and by frequent terms."""
+        out = np.zeros(len(wanted))
+        pairs = np.flatnonzero(wanted[query] & (self.counts[term] >= k))
+        for lo in range(0, len(pairs), max(1, CELLS // (8 * SEEDS * k))):
+            some = pairs[lo : lo + max(1, CELLS // (8 * SEEDS * k))]
+            many = np.minimum(self.counts[term[some]], SEEDS * k)
+            at, of = ragged(self.starts[term[some]], many), np.repeat(np.arange(len(some)), many)
+            doc, value = self.fallen_doc[at], weight[some][of] * self.fallen_impact[at]
+            begin, all_ = first[query[some]], first[query[some] + 1]
+            for i in range(int((all_ - begin).max(initial=0))):
+                other = np.minimum(begin + i, len(term) - 1)
+                use = (begin + i < all_) & (other != some) & (self.row[term[other]] >= 0)
+                mine = np.flatnonzero(use[of])
+                value[mine] += weight[other][of[mine]] * self.rows[self.row[term[other]][of[mine]], doc[mine]]
+            order = np.lexsort((-value, of))
+            np.maximum.at(out, query[some], value[order][np.cumsum(many) - many + k - 1])
+        return out
+
+    def _found(self, some: np.ndarray, first: np.ndarray, term: np.ndarray, weight: np.ndarray, many: np.ndarray, cap: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, unit) that may reach the queries' floors: of each term `many` postings of the highest impacts."""
+        asked = np.diff(first)[some]
+        pairs, of = ragged(first[some], asked), np.repeat(np.arange(len(some)), asked)
+        t, w, many = term[pairs], weight[pairs], many[pairs]
+        sums = np.zeros((len(pairs) + 1, RANGES))
+        np.cumsum(w[:, None] * self.bounds[t], axis=0, out=sums[1:])
+        behind = sums[np.cumsum(asked)][of] - sums[1:]  # what the terms behind this one add at most in each range
+        ends = np.cumsum(asked)[of]  # the query's terms end here
+        if np.isfinite(cap[:-1]).any():
+            behind = np.minimum(behind, np.where(np.arange(len(pairs)) + 1 < ends, cap[pairs + 1], 0.0)[:, None])
+        need = floor[some][of]
+        with np.errstate(divide="ignore", invalid="ignore"):  # the least impact that a unit of each range needs
+            low = np.where(w[:, None] > 0, (need[:, None] - behind) / w[:, None], 0.0).astype(np.float32).ravel()
+        at = ragged(self.starts[t], many)
+        self.added += len(at)
+        cell = np.repeat(np.arange(0, len(low), RANGES, dtype=np.int32), many)
+        cell += self.fallen_range.take(at)
+        impact = self.fallen_impact.take(at)
+        can = np.flatnonzero(impact >= low.take(cell))
+        pair, near = np.divmod(cell[can], RANGES)
+        doc = self.fallen_doc.take(at[can])
+        over = w[pair] * impact[can] + behind.ravel().take(cell[can]) - need[pair]
+        # Of the terms behind, frequent ones are read from their rows, then the others are looked up, one after the other.
+        for frequent in (True, False):
+            mine = (self.row[t] >= 0) == frequent
+            before, places_ = np.cumsum(mine), np.flatnonzero(mine)
+            left = np.append(before, 0)[ends - 1] - before
+            for i in range(int(left.max(initial=0))):
+                use = np.flatnonzero(left[pair] > i)
+                other = places_[before[pair[use]] + i]
+                which = t[other]
+                most = self.bounds[which, near[use]]
+                if frequent:
+                    adds = self.rows[self.row[which], doc[use]]
                 else:
-                    cell = np.unique(cell[near[cell] >= floor.ravel()[cell // self.wide]])
-                hit, doc = of[cell // units], cell % units
-                # Of the other terms, frequent ones are read from their rows, before anything is looked up.
-                others = first[hit + 1] - first[hit] - wanted[hit]
-                pair, at = ragged(first[hit] + wanted[hit], others), np.repeat(np.arange(len(hit)), others)
-                row = self.row[term[pair]]
-                more = np.where(row >= 0, self.rows[row, doc[at]] if len(self.rows) else 0.0, self.bounds[term[pair], doc[at] // self.wide])
-                can = near.ravel()[cell] + np.bincount(at, weight[pair] * more, len(hit)) >= (least - spare - error)[hit]
-                hit, doc = hit[can], doc[can]
-                value = self._exact(hit, doc, first, term, weight)
-                good = (np.round(value, scoring.PLACES) > 0) & (value >= least[hit] - spare[hit])
-                hit, doc, value = hit[good], doc[good], value[good]
-                shown = final(value, hit)
-                chosen, _ = foremost(hit, np.zeros(len(hit), np.int64), doc, self.dl[doc], shown, k)
-                out.append((hit[chosen], np.full(len(chosen), self.name), doc[chosen], value[chosen], shown[chosen]))
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-        return tuple(np.concatenate(x) for x in zip(none, *out, strict=True))
-
-    def _left(self, begin: np.ndarray, end: np.ndarray, term: np.ndarray, weight: np.ndarray, cap: np.ndarray) -> np.ndarray:
-        """What the terms from `begin` on add at most in each range of units."""
-        at = ragged(begin, end - begin)
-        sums = np.zeros((len(at) + 1, RANGES))
-        np.cumsum(weight[at, None] * self.bounds[term[at]], axis=0, out=sums[1:])
-        to = np.cumsum(end - begin)
-        return np.minimum(sums[to] - sums[to - (end - begin)], np.where(end > begin, cap[np.minimum(begin, len(cap) - 1)], 0.0)[:, None])
-
-    def _near(self, first: np.ndarray, wanted: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of the needed terms of some queries for all units, and the cells that rare terms add to."""
+                    has = most > 0
+                    use, other, which, most = use[has], other[has], which[has], most[has]
+                    found, place = self._places(which, doc[use])
+                    adds = np.zeros(len(use))
+                    adds[found] = self.impact[place]
+                over[use] += w[other] * (adds - most)
+                keep = over >= 0
+                pair, doc, near, over = pair[keep], doc[keep], near[keep], over[keep]
+        cell = np.sort(of[pair] * len(self.dl) + doc.astype(np.int64))
+        cell = cell[np.append(True, cell[1:] != cell[:-1])[: len(cell)]]
+        return some[cell // len(self.dl)], cell % len(self.dl)
+
+    def _all(self, of: np.ndarray, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray, spare: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, unit) that may reach the queries' thresholds, by sums for all units."""
+        units = self.wide * RANGES
+        floor = np.maximum((least - spare - error)[of], 1e-37)
+        near = self._near(first[of], np.diff(first)[of], term, weight).reshape(len(of), units)
+        if units > k:
+            full = np.flatnonzero(np.count_nonzero(near >= floor[:, None], axis=1) > 32 * k)
+            kth = np.partition(near[full], units - k, axis=1)[:, units - k]
+            floor[full] = np.maximum(floor[full], kth - 2 * error[of[full]] - spare[of[full]])
+        hit, doc = np.nonzero(near >= floor[:, None])
+        return of[hit], doc
+
+    def _near(self, first: np.ndarray, wanted: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sums of some queries for all units."""
         units, at = self.wide * RANGES, ragged(first, wanted)
         of, row = np.repeat(np.arange(len(first)), wanted), self.row[term[at]]
         rare = row < 0
@@ -768,13 +848,23 @@ class Segment:
         some = ragged(self.starts[term[pair]], many)
         self.added += len(some)
         cell = np.repeat(of[rare] * units, many) + self.doc[some]
-        near = np.bincount(cell, np.repeat(weight[pair], many) * self.impact[some], len(first) * units)
+        near = np.bincount(cell, np.repeat(weight[pair], many) * self.impact[some], len(first) * units).astype(float, copy=False)  # whole numbers where nothing is added
         row, of, given = row[~rare], of[~rare], weight[at[~rare]].astype(np.float32)
         ends = np.searchsorted(of, np.arange(len(first) + 1)).tolist()
         for q in np.unique(of).tolist():
             mine = slice(ends[q], ends[q + 1])
             near[q * units : (q + 1) * units] += given[mine] @ self.rows[row[mine]]
-        return near, cell
+        return near
+
+    def _places(self, term: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs have a posting, and its place."""
+        some = np.flatnonzero(self.bounds[term, doc // self.wide] > 0)
+        want = term[some] * len(self.dl) + doc[some]
+        order = np.argsort(want)  # in order, so that neighbours are read together
+        want, some = want[order], some[order]
+        place = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        found = self.key[place] == want
+        return some[found], place[found]
 
     def _exact(self, query: np.ndarray, doc: np.ndarray, first: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
         value, many = np.zeros(len(query)), np.diff(first)[query]
@@ -782,10 +872,10 @@ class Segment:
         while at < len(query):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
             pair, hit = ragged(first[query[at:to]], many[at:to]), np.repeat(np.arange(at, to), many[at:to])
-            want = term[pair] * len(self.dl) + doc[hit]
-            place = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
-            found = np.flatnonzero(self.key[place] == want)
-            value[at:to] = np.bincount(hit[found] - at, weight[pair[found]] * self.impact[place[found]], to - at)
+            adds = np.zeros(len(pair))
+            found, place = self._places(term[pair], doc[hit])
+            adds[found] = weight[pair[found]] * self.impact[place]
+            value[at:to] = np.bincount(hit - at, adds, to - at)
             at = to
         return value
 
@@ -838,7 +928,7 @@ def search_all(index: PostingsIndex, known: DataFrame, k: int, impact: Callable[
     # Queries with the same terms are one.
     same = known.groupBy("query_id").agg(terms.alias("terms"), F.first("offset").alias("offset"))
     kept = materialise(same.groupBy("terms", "offset").agg(F.min("query_id").alias("query_id"), F.collect_list("query_id").alias("members")), "distinct")
-    size = QUERIES * 4
+    size = QUERIES * 16
     parts = index.places.count()
 
     def blocks_of(least: DataFrame | None) -> list[str]:
@@ -860,7 +950,9 @@ def search_all(index: PostingsIndex, known: DataFrame, k: int, impact: Callable[
                 if not row.num_rows:
                     continue
                 read = lambda x, kind: np.frombuffer(row[x][0].as_buffer(), kind)  # noqa: E731, B023
-                ids, number = row["ids"][0].values, pc.fill_null(pc.index_in(row["terms"][0].values, part.terms), -1).to_numpy().astype(np.int64)
+                ids, number = row["ids"][0].values, np.full(len(row["terms"][0].values), -1)
+                at = pc.index_in(part.terms, row["terms"][0].values)
+                number[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
                 offset, term, query, w = read("offset", float), number[read("term", np.int32)], read("query", np.int32).astype(np.int64), read("w", float)
                 here = term >= 0
                 query, term, w = query[here], term[here], w[here]
@@ -877,10 +969,17 @@ def search_all(index: PostingsIndex, known: DataFrame, k: int, impact: Callable[
     if parts < TWO_WAVES:
         found = wave(0, parts, None)
     else:
-        early, place = max(math.isqrt(parts), parts // 16), Window.partitionBy("query_id").orderBy(F.desc("sum"))
-        found = materialise(wave(0, early, None), "hits")
-        least = found.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") == k).select("query_id", F.col("sum").alias("least"))
-        found = found.unionByName(wave(early, parts, least))
+        # Each wave knows the k-th best of all segments before it.
+        place = Window.partitionBy("query_id").orderBy(F.desc("sum"))
+        ends = [max(1, parts // 64), max(1, parts // 8), parts] if parts >= THREE_WAVES else [math.isqrt(parts), parts]
+        found, least, first = None, None, 0
+        for last in ends:
+            hits = wave(first, last, least)
+            if last < parts:
+                hits = materialise(hits, "hits")
+            found = hits if found is None else found.unionByName(hits)
+            least = found.withColumn("_place", F.row_number().over(place)).filter(F.col("_place") == k).select("query_id", F.col("sum").alias("least"))
+            first = last
     found = found.withColumn("_rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("_rank") <= k)
     return found.select("query_id", "segment", "doc", "score").join(kept.select("query_id", F.explode("members").alias("_member")), "query_id").select(F.col("_member").alias("query_id"), "segment", "doc", "score")
 

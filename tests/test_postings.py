@@ -274,3 +274,39 @@ def test_an_index_of_grams_takes_few_bytes_a_posting(spark):
     segments = r._index.segments
     many = sum(len({t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)}) for t in texts)
     assert segments.select(F.sum(F.length("blocks"))).first()[0] < 2 * many
+
+
+def test_a_segment_reads_only_impacts_that_can_reach_a_threshold(tmp_path):
+    """Of terms that all units have, the few postings with high impacts; and as a first threshold needs no more, nothing is summed for all units."""
+    rng = random.Random(61)
+    texts = [" ".join(["often", "common"] * rng.choice([1, 1, 1, 1, 1, 1, 1, 1, 1, 9]) + ["w"] * rng.randint(5, 60)) for _ in range(3000)]
+    impact = lambda of, units: scoring.bm25_tf("lucene", 1.5, 0.75, of["tf"].astype(float), units["dl"].astype(float), 35.0)
+    rows = pa.table({"unit_id": [f"u{i:06d}" for i in range(len(texts))], "terms": pa.array([t.split() for t in texts], pa.list_(pa.string())), "stop": pa.array([0] * len(texts), pa.int32())})
+    pa.parquet.write_table(pa.Table.from_batches(postings.whole(iter(postings._of_terms(5, rows)))), tmp_path / "s.parquet")
+    part = postings.Segment.load(f"file://{tmp_path}/s.parquet", None, impact)
+    number = {t: i for i, t in enumerate(part.terms.to_pylist())}
+    term, weight, shown = np.array([number["often"], number["common"]]), np.ones(2), postings.shown_as("float64", 0.0)
+    sums = np.zeros(len(part.dl))
+    for t in term:
+        mine = slice(part.starts[t], part.starts[t] + part.counts[t])
+        sums[part.doc[mine]] += part.impact[mine]
+    for least in (0.0, float(np.sort(sums)[-10])):
+        part.added = part.whole = 0
+        _, _, _, value, _ = part.best(np.zeros(2, np.int64), term, weight, 10, np.array([least]), lambda v, _: shown(v), np.full(1, postings.SPARE))
+        assert np.sort(value)[::-1][:10] == pytest.approx(np.sort(sums)[::-1][:10], abs=1e-12)
+        assert part.whole == 0 and 0 < part.added < len(texts) // 4
+
+
+def test_waves_in_turn_find_what_one_wave_finds(spark, monkeypatch):
+    texts = zipf_texts(71, 400, 30)
+    units = spark.createDataFrame([(f"u{i:04d}", t) for i, t in enumerate(texts)], "unit_id string, text string").repartition(16)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(t.split()[:6])) for i, t in enumerate(zipf_texts(72, 40)) if t], "query_id string, text string")
+    r = retrieve.build("bm25", stopwords=None)
+    r.index(units)
+    found = lambda: [tuple(x) for x in r.search(queries, 10).orderBy("query_id", "rank").collect()]
+    monkeypatch.setattr(postings, "TWO_WAVES", 1 << 30)
+    once = found()
+    monkeypatch.setattr(postings, "TWO_WAVES", 2)
+    two = found()
+    monkeypatch.setattr(postings, "THREE_WAVES", 2)
+    assert once == two == found()
