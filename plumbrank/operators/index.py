@@ -53,8 +53,9 @@ class TermIndex:
 
 def smoothed_idf(corpus: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(term, idf) over the distinct words of documents; `only`: a table of the terms that are wanted."""
-    found = spread(corpus.select("text")).select(F.explode(text.word_set(F.col("text"))).alias("term"))
+    # Words are counted where the texts lie, before they meet the wanted ones: a join first would shuffle each word of each document.
+    found = spread(corpus.select("text")).select(F.explode(text.word_set(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     if only is not None:
         found = found.join(only.select("term").distinct(), "term", "left_semi")
     n = corpus.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return found.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", scoring.smooth_idf(F.col("n"), F.col("df")).alias("idf"))
+    return found.crossJoin(F.broadcast(n)).select("term", "df", scoring.smooth_idf(F.col("n"), F.col("df")).alias("idf"))

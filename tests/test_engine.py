@@ -698,3 +698,15 @@ def test_measures_need_no_list_of_labels(spark, monkeypatch):
     of_q, of_r = [3] * 5 + [1] * 40, [1] * 200_000
     want = {("q", "nDCG"): gain([0, 3]) / gain(of_q), ("q", "nDCG@10"): gain([0, 3]) / gain(of_q[:10]), ("q", "R@5"): 1 / 45, ("q", "AP"): 0.5 / 45, ("r", "nDCG"): 1 / gain(of_r), ("r", "nDCG@10"): 1 / gain(of_r[:10]), ("r", "R@5"): 1 / 200_000, ("r", "AP"): 1 / 200_000}
     assert got == pytest.approx(want)
+
+
+def test_words_are_counted_before_they_meet_the_wanted_ones(spark):
+    """A join ahead of the count shuffles every word of every document."""
+    corpus = spark.createDataFrame([("a", "oven heat oven"), ("b", "oven cold"), ("c", "")], "doc_id string, text string")
+    only = spark.createDataFrame([("oven",), ("none",)], "term string")
+    found = index.smoothed_idf(corpus, only)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.index("LeftSemi") < plan.index("Explode" if "Explode" in plan else "explode")
+    between = plan[plan.index("LeftSemi") : plan.index("xplode")]
+    assert "Aggregate [term" in between
+    assert [tuple(x)[:2] for x in found.collect()] == [("oven", 2.0)]
