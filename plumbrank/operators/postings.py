@@ -56,6 +56,10 @@ SPARE = 2e-9
 CELLS, DENSE, RANGES = 1 << 20, 12, 32
 #: All units are summed for a query of whose terms more postings than one in so many units are to be read; postings of a term that make a first threshold, for each unit that is asked for.
 WHOLE, SEEDS = 4, 3
+#: Segments of vectors that a task searches one after another, and whose vocabularies it reads together, at most; units and postings that are compared with queries at once.
+TOGETHER, VOCABULARIES, UNITS, HELD = 16, 32, 16384, 4 << 20
+#: Units of a range that has bounds of its own; groups of like units; terms that tell them apart.
+WIDE, GROUPS, TRAITS, OFTEN = 64, 8, 256, 12
 _WHOLE = "segment long, blocks binary, data binary, units array<string>, texts int, n_terms long, n_stop long"
 _BLOCKS = "segment long, term string, at int, n int, most_tf int, least_dl int, least_kept int, data binary"
 _SEGMENT = "segment long, term string, at int, n int, most_tf int, least_dl int, least_kept int, data binary, units array<string>, texts int, n_terms long, n_stop long"
@@ -175,7 +179,11 @@ def grams_of(texts: list[str], order: np.ndarray, low: int, high: int) -> tuple[
     """Postings of every substring of `low` to `high` code points: gram, text's place in `order` and count, in order; and the grams."""
     size = np.array([len(x) for x in texts], np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters, letter = np.unique(points, return_inverse=True)
+    place = np.zeros(0x110000, np.int64)
+    place[points] = 1
+    letters = np.flatnonzero(place).astype(np.uint32)
+    place[letters] = np.arange(len(letters))
+    letter = place[points]
     begin, owner_of, many = np.cumsum(size) - size, np.repeat(places(order), size), max(len(texts), 1)
     left = np.repeat(begin + size, size) - np.arange(len(points))  # code points from here to the end of the text
     parts, words = [], []
@@ -247,6 +255,13 @@ def vocabulary(blocks: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray
     return blocks["term"].take(pa.array(first)), first, np.add.reduceat(blocks["n"].to_numpy().astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
+def vocabularies(paths: list[str]) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
+    """Distinct terms of some segments; of all terms of one segment after the other, their places among these; and of each segment, its terms' postings."""
+    found = [vocabulary(blocks_in(stored(path, ["blocks"])["blocks"][0])) for path in paths]
+    own = pa.concat_arrays([pa.array([], pa.string()), *(x[0] for x in found)]).dictionary_encode()
+    return own.dictionary, own.indices.to_numpy(), [x[2] for x in found]
+
+
 class PostingsIndex:
     """whole: a row for each segment in a file of its own (segment, blocks, data, units, texts, n_terms, n_stop).
 
@@ -279,28 +294,36 @@ class PostingsIndex:
         # The first segments of all tasks come first, so that a few of them are of any part of the table.
         return materialise(found.select((F.row_number().over(Window.orderBy(F.xxhash64("segment"))) - 1).alias("at"), "path", "norms"), "places")
 
-    def each(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, first: int = 0, last: int | None = None) -> DataFrame:
-        """A task for each segment from `first` to `last`: run over its row of `places`."""
+    def each(self, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, first: int = 0, last: int | None = None, most: int = 1) -> DataFrame:
+        """A task for each segment from `first` to `last`, or for up to `most` where there are more than cores: run over their rows of `places`."""
         n = self.places.count() if last is None else last
-        some = self.places.filter((F.col("at") >= first) & (F.col("at") < n)).withColumn("at", (F.col("at") - first).cast("int"))
-        return some.repartitionById(max(n - first, 1), "at").mapInArrow(run, schema)
+        tasks = n - first
+        if most > 1:
+            cores = max(self.segments.sparkSession.sparkContext.defaultParallelism, 1)
+            tasks = max(-(-tasks // most), min(tasks, 2 * cores))
+        tasks = max(tasks, 1)
+        some = self.places.filter((F.col("at") >= first) & (F.col("at") < n)).withColumn("at", F.pmod(F.col("at") - first, F.lit(tasks)).cast("int"))
+        return some.repartitionById(tasks, "at").mapInArrow(run, schema)
 
     def counted(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, df), of the terms of a table alone where one is given."""
         asked = None if terms is None else materialise(terms.select("term").distinct(), "asked").inputFiles()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def some_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for path in batch["path"].to_pylist():
                     found, _, n = vocabulary(blocks_in(stored(path, ["blocks"])["blocks"][0]))
-                    for file in (None,) if asked is None else asked:
-                        if file is None:
-                            yield pa.RecordBatch.from_arrays([found, pa.array(n)], names=["term", "n"])
-                            continue
+                    for file in asked:
                         some = pc.index_in(found, stored(file, ["term"])["term"].combine_chunks()).is_valid()
                         yield pa.RecordBatch.from_arrays([found.filter(some), pa.array(n).filter(some)], names=["term", "n"])
 
-        return self.each(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+        def all_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, number, counts = vocabularies([path for batch in batches for path in batch["path"].to_pylist()])
+            n = np.bincount(number, np.concatenate([np.zeros(0), *counts]), len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([found, pa.array(n)], names=["term", "n"])
+
+        made = self.each(some_terms, "term string, n long") if terms is not None else self.each(all_terms, "term string, n long", most=VOCABULARIES)
+        return made.groupBy("term").agg(F.sum("n").alias("df"))
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -880,6 +903,170 @@ class Segment:
         return value
 
 
+def alike(vectors: np.ndarray, groups: int, seed: int = 0) -> np.ndarray:
+    """A group for each vector: spherical k-means for a few rounds. What is alike gets narrow bounds; results do not depend on it."""
+    n = len(vectors)
+    if n <= groups:
+        return np.zeros(n, np.int64)
+    rng = np.random.default_rng(seed)
+    centres = vectors[rng.integers(n, size=1)]
+    for _ in range(groups - 1):
+        far = np.maximum(1 - (vectors @ centres.T).max(axis=1), 0) ** 2
+        centres = np.concatenate([centres, vectors[[int(np.searchsorted(np.cumsum(far), rng.random() * far.sum()).clip(0, n - 1))]]])
+    for _ in range(5):
+        of = (vectors @ centres.T).argmax(axis=1)
+        centres = np.stack([vectors[of == g].sum(axis=0) if (of == g).any() else centres[g] for g in range(groups)])
+        centres /= np.maximum(np.sqrt((centres**2).sum(axis=1, keepdims=True)), 1e-30)
+    return (vectors @ centres.T).argmax(axis=1)
+
+
+class Vectors:
+    """Units of some segments as vectors, in ranges of like units, of what queries ask for alone.
+
+    Frequent terms are rows of numbers for all units, in single precision, with a bound for each range; of rarer ones
+    all postings are added. A query adds up rows only in ranges whose bounds reach its threshold, and what comes near
+    the threshold is scored exactly.
+    """
+
+    def __init__(self, parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], terms: int, impact: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]):
+        """parts: of each segment its number, lengths and norms of its units, and its postings (place of the term, unit, count)."""
+        sizes = [len(x[1]) for x in parts]
+        n = self.n = sum(sizes)
+        self.ranges = max(1, -(-n // WIDE))
+        units = self.ranges * WIDE
+        term = np.concatenate([x[3] for x in parts])
+        unit = np.concatenate([x[4] + base for x, base in zip(parts, np.cumsum(sizes) - sizes, strict=True)])
+        value = impact({"tf": np.concatenate([x[5] for x in parts])}, np.concatenate([x[2] for x in parts])[unit])
+        length = np.concatenate([x[1] for x in parts])
+        counts = np.bincount(term, minlength=terms)
+        # Groups are told apart by the terms that some units have and others lack.
+        traits = np.argsort(-(counts * np.maximum(n - counts, 0)), kind="stable")[:TRAITS]
+        column = np.full(terms, -1, np.int32)
+        column[traits] = np.arange(len(traits))
+        column = column[term]
+        some = np.flatnonzero(column >= 0)
+        vectors = np.zeros((n, len(traits)), np.float32)
+        vectors[unit[some], column[some]] = value[some]
+        vectors /= np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-30)
+        order = np.lexsort((length, alike(vectors, GROUPS)))
+        del vectors, column, some
+        self.segment = np.repeat([x[0] for x in parts], sizes)[order]
+        self.doc = np.concatenate([np.arange(x) for x in sizes])[order]
+        self.dl = length[order]
+        key = term.astype(np.int64) * units + places(order)[unit]
+        del term, unit
+        order = np.argsort(key)
+        self.key, self.impact = key[order], value[order]
+        del key, value, order
+        self.units, self.counts = units, counts
+        self.starts = np.cumsum(counts) - counts
+        self.most = np.zeros(terms)
+        if len(self.key):
+            self.most[counts > 0] = np.maximum.reduceat(self.impact, self.starts[counts > 0])
+        self.row = np.full(terms, -1)
+        often = np.flatnonzero(counts * OFTEN > n)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), units), np.float32)
+        for r, t in enumerate(often.tolist()):
+            mine = slice(self.starts[t], self.starts[t] + counts[t])
+            self.rows[r, self.key[mine] - t * units] = self.impact[mine]
+        self.bounds = self.rows.reshape(len(often), self.ranges, WIDE).max(axis=2)
+        self.compared = self.skipped = 0
+
+    def best(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray, final: Callable[[np.ndarray, np.ndarray], np.ndarray], spare: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(query, segment, doc, sum, final score) as `Tiles.best` gives them."""
+        n, step = len(least), max(1, CELLS // self.units)
+        first = np.searchsorted(query, np.arange(n + 1))
+        error = (np.diff(first) + 4) * 1.2e-7 * np.bincount(query, weight * self.most[term], n) + 1e-9
+        found = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0)] * 2]
+        for lo in range(0, n, step):
+            hit, doc = self._near(np.arange(lo, min(lo + step, n)), first, term, weight, k, least, spare, error)
+            value = self._exact(hit, doc, first, term, weight)
+            good = (np.round(value, scoring.PLACES) > 0) & (value >= least[hit] - spare[hit])
+            hit, doc, value = hit[good], doc[good], value[good]
+            shown = final(value, hit)
+            chosen, _ = foremost(hit, self.segment[doc], self.doc[doc], self.dl[doc], shown, k)
+            hit, doc, value, shown = hit[chosen], doc[chosen], value[chosen], shown[chosen]
+            found.append([hit, self.segment[doc], self.doc[doc], value, shown])
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _near(self, queries: np.ndarray, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray, spare: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, unit) that may reach the queries' thresholds."""
+        lo, hi = int(first[queries[0]]), int(first[queries[-1] + 1])
+        of, t, w = np.repeat(np.arange(len(queries)), np.diff(first)[queries]), term[lo:hi], weight[lo:hi]
+        rare = self.row[t] < 0
+        many = self.counts[t[rare]]
+        some = ragged(self.starts[t[rare]], many)
+        cell = self.key[some] + np.repeat((of[rare] - t[rare]) * self.units, many)
+        near = np.bincount(cell, np.repeat(w[rare], many) * self.impact[some], len(queries) * self.units).astype(np.float32).reshape(len(queries), self.ranges, WIDE)
+        top = near.max(axis=2)
+        rows, of, given = self.row[t[~rare]], of[~rare], w[~rare].astype(np.float32)
+        ends = np.searchsorted(of, np.arange(len(queries) + 1)).tolist()
+        blocks = self.rows.reshape(-1, WIDE)
+        hits: list[np.ndarray] = [np.zeros(0, np.int64)]
+        units: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+        def added(mine: np.ndarray, w: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+            return (w @ blocks.take(np.add.outer(mine * self.ranges, ranges).ravel(), axis=0).reshape(len(mine), len(ranges) * WIDE)).reshape(-1, WIDE)
+
+        for i, q in enumerate(queries.tolist()):
+            mine, w = rows[ends[i] : ends[i + 1]], given[ends[i] : ends[i + 1]]
+            bound = top[i] + w @ self.bounds.take(mine, axis=0)
+            floor = least[q] - spare[q] - error[q]
+            if least[q] <= 0 and self.n > k:  # a first threshold: what k units reach in the ranges with the highest bounds
+                ranges = np.argpartition(bound, -FEW)[-FEW:] if self.ranges > FEW else np.arange(self.ranges)
+                value = (near[i, ranges] + added(mine, w, ranges)).ravel()
+                floor = max(floor, float(np.partition(value, len(value) - k)[len(value) - k]) - 2 * error[q] - spare[q])
+            ranges = np.flatnonzero(bound >= floor - error[q])
+            self.compared += len(ranges)
+            self.skipped += self.ranges - len(ranges)
+            if not len(ranges):
+                continue
+            value = (near[i].take(ranges, axis=0) + added(mine, w, ranges)).ravel()
+            at = np.flatnonzero(value >= max(floor, 1e-37))
+            if len(at) > 4 * k:
+                kth = float(np.partition(value[at], len(at) - k)[len(at) - k])
+                at = at[value[at] >= kth - 2 * error[q] - spare[q]]
+            if len(at):
+                hits.append(np.full(len(at), q))
+                units.append(ranges[at // WIDE] * WIDE + at % WIDE)
+        return np.concatenate(hits), np.concatenate(units)
+
+    def _exact(self, query: np.ndarray, unit: np.ndarray, first: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        value, many = np.zeros(len(query)), np.diff(first)[query]
+        ends, at = np.cumsum(many), 0
+        while at < len(query):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            pair, hit = ragged(first[query[at:to]], many[at:to]), np.repeat(np.arange(at, to), many[at:to])
+            want = term[pair] * self.units + unit[hit]
+            place = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+            has = np.flatnonzero(self.key[place] == want)
+            value[at:to] = np.bincount(hit[has] - at, weight[pair[has]] * self.impact[place[has]], to - at)
+            at = to
+        return value
+
+
+def vectors_of(places_: list[tuple[str, str]], asked: pa.Array, impact: Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]) -> Iterator[Vectors]:
+    """Segments (path, norms) of up to `UNITS` units and `HELD` postings of the terms that are asked for together, one at least."""
+    held: list[tuple] = []
+    units = postings = 0
+    for path, norms in places_:
+        row = stored(path, ["segment", "blocks", "data"])
+        name = row["segment"][0].as_py()
+        blocks, lengths = blocks_in(row["blocks"][0], name), np.frombuffer(row["data"][0].as_buffer(), LENGTHS)
+        n, given = blocks["n"].to_numpy().astype(np.int64), unpacked(blocks["data"], COUNTED)
+        term = np.repeat(pc.fill_null(pc.index_in(blocks["term"], asked), -1).to_numpy(), n)
+        some = term >= 0
+        part = name, lengths["dl"].astype(np.int64), np.frombuffer(stored(norms, ["norm"])["norm"][0].as_buffer(), np.float64), term[some], numbers(given["doc"], np.cumsum(n) - n, n)[some].astype(np.int32), given["tf"][some]
+        if held and (units + len(part[1]) > UNITS or postings + len(part[3]) > HELD):
+            yield Vectors(held, len(asked), impact)
+            held, units, postings = [], 0, 0
+        held.append(part)
+        units, postings = units + len(part[1]), postings + len(part[3])
+    if held:
+        yield Vectors(held, len(asked), impact)
+
+
 def shown_as(dtype: str, offset: float | np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
     """Scores as they are ranked: with what units have without a match, of the precision of `dtype`, rounded."""
     if dtype in ("float64", "double"):
@@ -940,18 +1127,25 @@ def search_all(index: PostingsIndex, known: DataFrame, k: int, impact: Callable[
         asked = blocks_of(least)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for path, norms in zip(batch["path"].to_pylist(), batch["norms"].to_pylist(), strict=True):
-                    yield from scored(Segment.load(path, norms, impact))
-
-        def scored(part: Segment) -> Iterator[pa.RecordBatch]:
+            held = [x for batch in batches for x in zip(batch["path"].to_pylist(), batch["norms"].to_pylist(), strict=True)]
+            if unit_length:
+                terms = pc.unique(pa.concat_arrays([pa.array([], pa.string()), *(stored(file, ["terms"])["terms"].combine_chunks().flatten() for file in asked)]))
+                for vectors in vectors_of(held, terms, impact):
+                    yield from scored(vectors, terms)
+                    del vectors
+                return
+            for path, norms in held:
+                part = Segment.load(path, norms, impact)
+                yield from scored(part, part.terms)
+
+        def scored(part: Segment | Vectors, known_terms: pa.Array) -> Iterator[pa.RecordBatch]:
             for file in asked:
                 row = stored(file, [x.split()[0] for x in _ASKED.split(", ")])
                 if not row.num_rows:
                     continue
                 read = lambda x, kind: np.frombuffer(row[x][0].as_buffer(), kind)  # noqa: E731, B023
                 ids, number = row["ids"][0].values, np.full(len(row["terms"][0].values), -1)
-                at = pc.index_in(part.terms, row["terms"][0].values)
+                at = pc.index_in(known_terms, row["terms"][0].values)
                 number[at.drop_null().to_numpy()] = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
                 offset, term, query, w = read("offset", float), number[read("term", np.int32)], read("query", np.int32).astype(np.int64), read("w", float)
                 here = term >= 0
@@ -960,10 +1154,10 @@ def search_all(index: PostingsIndex, known: DataFrame, k: int, impact: Callable[
                 spare = np.full(len(ids), SPARE)
                 if single:
                     spare += 1e-6 * (np.abs(offset) + np.bincount(query, weight * part.most[term], len(ids)))
-                found = part.best(query, term, weight, k, read("least", float), lambda value, of: shown_as(dtype, offset[of])(value), spare, w if unit_length else None)  # noqa: B023
+                found = part.best(query, term, weight, k, read("least", float), lambda value, of: shown_as(dtype, offset[of])(value), spare)  # noqa: B023
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(found[0])), *(pa.array(x) for x in found[1:])], names=["query_id", "segment", "doc", "sum", "score"])
 
-        return index.each(run, "query_id string, segment long, doc long, sum double, score double", first, last)
+        return index.each(run, "query_id string, segment long, doc long, sum double, score double", first, last, TOGETHER if unit_length else 1)
 
     n = kept.count()
     if parts < TWO_WAVES:

@@ -21,9 +21,13 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..session import broadcast_if_small, materialise, spread
 from . import cells, models
-from .postings import COUNTED, LENGTHS, PostingsIndex, blocks_in, indexed, inverted, inverted_grams, numbers, search, stored, unpacked, vocabulary
+from .postings import COUNTED, LENGTHS, VOCABULARIES, PostingsIndex, blocks_in, indexed, inverted, inverted_grams, numbers, search, stored, unpacked, vocabularies
 from .ranking import rank
 
+#: Rows (term, idf) that a task holds at once, about.
+FILED = 2 << 20
+
+
 class Retriever(Protocol):
     name: str
 
@@ -134,27 +138,33 @@ def tf_weights(tf: np.ndarray, sublinear: bool) -> np.ndarray:
 
 
 def norms(ix: PostingsIndex, files: list[str], sublinear: bool) -> DataFrame:
-    """(segment, norm): lengths of a segment's units as vectors. files: (term, idf), which each task reads one after another."""
+    """(segment, norm): lengths of a segment's units as vectors. files: (term, idf), which each task reads once for all its segments, up to `FILED` rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch["path"].to_pylist():
-                row = stored(path, ["segment", "blocks", "data"])
-                blocks = blocks_in(row["blocks"][0], row["segment"][0].as_py())
-                terms, _, counts = vocabulary(blocks)
-                idf = np.zeros(len(terms))
-                for file in files:
-                    known = stored(file, ["term", "idf"]).combine_chunks()
+        paths = [path for batch in batches for path in batch["path"].to_pylist()]
+        terms, number, sizes = vocabularies(paths)
+        idf, held, many = np.zeros(len(terms)), [], 0
+        for i, file in enumerate(files):
+            held.append(stored(file, ["term", "idf"]))
+            many += held[-1].num_rows
+            if many >= FILED or i == len(files) - 1:
+                known = pa.concat_tables(held).combine_chunks()
+                if len(known):
                     at = pc.index_in(terms, known["term"].combine_chunks())
-                    some = at.is_valid()
-                    idf[some.to_numpy(zero_copy_only=False)] = known["idf"].take(at.filter(some)).to_numpy()
-                n, given = blocks["n"].to_numpy().astype(np.int64), unpacked(blocks["data"], COUNTED)
-                weight = tf_weights(given["tf"], sublinear) * np.repeat(idf, counts)
-                units = len(row["data"][0].as_buffer()) // LENGTHS.itemsize
-                norm = np.sqrt(np.bincount(numbers(given["doc"], np.cumsum(n) - n, n), weight**2, units))
-                yield pa.RecordBatch.from_arrays([row["segment"].combine_chunks(), pa.array([norm.tobytes()], pa.binary())], names=["segment", "norm"])
-
-    return ix.each(run, "segment long, norm binary")
+                    idf[at.is_valid().to_numpy(zero_copy_only=False)] = known["idf"].take(at.drop_null()).to_numpy()
+                held, many = [], 0
+        first = 0
+        for path, counts in zip(paths, sizes, strict=True):
+            row = stored(path, ["segment", "blocks", "data"])
+            blocks = blocks_in(row["blocks"][0], row["segment"][0].as_py())
+            n, given = blocks["n"].to_numpy().astype(np.int64), unpacked(blocks["data"], COUNTED)
+            weight = tf_weights(given["tf"], sublinear) * np.repeat(idf[number[first : first + len(counts)]], counts)
+            first += len(counts)
+            units = len(row["data"][0].as_buffer()) // LENGTHS.itemsize
+            norm = np.sqrt(np.bincount(numbers(given["doc"], np.cumsum(n) - n, n), weight**2, units))
+            yield pa.RecordBatch.from_arrays([row["segment"].combine_chunks(), pa.array([norm.tobytes()], pa.binary())], names=["segment", "norm"])
+
+    return ix.each(run, "segment long, norm binary", most=VOCABULARIES)
 
 
 @dataclass

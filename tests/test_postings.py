@@ -310,3 +310,52 @@ def test_waves_in_turn_find_what_one_wave_finds(spark, monkeypatch):
     two = found()
     monkeypatch.setattr(postings, "THREE_WAVES", 2)
     assert once == two == found()
+
+
+def test_vectors_of_several_segments_find_what_plain_sums_find(tmp_path, monkeypatch):
+    """Segments are searched together, like units side by side: ranges of other words are left out, ties and queries of rare terms alone are not."""
+    monkeypatch.setattr(postings, "WIDE", 16)
+    rng, kinds = random.Random(71), [[f"{c}{i:02d}" for i in range(40)] for c in "abcd"]
+    texts = [" ".join(rng.choices(rng.choice(kinds), k=rng.randint(1, 60))) for _ in range(1200)]
+    texts += [texts[3]] * 60 + ["rare word"]
+    norm, held = {}, []
+    for s, lo in enumerate(range(0, len(texts), 421)):
+        some = texts[lo : lo + 421]
+        rows = pa.table({"unit_id": [f"u{lo + i:06d}" for i in range(len(some))], "terms": pa.array([t.split() for t in some], pa.list_(pa.string())), "stop": pa.array([0] * len(some), pa.int32())})
+        made = pa.Table.from_batches(postings.whole(iter(postings._of_terms(s, rows))))
+        ids = made["units"][0].as_py()
+        norm |= {(s, i): (u, math.sqrt(sum(n * n for n in Counter(texts[int(u[1:])].split()).values()))) for i, u in enumerate(ids)}
+        pa.parquet.write_table(made, tmp_path / f"s{s}.parquet")
+        pa.parquet.write_table(pa.table({"norm": [np.array([norm[s, i][1] for i in range(len(ids))]).tobytes()]}), tmp_path / f"n{s}.parquet")
+        held.append((f"file://{tmp_path}/s{s}.parquet", f"file://{tmp_path}/n{s}.parquet"))
+    terms = pa.array(sorted({w for t in texts for w in t.split()}))
+    number = {t: i for i, t in enumerate(terms.to_pylist())}
+    parts = list(postings.vectors_of(held, terms, lambda of, norm: of["tf"] / norm))
+    assert len(held) > 1 and len(parts) == 1
+    asked = [{w: rng.uniform(0.1, 1.0) for w in rng.sample(rng.choice(kinds), 6)} for _ in range(150)] + [dict.fromkeys(texts[3].split(), 0.3), {"rare": 1.0}]
+    query, term, weight = (np.array(x) for x in zip(*[(q, number[t], w) for q, own in enumerate(asked) for t, w in own.items()], strict=True))
+    plain = []
+    for own in asked:
+        counts = ((u, Counter(texts[int(u[1:])].split()), n) for u, n in norm.values())
+        plain.append({u: sum(w * c[t] for t, w in own.items()) / n for u, c, n in counts})
+    for least in (np.zeros(len(asked)), np.array([sorted(x.values())[-5] for x in plain])):
+        of, segment, doc, value, _ = parts[0].best(query, term, weight, 10, least, lambda v, _: np.round(v, 9), np.full(len(asked), postings.SPARE))
+        for q, scores in enumerate(plain):
+            got = {norm[s, d][0]: v for s, d, v in zip(segment[of == q].tolist(), doc[of == q].tolist(), value[of == q].tolist(), strict=True)}
+            want = sorted((-round(x, 9), u) for u, x in scores.items() if x > 0 and x >= least[q] - postings.SPARE)[:10]
+            assert [u for _, u in sorted((-round(x, 9), u) for u, x in got.items())][: len(want)] == [u for _, u in want], q
+            assert all(x == pytest.approx(scores[u], abs=1e-12) for u, x in got.items()), q
+    assert parts[0].skipped > parts[0].compared
+
+
+def test_a_task_counts_and_weighs_many_segments_of_grams(spark):
+    """The idf of all grams is read once for many segments, not once for each."""
+    texts = zipf_texts(81, 300, 30)
+    r = retrieve.build("tfidf")
+    r.index(spark.createDataFrame([(f"u{i:04d}", t) for i, t in enumerate(texts)], "unit_id string, text string").repartition(20))
+    ix = r._index
+    parts = ix.places.count()
+    tasks = ix.each(lambda batches: batches, "at int, path string, norms string", most=postings.VOCABULARIES).rdd.getNumPartitions()
+    assert tasks == max(-(-parts // postings.VOCABULARIES), min(parts, 2 * spark.sparkContext.defaultParallelism)) < parts
+    found = {x.term: x.df for x in r._df.collect()}
+    assert found == Counter(g for t in texts for g in {t.lower()[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)})
