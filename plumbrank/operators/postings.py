@@ -58,7 +58,7 @@ CELLS, DENSE, RANGES = 1 << 20, 12, 32
 WHOLE, SEEDS = 4, 3
 #: Segments of vectors that a task searches one after another, and whose vocabularies it reads together, at most; units and postings that are compared with queries at once.
 TOGETHER, VOCABULARIES, UNITS, HELD = 16, 32, 16384, 4 << 20
-#: Units of a range that has bounds of its own; groups of like units; terms that tell them apart.
+#: Units of a range that has bounds of its own; groups of like units; terms that tell them apart; a term is a row of numbers where at least one in so many units has it.
 WIDE, GROUPS, TRAITS, OFTEN = 64, 8, 256, 12
 _WHOLE = "segment long, blocks binary, data binary, units array<string>, texts int, n_terms long, n_stop long"
 _BLOCKS = "segment long, term string, at int, n int, most_tf int, least_dl int, least_kept int, data binary"
@@ -948,8 +948,10 @@ class Vectors:
         vectors = np.zeros((n, len(traits)), np.float32)
         vectors[unit[some], column[some]] = value[some]
         vectors /= np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-30)
-        order = np.lexsort((length, alike(vectors, GROUPS)))
+        group = alike(vectors, GROUPS)
+        order = np.lexsort((length, group))
         del vectors, column, some
+        edges = np.unique(np.searchsorted(group[order], np.arange(GROUPS)) // WIDE)
         self.segment = np.repeat([x[0] for x in parts], sizes)[order]
         self.doc = np.concatenate([np.arange(x) for x in sizes])[order]
         self.dl = length[order]
@@ -971,6 +973,8 @@ class Vectors:
             mine = slice(self.starts[t], self.starts[t] + counts[t])
             self.rows[r, self.key[mine] - t * units] = self.impact[mine]
         self.bounds = self.rows.reshape(len(often), self.ranges, WIDE).max(axis=2)
+        # What a frequent term adds in each group, about.
+        self.groups = np.add.reduceat(self.bounds, edges[edges < self.ranges], axis=1)
         self.compared = self.skipped = 0
 
     def best(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray, final: Callable[[np.ndarray, np.ndarray], np.ndarray], spare: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -979,8 +983,13 @@ class Vectors:
         first = np.searchsorted(query, np.arange(n + 1))
         error = (np.diff(first) + 4) * 1.2e-7 * np.bincount(query, weight * self.most[term], n) + 1e-9
         found = [[np.zeros(0, np.int64)] * 3 + [np.zeros(0)] * 2]
+        # Queries of the same group follow one another, so that the rows they read are at hand.
+        often = np.flatnonzero(self.row[term] >= 0)
+        of, w, row = query[often], weight[often], self.row[term[often]]
+        groups = [np.bincount(of, w * x[row], n) for x in np.ascontiguousarray(self.groups.T)]
+        turn = np.argsort(np.argmax(groups, axis=0), kind="stable")
         for lo in range(0, n, step):
-            hit, doc = self._near(np.arange(lo, min(lo + step, n)), first, term, weight, k, least, spare, error)
+            hit, doc = self._near(np.sort(turn[lo : lo + step]), first, term, weight, k, least, spare, error)
             value = self._exact(hit, doc, first, term, weight)
             good = (np.round(value, scoring.PLACES) > 0) & (value >= least[hit] - spare[hit])
             hit, doc, value = hit[good], doc[good], value[good]
@@ -992,8 +1001,9 @@ class Vectors:
 
     def _near(self, queries: np.ndarray, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, least: np.ndarray, spare: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, unit) that may reach the queries' thresholds."""
-        lo, hi = int(first[queries[0]]), int(first[queries[-1] + 1])
-        of, t, w = np.repeat(np.arange(len(queries)), np.diff(first)[queries]), term[lo:hi], weight[lo:hi]
+        wanted = np.diff(first)[queries]
+        of, at = np.repeat(np.arange(len(queries)), wanted), ragged(first[queries], wanted)
+        t, w = term[at], weight[at]
         rare = self.row[t] < 0
         many = self.counts[t[rare]]
         some = ragged(self.starts[t[rare]], many)

@@ -359,3 +359,16 @@ def test_a_task_counts_and_weighs_many_segments_of_grams(spark):
     assert tasks == max(-(-parts // postings.VOCABULARIES), min(parts, 2 * spark.sparkContext.defaultParallelism)) < parts
     found = {x.term: x.df for x in r._df.collect()}
     assert found == Counter(g for t in texts for g in {t.lower()[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)})
+
+
+def test_queries_that_read_the_same_rows_follow_one_another(monkeypatch):
+    rng, kinds = np.random.default_rng(5), 2
+    monkeypatch.setattr(postings, "CELLS", 1280 * 50)
+    term, unit = (np.concatenate(x) for x in zip(*[(rng.choice(20, 8, replace=False) + 20 * (u % kinds), np.full(8, u)) for u in range(1280)], strict=True))
+    part = postings.Vectors([(0, np.full(1280, 8), np.ones(1280), term, unit, np.ones(len(term), np.int32))], 40, lambda of, norm: of["tf"] / norm)
+    query, asked = np.repeat(np.arange(100), 5), np.concatenate([rng.choice(20, 5, replace=False) + 20 * (q % kinds) for q in range(100)])
+    seen, near = [], part._near
+    monkeypatch.setattr(part, "_near", lambda queries, *more: seen.append(queries) or near(queries, *more))
+    found = part.best(query, asked, np.ones(len(query)), 10, np.zeros(100), lambda v, _: v, np.full(100, postings.SPARE))
+    assert sorted(np.concatenate(seen).tolist()) == list(range(100)) and len(np.unique(found[0])) == 100
+    assert sum(len(set((x % kinds).tolist())) == 1 for x in seen) >= len(seen) - 1
